@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachbase.llm import fingerprints, quality_rules, url_rules
+import public_tokenizers
+
+from reachbase.llm import byte_bpe, fingerprints, importance, mixing, pii, quality_rules, url_rules
 from reachbase.llm.words import whole
 
 
@@ -15,6 +17,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return importance.select(docs, importance.fit(docs, labels))[0]
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     rules = quality_rules.fit(docs, labels)
@@ -43,7 +50,25 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = byte_bpe.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    rows = byte_bpe.decode(rows, ranks, public_tokenizers.PATTERN)
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.deal(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "tokens", "pass", "block")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, found="n_found")
+
+
+#: For the queries only; a caller brings a key of their own.
+PII_KEY = "corpuskey"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op4_url_filters, op5_fingerprints)
+    f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_url_filters, op5_fingerprints, op6_byte_bpe, op7_mixing, op9_pii)
 }
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_rules.ORACLE_SQL}
