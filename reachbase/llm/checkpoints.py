@@ -1,15 +1,31 @@
-"""Checkpoints in the folder that all machines share."""
+"""Cutting lineage through the folder that all machines share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a new one for this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
+    return folder
 
 
 def checkpoint(rows: DataFrame) -> DataFrame:
-    """Writes the rows to the folder in spark.checkpoint.dir and reads them from there."""
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """For small tables: Spark's own checkpoint."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """For large tables: a compressed table in the shared folder."""
+    path = f"{shared_folder(rows.sparkSession)}/stored-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from reachbase.llm import byte_bpe, fingerprints, importance, mixing, pii, quality_rules, url_rules
+from reachbase.llm import byte_bpe, fingerprints, importance, jaccard_join, mixing, pii, quality_rules, url_rules
 from reachbase.llm.words import whole
 
 
@@ -66,9 +66,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, PII_KEY, found="n_found")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 #: For the queries only; a caller brings a key of their own.
 PII_KEY = "corpuskey"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_url_filters, op5_fingerprints, op6_byte_bpe, op7_mixing, op9_pii)
+    f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_url_filters, op5_fingerprints, op6_byte_bpe, op7_mixing, op9_pii, op10_ngram_jaccard_join)
 }
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_rules.ORACLE_SQL}
