@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from reachbase.llm import byte_bpe, fingerprints, importance, jaccard_join, mixing, pii, quality_rules, url_rules
+from reachbase.llm import byte_bpe, fingerprints, importance, jaccard_join, mixing, pii, quality_rules, suffix_dedup, url_rules
 from reachbase.llm.words import whole
 
 
@@ -22,6 +22,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.select(docs, importance.fit(docs, labels))[0]
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup(_read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     rules = quality_rules.fit(docs, labels)
@@ -73,6 +78,6 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: For the queries only; a caller brings a key of their own.
 PII_KEY = "corpuskey"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op3_quality_rules, op4_url_filters, op5_fingerprints, op6_byte_bpe, op7_mixing, op9_pii, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_quality_rules, op4_url_filters, op5_fingerprints, op6_byte_bpe, op7_mixing, op9_pii, op10_ngram_jaccard_join)
 }
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_rules.ORACLE_SQL}
