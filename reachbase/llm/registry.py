@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from reachbase.llm import byte_bpe, fingerprints, importance, jaccard_join, mixing, pii, quality_rules, suffix_dedup, url_rules
+from reachbase.llm import byte_bpe, fingerprints, importance, jaccard_join, mixing, pii, quality_rules, recompression, suffix_dedup, url_rules
 from reachbase.llm.words import whole
 
 
@@ -66,6 +66,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.deal(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "tokens", "pass", "block")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = recompression.dedup(_read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PII_KEY, found="n_found")
@@ -78,6 +83,6 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: For the queries only; a caller brings a key of their own.
 PII_KEY = "corpuskey"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_quality_rules, op4_url_filters, op5_fingerprints, op6_byte_bpe, op7_mixing, op9_pii, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_quality_rules, op4_url_filters, op5_fingerprints, op6_byte_bpe, op7_mixing, op8_substring_dedup, op9_pii, op10_ngram_jaccard_join)
 }
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_rules.ORACLE_SQL}
