@@ -53,7 +53,7 @@ def entry_impact(e: Estate, planned: Estate) -> DataFrame:
 
     Classes come from the trustees of both estates, so one principal has one class on either side.
     """
-    trustees = e.ntfs_aces.select("trustee_key").union(planned.ntfs_aces.select("trustee_key"))
+    trustees = e.ntfs_aces.select("trustee_key").union(planned.ntfs_aces.select("trustee_key")).union(e.share_aces.select("trustee_key"))
     _, members = access.classes(access.tokens(e), trustees)
     was, now = e.ntfs_aces.select("resource_key", "ace_key", "access_mask"), planned.ntfs_aces.select("resource_key", "ace_key", "access_mask")
     touched = was.exceptAll(now).union(now.exceptAll(was)).select("resource_key").distinct()
