@@ -73,16 +73,14 @@ def matrix(estate: Estate) -> tuple[DataFrame, DataFrame]:
     """Remote access of every class to every resource that it could reach, and the classes' principals.
 
     A list that nobody read bounds the answer from above: no share entries means that the share side
-    was not observed.  A missing list (null DACL) grants everything to everyone.
+    was not observed.  A missing list (null DACL) is evaluated as one entry that grants everything to everyone.
     """
-    trustees = estate.ntfs_aces.select("trustee_key").union(estate.share_aces.select("trustee_key"))
-    principals, members = classes(tokens(estate), trustees)
-    ntfs = ntfs_rights(members, estate.ntfs_aces)
-    open_ = estate.resources.where(~F.col("dacl_present")).select("resource_key")
-    every = principals.select("class_key").distinct()
+    everyone = F.lit(keys.EVERYONE)
     total = F.lit(masks.FILE_ALL).cast("long")
-    unguarded = open_.join(every, F.col("class_key").isNotNull()).select("class_key", "resource_key", total.alias("granted"), F.lit(0).cast("long").alias("denied"), total.alias("canonical"))
-    both = ntfs.unionByName(unguarded).join(estate.resources.select("resource_key", "share_key", "dacl_present"), "resource_key")
+    open_ = estate.resources.where(~F.col("dacl_present")).select("resource_key", everyone.alias("trustee_key"), F.lit("allow").alias("ace_type"), total.alias("access_mask"), F.lit(0).alias("ace_flags"), F.lit(0).alias("order_index"), F.lit("null_dacl").alias("ace_key"))
+    aces = estate.ntfs_aces.unionByName(open_)
+    principals, members = classes(tokens(estate), aces.select("trustee_key").union(estate.share_aces.select("trustee_key")))
+    both = ntfs_rights(members, aces).join(estate.resources.select("resource_key", "share_key"), "resource_key")
     observed = estate.share_aces.select("share_key").distinct().withColumn("observed", F.lit(True))
     rows = both.join(observed, "share_key", "left").join(share_rights(members, estate.share_aces), ["class_key", "share_key"], "left")
     seen = F.coalesce("observed", F.lit(False))
