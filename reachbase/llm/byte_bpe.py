@@ -25,8 +25,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces whose ids a worker keeps; the store is emptied when it is full.
-KEPT_PIECES = 1_000_000
+#: Pieces, and pairs of tokens, that a worker keeps.  A full store makes way for a new one, and what
+#: is still in use moves over.
+KEPT_PIECES = 100_000
 _NEVER = 1 << 40
 
 
@@ -38,7 +39,7 @@ class Vocabulary:
         self.bytes = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self._edges: tuple[dict, ...] = ({}, {})  # by side: 0 and -1 index it
-        self.pairs: dict[bytes, dict[bytes, bool]] = {b: {} for b in ranks}  # what beside() has found, by left token
+        self.pairs: dict[tuple[int, int], bool] = {}  # what beside() has found
 
     def merged(self, piece: bytes, until: int = 1) -> list[bytes]:
         """The parts left by merging the pair of least rank, again and again, down to ``until`` parts."""
@@ -98,9 +99,11 @@ class PrefixTable:
                 if token is None:
                     continue
                 if start:
-                    left = names[last[start - 1]]
-                    if (fits := pairs[left].get(part)) is None:
-                        fits = pairs[left][part] = v.beside(left, part)
+                    left = last[start - 1]
+                    if (fits := pairs.get((left, token))) is None:
+                        if len(pairs) >= KEPT_PIECES:
+                            pairs.clear()
+                        fits = pairs[left, token] = v.beside(names[left], part)
                     if not fits:
                         continue
                 last.append(token)
@@ -153,20 +156,24 @@ class Codec:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
         self.vocabulary, self.pieces, self.latin = Vocabulary(ranks), regex.compile(pattern), re.compile(_latin(pattern))
         self.packed: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _pack(self, piece: str) -> bytes:
+        if (out := self.older.get(piece)) is not None:
+            self.packed[piece] = out
+            return out
         data = piece.encode()
         whole = self.vocabulary.ids.get(data)
         tokens = [whole] if whole is not None else PrefixTable(self.vocabulary, data).tokens()
         out = b"".join(t.to_bytes(4, "little") for t in tokens)
         if len(data) <= 256:
-            if len(self.packed) >= KEPT_PIECES:
-                self.packed.clear()
             self.packed[piece] = out
         return out
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if len(self.packed) >= KEPT_PIECES:
+            self.packed, self.older = {}, self.packed
         get, pack = self.packed.get, self._pack
         if not text:
             return b""

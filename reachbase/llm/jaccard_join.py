@@ -3,9 +3,9 @@
 A document's set holds the distinct shingles of five words.  Documents with equal sets form one class
 and the classes are joined exactly, in these steps:
 
-1. Shingle hashes are dealt by value in packed blocks; each block counts in how many classes a token
-   stands, and tokens of two classes or more go back to their classes.  Tokens of one class alone only
-   count: they can't be shared.
+1. Shingle hashes are dealt by value in packed blocks; each block counts how many owners a token has,
+   and tokens of two or more go back to their owners.  Tokens of one owner alone only count: they can't
+   be shared.
 2. A class keeps its rarest tokens as prefix: two classes that link must share one of these.  A class
    whose prefix holds no shared token has no link and is done.
 3. Classes are partitioned into groups of similar ones: each is compared with the leader of those that
@@ -13,7 +13,8 @@ and the classes are joined exactly, in these steps:
    of many classes are cut into units of bounded size.
 4. The token-group matrix says for each prefix token in which units it stands.  Units of different
    groups that share a token and may be of like size are bounded by the overlap of their token
-   unions; only pairs of units that could hold a link are opened, and their classes compared.
+   unions; only pairs of units that could hold a link are opened, and their classes compared until
+   one links, which joins the two groups.
 5. Links close the groups into components.
 
 No step needs all pairs of a group: inside a group links are found through leaders, which is enough for
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +44,10 @@ from reachbase.llm.components import components
 SHINGLE = 5
 PERCENT = 75
 #: Bytes of text whose shingles one block counts; classes in a unit.
-BLOCK_BYTES = 12 << 20
-UNIT = 32
+BLOCK_BYTES = 24 << 20
+UNIT = 16
+#: Pairs of units that one task compares.
+PAIRS = 2_000
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -75,8 +79,37 @@ def _members(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(cls), pa.array(n)], ["cls", "n"])
 
 
-def _blocks(docs: DataFrame, bits: int) -> DataFrame:
-    """block, classes, sizes, tokens (five bytes each) and owners (two bytes each: an index of classes)."""
+_PACKED = "block long, chunk long, owners binary, counts binary, tokens binary, classes binary"
+_SENT = "chunk long, block long, owners binary, counts binary, tokens binary, df binary, classes binary"
+_PACKED_TYPES = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+_SENT_TYPES = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+
+
+def _rows(rows: list[tuple], names: str, kinds: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [n.split()[0] for n in names.split(", ")])
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values: each once, and how often."""
+    head = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return values[head], np.diff(np.r_[head, len(values)])
+
+
+def _five(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _wide(five: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(five) // 5, 8), np.uint8)
+    out[:, :5] = five.reshape(-1, 5)
+    return out.view(np.int64)[:, 0]
+
+
+def _packed(docs: DataFrame, bits: int) -> DataFrame:
+    """For each chunk of documents and block of tokens: owners (numbers in the chunk), their counts, tokens in five bytes.
+
+    One more row for each chunk, under a negative block, names the chunk's classes and their sizes.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,58 +117,54 @@ def _blocks(docs: DataFrame, bits: int) -> DataFrame:
                 sets = {_class(s): s for s in _sets(w) if len(s)}
                 if not sets:
                     continue
-                names, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(s) for s in sets.values()], np.int32)
+                names, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(s) for s in sets.values()], np.int64)
+                chunk = _class(names.view(np.uint64))
                 tokens = np.concatenate(list(sets.values()))
                 owner = np.repeat(np.arange(len(sets)), sizes)
                 block = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
                 order = np.argsort(block, kind="stable")
                 block, tokens, owner = block[order], tokens[order] & _LOW, owner[order]
-                out: list[tuple] = []
+                out: list[tuple] = [(-1 - chunk % (1 << max(bits, 4)), chunk, None, None, None, np.r_[names, sizes].tobytes())]
                 edges = np.flatnonzero(np.diff(block)) + 1
                 for at, part, who in zip(block[np.r_[0, edges]], np.split(tokens, edges), np.split(owner, edges), strict=True):
-                    here, index = np.unique(who, return_inverse=True)
-                    five = part.view(np.uint8).reshape(-1, 8)[:, :5]
-                    out.append((int(at), names[here].tobytes(), sizes[here].tobytes(), five.tobytes(), index.astype(np.uint16).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), *[pa.binary()] * 4))], ["block", "classes", "sizes", "tokens", "owners"])
+                    here, counts = _runs(who)
+                    out.append((int(at), chunk, here.astype(np.uint16).tobytes(), counts.astype(np.uint16).tobytes(), _five(part), None))
+                yield _rows(out, _PACKED, _PACKED_TYPES)
 
-    return docs.mapInArrow(pack, "block int, classes binary, sizes binary, tokens binary, owners binary")
+    return docs.mapInArrow(pack, _PACKED)
 
 
 def _join(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
 
-def _shared(bits: int):
-    """For one block: tokens of two classes or more, packed again by the class that holds them."""
-
-    def count(table: pa.Table) -> pa.Table:
-        names = _join(table["classes"], np.int64)
-        owners = np.concatenate([n[o] for n, o in zip(names, _join(table["owners"], np.uint16), strict=True)])
-        sizes = np.concatenate([n[o] for n, o in zip(_join(table["sizes"], np.int32), _join(table["owners"], np.uint16), strict=True)])
-        five = np.concatenate([x.reshape(-1, 5) for x in _join(table["tokens"], np.uint8)])
-        wide = np.zeros((len(five), 8), np.uint8)
-        wide[:, :5] = five
-        tokens = wide.view(np.int64)[:, 0]
-        order = np.lexsort((owners, tokens))
-        tokens, owners, sizes = tokens[order], owners[order], sizes[order]
-        new = np.r_[True, (np.diff(tokens) != 0) | (np.diff(owners) != 0)]
-        tokens, owners, sizes = tokens[new], owners[new], sizes[new]
-        _, at, df = np.unique(tokens, return_inverse=True, return_counts=True)
-        df = df[at]
-        keep = df >= 2
-        tokens, owners, df, sizes = tokens[keep] | (table["block"][0].as_py() << 40), owners[keep], np.minimum(df[keep], 65535), sizes[keep]
-        home = (owners.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(owners), np.int64)
-        order = np.lexsort((owners, home))
-        home, tokens, owners, df, sizes = (x[order] for x in (home, tokens, owners, df, sizes))
-        out = []
-        edges = np.flatnonzero(np.diff(home)) + 1
-        for at_home, t, o, d, s in zip(home[np.r_[0, edges]] if len(home) else [], *(np.split(x, edges) for x in (tokens, owners, df, sizes)), strict=False):
-            here, first, runs = np.unique(o, return_index=True, return_counts=True)
-            out.append((int(at_home), here.tobytes(), s[first].astype(np.int32).tobytes(), runs.astype(np.uint16 if runs.max() < 65536 else np.uint32).tobytes(), t.astype(np.int64).view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), int(t[0] >> 40), d.astype(np.uint16).tobytes()))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
-        return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["home", "classes", "sizes", "runs", "tokens", "block", "df"])
-
-    return count
+def _shared(table: pa.Table) -> pa.Table:
+    """For one block: tokens with two owners or more, packed again by the chunk that holds them."""
+    block = table["block"][0].as_py()
+    if block < 0:
+        none = pa.nulls(len(table), pa.binary())
+        return pa.Table.from_arrays([table["chunk"], table["block"], none, none, none, none, table["classes"]], names=[n.split()[0] for n in _SENT.split(", ")])
+    chunk, number = np.unique(table["chunk"].to_numpy(), return_inverse=True)
+    counts = _join(table["counts"], np.uint16)
+    owner = np.concatenate([np.repeat((k << 16) | o.astype(np.int64), c) for k, o, c in zip(number, _join(table["owners"], np.uint16), counts, strict=True)])
+    tokens = _wide(np.concatenate(_join(table["tokens"], np.uint8)))
+    order = np.lexsort((owner, tokens))
+    tokens, owner = tokens[order], owner[order]
+    new = np.r_[True, (np.diff(tokens) != 0) | (np.diff(owner) != 0)]
+    tokens, owner = tokens[new], owner[new]
+    _, df = _runs(tokens)
+    df = np.repeat(df, df)
+    keep = df >= 2
+    tokens, owner, df = tokens[keep], owner[keep], np.minimum(df[keep], 255).astype(np.uint8)
+    order = np.argsort(owner, kind="stable")
+    tokens, owner, df = tokens[order], owner[order], df[order]
+    home = owner >> 16
+    edges = np.flatnonzero(np.diff(home)) + 1
+    out = []
+    for k, t, o, d in zip(home[np.r_[0, edges]] if len(home) else [], np.split(tokens, edges), np.split(owner & 65535, edges), np.split(df, edges), strict=False):
+        here, runs = _runs(o)
+        out.append((int(chunk[k]), block, here.astype(np.uint16).tobytes(), runs.astype(np.uint16).tobytes(), _five(t), d.tobytes(), None))
+    return pa.Table.from_batches([_rows(out, _SENT, _SENT_TYPES)])
 
 
 def _least(tokens: np.ndarray) -> list[int]:
@@ -144,27 +173,30 @@ def _least(tokens: np.ndarray) -> list[int]:
 
 
 def _assemble(table: pa.Table) -> pa.Table:
-    """For the classes of one home: n, all shared tokens (sorted), and the shared ones among the prefix."""
-    parts: list[tuple] = []
-    for names, sizes, runs, five, block, df in zip(_join(table["classes"], np.int64), _join(table["sizes"], np.int32), table["runs"], _join(table["tokens"], np.uint8), table["block"].to_pylist(), _join(table["df"], np.uint16), strict=True):
-        wide = np.zeros((len(five) // 5, 8), np.uint8)
-        wide[:, :5] = five.reshape(-1, 5)
-        raw = runs.as_buffer()
-        counts = np.frombuffer(raw, np.uint16 if raw.size == 2 * len(names) else np.uint32)
-        parts.append((np.repeat(names, counts), np.repeat(sizes, counts), wide.view(np.int64)[:, 0] | (block << 40), df))
-    owner, size, token, df = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    order = np.lexsort((token, df, owner))
-    owner, size, token, df = owner[order], size[order], token[order], df[order]
-    edges = np.r_[0, np.flatnonzero(np.diff(owner)) + 1, len(owner)]
+    """For the classes of one chunk: n, all shared tokens (sorted), and the shared ones among the prefix."""
+    named = [c for c in table["classes"] if c.is_valid]
+    names, sizes = np.frombuffer(named[0].as_buffer(), np.int64).reshape(2, -1)
+    table = table.filter(pc.is_valid(table["tokens"]))
+    parts = []
+    for owners, counts, five, df, block in zip(_join(table["owners"], np.uint16), _join(table["counts"], np.uint16), _join(table["tokens"], np.uint8), _join(table["df"], np.uint8), table["block"].to_pylist(), strict=True):
+        parts.append((np.repeat(owners.astype(np.int64), counts), _wide(five) | (block << 40), df))
     rows = []
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        n = int(size[lo])
-        prefix = n - -(-PERCENT * n // 100) + 1 - (n - (hi - lo))
-        if prefix > 0:
-            own = token[lo:hi]
-            rows.append((int(owner[lo]), n, np.sort(own).tobytes(), own[:prefix].tolist(), _least(own)))
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["cls", "n", "tokens", "prefix", "least"])
+    if parts:
+        owner, token, df = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((token, df, owner))
+        owner, token = owner[order], token[order]
+        edges = np.r_[0, np.flatnonzero(np.diff(owner)) + 1, len(owner)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            n = int(sizes[owner[lo]])
+            prefix = n - -(-PERCENT * n // 100) + 1 - (n - (hi - lo))
+            if prefix > 0:
+                own = token[lo:hi]
+                rows.append((int(names[owner[lo]]), n, np.sort(own).tobytes(), own[:prefix].tolist(), _least(own)))
+    return pa.Table.from_batches([_rows(rows, "cls, n, tokens, prefix, least", (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))])
+
+
+def _tokens(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.int64)
 
 
 @F.arrow_udf(T.BooleanType())
@@ -172,21 +204,30 @@ def _linked(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) ->
     for a, b, na, nb in batches:
         out = []
         for x, y, n, m in zip(a, b, na.to_pylist(), nb.to_pylist(), strict=True):
-            both = len(np.intersect1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True))
+            both = len(np.intersect1d(_tokens(x), _tokens(y), assume_unique=True))
             out.append(100 * both >= PERCENT * (n + m - both))
         yield pa.array(out, pa.bool_())
 
 
-@F.arrow_udf(T.IntegerType())
-def _overlap(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for a, b in batches:
-        yield pa.array([len(np.intersect1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True)) for x, y in zip(a, b, strict=True)], pa.int32())
+def _opens(a: list[np.ndarray], na: list[int], b: list[np.ndarray], nb: list[int]) -> bool:
+    """Whether two units hold a link; they are opened only if their unions overlap enough for one."""
+    if len(a) > 1 or len(b) > 1:
+        both = len(np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True))
+        if 100 * both < PERCENT * max(min(na), min(nb)):
+            return False
+    for x, n in zip(a, na, strict=True):
+        for y, m in zip(b, nb, strict=True):
+            if 100 * min(n, m, len(x), len(y)) >= PERCENT * max(n, m):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= PERCENT * (n + m - both):
+                    return True
+    return False
 
 
-def _unions(table: pa.Table) -> pa.Table:
-    joined = np.unique(np.concatenate(_join(table["tokens"], np.int64)))
-    sizes = table["n"].to_numpy()
-    return pa.table({"unit": table["unit"][:1].cast(pa.int64()), "least_n": pa.array([sizes.min()], pa.int32()), "union_tokens": pa.array([joined.tobytes()], pa.binary())})
+@F.arrow_udf(T.BooleanType())
+def _units_link(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for a, na, b, nb in batches:
+        yield pa.array([_opens([_tokens(t) for t in x], n.as_py(), [_tokens(t) for t in y], m.as_py()) for x, n, y, m in zip(a, na, b, nb, strict=True)], pa.bool_())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,8 +244,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(size // BLOCK_BYTES)).bit_length()
     members = checkpoint(docs.withColumn("_m", _members(F.col("text"))).select("doc_id", "_m.cls", F.col("_m.n").cast("long").alias("n_shingles")))
-    blocks = _blocks(docs.select("text"), bits).groupBy("block").applyInArrow(_shared(bits), "home int, classes binary, sizes binary, runs binary, tokens binary, block long, df binary")
-    sets = stored(blocks.groupBy("home").applyInArrow(_assemble, "cls long, n int, tokens binary, prefix array<long>, least array<long>"))
+    shared = _packed(docs.select("text"), bits).groupBy("block").applyInArrow(_shared, _SENT)
+    held = shared.groupBy("chunk").applyInArrow(_assemble, "cls long, n int, tokens binary, prefix array<long>, least array<long>")
+    sets = stored(held.dropDuplicates(["cls"]))
 
     near = sets.select("cls", F.posexplode("least").alias("round", "hash"))
     led = near.groupBy("round", "hash").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -222,14 +264,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     like = F.expr(f"root_a < root_b AND 100 * hi_a >= {PERCENT} * lo_b AND 100 * hi_b >= {PERCENT} * lo_a")
     met = checkpoint(left.join(right, "token").where(like).select("unit_a", "unit_b").distinct())
     wanted = met.select(F.col("unit_a").alias("unit")).union(met.select("unit_b")).distinct()
-    unions = units.join(wanted, "unit", "left_semi").select("unit", "n", "tokens").groupBy("unit").applyInArrow(_unions, "unit long, least_n int, union_tokens binary")
-    unions = stored(unions)
-    at = lambda s: unions.select(F.col("unit").alias(f"unit_{s}"), F.col("least_n").alias(f"n_{s}"), F.col("union_tokens").alias(f"t_{s}"))
-    bound = met.join(at("a"), "unit_a").join(at("b"), "unit_b")
-    opened = bound.where(100 * _overlap("t_a", "t_b") >= PERCENT * F.greatest("n_a", "n_b")).select("unit_a", "unit_b")
-    names = units.select("cls", "unit")
-    pairs = opened.join(names.select(F.col("unit").alias("unit_a"), F.col("cls").alias("a")), "unit_a").join(names.select(F.col("unit").alias("unit_b"), F.col("cls").alias("b")), "unit_b").select("a", "b")
-    across = _verified(pairs, sets)
+    opened = units.join(wanted, "unit", "left_semi").groupBy("unit", "root").agg(F.collect_list(F.struct("tokens", "n")).alias("c")).select("unit", "root", "c.tokens", "c.n")
+    at = lambda s: opened.select(*[F.col(c).alias(f"{c}_{s}") for c in ("unit", "root", "tokens", "n")])
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), met.count() // PAIRS)
+    both = met.join(at("a"), "unit_a").join(at("b"), "unit_b").repartition(parts, "unit_a", "unit_b")
+    across = both.where(_units_link("tokens_a", "n_a", "tokens_b", "n_b")).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
 
     roots = components(inside.unionByName(across)).withColumnRenamed("node", "cls")
     rooted = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -262,7 +262,9 @@ def spans(docs: DataFrame, scheme: Scheme) -> DataFrame:
             met: dict[tuple, int] = {}
             for n, (key, _, anchor, first, _, text) in enumerate(out):
                 if met.setdefault((key, anchor - first, text), n) != n:
-                    out[n] = (*out[n][:5], None)  # an earlier entry of this batch has its text: all its windows start earlier
+                    # An earlier entry of this batch has its text: all its windows start earlier.  It is done, and
+                    # travels under its place instead of its key, which may be a very common one.
+                    out[n] = (first * 0x9E3779B1 + out[n][1], *out[n][1:5], None)
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             marks = [int.from_bytes(_digest(t), "little", signed=True) if t is not None else 0 for t in columns[5]]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(marks, pa.int64()), pa.array(columns[5], pa.binary())], schema=_ENTRY)

@@ -1,4 +1,5 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from tests.llm.fixture import documents
 
@@ -19,5 +20,5 @@ def test_stages_chain(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{k}")
         held = spark.read.parquet(f"{tmp_path}/{k}")
     assert held.select("doc_id").distinct().count() == spark.read.parquet(f"{tmp_path}/1").select("doc_id").distinct().count()
-    texts = [r["text"] for r in spark.read.parquet(f"{tmp_path}/1").where("length(trim(text)) > 0").collect()]
+    texts = [r["text"] for r in spark.read.parquet(f"{tmp_path}/1").where(F.col("text").rlike("[^ \\n\\t]")).collect()]
     assert len(texts) == len(set(texts))

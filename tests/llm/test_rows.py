@@ -122,7 +122,7 @@ def test_pseudonyms_keep_format_and_link(spark):
     shape = lambda t: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "9", t)))
     for old, new in zip(texts, got, strict=True):
         assert (old is None and new is None) or re.sub(r"(9+\.){3}9+", "ip", shape(old)) == re.sub(r"(9+\.){3}9+", "ip", shape(new))
-    card = re.findall(r"[\d ]{19}", got[0])[0]
+    card = re.findall(r"\d{4} \d{4} \d{4} \d{4}", got[0])[0]
     assert luhn(card) and card.replace(" ", "") in got[0].split()[-1] and card.replace(" ", "-") in got[7] and card != "4111 1111 1111 1111"
     assert "02/30/2000" in got[1] and "999.1.1.1" in got[2] and got[5] == "" and got[6] == texts[6]
     assert re.search(r"\S+@mail2", got[3])[0] == re.search(r"\S+@mail2", got[7])[0] and "bob" not in got[3]
