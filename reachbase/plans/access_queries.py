@@ -286,7 +286,7 @@ def trustee_kinds(e: Estate) -> DataFrame:
     return e.ntfs_aces.select("trustee_key").distinct().select("trustee_key", keys.rid(k).alias("rid"), keys.is_broad(k).alias("broad"), keys.is_well_known(k).alias("well_known"))
 
 
-@on_estate("SELECT kind, count(*) AS n, sum((enabled IS NULL)::int)::bigint AS unknown, count_if(enabled = false)::bigint AS disabled FROM principals GROUP BY 1")
+@on_estate("SELECT kind, count(*) AS n, sum((enabled IS NULL)::int)::bigint AS unknown, count(*) FILTER (WHERE enabled = false) AS disabled FROM principals GROUP BY 1")
 def principal_states(e: Estate) -> DataFrame:
     return e.principals.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("enabled").isNull()).alias("unknown"), F.count_if(F.col("enabled").eqNullSafe(F.lit(False))).alias("disabled"))
 
