@@ -9,12 +9,14 @@ and the classes are joined exactly, in these steps:
 2. A class keeps its rarest tokens as prefix: two classes that link must share one of these.  A class
    whose prefix holds no shared token has no link and is done.
 3. Classes are partitioned into groups of similar ones: each is compared with the leader of those that
-   share a least hash, under three hash functions, and verified links are closed into groups.  Groups
-   of many classes are cut into units of bounded size.
-4. The token-group matrix says for each prefix token in which units it stands.  Units of different
-   groups that share a token and may be of like size are bounded by the overlap of their token
-   unions; only pairs of units that could hold a link are opened, and their classes compared until
-   one links, which joins the two groups.
+   share a least hash, under three hash functions, and verified links are closed into groups.  Where
+   many groups still share a least hash, their classes meet several new leaders, again and again while
+   that joins a share of them.  Groups of many classes are cut into units of bounded size.
+4. The token-group matrix says for each prefix token in which units it stands, and how many tokens of
+   a class follow it at most.  Units of different groups that share a token, may be of like size and
+   have tokens enough from there on are bounded by the overlap of their token unions; only pairs of
+   units that could hold a link are opened, and their classes compared until one links, which joins
+   the two groups.
 5. Links close the groups into components.
 
 No step needs all pairs of a group: inside a group links are found through leaders, which is enough for
@@ -48,6 +50,9 @@ BLOCK_BYTES = 24 << 20
 UNIT = 16
 #: Pairs of units that one task compares.
 PAIRS = 2_000
+#: New leaders of a least hash that more than UNIT groups share, and the share of groups that a round must join to be repeated.
+LEADERS = 4
+JOINED = 0.05
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -238,6 +243,36 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(_linked("t_a", "t_b", "n_a", "n_b")).select("a", "b")
 
 
+def _grouped(sets: DataFrame, near: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All verified links, and the classes with the root of their group.
+
+    Leaders come out of partial aggregates, so a least hash that a third of all classes share is spread
+    over the cluster, and each round compares a class with a fixed number of leaders.
+    """
+    turn = 0
+    while True:
+        roots = components(links).withColumnRenamed("node", "cls")
+        rooted = lambda rows: rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))  # noqa: E731, B023
+        live = rooted(near)
+        drawn = [F.min(F.struct(F.xxhash64(F.lit(LEADERS * turn + i), "round", "cls"), "cls", "root", "n")) for i in range(LEADERS)]
+        crowded = live.groupBy("round", "hash", "root").agg(*[d.alias(f"l{i}") for i, d in enumerate(drawn)]).groupBy("round", "hash")
+        crowded = crowded.agg(F.count("*").alias("groups"), *[F.min(f"l{i}").alias(f"l{i}") for i in range(LEADERS)]).where(f"groups > {UNIT}")
+        crowded = checkpoint(crowded.select("round", "hash", F.explode(F.array_distinct(F.array(*[F.struct(f"l{i}.cls", f"l{i}.root", f"l{i}.n") for i in range(LEADERS)]))).alias("leader")))
+        if crowded.isEmpty():
+            return links, rooted(sets)
+        met = live.join(crowded, ["round", "hash"]).where(f"root <> leader.root AND 100 * least(n, leader.n) >= {PERCENT} * greatest(n, leader.n)")
+        pairs = checkpoint(met.select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b"), "root").distinct())
+        new = checkpoint(_verified(pairs.select("a", "b").distinct(), sets))
+        before = pairs.agg(F.count_distinct("root")).first()[0]
+        links = checkpoint(links.unionByName(new))
+        joined = new.select("a").union(new.select("b")).distinct().withColumnRenamed("a", "cls")
+        gone = rooted(joined).agg(F.count_distinct("root")).first()[0]
+        turn += 1
+        if gone <= JOINED * before:
+            roots = components(links).withColumnRenamed("node", "cls")
+            return links, rooted(sets)
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles, cls (the class) and component_id for every row of ``docs``."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -248,20 +283,21 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     held = shared.groupBy("chunk").applyInArrow(_assemble, "cls long, n int, tokens binary, prefix array<long>, least array<long>")
     sets = stored(held.dropDuplicates(["cls"]))
 
-    near = sets.select("cls", F.posexplode("least").alias("round", "hash"))
+    near = sets.select("cls", "n", F.posexplode("least").alias("round", "hash"))
     led = near.groupBy("round", "hash").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = near.join(led, ["round", "hash"]).where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    inside = checkpoint(_verified(stars, sets))
-    grouped = sets.join(components(inside).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    inside, grouped = _grouped(sets, near, checkpoint(_verified(stars, sets)))
     count = grouped.groupBy("root").agg(F.count("*").alias("classes")).where(f"classes > {UNIT}")
     unit = F.when(F.col("classes").isNull(), F.col("root")).otherwise(F.xxhash64("root", F.pmod("cls", F.ceil(F.col("classes") / UNIT))))
     units = stored(grouped.join(count, "root", "left").select("cls", "n", "tokens", "prefix", "root", unit.alias("unit")))
 
-    matrix = units.select("unit", "root", "n", F.explode("prefix").alias("token")).groupBy("token", "unit", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # Tokens stand in one order everywhere, so a pair's first common token bounds its overlap by what follows.
+    matrix = units.select("unit", "root", "n", (F.octet_length("tokens") / 8).cast("int").alias("shared"), F.posexplode("prefix").alias("pos", "token"))
+    matrix = matrix.groupBy("token", "unit", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("shared") - F.col("pos")).alias("rest"))
     several = matrix.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     matrix = stored(matrix.join(several, "token", "left_semi"))
-    left, right = (matrix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("unit", "root", "lo", "hi")]) for s in "ab")
-    like = F.expr(f"root_a < root_b AND 100 * hi_a >= {PERCENT} * lo_b AND 100 * hi_b >= {PERCENT} * lo_a")
+    left, right = (matrix.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("unit", "root", "lo", "hi", "rest")]) for s in "ab")
+    like = F.expr(f"root_a < root_b AND 100 * hi_a >= {PERCENT} * lo_b AND 100 * hi_b >= {PERCENT} * lo_a AND {100 + PERCENT} * least(rest_a, rest_b) >= {PERCENT} * (lo_a + lo_b)")
     met = checkpoint(left.join(right, "token").where(like).select("unit_a", "unit_b").distinct())
     wanted = met.select(F.col("unit_a").alias("unit")).union(met.select("unit_b")).distinct()
     opened = units.join(wanted, "unit", "left_semi").groupBy("unit", "root").agg(F.collect_list(F.struct("tokens", "n")).alias("c")).select("unit", "root", "c.tokens", "c.n")
