@@ -46,7 +46,7 @@ from reachbase.llm.components import components
 SHINGLE = 5
 PERCENT = 75
 #: Bytes of text whose shingles one block counts; classes in a unit.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 UNIT = 16
 #: Pairs of units that one task compares.
 PAIRS = 2_000
