@@ -70,6 +70,15 @@ def pairs_named(level: Level, n: int, number: int) -> Level:
     return Level(name[keep], level.first[keep], low[keep], high[keep])
 
 
+def joined(w: wordhash.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a chunk with one space after each, and where each word begins; the last bound is the end."""
+    length = w.stop - w.start + 1
+    at = np.r_[0, np.cumsum(length)]
+    out = w.data[np.minimum(np.arange(at[-1]) + np.repeat(w.start - at[:-1], length), len(w.data) - 1)] if len(length) else w.data[:0]
+    out[at[1:] - 1] = 32
+    return out, at
+
+
 @dataclass(frozen=True)
 class WordScheme:
     width: int = 20
@@ -79,10 +88,9 @@ class WordScheme:
     def reach(self) -> int:
         return self.width - 1
 
-    def documents(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, tuple]]:
+    def chunks(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple]]:
         for w in wordhash.words(column, fold=False):
-            for row, (lo, hi) in enumerate(zip(w.bounds[:-1], w.bounds[1:], strict=True)):
-                yield w.first + row, w.hash[lo:hi], (w.data, w.start[lo:hi], w.stop[lo:hi])
+            yield w.first, w.hash, w.bounds, joined(w)
 
     def levels(self, hashes: np.ndarray) -> list[Level]:
         out = [words_level(hashes)]
@@ -119,13 +127,12 @@ class WordScheme:
         return anchor, key
 
     def text(self, held: tuple, start: int, stop: int) -> bytes:
-        data, starts, stops = held
-        return b" ".join(data[a:b].tobytes() for a, b in zip(starts[start:stop], stops[start:stop], strict=True))
+        words, at = held
+        return words[at[start] : at[stop] - 1].tobytes()
 
     def units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        joined = pa.array([t.decode() for t in texts], pa.large_string())
         hashes, counts = [], []
-        for w in wordhash.words(joined, fold=False):
+        for w in wordhash.words(pa.array(texts, pa.large_binary()).cast(pa.large_string()), fold=False):
             hashes.append(w.hash)
             counts.append(np.diff(w.bounds))
         return np.concatenate(hashes), np.r_[0, np.cumsum(np.concatenate(counts))]
@@ -142,13 +149,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Word
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, run_lists in batches:
             out: list[dict] = [{}] * len(texts)
-            for row, units, (data, starts, stops) in WordScheme().documents(texts):
-                bounds = repeats.covered(run_lists[row].as_py(), width, len(units))
-                stays = np.ones(len(units), bool)
-                for a, b in bounds:
-                    stays[a:b] = False
-                kept = b" ".join(data[a:b].tobytes() for a, b in zip(starts[stays].tolist(), stops[stays].tolist(), strict=True))
-                out[row] = {"kept": kept.decode(), "n_words": len(units), "n_removed": int((~stays).sum()), "spans": [{"start": a, "stop": b} for a, b in bounds]}
+            for start, _, rows, (words, at) in scheme.chunks(texts):
+                for row, (lo, hi) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True), start):
+                    bounds = repeats.covered(run_lists[row].as_py(), width, hi - lo)
+                    edges = [0, *[x for b in bounds for x in b], hi - lo]
+                    kept = b"".join(words[at[lo + a] : at[lo + b]].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True))[:-1]
+                    out[row] = {"kept": kept.decode(), "n_words": hi - lo, "n_removed": sum(b - a for a, b in bounds), "spans": [{"start": a, "stop": b} for a, b in bounds]}
             yield pa.array(out, pa.struct([("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]))
 
     done = rows.join(found, "doc", "left").withColumn("_c", cut("text", "runs"))

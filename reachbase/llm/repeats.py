@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -33,8 +34,8 @@ class Scheme(Protocol):
     width: int
     reach: int  # greatest distance from a window's start to its anchor
 
-    def documents(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, object]]:
-        """Row, its units, and what text() needs."""
+    def chunks(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, object]]:
+        """For some neighbouring rows: the first, their units on end, the bounds of each, and what text() needs."""
 
     def anchors(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Anchor and key of every window."""
@@ -46,18 +47,34 @@ class Scheme(Protocol):
         """The units of several texts on end, and their bounds."""
 
 
-def runs(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of each run with one anchor."""
-    edge = np.flatnonzero(np.diff(anchor)) + 1
-    return np.r_[0, edge], np.r_[edge, len(anchor)] - 1
+@dataclass(frozen=True)
+class Entries:
+    """Of some rows: row, key, anchor, first and last window of each entry, in order; places count from ``base`` on."""
 
+    row: np.ndarray
+    key: np.ndarray
+    anchor: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    base: np.ndarray
+    held: object
 
-def _entries(scheme: Scheme, column: pa.Array) -> Iterator[tuple[int, object, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for row, units, held in scheme.documents(column):
-        if len(units) >= scheme.width:
-            anchor, key = scheme.anchors(units)
-            first, last = runs(anchor)
-            yield row, held, key[first].view(np.int64), anchor[first], first, last
+
+def _entries(scheme: Scheme, column: pa.Array) -> Iterator[Entries]:
+    """Anchors are found over several documents at once; windows that reach into the next one are no windows."""
+    for start, units, bounds, held in scheme.chunks(column):
+        if len(units) < scheme.width:
+            continue
+        anchor, key = scheme.anchors(units)
+        size = np.maximum(np.diff(bounds) - scheme.width + 1, 0)
+        row = np.repeat(np.arange(len(size)), size)
+        window = np.arange(len(row)) + np.repeat(bounds[:-1] - np.cumsum(size) + size, size)
+        if not len(row):
+            continue
+        head = np.flatnonzero(np.r_[True, (np.diff(anchor[window]) != 0) | (np.diff(row) != 0)])
+        tail = np.r_[head[1:], len(row)] - 1
+        first, base = window[head], bounds[row[head]]
+        yield Entries(start + row[head], key[first].view(np.int64), anchor[first] - base, first - base, window[tail] - base, base, held)
 
 
 def prefix_hashes(units: np.ndarray) -> np.ndarray:
@@ -230,10 +247,8 @@ def spans(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy()
-            got = [(key, np.full(len(key), doc[row]), first) for row, _, key, _, first, _ in _entries(scheme, batch.column(1))]
-            for i in range(0, len(got), 500):
-                columns = [np.concatenate(x) for x in zip(*got[i : i + 500], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], ["key", "doc", "first"])
+            for e in _entries(scheme, batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(e.key), pa.array(doc[e.row]), pa.array(e.first.astype(np.int32))], ["key", "doc", "first"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -254,10 +269,14 @@ def spans(docs: DataFrame, scheme: Scheme) -> DataFrame:
         for batch in batches:
             docs_, lists = batch.column(0).to_numpy(), batch.column(2)
             out: list[tuple] = []
-            for row, held, key, anchor, first, last in _entries(scheme, batch.column(1)):
-                for i in np.flatnonzero(np.isin(first, lists[row].values.to_numpy())):
-                    text = scheme.text(held, int(first[i]), int(last[i]) + scheme.width)
-                    out.append((int(key[i]), int(docs_[row]), int(anchor[i]), int(first[i]), int(last[i]), text))
+            ends, asked = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
+            for e in _entries(scheme, batch.column(1)):
+                # Both sides are numbers of (row, first window), which rise with the entries.
+                lo, hi = int(e.row[0]), int(e.row[-1]) + 1
+                rows = np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))
+                at = np.flatnonzero(np.isin((e.row << 32) | e.first, (rows << 32) | asked[ends[lo] : ends[hi]]))
+                for k, d, a, f, z, b in zip(*(x[at].tolist() for x in (e.key, docs_[e.row], e.anchor, e.first, e.last, e.base)), strict=True):
+                    out.append((k, d, a, f, z, scheme.text(e.held, b + f, b + z + scheme.width)))
             out.sort(key=lambda x: (x[1], x[3]))
             met: dict[tuple, int] = {}
             for n, (key, _, anchor, first, _, text) in enumerate(out):

@@ -47,11 +47,11 @@ class ByteScheme:
     def reach(self) -> int:
         return self.width - self.gram
 
-    def documents(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def chunks(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         data, offsets = wordhash.byte_rows(column)
-        for row in range(len(offsets) - 1):
-            part = data[offsets[row] : offsets[row + 1]]
-            yield row, part, part
+        for i, j in wordhash.chunks(offsets):
+            part = data[offsets[i] : offsets[j]]
+            yield i, part, offsets[i : j + 1] - offsets[i], part
 
     def anchors(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
