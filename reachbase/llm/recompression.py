@@ -137,6 +137,9 @@ class WordScheme:
             counts.append(np.diff(w.bounds))
         return np.concatenate(hashes), np.r_[0, np.cumsum(np.concatenate(counts))]
 
+    def later(self, key: np.ndarray, left: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        return repeats.later_by_names(self, key, left, texts)
+
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: WordScheme = WordScheme()) -> DataFrame:
     """``key``, kept (the words that stay, joined by one space), n_words, n_removed and spans (bounds, in words, of what goes)."""

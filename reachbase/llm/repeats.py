@@ -46,6 +46,9 @@ class Scheme(Protocol):
     def units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The units of several texts on end, and their bounds."""
 
+    def later(self, key: np.ndarray, left: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """[entry, distance]: whether the window at that distance before the anchor stands in an earlier entry of its key."""
+
 
 @dataclass(frozen=True)
 class Entries:
@@ -169,8 +172,27 @@ class SuffixOrder:
         return out
 
 
-def _later(scheme: Scheme, key: np.ndarray, left: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """[entry, distance]: whether the window at that distance before the anchor stands in an earlier entry of its key."""
+def later_by_names(scheme: Scheme, key: np.ndarray, left: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Scheme.later: equal windows have equal names, and windows of one name are compared unit by unit."""
+    units, bounds = scheme.units(texts)
+    size = np.diff(bounds) - scheme.width + 1
+    entry = np.repeat(np.arange(len(texts)), size)
+    place = np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size)
+    start, distance = bounds[entry] + place, left[entry] - place
+    names = wordhash.grams(units, scheme.width)[start]
+    order = np.lexsort((entry, names, key[entry] * np.int64(scheme.reach + 1) + distance))
+    names, entry, start, distance = names[order], entry[order], start[order], distance[order]
+    again = np.flatnonzero((np.diff(names) == 0) & (np.diff(key[entry]) == 0) & (np.diff(distance) == 0)) + 1
+    for unit in range(scheme.width):
+        if (units[start[again] + unit] != units[start[again - 1] + unit]).any():
+            return later_by_suffixes(scheme, key, left, texts)  # two windows met in one name
+    out = np.zeros((len(texts), int(left.max(initial=0)) + 1), bool)
+    out[entry[again], distance[again]] = True
+    return out
+
+
+def later_by_suffixes(scheme: Scheme, key: np.ndarray, left: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Scheme.later: suffixes sorted forwards and backwards from their anchors."""
     units, bounds = scheme.units(texts)
     total = np.diff(bounds)
     right = total - left
@@ -220,7 +242,7 @@ def _settled(scheme: Scheme, table: pa.Table) -> Iterator[tuple[np.ndarray, np.n
         if end - start < SORTED and k + 1 < len(ends):
             continue
         part = lone[start:end]
-        later = _later(scheme, group[start:end], (anchor - first)[part], [x.as_py() for x in texts.take(pa.array(part))])
+        later = scheme.later(group[start:end], (anchor - first)[part], [x.as_py() for x in texts.take(pa.array(part))])
         entry, distance = np.nonzero(later)
         window = anchor[part][entry] - distance
         by = np.lexsort((window, entry))

@@ -78,6 +78,9 @@ class ByteScheme:
     def units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
 
+    def later(self, key: np.ndarray, left: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        return repeats.later_by_suffixes(self, key, left, texts)
+
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM_BYTES = wordhash.mix(np.arange(1, 257, dtype=np.uint64))
