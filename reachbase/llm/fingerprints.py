@@ -18,6 +18,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reachbase.llm.checkpoints import checkpoint
 from reachbase.llm.words import ascii_lower, whole, words
 
 SHINGLE_WORDS = 5
@@ -99,7 +100,8 @@ def with_next(docs: DataFrame, columns: list[str], order: str = "doc_id", rows_p
     by = [F.col(order).desc_nulls_last(), F.xxhash64(*columns)]
     ahead = Window.partitionBy("_block").orderBy(*by)
     led = dealt.withColumn("_next", F.lead(held).over(ahead))
-    heads = dealt.withColumn("_rank", F.row_number().over(ahead)).where("_rank = 1").select("_block", held.alias("_head"))
+    # Read twice below; written once, so that what makes the columns does not run again for it.
+    heads = checkpoint(dealt.withColumn("_rank", F.row_number().over(ahead)).where("_rank = 1").select("_block", held.alias("_head")))
     ring = heads.select("_block", F.collect_list("_block").over(Window.partitionBy(F.lit(0))).alias("_all"))
     ring = ring.select("_block", F.coalesce(F.array_max(F.filter("_all", lambda b: b < F.col("_block"))), F.array_max("_all")).alias("_after"))
     follow = ring.join(heads.select(F.col("_block").alias("_after"), "_head"), "_after").select("_block", "_head")
