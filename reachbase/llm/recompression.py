@@ -8,9 +8,10 @@ nothing outside are equal too; the least such symbol of the highest level that h
 window.  Windows that share one are then compared by their words, which verifies them.
 
 Windows are judged on the input; earlier means a smaller doc_id or, in one document, an earlier start.
-Cases: null and empty texts and those of fewer words than a window have nothing removed; repeated rows
-with one doc_id are one document and each get its result; a null doc_id counts as the smallest; an empty
-table gives no rows; other columns of the input are not looked at.
+Cases: null and empty texts and those of fewer words than a window have nothing removed; rows with one
+doc_id and equal text are one document and each get its result; different texts under one doc_id are
+documents of their own, in the order of a hash; a null doc_id counts as the smallest; an empty table gives
+no rows; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from pyspark.sql import types as T
 
 from reachbase.llm import repeats, wordhash
 
-_NULL_ID = -(1 << 63)
 _RUN, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -143,8 +143,8 @@ class WordScheme:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: WordScheme = WordScheme()) -> DataFrame:
     """``key``, kept (the words that stay, joined by one space), n_words, n_removed and spans (bounds, in words, of what goes)."""
-    rows = docs.select(F.coalesce(F.col(key), F.lit(_NULL_ID)).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = repeats.spans(rows, scheme)
+    rows = repeats.numbered(docs, key, text)
+    found = repeats.spans(rows.select("doc", "text"), scheme)
     width = scheme.width
     bound = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
 
@@ -161,5 +161,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Word
             yield pa.array(out, pa.struct([("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]))
 
     done = rows.join(found, "doc", "left").withColumn("_c", cut("text", "runs"))
-    name = F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias(key)
-    return done.select(name, "_c.kept", "_c.n_words", "_c.n_removed", "_c.spans")
+    return done.select(F.col("id").alias(key), "_c.kept", "_c.n_words", "_c.n_removed", "_c.spans")

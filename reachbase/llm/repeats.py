@@ -28,6 +28,7 @@ from reachbase.llm.checkpoints import stored
 PARTITION_BYTES = 24 << 20
 #: Entries that are sorted at once; keys stay whole.
 SORTED = 20_000
+_NULL_ID = -(1 << 63)
 
 
 class Scheme(Protocol):
@@ -258,6 +259,23 @@ _SPAN = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64
 _ENTRY = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("anchor", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("mark", pa.int64()), ("text", pa.binary())])
 
 
+def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, text (not null) and doc, the number of each document, which rises with its id; a null id goes first.
+
+    Rows with equal id and text are one document.  Different texts under one id, or under none, are documents
+    of their own, in the order of a hash of the text.  Where no id repeats, it is the number.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    number = F.coalesce("id", F.lit(_NULL_ID))
+    if rows.groupBy(number.alias("doc")).count().where("count > 1").isEmpty():
+        return rows.withColumn("doc", number)
+    hashed = rows.withColumn("hash", F.sha2("text", 256))
+    # Partitions of a sort come in its order, and so do the numbers that they give.
+    numbers = stored(hashed.select("id", "hash").distinct().orderBy("id", "hash").withColumn("doc", F.monotonically_increasing_id()))
+    numbers = numbers.withColumnsRenamed({"id": "_id", "hash": "_hash"})
+    return hashed.join(numbers, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("id", "text", "doc")
+
+
 def spans(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """doc, runs: array of (start, stop), the first and last of neighbouring windows that also start earlier.
 
@@ -299,6 +317,8 @@ def spans(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 at = np.flatnonzero(np.isin((e.row << 32) | e.first, (rows << 32) | asked[ends[lo] : ends[hi]]))
                 for k, d, a, f, z, b in zip(*(x[at].tolist() for x in (e.key, docs_[e.row], e.anchor, e.first, e.last, e.base)), strict=True):
                     out.append((k, d, a, f, z, scheme.text(e.held, b + f, b + z + scheme.width)))
+            # Repeated rows of a document give its entries twice; one of each place is enough.
+            out = list({(x[1], x[3]): x for x in out}.values())
             out.sort(key=lambda x: (x[1], x[3]))
             met: dict[tuple, int] = {}
             for n, (key, _, anchor, first, _, text) in enumerate(out):

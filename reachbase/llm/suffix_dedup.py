@@ -8,9 +8,10 @@ the bytes themselves replaces the hashed one if they ever disagree.  Windows who
 them are equal; all but the first are removed with every byte that they cover.
 
 Windows are judged on the input; earlier means a smaller doc_id or, in one document, an earlier start.
-Cases: a null text is empty; texts shorter than a window are kept whole; repeated rows with one doc_id
-are one document and each get its result; a null doc_id counts as the smallest; an empty table gives no
-rows; other columns of the input are not looked at.
+Cases: a null text is empty; texts shorter than a window are kept whole; rows with one doc_id and equal
+text are one document and each get its result; different texts under one doc_id are documents of their
+own, in the order of a hash; a null doc_id counts as the smallest; an empty table gives no rows; other
+columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from pyspark.sql import types as T
 
 from reachbase.llm import repeats, wordhash
 
-_NULL_ID = -(1 << 63)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -88,8 +88,8 @@ _GRAM_BYTES = wordhash.mix(np.arange(1, 257, dtype=np.uint64))
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: ByteScheme = ByteScheme()) -> DataFrame:
     """``key``, kept (binary: the bytes that stay), n_bytes, n_removed, n_spans and spans (bounds of what goes)."""
-    rows = docs.select(F.coalesce(F.col(key), F.lit(_NULL_ID)).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = repeats.spans(rows, scheme)
+    rows = repeats.numbered(docs, key, text)
+    found = repeats.spans(rows.select("doc", "text"), scheme)
     width = scheme.width
     bound = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
 
@@ -105,5 +105,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Byte
             yield pa.array(out, pa.struct([("kept", pa.binary()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]))
 
     done = rows.join(found, "doc", "left").withColumn("_c", cut("text", "runs"))
-    name = F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias(key)
-    return done.select(name, "_c.kept", "_c.n_bytes", (F.col("_c.n_bytes") - F.octet_length("_c.kept")).cast("long").alias("n_removed"), F.size("_c.spans").cast("long").alias("n_spans"), "_c.spans")
+    return done.select(F.col("id").alias(key), "_c.kept", "_c.n_bytes", (F.col("_c.n_bytes") - F.octet_length("_c.kept")).cast("long").alias("n_removed"), F.size("_c.spans").cast("long").alias("n_spans"), "_c.spans")

@@ -127,3 +127,23 @@ def test_repeated_rows_and_null_id(spark):
     assert got == [(0, 0), (1, 200), (1, 200), (2, 200)]
     assert sorted((r["doc_id"] or 0, r["n_removed"] > 0) for r in suffix_dedup.dedup(rows).collect()) == [(0, False), (1, True), (1, True), (2, True)]
     assert hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("operator", [recompression, suffix_dedup])
+def test_repeated_rows_without_an_earlier_copy(spark, operator):
+    text, other = (" ".join(str(i) for i in range(a, a + 200)) for a in (0, 5000))
+    two = spark.createDataFrame(spark.sparkContext.parallelize([(1, text, "a"), (1, text, "a")], 1), frame(spark, []).schema)
+    assert [r["n_removed"] for r in operator.dedup(two).collect()] == [0, 0]
+    got = operator.dedup(two.unionByName(frame(spark, [(2, text, None), (3, other, None)]))).collect()
+    assert sorted((r["doc_id"], r["n_removed"] > 0) for r in got) == [(1, False), (1, False), (2, True), (3, False)]
+
+
+@pytest.mark.parametrize("operator", [recompression, suffix_dedup])
+@pytest.mark.parametrize("key", [None, 7])
+def test_different_texts_under_one_id(spark, operator, key):
+    text, x, y = (" ".join(str(i) for i in range(a, a + 200)) for a in (1000, 5000, 9000))
+    got = operator.dedup(frame(spark, [(key, x + " " + text, "a"), (key, text + " " + y, "b")])).collect()
+    assert [r["doc_id"] for r in got] == [key, key]
+    kept = [bytes(r["kept"]).decode() if operator is suffix_dedup else r["kept"] for r in got]
+    assert sum(x in k for k in kept) == sum(y in k for k in kept) == sum(text in k for k in kept) == 1
+    assert sum(r["n_removed"] for r in got) == (len(text) if operator is suffix_dedup else 200)
