@@ -119,7 +119,8 @@ def _packed(docs: DataFrame, bits: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in wordhash.words(batch.column(0), fold=True):
-                sets = {_class(s): s for s in _sets(w) if len(s)}
+                # Chunks of the same classes have one name, so they must number their owners alike.
+                sets = dict(sorted({_class(s): s for s in _sets(w) if len(s)}.items()))
                 if not sets:
                     continue
                 names, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(s) for s in sets.values()], np.int64)

@@ -147,3 +147,9 @@ def test_different_texts_under_one_id(spark, operator, key):
     kept = [bytes(r["kept"]).decode() if operator is suffix_dedup else r["kept"] for r in got]
     assert sum(x in k for k in kept) == sum(y in k for k in kept) == sum(text in k for k in kept) == 1
     assert sum(r["n_removed"] for r in got) == (len(text) if operator is suffix_dedup else 200)
+
+
+def test_jaccard_chunks_of_the_same_texts_in_another_order(spark):
+    x, y = (" ".join(str(i) for i in range(a, a + 60)) for a in (0, 5000))
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(0, x, "s"), (1, y, "s"), (2, y, "s"), (3, x, "s")], 2), frame(spark, []).schema)
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.link(rows).collect()) == [(0, 0), (1, 1), (2, 1), (3, 0)]
