@@ -134,7 +134,7 @@ def _packed(docs: DataFrame, bits: int) -> DataFrame:
                 edges = np.flatnonzero(np.diff(block)) + 1
                 for at, part, who in zip(block[np.r_[0, edges]], np.split(tokens, edges), np.split(owner, edges), strict=True):
                     here, counts = _runs(who)
-                    out.append((int(at), chunk, here.astype(np.uint16).tobytes(), counts.astype(np.uint16).tobytes(), _five(part), None))
+                    out.append((int(at), chunk, here.astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), _five(part), None))
                 yield _rows(out, _PACKED, _PACKED_TYPES)
 
     return docs.mapInArrow(pack, _PACKED)
@@ -151,8 +151,8 @@ def _shared(table: pa.Table) -> pa.Table:
         none = pa.nulls(len(table), pa.binary())
         return pa.Table.from_arrays([table["chunk"], table["block"], none, none, none, none, table["classes"]], names=[n.split()[0] for n in _SENT.split(", ")])
     chunk, number = np.unique(table["chunk"].to_numpy(), return_inverse=True)
-    counts = _join(table["counts"], np.uint16)
-    owner = np.concatenate([np.repeat((k << 16) | o.astype(np.int64), c) for k, o, c in zip(number, _join(table["owners"], np.uint16), counts, strict=True)])
+    counts = _join(table["counts"], np.uint32)
+    owner = np.concatenate([np.repeat((k << 32) | o.astype(np.int64), c) for k, o, c in zip(number, _join(table["owners"], np.uint32), counts, strict=True)])
     tokens = _wide(np.concatenate(_join(table["tokens"], np.uint8)))
     order = np.lexsort((owner, tokens))
     tokens, owner = tokens[order], owner[order]
@@ -164,12 +164,12 @@ def _shared(table: pa.Table) -> pa.Table:
     tokens, owner, df = tokens[keep], owner[keep], np.minimum(df[keep], 255).astype(np.uint8)
     order = np.argsort(owner, kind="stable")
     tokens, owner, df = tokens[order], owner[order], df[order]
-    home = owner >> 16
+    home = owner >> 32
     edges = np.flatnonzero(np.diff(home)) + 1
     out = []
-    for k, t, o, d in zip(home[np.r_[0, edges]] if len(home) else [], np.split(tokens, edges), np.split(owner & 65535, edges), np.split(df, edges), strict=False):
+    for k, t, o, d in zip(home[np.r_[0, edges]] if len(home) else [], np.split(tokens, edges), np.split(owner & 0xFFFFFFFF, edges), np.split(df, edges), strict=False):
         here, runs = _runs(o)
-        out.append((int(chunk[k]), block, here.astype(np.uint16).tobytes(), runs.astype(np.uint16).tobytes(), _five(t), d.tobytes(), None))
+        out.append((int(chunk[k]), block, here.astype(np.uint32).tobytes(), runs.astype(np.uint32).tobytes(), _five(t), d.tobytes(), None))
     return pa.Table.from_batches([_rows(out, _SENT, _SENT_TYPES)])
 
 
@@ -184,7 +184,7 @@ def _assemble(table: pa.Table) -> pa.Table:
     names, sizes = np.frombuffer(named[0].as_buffer(), np.int64).reshape(2, -1)
     table = table.filter(pc.is_valid(table["tokens"]))
     parts = []
-    for owners, counts, five, df, block in zip(_join(table["owners"], np.uint16), _join(table["counts"], np.uint16), _join(table["tokens"], np.uint8), _join(table["df"], np.uint8), table["block"].to_pylist(), strict=True):
+    for owners, counts, five, df, block in zip(_join(table["owners"], np.uint32), _join(table["counts"], np.uint32), _join(table["tokens"], np.uint8), _join(table["df"], np.uint8), table["block"].to_pylist(), strict=True):
         parts.append((np.repeat(owners.astype(np.int64), counts), _wide(five) | (block << 40), df))
     rows = []
     if parts:

@@ -153,3 +153,10 @@ def test_jaccard_chunks_of_the_same_texts_in_another_order(spark):
     x, y = (" ".join(str(i) for i in range(a, a + 60)) for a in (0, 5000))
     rows = spark.createDataFrame(spark.sparkContext.parallelize([(0, x, "s"), (1, y, "s"), (2, y, "s"), (3, x, "s")], 2), frame(spark, []).schema)
     assert sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.link(rows).collect()) == [(0, 0), (1, 1), (2, 1), (3, 0)]
+
+
+def test_jaccard_of_a_very_long_text(spark):
+    long = " ".join(str(i) for i in range(100_000))
+    assert [(r["n_shingles"], r["component_id"]) for r in jaccard_join.link(frame(spark, [(1, long, "s")])).collect()] == [(99_996, 1)]
+    got = jaccard_join.link(frame(spark, [(1, long, "s"), (2, long + " end", "s"), (3, "x " + long[:300_000], "s")])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (3, 3)]
