@@ -23,12 +23,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document, the one with the smallest doc_id, of each group of linked ones."""
-    linked = jaccard_join.link(docs)
-    stays = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "inner").drop(stays["doc_id"])
-    single, repeated = kept.where("_rows = 1"), kept.where("_rows > 1").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).select(*docs.columns)
+    """Leaves one row of each group of linked ones: of the smallest doc_id, a null one last, and the least class under it.
+
+    Rows without a set link with nothing and stay; those with one doc_id and equal text are one document.
+    """
+    pairs = jaccard_join.link(docs).where("n_shingles > 0").groupBy("root", "doc_id", "cls").agg(F.count("*").alias("_rows"))
+    stays = pairs.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cls", "_rows")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.cls").alias("_cls"), "x._rows")
+    kept = jaccard_join.classed(docs).where("n_shingles > 0").join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("cls") == F.col("_cls")))
+    kept = stored(kept.select(*docs.columns, "cls", "_rows"))
+    single, repeated = kept.where("_rows = 1"), kept.where("_rows > 1").dropDuplicates(["cls"])
+    bare = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x09-\x0d ]"), F.lit(False)))
+    alone, unnamed = bare.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]), bare.where("doc_id IS NULL")
+    return single.select(*docs.columns).unionByName(repeated.select(*docs.columns)).unionByName(alone.select(*docs.columns)).unionByName(unnamed.select(*docs.columns))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,3 +22,16 @@ def test_stages_chain(spark, tmp_path):
     assert held.select("doc_id").distinct().count() == spark.read.parquet(f"{tmp_path}/1").select("doc_id").distinct().count()
     texts = [r["text"] for r in spark.read.parquet(f"{tmp_path}/1").where(F.col("text").rlike("[^ \\n\\t]")).collect()]
     assert len(texts) == len(set(texts))
+
+
+def test_near_duplicates_keeps_one_row_of_each_component(spark):
+    a, b, c, d = (" ".join(str(i) for i in range(k, k + 60)) for k in (0, 1000, 2000, 3000))
+    rows = [(None, a), (None, b), (None, b + " x"), (1, c), (1, c), (1, d), (2, d + " y"), (3, "end"), (3, None), (3, None), (None, ""), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sum(t in (b, b + " x") for _, t in kept) == 1
+    rest = [x for x in kept if x[1] not in (b, b + " x")]
+    assert sorted(rest, key=str) == sorted([(None, a), (1, c), (1, d), (3, "end"), (3, None), (None, ""), (None, " ")], key=str)
+    # Siblings of different classes under one id: one stays.
+    docs = spark.createDataFrame([(5, c, "en", "s", 0), (5, c + " z", "en", "s", 0)], docs.schema)
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 1
