@@ -143,8 +143,8 @@ class WordScheme:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: WordScheme = WordScheme()) -> DataFrame:
     """``key``, kept (the words that stay, joined by one space), n_words, n_removed and spans (bounds, in words, of what goes)."""
-    rows = repeats.numbered(docs, key, text)
-    found = repeats.spans(rows.select("doc", "text"), scheme)
+    rows, ids = repeats.numbered(docs, key, text)
+    found = repeats.spans(rows, scheme)
     width = scheme.width
     bound = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
 
@@ -161,4 +161,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Word
             yield pa.array(out, pa.struct([("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]))
 
     done = rows.join(found, "doc", "left").withColumn("_c", cut("text", "runs"))
-    return done.select(F.col("id").alias(key), "_c.kept", "_c.n_words", "_c.n_removed", "_c.spans")
+    return repeats.with_ids(done, ids).select(F.col("id").alias(key), "_c.kept", "_c.n_words", "_c.n_removed", "_c.spans")

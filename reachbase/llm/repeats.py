@@ -259,21 +259,26 @@ _SPAN = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64
 _ENTRY = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("anchor", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("mark", pa.int64()), ("text", pa.binary())])
 
 
-def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, text (not null) and doc, the number of each document, which rises with its id; a null id goes first.
+def numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text), text not null and doc a number that rises with the id, a null id first; and (doc, id) where they differ.
 
     Rows with equal id and text are one document.  Different texts under one id, or under none, are documents
     of their own, in the order of a hash of the text.  Where no id repeats, it is the number.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     number = F.coalesce("id", F.lit(_NULL_ID))
-    if rows.groupBy(number.alias("doc")).count().where("count > 1").isEmpty():
-        return rows.withColumn("doc", number)
+    if rows.groupBy(number.alias("doc")).agg(F.count("*").alias("n"), F.max("id").alias("id")).where((F.col("n") > 1) | (F.col("id") == _NULL_ID)).isEmpty():
+        return rows.select(number.alias("doc"), "text"), None
     hashed = rows.withColumn("hash", F.sha2("text", 256))
     # Partitions of a sort come in its order, and so do the numbers that they give.
     numbers = stored(hashed.select("id", "hash").distinct().orderBy("id", "hash").withColumn("doc", F.monotonically_increasing_id()))
-    numbers = numbers.withColumnsRenamed({"id": "_id", "hash": "_hash"})
-    return hashed.join(numbers, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("id", "text", "doc")
+    own = numbers.select("doc", F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    return hashed.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("doc", "text"), numbers.select("doc", "id")
+
+
+def with_ids(done: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """``done`` (doc, ...) with the id of each document."""
+    return done.withColumn("id", F.when(F.col("doc") != _NULL_ID, F.col("doc"))) if ids is None else done.join(ids, "doc")
 
 
 def spans(docs: DataFrame, scheme: Scheme) -> DataFrame:

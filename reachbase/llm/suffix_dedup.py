@@ -88,8 +88,8 @@ _GRAM_BYTES = wordhash.mix(np.arange(1, 257, dtype=np.uint64))
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: ByteScheme = ByteScheme()) -> DataFrame:
     """``key``, kept (binary: the bytes that stay), n_bytes, n_removed, n_spans and spans (bounds of what goes)."""
-    rows = repeats.numbered(docs, key, text)
-    found = repeats.spans(rows.select("doc", "text"), scheme)
+    rows, ids = repeats.numbered(docs, key, text)
+    found = repeats.spans(rows, scheme)
     width = scheme.width
     bound = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
 
@@ -105,4 +105,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", scheme: Byte
             yield pa.array(out, pa.struct([("kept", pa.binary()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]))
 
     done = rows.join(found, "doc", "left").withColumn("_c", cut("text", "runs"))
-    return done.select(F.col("id").alias(key), "_c.kept", "_c.n_bytes", (F.col("_c.n_bytes") - F.octet_length("_c.kept")).cast("long").alias("n_removed"), F.size("_c.spans").cast("long").alias("n_spans"), "_c.spans")
+    return repeats.with_ids(done, ids).select(F.col("id").alias(key), "_c.kept", "_c.n_bytes", (F.col("_c.n_bytes") - F.octet_length("_c.kept")).cast("long").alias("n_removed"), F.size("_c.spans").cast("long").alias("n_spans"), "_c.spans")
