@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a new one for this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir; where that is unset and Spark runs on this machine alone, a new one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
     return folder
 
 
@@ -29,3 +32,11 @@ def stored(rows: DataFrame) -> DataFrame:
     path = f"{shared_folder(rows.sparkSession)}/stored-{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def discard(rows: DataFrame) -> None:
+    """Deletes the files of a stored() table; for tables that only other stored tables were made from."""
+    session = rows.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
+        path = session._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)

@@ -37,7 +37,7 @@ def _buckets(w: wordhash.Words) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and row of each n-gram of a chunk."""
     row = np.repeat(np.arange(w.rows), np.diff(w.bounds))
     pairs, pair_row = wordhash.gram_rows(w, 2)
-    starts = wordhash._hashes(w.data, w.start, np.minimum(w.stop, w.start + 4))
+    starts = wordhash.hashes(w.data, w.start, np.minimum(w.stop, w.start + 4))
     cut = np.uint64(64 - BITS)
     return np.concatenate([w.hash >> cut, pairs >> cut, (starts >> cut) + np.uint64(STARTS)]).astype(np.int64), np.concatenate([row, pair_row, row])
 

@@ -1,4 +1,4 @@
-"""Windows of fixed width that also start earlier: the distributed part that two operators share.
+"""Windows of fixed width that also start earlier.
 
 A scheme gives every window of a document an anchor: a place inside the window, and a key, both fixed by
 the window's content alone, so equal windows have equal keys and equal distances to their anchors.  Runs
@@ -173,25 +173,6 @@ class SuffixOrder:
         return out
 
 
-def later_by_names(scheme: Scheme, key: np.ndarray, left: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """Scheme.later: equal windows have equal names, and windows of one name are compared unit by unit."""
-    units, bounds = scheme.units(texts)
-    size = np.diff(bounds) - scheme.width + 1
-    entry = np.repeat(np.arange(len(texts)), size)
-    place = np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size)
-    start, distance = bounds[entry] + place, left[entry] - place
-    names = wordhash.grams(units, scheme.width)[start]
-    order = np.lexsort((entry, names, key[entry] * np.int64(scheme.reach + 1) + distance))
-    names, entry, start, distance = names[order], entry[order], start[order], distance[order]
-    again = np.flatnonzero((np.diff(names) == 0) & (np.diff(key[entry]) == 0) & (np.diff(distance) == 0)) + 1
-    for unit in range(scheme.width):
-        if (units[start[again] + unit] != units[start[again - 1] + unit]).any():
-            return later_by_suffixes(scheme, key, left, texts)  # two windows met in one name
-    out = np.zeros((len(texts), int(left.max(initial=0)) + 1), bool)
-    out[entry[again], distance[again]] = True
-    return out
-
-
 def later_by_suffixes(scheme: Scheme, key: np.ndarray, left: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """Scheme.later: suffixes sorted forwards and backwards from their anchors."""
     units, bounds = scheme.units(texts)
@@ -260,7 +241,7 @@ _ENTRY = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("anchor", pa.int6
 
 
 def numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """(doc, text), text not null and doc a number that rises with the id, a null id first; and (doc, id) where they differ.
+    """(doc, text), text not null and doc a number that rises with the id, a null id first; and (doc, id) of every row where they differ.
 
     Rows with equal id and text are one document.  Different texts under one id, or under none, are documents
     of their own, in the order of a hash of the text.  Where no id repeats, it is the number.
@@ -271,13 +252,16 @@ def numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
         return rows.select(number.alias("doc"), "text"), None
     hashed = rows.withColumn("hash", F.sha2("text", 256))
     # Partitions of a sort come in its order, and so do the numbers that they give.
-    numbers = stored(hashed.select("id", "hash").distinct().orderBy("id", "hash").withColumn("doc", F.monotonically_increasing_id()))
-    own = numbers.select("doc", F.col("id").alias("_id"), F.col("hash").alias("_hash"))
-    return hashed.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("doc", "text"), numbers.select("doc", "id")
+    numbers = stored(hashed.groupBy("id", "hash").agg(F.count("*").alias("n")).orderBy("id", "hash").withColumn("doc", F.monotonically_increasing_id()))
+    own = numbers.select("doc", F.col("id").alias("_id"), F.col("hash").alias("_hash"), "n")
+    met = hashed.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+    # Only rows that do repeat are gathered by their document.
+    unique = met.where("n = 1").select("doc", "text").unionByName(met.where("n > 1").select("doc", "text").dropDuplicates(["doc"]))
+    return stored(unique), numbers.select("doc", "id", F.explode(F.sequence(F.lit(1), "n")).alias("_n")).drop("_n")
 
 
 def with_ids(done: DataFrame, ids: DataFrame | None) -> DataFrame:
-    """``done`` (doc, ...) with the id of each document."""
+    """``done`` (doc, ...) with the id of each row."""
     return done.withColumn("id", F.when(F.col("doc") != _NULL_ID, F.col("doc"))) if ids is None else done.join(ids, "doc")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,13 @@ class Words:
     data: np.ndarray
     start: np.ndarray
     stop: np.ndarray
-    hash: np.ndarray
     bounds: np.ndarray  # words of row i are bounds[i]:bounds[i + 1]
     offsets: np.ndarray  # bytes of row i
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return hashes(self.data, self.start, self.stop)
+
 
 def byte_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all rows on end and the bounds of each row; a null row is empty."""
@@ -76,7 +80,7 @@ def words(column: pa.Array, fold: bool) -> Iterator[Words]:
         own = offsets[i : j + 1] - offsets[i]
         if not len(part):
             none = np.zeros(0, np.int64)
-            yield Words(i, j - i, part, none, none, np.zeros(0, np.uint64), np.zeros(j - i + 1, np.int64), own)
+            yield Words(i, j - i, part, none, none, np.zeros(j - i + 1, np.int64), own)
             continue
         inside = ~_SPACE[part]
         before = np.empty(len(part), bool)
@@ -88,10 +92,10 @@ def words(column: pa.Array, fold: bool) -> Iterator[Words]:
         ends = own[1:] - 1
         after[ends[ends >= 0]] = False
         stop = np.flatnonzero(inside & ~after) + 1
-        yield Words(i, j - i, part, start, stop, _hashes(part, start, stop), np.searchsorted(start, own), own)
+        yield Words(i, j - i, part, start, stop, np.searchsorted(start, own), own)
 
 
-def _hashes(part: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def hashes(part: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     if not len(start):
         return np.zeros(0, np.uint64)
     length = stop - start
