@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -40,3 +41,12 @@ def discard(rows: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
         path = session._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(session: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so only when the driver's memory is collected, which may be long after the next round has begun.
+    """
+    gc.collect()
+    session._jvm.System.gc()

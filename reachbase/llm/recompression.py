@@ -11,7 +11,7 @@ over the cluster by hash:
   on; inside equal windows, symbols that depend on nothing outside are equal.
 * A symbol that stands once in the corpus kills all windows that hold what it depends on.  What remains
   are runs of windows that share all their symbols with other places; other words are dropped, and the
-  next round names over what remains.  Rounds end when symbols depend on as many words as a window has.
+  next round names over what remains.  Rounds end before symbols depend on more words than a window has.
 * Each window that remains is anchored at the least symbol of the highest level inside it.  Neighbouring
   windows of one anchor are an entry; entries with the same symbol and the same words around it are equal,
   and all but the earliest are settled by that.  The windows of the earliest entries are then held against
@@ -40,11 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachbase.llm import repeats, wordhash
-from reachbase.llm.checkpoints import discard, stored
+from reachbase.llm.checkpoints import discard, release, stored
 
 _RUN, _PAIR, _OTHER = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
 #: Words of the input for each part of a table.
 TABLE_WORDS = 8_000_000
+#: Bytes of text in a chunk; a longer text is a chunk of its own.
+CHUNK = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -90,12 +92,20 @@ def pairs_named(level: Level, n: int, number: int) -> Level:
     return Level(name[keep], level.first[keep], low[keep], high[keep], joined[keep], level.name[keep], after[keep])
 
 
+def round_of(names: np.ndarray, number: int) -> list[Level]:
+    """The runs and pairs of one round."""
+    level = words_level(names)
+    for k in range(1, number + 1):
+        runs = runs_named(level, len(names))
+        level = pairs_named(runs, len(names), k)
+    return [runs, level]
+
+
 def levels_of(names: np.ndarray, rounds: int) -> list[Level]:
-    """Words, and after each round runs and pairs: 1 + 2 * rounds levels."""
+    """Words, and what each round leaves."""
     out = [words_level(names)]
     for number in range(1, rounds + 1):
-        out.append(runs_named(out[-1], len(names)))
-        out.append(pairs_named(out[-1], len(names), number))
+        out.append(pairs_named(runs_named(out[-1], len(names)), len(names), number))
     return out
 
 
@@ -215,12 +225,12 @@ class Items:
     deal: np.ndarray
     figures: np.ndarray
     mark: np.ndarray
-    words: pa.Array | None = None
+    words: pa.Array | None = None  # binary, each with a space after it
 
 
 #: Bits of an item's mark.
 _AGAIN, _IS_RUN = np.uint8(1), np.uint8(2)
-_PUT = "chunk long, part long, figures binary, mark binary, words array<string>"
+_PUT = "chunk long, part long, figures binary, mark binary, words binary"
 _SAID = "chunk long, part long, said binary"
 Verdict = Callable[[np.ndarray, np.ndarray, pa.Array | None], np.ndarray]
 
@@ -236,15 +246,18 @@ def _once(figures: np.ndarray, mark: np.ndarray, words: pa.Array | None) -> np.n
     return said & ~(mark & _AGAIN)
 
 
-def _words_once(figures: np.ndarray, mark: np.ndarray, words: pa.Array | None) -> np.ndarray:
+def _words_once(bits: int) -> Verdict:
     """1 for words that stand once in the corpus, 2 for words whose hash another word has."""
-    code = words.dictionary_encode().indices.to_numpy()
-    said = ((np.bincount(code)[code] == 1) & (mark & _AGAIN == 0)).astype(np.uint8)
-    order = np.lexsort((code, figures[:, 0]))
-    hash_, code = figures[order, 0], code[order]
-    met = np.unique(hash_[1:][(np.diff(hash_) == 0) & (np.diff(code) != 0)])
-    said[np.isin(figures[:, 0], met)] = 2
-    return said
+
+    def verdict(figures: np.ndarray, mark: np.ndarray, words: pa.Array | None) -> np.ndarray:
+        coded = words.dictionary_encode()
+        code, hash_ = coded.indices.to_numpy(), _hashes(_bytes(coded.dictionary), bits)[0]
+        _, same, count = np.unique(hash_, return_inverse=True, return_counts=True)
+        said = ((np.bincount(code)[code] == 1) & (mark & _AGAIN == 0)).astype(np.uint8)
+        said[(count[same] > 1)[code]] = 2
+        return said
+
+    return verdict
 
 
 def _not_first(figures: np.ndarray, mark: np.ndarray, words: pa.Array | None) -> np.ndarray:
@@ -256,11 +269,23 @@ def _not_first(figures: np.ndarray, mark: np.ndarray, words: pa.Array | None) ->
 
 
 def _rows(rows: list[tuple], layout: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
     fields = [f.split() for f in layout.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
 
+def _words(held: np.ndarray) -> pa.Array:
+    """Words with a space after each, as an array."""
+    at = np.r_[0, np.flatnonzero(held == 32) + 1].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(held)])
+
+
+def _bytes(words: pa.Array) -> np.ndarray:
+    """The bytes of a large binary array on end."""
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+
+
 def _part(deal: np.ndarray, bits: int) -> np.ndarray:
     return (deal >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(deal), np.int64)
 
@@ -281,15 +306,16 @@ def told(chunks: DataFrame, items: Callable[[dict], Items | None], verdict: Verd
                 out = []
                 for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                     at = order[lo:hi]
-                    out.append((row["chunk"], int(part[at[0]]), x.figures[at].tobytes(), _pack(x.mark[at]), words[lo:hi].to_pylist() if words is not None else None))
+                    out.append((row["chunk"], int(part[at[0]]), x.figures[at].tobytes(), _pack(x.mark[at]), _pack(_bytes(words[lo:hi])) if words is not None else None))
                 yield _rows(out, _PUT)
 
     def say(table: pa.Table) -> pa.Table:
         marks = [_unpack(m.as_py(), np.uint8) for m in table["mark"]]
         mark = np.concatenate(marks)
-        figures = np.frombuffer(b"".join(x.as_py() for x in table["figures"]), np.int64).reshape(len(mark), -1)
-        words = pa.concat_arrays([c.flatten() for c in table["words"].chunks])
-        said = np.split(verdict(figures, mark, words if len(words) else None), np.cumsum([len(m) for m in marks])[:-1])
+        figures = np.frombuffer(b"".join(x.as_py() for x in table["figures"]), np.int64)
+        figures = figures.reshape(len(mark), len(figures) // len(mark))
+        words = _words(np.concatenate([_unpack(x.as_py(), np.uint8) for x in table["words"]])) if table["words"].null_count == 0 else None
+        said = np.split(verdict(figures, mark, words), np.cumsum([len(m) for m in marks])[:-1])
         return pa.table({"chunk": table["chunk"], "part": table["part"], "said": pa.array([_pack(s) for s in said], pa.binary())})
 
     def hear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,9 +332,14 @@ def told(chunks: DataFrame, items: Callable[[dict], Items | None], verdict: Verd
                 if out is not None:
                     yield _rows([out], layout)
 
-    said = chunks.mapInArrow(put, _PUT).groupBy("part").applyInArrow(say, _SAID)
-    heard = said.groupBy("chunk").agg(F.collect_list(F.struct("part", "said")).alias("heard"))
-    return stored(chunks.join(heard, "chunk", "left").mapInArrow(hear, layout))
+    def changed() -> DataFrame:
+        said = chunks.mapInArrow(put, _PUT).groupBy("part").applyInArrow(say, _SAID)
+        heard = said.groupBy("chunk").agg(F.collect_list(F.struct("part", "said")).alias("heard"))
+        return stored(chunks.join(heard, "chunk", "left").mapInArrow(hear, layout))
+
+    out = changed()
+    release(out.sparkSession)
+    return out
 
 
 def chunked(rows: DataFrame) -> DataFrame:
@@ -318,11 +349,10 @@ def chunked(rows: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             doc = batch.column(0).to_numpy()
-            for w in wordhash.words(batch.column(1), fold=False):
+            for w in wordhash.words(batch.column(1), False, CHUNK):
                 held, at = _spaced(w.data, w.start, w.stop)
                 places = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(held)]).dictionary_encode()
-                vocabulary = b"".join(places.dictionary.to_pylist())
-                yield _rows([(number, len(w.start), _pack(doc[w.first : w.first + w.rows]), _pack(np.diff(w.bounds)), _pack(places.indices.to_numpy().astype(np.int32)), _pack(np.frombuffer(vocabulary, np.uint8)))], TEXTS)
+                yield _rows([(number, len(w.start), _pack(doc[w.first : w.first + w.rows]), _pack(np.diff(w.bounds)), _pack(places.indices.to_numpy().astype(np.int32)), _pack(_bytes(places.dictionary)))], TEXTS)
                 number += 1
 
     return rows.mapInArrow(pack, TEXTS)
@@ -339,11 +369,12 @@ def _spaced(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.n
     return out, at
 
 
-def _word_hashes(texts: Texts, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each word of the vocabulary; fewer bits of the first for tests."""
-    ends = texts.ends
-    first = wordhash.hashes(texts.vocabulary, np.r_[0, ends[:-1] + 1][: len(ends)], ends)
-    return first >> np.uint64(64 - bits), wordhash.mix(wordhash.hashes(texts.vocabulary[::-1], len(texts.vocabulary) - ends, len(texts.vocabulary) - np.r_[0, ends[:-1] + 1][: len(ends)]) ^ _OTHER)
+def _hashes(words: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word of some (a space after each), forwards and backwards; fewer bits of the first for tests."""
+    stop = np.flatnonzero(words == 32)
+    start = np.r_[0, stop[:-1] + 1][: len(stop)]
+    back = wordhash.hashes(words[::-1], len(words) - stop, len(words) - start)
+    return wordhash.hashes(words, start, stop) >> np.uint64(64 - bits), wordhash.mix(back ^ _OTHER)
 
 
 def _definitions(levels: list[Level], n: int, width: int) -> tuple[Items, np.ndarray, np.ndarray, np.ndarray]:
@@ -388,23 +419,22 @@ def _firsts(digest: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[Ite
 
 @dataclass(frozen=True)
 class Scheme:
-    """After four rounds half of all symbols depend on more than 20 words, and further ones find no more repeats."""
+    """After three rounds most symbols still fit a window of 20 words; after a fourth half of them depend on more."""
 
     width: int = 20
-    rounds: int = 4
+    rounds: int = 3
     hash_bits: int = 64
 
     def word_items(self, row: dict) -> Items:
         texts = Texts.read(row)
-        first = _word_hashes(texts, self.hash_bits)[0]
-        vocabulary = pa.Array.from_buffers(pa.large_binary(), len(texts.ends), [None, pa.py_buffer(np.r_[0, texts.ends + 1].astype(np.int64)), pa.py_buffer(texts.vocabulary)])
+        first = _hashes(texts.vocabulary, self.hash_bits)[0]
         again = np.bincount(texts.word, minlength=len(first)) > 1
-        return Items(wordhash.mix(first), first.view(np.int64)[:, None], again.astype(np.uint8), vocabulary.cast(pa.large_string()))
+        return Items(wordhash.mix(first), np.zeros((len(first), 0), np.int64), again.astype(np.uint8), _words(texts.vocabulary))
 
     def named(self, row: dict, said: np.ndarray) -> tuple | None:
         """The runs of windows without a word that stands once."""
         texts = Texts.read(row)
-        first, other = _word_hashes(texts, self.hash_bits)
+        first, other = _hashes(texts.vocabulary, self.hash_bits)
         long = texts.size >= self.width
         if not long.any():
             return None
@@ -420,14 +450,14 @@ class Scheme:
     def symbol_items(self, number: int) -> Callable[[dict], Items]:
         def items(row: dict) -> Items:
             name = Runs.read(row, self.width).name
-            return _definitions(levels_of(name, number)[-2:], len(name), self.width)[0]
+            return _definitions(round_of(name, number), len(name), self.width)[0]
 
         return items
 
     def pruned(self, number: int) -> Callable[[dict, np.ndarray], tuple | None]:
         def change(row: dict, said: np.ndarray) -> tuple | None:
             runs = Runs.read(row, self.width)
-            _, item, low, high = _definitions(levels_of(runs.name, number)[-2:], len(runs.name), self.width)
+            _, item, low, high = _definitions(round_of(runs.name, number), len(runs.name), self.width)
             dead = (item >= 0) & (np.r_[said, 0][item] == 1)
             return self._kept(row, runs.without(low[dead], high[dead]))
 
@@ -436,8 +466,7 @@ class Scheme:
     def entries(self, runs: Runs) -> tuple[Items, np.ndarray, np.ndarray, np.ndarray]:
         """The earliest entries, which item each entry is, and places of the first and last window of each."""
         run, place = runs.places()
-        levels = levels_of(runs.name, self.rounds)
-        anchor, key = anchors(levels[:1] + levels[2::2], place, self.width)
+        anchor, key = anchors(levels_of(runs.name, self.rounds), place, self.width)
         head = np.flatnonzero(np.r_[True, (np.diff(anchor) != 0) | (np.diff(run) != 0)])
         first, last = place[head], place[np.r_[head[1:], len(place)] - 1]
         with np.errstate(over="ignore"):
@@ -487,7 +516,7 @@ def found(texts: DataFrame, scheme: Scheme) -> DataFrame:
     """chunk, from_doc, start, stop (packed) for TEXTS."""
     words = texts.agg(F.sum("words")).first()[0] or 0
     bits = int(words // TABLE_WORDS).bit_length()
-    runs = told(texts, scheme.word_items, _words_once, bits, scheme.named, RUNS)
+    runs = told(texts, scheme.word_items, _words_once(scheme.hash_bits), bits, scheme.named, RUNS)
     for number in range(1, scheme.rounds + 1):
         held, runs = runs, told(runs, scheme.symbol_items(number), _once, bits, scheme.pruned(number), RUNS)
         discard(held)

@@ -62,19 +62,19 @@ def byte_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about CHUNK bytes."""
+def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about ``size`` bytes."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
 
 
-def words(column: pa.Array, fold: bool) -> Iterator[Words]:
+def words(column: pa.Array, fold: bool, size: int = CHUNK) -> Iterator[Words]:
     """The words of a string column, chunk by chunk; ``fold`` lower-cases A-Z."""
     data, offsets = byte_rows(column)
-    for i, j in chunks(offsets):
+    for i, j in chunks(offsets, size):
         part = data[offsets[i] : offsets[j]]
         part = _FOLD[part] if fold else part
         own = offsets[i : j + 1] - offsets[i]

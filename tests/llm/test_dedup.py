@@ -49,8 +49,7 @@ def test_recompression_equals_brute_force(spark):
 def anchored(operator, u, width):
     if operator is suffix_dedup:
         return suffix_dedup.ByteScheme(width=width, gram=4).anchors(u)
-    levels = recompression.levels_of(u, 3)
-    return recompression.anchors(levels[:1] + levels[2::2], np.arange(len(u) - width + 1), width)
+    return recompression.anchors(recompression.levels_of(u, 3), np.arange(len(u) - width + 1), width)
 
 
 @pytest.mark.parametrize("operator", [suffix_dedup, recompression])
