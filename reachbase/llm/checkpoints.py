@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -28,11 +27,20 @@ def checkpoint(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(rows: DataFrame) -> DataFrame:
-    """For large tables: a compressed table in the shared folder."""
-    path = f"{shared_folder(rows.sparkSession)}/stored-{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """For large tables: a compressed table in the shared folder; what was shuffled for it is deleted once it is written."""
+    session = rows.sparkSession
+    path = f"{shared_folder(session)}/stored-{uuid.uuid4().hex}"
+    before = session.conf.get(_CLEAN_UP)
+    session.conf.set(_CLEAN_UP, "true")
+    try:
+        rows.write.option("compression", "zstd").parquet(path)
+    finally:
+        session.conf.set(_CLEAN_UP, before)
+    return session.read.schema(rows.schema).parquet(path)
 
 
 def discard(rows: DataFrame) -> None:
@@ -41,12 +49,3 @@ def discard(rows: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
         path = session._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(session: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
-
-    It does so only when the driver's memory is collected, which may be long after the next round has begun.
-    """
-    gc.collect()
-    session._jvm.System.gc()
