@@ -3,15 +3,16 @@
 Documents are packed into chunks, and each round puts what a chunk holds before one global table, dealt
 over the cluster by hash:
 
-* Round 0 names words.  A word's name is a hash; the table sees the words themselves, and words that meet
-  in one hash get other names, so equal names are equal words.
-* Each later round names every run of equal symbols, and then every pair whose left and right symbol fall
-  into the two halves of a hash partition.  The table holds the definitions (symbol and count, or left and
-  right), so a name stands for one text everywhere.  Every symbol keeps the words that its making depended
-  on; inside equal windows, symbols that depend on nothing outside are equal.
-* A symbol that stands once in the corpus kills all windows that hold what it depends on.  What remains
-  are runs of windows that share all their symbols with other places; other words are dropped, and the
-  next round names over what remains.  Rounds end before symbols depend on more words than a window has.
+* Words are named first.  A word's name is a hash; the table sees the words themselves, and words that
+  meet in one hash get other names, so equal names are equal words.
+* A step names every run of equal symbols, and then every pair whose left and right symbol fall into the
+  two halves of a hash partition, by a hash of its definition (symbol and count, or left and right).  Every
+  symbol keeps the words that its making depended on; inside equal windows, symbols that depend on nothing
+  outside are equal.
+* A round takes as many steps as it needs to make symbols that are rare, and puts their definitions before
+  the table, which counts them by what they are and not by name.  A symbol that stands once in the corpus
+  kills all windows that hold what it depends on.  What remains are runs of windows that share these
+  symbols with other places; other words are dropped.  Rounds end when symbols come near to the window's width.
 * Each window that remains is anchored at the least symbol of the highest level inside it.  Neighbouring
   windows of one anchor are an entry; entries with the same symbol and the same words around it are equal,
   and all but the earliest are settled by that.  The windows of the earliest entries are then held against
@@ -92,20 +93,20 @@ def pairs_named(level: Level, n: int, number: int) -> Level:
     return Level(name[keep], level.first[keep], low[keep], high[keep], joined[keep], level.name[keep], after[keep])
 
 
-def round_of(names: np.ndarray, number: int) -> list[Level]:
-    """The runs and pairs of one round."""
+def step_of(names: np.ndarray, step: int) -> list[Level]:
+    """The runs and pairs of one step, after those before it."""
     level = words_level(names)
-    for k in range(1, number + 1):
+    for k in range(1, step + 1):
         runs = runs_named(level, len(names))
         level = pairs_named(runs, len(names), k)
     return [runs, level]
 
 
-def levels_of(names: np.ndarray, rounds: int) -> list[Level]:
-    """Words, and what each round leaves."""
+def levels_of(names: np.ndarray, steps: int) -> list[Level]:
+    """Words, and what each step leaves."""
     out = [words_level(names)]
-    for number in range(1, rounds + 1):
-        out.append(pairs_named(runs_named(out[-1], len(names)), len(names), number))
+    for step in range(1, steps + 1):
+        out.append(pairs_named(runs_named(out[-1], len(names)), len(names), step))
     return out
 
 
@@ -220,22 +221,21 @@ class Runs:
 
 @dataclass(frozen=True)
 class Items:
-    """What a chunk puts before a table: figures (equal items have equal ones), a mark for each, words where items are words."""
+    """What a chunk puts before a table: figures (equal items have equal ones), and a mark for each."""
 
     deal: np.ndarray
     figures: np.ndarray
     mark: np.ndarray
-    words: pa.Array | None = None  # binary, each with a space after it
 
 
 #: Bits of an item's mark.
 _AGAIN, _IS_RUN = np.uint8(1), np.uint8(2)
-_PUT = "chunk long, part long, figures binary, mark binary, words binary"
+_PUT = "chunk long, part long, figures binary, mark binary"
 _SAID = "chunk long, part long, said binary"
-Verdict = Callable[[np.ndarray, np.ndarray, pa.Array | None], np.ndarray]
+Verdict = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _once(figures: np.ndarray, mark: np.ndarray, words: pa.Array | None) -> np.ndarray:
+def _once(figures: np.ndarray, mark: np.ndarray) -> np.ndarray:
     """1 for items that stand once in the corpus."""
     columns = (mark & _IS_RUN, *figures.T)
     order = np.lexsort(columns)
@@ -246,21 +246,7 @@ def _once(figures: np.ndarray, mark: np.ndarray, words: pa.Array | None) -> np.n
     return said & ~(mark & _AGAIN)
 
 
-def _words_once(bits: int) -> Verdict:
-    """1 for words that stand once in the corpus, 2 for words whose hash another word has."""
-
-    def verdict(figures: np.ndarray, mark: np.ndarray, words: pa.Array | None) -> np.ndarray:
-        coded = words.dictionary_encode()
-        code, hash_ = coded.indices.to_numpy(), _hashes(_bytes(coded.dictionary), bits)[0]
-        _, same, count = np.unique(hash_, return_inverse=True, return_counts=True)
-        said = ((np.bincount(code)[code] == 1) & (mark & _AGAIN == 0)).astype(np.uint8)
-        said[(count[same] > 1)[code]] = 2
-        return said
-
-    return verdict
-
-
-def _not_first(figures: np.ndarray, mark: np.ndarray, words: pa.Array | None) -> np.ndarray:
+def _not_first(figures: np.ndarray, mark: np.ndarray) -> np.ndarray:
     """1 for items whose digest an earlier document or place has."""
     order = np.lexsort((figures[:, 3], figures[:, 2], figures[:, 1], figures[:, 0]))
     said = np.zeros(len(mark), np.uint8)
@@ -301,12 +287,11 @@ def told(chunks: DataFrame, items: Callable[[dict], Items | None], verdict: Verd
                     continue
                 part = _part(x.deal, bits)
                 order = np.argsort(part, kind="stable")
-                words = x.words.take(pa.array(order)) if x.words is not None else None
                 edges = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
                 out = []
                 for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                     at = order[lo:hi]
-                    out.append((row["chunk"], int(part[at[0]]), x.figures[at].tobytes(), _pack(x.mark[at]), _pack(_bytes(words[lo:hi])) if words is not None else None))
+                    out.append((row["chunk"], int(part[at[0]]), x.figures[at].tobytes(), _pack(x.mark[at])))
                 yield _rows(out, _PUT)
 
     def say(table: pa.Table) -> pa.Table:
@@ -314,8 +299,7 @@ def told(chunks: DataFrame, items: Callable[[dict], Items | None], verdict: Verd
         mark = np.concatenate(marks)
         figures = np.frombuffer(b"".join(x.as_py() for x in table["figures"]), np.int64)
         figures = figures.reshape(len(mark), len(figures) // len(mark))
-        words = _words(np.concatenate([_unpack(x.as_py(), np.uint8) for x in table["words"]])) if table["words"].null_count == 0 else None
-        said = np.split(verdict(figures, mark, words), np.cumsum([len(m) for m in marks])[:-1])
+        said = np.split(verdict(figures, mark), np.cumsum([len(m) for m in marks])[:-1])
         return pa.table({"chunk": table["chunk"], "part": table["part"], "said": pa.array([_pack(s) for s in said], pa.binary())})
 
     def hear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,56 +396,65 @@ def _firsts(digest: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[Ite
     return Items(digest[head, 0].view(np.uint64), np.column_stack([digest[head], doc[head], place[head]]), np.zeros(len(head), np.uint8)), item
 
 
+Read = Callable[[dict], Runs | None]
+
+
 @dataclass(frozen=True)
 class Scheme:
-    """After three rounds most symbols still fit a window of 20 words; after a fourth half of them depend on more."""
+    """``rounds`` has the last step of each.
+
+    Two steps make symbols of two or three words, most of which stand once in running text; three make symbols that
+    depend on two thirds of a window of 20 words, and a fourth would make half of them depend on more than it has.
+    """
 
     width: int = 20
-    rounds: int = 3
+    rounds: tuple[int, ...] = (2, 3)
     hash_bits: int = 64
 
-    def word_items(self, row: dict) -> Items:
-        texts = Texts.read(row)
-        first = _hashes(texts.vocabulary, self.hash_bits)[0]
-        again = np.bincount(texts.word, minlength=len(first)) > 1
-        return Items(wordhash.mix(first), np.zeros((len(first), 0), np.int64), again.astype(np.uint8), _words(texts.vocabulary))
-
-    def named(self, row: dict, said: np.ndarray) -> tuple | None:
-        """The runs of windows without a word that stands once."""
-        texts = Texts.read(row)
-        first, other = _hashes(texts.vocabulary, self.hash_bits)
-        long = texts.size >= self.width
-        if not long.any():
-            return None
-        word = texts.word[np.repeat(long, texts.size)]
-        runs = Runs(self.width, texts.doc[long], np.zeros(long.sum(), np.int64), texts.size[long] - self.width + 1, np.where(said == 2, other, first)[word], np.zeros(len(word), bool))
-        dead = np.flatnonzero(said[word] == 1)
-        return self._kept(row, runs.without(dead, dead + 1))
+    def texts(self, clashing: set[bytes]) -> Read:
+        """All windows of a row of TEXTS; ``clashing`` words take the other name."""
 
-    @staticmethod
-    def _kept(row: dict, runs: Runs) -> tuple | None:
-        return runs.row(row["chunk"]) if len(runs.doc) else None
+        def read(row: dict) -> Runs | None:
+            texts = Texts.read(row)
+            long = texts.size >= self.width
+            if not long.any():
+                return None
+            name, other = _hashes(texts.vocabulary, self.hash_bits)
+            if clashing:
+                name = np.where([w.as_py() in clashing for w in _words(texts.vocabulary)], other, name)
+            word = texts.word[np.repeat(long, texts.size)]
+            return Runs(self.width, texts.doc[long], np.zeros(long.sum(), np.int64), texts.size[long] - self.width + 1, name[word], np.zeros(len(word), bool))
+
+        return read
 
-    def symbol_items(self, number: int) -> Callable[[dict], Items]:
-        def items(row: dict) -> Items:
-            name = Runs.read(row, self.width).name
-            return _definitions(round_of(name, number), len(name), self.width)[0]
+    def runs(self, row: dict) -> Runs:
+        return Runs.read(row, self.width)
+
+    def symbol_items(self, step: int, read: Read) -> Callable[[dict], Items | None]:
+        def items(row: dict) -> Items | None:
+            runs = read(row)
+            return None if runs is None else _definitions(step_of(runs.name, step), len(runs.name), self.width)[0]
 
         return items
 
-    def pruned(self, number: int) -> Callable[[dict, np.ndarray], tuple | None]:
+    def pruned(self, step: int, read: Read) -> Callable[[dict, np.ndarray], tuple | None]:
+        """The runs of windows without a symbol that stands once."""
+
         def change(row: dict, said: np.ndarray) -> tuple | None:
-            runs = Runs.read(row, self.width)
-            _, item, low, high = _definitions(round_of(runs.name, number), len(runs.name), self.width)
+            runs = read(row)
+            if runs is None:
+                return None
+            _, item, low, high = _definitions(step_of(runs.name, step), len(runs.name), self.width)
             dead = (item >= 0) & (np.r_[said, 0][item] == 1)
-            return self._kept(row, runs.without(low[dead], high[dead]))
+            left = runs.without(low[dead], high[dead])
+            return left.row(row["chunk"]) if len(left.doc) else None
 
         return change
 
     def entries(self, runs: Runs) -> tuple[Items, np.ndarray, np.ndarray, np.ndarray]:
         """The earliest entries, which item each entry is, and places of the first and last window of each."""
         run, place = runs.places()
-        anchor, key = anchors(levels_of(runs.name, self.rounds), place, self.width)
+        anchor, key = anchors(levels_of(runs.name, max(self.rounds)), place, self.width)
         head = np.flatnonzero(np.r_[True, (np.diff(anchor) != 0) | (np.diff(run) != 0)])
         first, last = place[head], place[np.r_[head[1:], len(place)] - 1]
         with np.errstate(over="ignore"):
@@ -507,14 +500,44 @@ class Scheme:
         return row["chunk"], _pack(runs.doc[run[head]]), _pack(place[head] + shift), _pack(place[tail] + shift)
 
 
+#: Words of one hash are expected in fewer than one of 10^9 distinct ones.
+MOST_CLASHES = 100_000
+
+
+def clashing_words(texts: DataFrame, bits: int, hash_bits: int) -> set[bytes]:
+    """Words whose hash another word of the corpus has."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = _unpack(row["vocabulary"], np.uint8)
+                part = _part(wordhash.mix(_hashes(words, hash_bits)[0]), bits)
+                order = np.argsort(part, kind="stable")
+                held = _words(words).take(pa.array(order))
+                edges = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
+                yield _rows([(int(part[order[lo]]), _pack(_bytes(held[lo:hi]))) for lo, hi in zip(edges[:-1], edges[1:], strict=True) if hi > lo], "part long, words binary")
+
+    def met(table: pa.Table) -> pa.Table:
+        words = _words(np.concatenate([_unpack(x.as_py(), np.uint8) for x in table["words"]])).unique()
+        _, same, count = np.unique(_hashes(_bytes(words), hash_bits)[0], return_inverse=True, return_counts=True)
+        return pa.table({"word": words.filter(pa.array(count[same] > 1)).cast(pa.binary())})
+
+    rows = texts.mapInArrow(put, "part long, words binary").groupBy("part").applyInArrow(met, "word binary").limit(MOST_CLASHES + 1).collect()
+    if len(rows) > MOST_CLASHES:
+        raise ValueError("more words share a hash than 64 bits can explain")
+    return {bytes(r["word"]) for r in rows}
+
+
 def found(texts: DataFrame, scheme: Scheme) -> DataFrame:
     """chunk, from_doc, start, stop (packed) for TEXTS."""
     words = texts.agg(F.sum("words")).first()[0] or 0
     bits = int(words // TABLE_WORDS).bit_length()
-    runs = told(texts, scheme.word_items, _words_once(scheme.hash_bits), bits, scheme.named, RUNS)
-    for number in range(1, scheme.rounds + 1):
-        held, runs = runs, told(runs, scheme.symbol_items(number), _once, bits, scheme.pruned(number), RUNS)
-        discard(held)
+    read, runs = scheme.texts(clashing_words(texts, bits, scheme.hash_bits)), texts
+    for step in scheme.rounds:
+        held, runs = runs, told(runs, scheme.symbol_items(step, read), _once, bits, scheme.pruned(step, read), RUNS)
+        if held is not texts:
+            discard(held)
+        read = scheme.runs
     held, runs = runs, told(runs, scheme.entry_items, _not_first, bits, scheme.settled, RUNS)
     discard(held)
     held, spans = runs, told(runs, scheme.window_items, _not_first, bits, scheme.spans, "chunk long, from_doc binary, start binary, stop binary")
