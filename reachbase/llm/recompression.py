@@ -44,6 +44,8 @@ from reachbase.llm import repeats, wordhash
 from reachbase.llm.checkpoints import discard, stored
 
 _RUN, _PAIR, _OTHER = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
+#: Odd multipliers whose top bit deals symbols into left and right ones; names are mixed already.
+_HALVES = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 #: Words of the input for each part of a table.
 TABLE_WORDS = 8_000_000
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
@@ -64,32 +66,38 @@ class Level:
 
 
 def words_level(names: np.ndarray) -> Level:
-    at = np.arange(len(names))
+    at = np.arange(len(names), dtype=np.int64)
     return Level(names, at, at, at + 1, np.zeros(len(at), bool), names, names)
 
 
 def runs_named(level: Level, n: int) -> Level:
-    """Runs of one symbol become one symbol; where a run ends shows only beside its neighbours."""
+    """Runs of one symbol become one symbol; where a run ends shows only beside its neighbours.
+
+    Bounds rise from symbol to symbol, so a neighbour's are the wider ones.
+    """
     head = np.flatnonzero(np.r_[True, level.name[1:] != level.name[:-1]])
     tail = np.r_[head[1:], len(level.name)] - 1
     symbol, count = level.name[head], (tail - head + 1).astype(np.uint64)
+    several = np.flatnonzero(count > 1)
+    name = symbol.copy()
     with np.errstate(over="ignore"):
-        name = np.where(count > 1, wordhash.mix(symbol * _RUN + count), symbol)
-    low = np.r_[-1, level.low[tail[:-1]]]
-    high = np.r_[level.high[head[1:]], n + 1]
-    return Level(name, level.first[head], np.minimum(low, level.low[head]), np.maximum(high, level.high[tail]), count > 1, symbol, count)
+        name[several] = wordhash.mix(symbol[several] * _RUN + count[several])
+    return Level(name, level.first[head], np.r_[-1, level.low[tail[:-1]]], np.r_[level.high[head[1:]], n + 1], count > 1, symbol, count)
 
 
 def pairs_named(level: Level, n: int, number: int) -> Level:
     """A left symbol and the right symbol that follows it become one symbol; others show beside one neighbour."""
-    is_left = (wordhash.mix(level.name ^ np.uint64(number)) & np.uint64(1)).astype(bool)
+    with np.errstate(over="ignore"):
+        is_left = (level.name * _HALVES[number % len(_HALVES)]) >> np.uint64(63) == 0
     joined = np.r_[is_left[:-1] & ~is_left[1:], False]
-    after = np.r_[level.name[1:], np.uint64(0)]
-    low = np.where(is_left, level.low, np.minimum(level.low, np.r_[-1, level.low[:-1]]))
-    high = np.where(is_left, np.maximum(level.high, np.r_[level.high[1:], n + 1]), level.high)
+    low = np.where(is_left, level.low, np.r_[-1, level.low[:-1]])
+    high = np.where(is_left, np.r_[level.high[1:], n + 1], level.high)
+    left = np.flatnonzero(joined)
+    name, after = level.name.copy(), np.zeros(len(level.name), np.uint64)
+    after[left] = level.name[left + 1]
     with np.errstate(over="ignore"):
-        name = np.where(joined, wordhash.mix(level.name * _PAIR + after + np.uint64(number)), level.name)
-    keep = ~np.r_[False, joined[:-1]]
+        name[left] = wordhash.mix(level.name[left] * _PAIR + after[left] + np.uint64(number))
+    keep = np.flatnonzero(~np.r_[False, joined[:-1]])
     return Level(name[keep], level.first[keep], low[keep], high[keep], joined[keep], level.name[keep], after[keep])
 
 
@@ -348,12 +356,17 @@ def _spaced(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.n
     return out, at
 
 
-def _hashes(words: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each word of some (a space after each), forwards and backwards; fewer bits of the first for tests."""
+def _hashes(words: np.ndarray, bits: int = 64) -> np.ndarray:
+    """A hash of each word of some (a space after each); fewer bits for tests."""
+    stop = np.flatnonzero(words == 32)
+    return wordhash.hashes(words, np.r_[0, stop[:-1] + 1][: len(stop)], stop) >> np.uint64(64 - bits)
+
+
+def _other_hashes(words: np.ndarray) -> np.ndarray:
+    """Another hash, of each word read backwards."""
     stop = np.flatnonzero(words == 32)
-    start = np.r_[0, stop[:-1] + 1][: len(stop)]
-    back = wordhash.hashes(words[::-1], len(words) - stop, len(words) - start)
-    return wordhash.hashes(words, start, stop) >> np.uint64(64 - bits), wordhash.mix(back ^ _OTHER)
+    back = wordhash.hashes(words[::-1], len(words) - stop, len(words) - np.r_[0, stop[:-1] + 1][: len(stop)])
+    return wordhash.mix(back ^ _OTHER)
 
 
 def _definitions(levels: list[Level], n: int, width: int) -> tuple[Items, np.ndarray, np.ndarray, np.ndarray]:
@@ -389,7 +402,8 @@ class Digests:
 
 def _firsts(digest: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[Items, np.ndarray]:
     """The earliest of each digest as items, and which item each row is (-1: a later one)."""
-    order = np.lexsort((place, doc, digest[:, 1], digest[:, 0]))
+    order = np.lexsort((place, doc, digest[:, 0]))
+    # Two digests that agree in their first half alone may break a group up; the table then decides.
     head = order[np.r_[True, (digest[order[1:]] != digest[order[:-1]]).any(axis=1)]] if len(order) else order
     item = np.full(len(doc), -1)
     item[head] = np.arange(len(head))
@@ -419,9 +433,9 @@ class Scheme:
             long = texts.size >= self.width
             if not long.any():
                 return None
-            name, other = _hashes(texts.vocabulary, self.hash_bits)
+            name = _hashes(texts.vocabulary, self.hash_bits)
             if clashing:
-                name = np.where([w.as_py() in clashing for w in _words(texts.vocabulary)], other, name)
+                name = np.where([w.as_py() in clashing for w in _words(texts.vocabulary)], _other_hashes(texts.vocabulary), name)
             word = texts.word[np.repeat(long, texts.size)]
             return Runs(self.width, texts.doc[long], np.zeros(long.sum(), np.int64), texts.size[long] - self.width + 1, name[word], np.zeros(len(word), bool))
 
@@ -511,7 +525,7 @@ def clashing_words(texts: DataFrame, bits: int, hash_bits: int) -> set[bytes]:
         for batch in batches:
             for row in batch.to_pylist():
                 words = _unpack(row["vocabulary"], np.uint8)
-                part = _part(wordhash.mix(_hashes(words, hash_bits)[0]), bits)
+                part = _part(wordhash.mix(_hashes(words, hash_bits)), bits)
                 order = np.argsort(part, kind="stable")
                 held = _words(words).take(pa.array(order))
                 edges = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
@@ -519,7 +533,7 @@ def clashing_words(texts: DataFrame, bits: int, hash_bits: int) -> set[bytes]:
 
     def met(table: pa.Table) -> pa.Table:
         words = _words(np.concatenate([_unpack(x.as_py(), np.uint8) for x in table["words"]])).unique()
-        _, same, count = np.unique(_hashes(_bytes(words), hash_bits)[0], return_inverse=True, return_counts=True)
+        _, same, count = np.unique(_hashes(_bytes(words), hash_bits), return_inverse=True, return_counts=True)
         return pa.table({"word": words.filter(pa.array(count[same] > 1)).cast(pa.binary())})
 
     rows = texts.mapInArrow(put, "part long, words binary").groupBy("part").applyInArrow(met, "word binary").limit(MOST_CLASHES + 1).collect()

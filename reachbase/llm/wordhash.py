@@ -22,16 +22,26 @@ CHUNK = 1 << 20
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit over all others."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = x ^ (x >> np.uint64(30))
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
+
+
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
-    out = np.ones(max(n, 1), np.uint64)
-    with np.errstate(over="ignore"):
-        out[1:] = base
-        return np.multiply.accumulate(out)
+    """1, base, base^2 and so on; the longest list made so far is kept."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        out = np.ones(max(n, 1), np.uint64)
+        with np.errstate(over="ignore"):
+            out[1:] = base
+            known = _POWERS[int(base)] = np.multiply.accumulate(out)
+    return known[: max(n, 1)]
 
 
 @dataclass
