@@ -1,14 +1,16 @@
 """Quality classifier: importance resampling with hashed n-gram models and Gumbel top-k.
 
-Two models hash n-grams into buckets: words with pairs of words, and the first four bytes of each word.
-Each is counted over all documents (raw) and over labelled good ones (target).  A document's log ratios
-are the mean over its words and pairs, and the sum of its strongly unlikely word starts; a logistic
-weighting, fitted on labelled rows that the target counts have not seen, turns them into one log
-weight.  Adding seeded Gumbel noise to the weights and keeping the k greatest draws k documents without
-replacement in proportion to their weights; k is the number of documents that the weights expect to fit.
+Two generative models hash n-grams into buckets: words with pairs of words, and the first four bytes of
+each word.  Each is counted over all documents (raw) and over labelled good ones (target).  Buckets that
+the target does not hold markedly less often than the raw text share one pooled ratio; the others keep
+their own.  A document's log ratio is the sum over its n-grams.  Its log weight is b + a * asinh(ratio), a
+monotone scale (a > 0) that tames the long tail of long texts; a and b are fitted by logistic regression on
+labelled rows that the target counts have not seen.  Adding standard Gumbel noise, seeded, to the log
+weights and keeping the k greatest draws k documents without replacement in proportion to their weights;
+k is the number of documents that the weights expect to fit.
 
 Labelled rows are bounded by ``label_rows``; everything else covers all rows.  Cases: null and empty
-texts have zero ratios; repeated rows draw the same noise and stay or go together, so ties at the k-th
+texts have a ratio of zero; repeated rows draw the same noise and stay or go together, so ties at the k-th
 key are all kept; without usable labels every row has weight 0 and stays; an empty table gives no rows;
 other input columns pass through unless a result has that name.
 """
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 
 from reachbase.llm import wordhash
 from reachbase.llm.checkpoints import checkpoint
+from reachbase.llm.words import unused
 
 BITS = 16
 STARTS = 1 << BITS  # buckets below are words and pairs, from here on word starts
 PSEUDO = 3.0
-UNLIKELY = -0.7
+#: Buckets whose log ratio is not below this share one ratio.
+UNLIKELY = -0.5
 LABEL_ROWS = 40_000
 
 
@@ -63,28 +67,24 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Model:
     ratios: np.ndarray
-    weights: tuple[float, float, float]  # constant, mean ratio, unlikely starts
+    scale: tuple[float, float] | None  # b and a; none without usable labels
 
 
-def with_ratios(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataFrame:
-    """Adds _r: struct(mean, unlikely)."""
+def ratio_of(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> Column:
+    """The sum of the log ratios of a text's n-grams."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))
 
-    @F.arrow_udf("mean double, unlikely double")
+    @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = shared.value.astype(float)
         for column in batches:
-            mean, unlikely = np.zeros(len(column)), np.zeros(len(column))
+            total = np.zeros(len(column))
             for w in wordhash.words(column, fold=True):
                 bucket, row = _buckets(w)
-                value, is_start = table[bucket], bucket >= STARTS
-                n = np.bincount(row[~is_start], minlength=w.rows)
-                mean[w.first : w.first + w.rows] = np.bincount(row[~is_start], value[~is_start], minlength=w.rows) / np.maximum(n, 1)
-                low = is_start & (value < UNLIKELY)
-                unlikely[w.first : w.first + w.rows] = np.bincount(row[low], value[low], minlength=w.rows)
-            yield pa.StructArray.from_arrays([pa.array(mean), pa.array(unlikely)], ["mean", "unlikely"])
+                total[w.first : w.first + w.rows] = np.bincount(row, table[bucket], minlength=w.rows)
+            yield pa.array(total)
 
-    return docs.withColumn("_r", score(F.col(text)))
+    return score(F.col(text))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -103,25 +103,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 5
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, key: str = "doc_id", text: str = "text") -> Model:
-    """Counts both models over all documents and fits the weighting on the other half of the labelled rows."""
+    """Counts both models over all documents and fits the scale on the other half of the labelled rows."""
     known = labels.where("quality IS NOT NULL").groupBy(key).agg((F.min("quality") == 1).alias("_q"), F.max(F.coalesce("toxic", F.lit(0))).alias("_t"))
     chosen = known.select(key, (F.col("_q") & (F.col("_t") == 0)).alias("good"), (F.xxhash64(key) % 2 == 0).alias("counted")).orderBy(F.xxhash64(key), key).limit(label_rows)
-    labelled = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key, "left")
+    texts = docs.select(F.col(key), F.col(text).alias("text"))
+    labelled = texts.join(F.broadcast(chosen), key, "left")
     counts = count_ngrams(labelled.select("text", F.coalesce(F.col("good") & F.col("counted"), F.lit(False)).alias("good"))).toArrow()
     raw, target = np.zeros(2 * STARTS), np.zeros(2 * STARTS)
     raw[counts["bucket"].to_numpy()], target[counts["bucket"].to_numpy()] = counts["raw"].to_numpy(), counts["target"].to_numpy()
     ratios = np.zeros(2 * STARTS)
     for part in (slice(0, STARTS), slice(STARTS, None)):
         if target[part].sum():
-            likely = raw[part] * (target[part].sum() / raw[part].sum())
-            ratios[part] = np.log((target[part] + PSEUDO) / (likely + PSEUDO))
-    held = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen.where(~F.col("counted"))), key)
-    rows = with_ratios(held, ratios).select("good", "_r.mean", "_r.unlikely").toArrow()
+            ratios[part] = _pooled(raw[part], target[part])
+    held = texts.join(F.broadcast(chosen.where(~F.col("counted"))), key)
+    rows = held.select("good", ratio_of(held, ratios).alias("ratio")).toArrow()
     good = rows["good"].to_numpy().astype(float)
     if not len(good) or good.min() == good.max():
-        return Model(np.zeros(2 * STARTS), (0.0, 0.0, 0.0))
-    x = np.column_stack([rows["mean"].to_numpy(), rows["unlikely"].to_numpy()])
-    return Model(ratios, tuple(float(v) for v in _logistic(x, good)))
+        return Model(ratios, None)
+    b, a = _logistic(np.arcsinh(rows["ratio"].to_numpy())[:, None], good)
+    return Model(ratios, (float(b), float(a)) if a > 0 else None)
+
+
+def _pooled(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log ratio of each bucket under both models."""
+    likely = raw * (target.sum() / raw.sum())
+    out = np.log((target + PSEUDO) / (likely + PSEUDO))
+    usual = out >= UNLIKELY
+    if target[usual].sum():
+        out[usual] = np.log(target[usual].sum() / likely[usual].sum())
+    return out
 
 
 def gumbel(seed: int, *columns: str) -> Column:
@@ -130,12 +140,11 @@ def gumbel(seed: int, *columns: str) -> Column:
     return -F.log(-F.log(u))
 
 
-def with_keys(docs: DataFrame, model: Model, seed: int, temperature: float, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds log_weight and gumbel_key."""
-    b, m, u = model.weights
-    out = with_ratios(docs.drop("log_weight", "gumbel_key"), model.ratios, text)
-    out = out.withColumn("log_weight", F.lit(b) + F.lit(m) * F.col("_r.mean") + F.lit(u) * F.col("_r.unlikely")).drop("_r")
-    return out.withColumn("gumbel_key", F.col("log_weight") + F.lit(temperature) * gumbel(seed, key, text))
+def with_keys(docs: DataFrame, model: Model, seed: int, weight: str, drawn: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Adds the log weight and, with noise, the Gumbel key under these names."""
+    b, a = model.scale or (0.0, 0.0)
+    out = docs.withColumn(weight, F.lit(b) + F.lit(a) * F.asinh(ratio_of(docs, model.ratios, text)))
+    return out.withColumn(drawn, F.col(weight) + gumbel(seed, key, text))
 
 
 def cut_of(keys: DataFrame, k: int, column: str = "gumbel_key", bins: int = 4096) -> float:
@@ -161,14 +170,16 @@ def cut_of(keys: DataFrame, k: int, column: str = "gumbel_key", bins: int = 4096
         low, high = lo, hi
 
 
-def select(docs: DataFrame, model: Model, seed: int = 11, temperature: float = 0.5, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def select(docs: DataFrame, model: Model, seed: int = 11, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All rows' keys with kept, and the documents that are kept.
 
     Only identifiers and keys are written to the checkpoint; the kept documents are scored as they pass.
     """
-    scored = with_keys(docs, model, seed, temperature, key, text)
-    keys = checkpoint(scored.select(key, "log_weight", "gumbel_key"))
-    expected = keys.agg(F.sum(F.when(F.col("log_weight") == 0, 1.0).otherwise(1 / (1 + F.exp(-F.col("log_weight")))))).first()[0] or 0.0
+    weight, drawn = unused(docs, "log_weight", "gumbel_key")
+    scored = with_keys(docs, model, seed, weight, drawn, key, text)
+    keys = checkpoint(scored.select(key, F.col(weight).alias("log_weight"), F.col(drawn).alias("gumbel_key")))
+    if model.scale is None:
+        return keys.withColumn("kept", F.lit(True)), docs
+    expected = keys.agg(F.sum(1 / (1 + F.exp(-F.col("log_weight"))))).first()[0] or 0.0
     cut = cut_of(keys, round(expected))
-    kept = F.col("gumbel_key") >= F.lit(cut)
-    return keys.withColumn("kept", kept), scored.where(kept).select(*docs.columns)
+    return keys.withColumn("kept", F.col("gumbel_key") >= F.lit(cut)), scored.where(F.col(drawn) >= F.lit(cut)).select(*docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space: a word is a longest run of other characters.
@@ -24,3 +24,18 @@ def words(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(text, UPPER, LOWER)
+
+
+def unused(rows: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of ``rows``."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def let(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` for ``value``, which is made once even where the optimiser moves expressions into a filter."""
+    return f"transform(array({value}), {name} -> {body})[0]"
