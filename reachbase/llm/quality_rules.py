@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reachbase.llm.words import SPACE_CHARS, UPPER, whole, words
+from reachbase.llm.words import SPACE_CHARS, UPPER, let, unused, whole, words
 
 SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -28,42 +28,46 @@ FEATURES = ("chars_per_word", "symbols_per_word", "dup_line_share", "repeat_shar
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the base statistics and the features that rules may test.
 
-    Windows of three words are compared by 64-bit hash inside the row: sorted with their positions,
-    equal neighbours mark the windows that stand twice, and the union of their words is counted.
+    Windows of three words are sorted by hash, position and words inside the row; neighbours of one hash
+    and the same words mark the windows that stand twice, and the union of their words is counted.
     """
     kept = docs.drop(*STATS, *FEATURES)
-    rows = kept.withColumns({"_t": whole(F.col(text)), "_w": words(F.col(text))})
-    rows = rows.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != ""))
-    rows = rows.withColumn("_h", F.expr("CASE WHEN size(_w) >= 3 THEN transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) ELSE array() END"))
-    rows = rows.withColumn("_s", F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN array_sort(arrays_zip(_h, sequence(0, size(_h) - 1))) END"))
-    rows = rows.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, i) -> (i > 0 AND get(_s, i - 1)._h = x._h) OR (i + 1 < size(_s) AND get(_s, i + 1)._h = x._h)), x -> x['1']))"))
-    covered = F.expr("coalesce(aggregate(_p, named_struct('n', 0, 'last', -3), (a, p) -> named_struct('n', a.n + least(3, p - a.last), 'last', p), a -> a.n), 0)")
+    t, w, l, h, s, p, u, b, d, n = unused(kept, *(f"_{c}" for c in "twlhspubdn"))
+    rows = kept.withColumns({t: whole(F.col(text)), w: words(F.col(text))})
+    rows = rows.withColumn(l, F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != ""))
+    rows = rows.withColumn(h, F.expr(let(w, "ws", "CASE WHEN size(ws) >= 3 THEN transform(sequence(0, size(ws) - 3), i -> xxhash64(ws[i], ws[i + 1], ws[i + 2])) ELSE array() END")))
+    # Sorted by hash; of one hash by words, so equal windows are neighbours whatever hashes they share.
+    entries = let(w, "ws", f"transform({h}, (x, i) -> named_struct('h', x, 'w', array(ws[i], ws[i + 1], ws[i + 2]), 'at', i))")
+    rows = rows.withColumn(s, F.expr(f"CASE WHEN size(array_distinct({h})) < size({h}) THEN array_sort({entries}) END"))
+    same = lambda k: f"(get(es, {k}).h = x.h AND get(es, {k}).w = x.w)"
+    rows = rows.withColumn(p, F.expr(let(s, "es", f"sort_array(transform(filter(es, (x, i) -> (i > 0 AND {same('i - 1')}) OR (i + 1 < size(es) AND {same('i + 1')})), x -> x.at))")))
+    covered = F.expr(f"coalesce(aggregate({p}, named_struct('n', 0, 'last', -3), (a, p) -> named_struct('n', a.n + least(3, p - a.last), 'last', p), a -> a.n), 0)")
     rows = rows.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.char_length(F.translate("_t", SPACE_CHARS, "")).cast("long"),
-            "n_symbols": (F.char_length("_t") - F.char_length(F.translate("_t", SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+            "n_words": F.size(w).cast("long"),
+            "word_chars": F.char_length(F.translate(t, SPACE_CHARS, "")).cast("long"),
+            "n_symbols": (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long"),
+            "n_dup_lines": (F.size(l) - F.size(F.array_distinct(l))).cast("long"),
             "n_repeat_words": covered.cast("long"),
-            "_u": F.char_length("_t") - F.char_length(F.translate("_t", UPPER, "")),
-            "_b": F.char_length("_t") - F.char_length(F.translate("_t", "!", "")),
-            "_d": F.size(F.array_distinct("_w")),
-            "_n": F.size("_l"),
+            u: F.char_length(t) - F.char_length(F.translate(t, UPPER, "")),
+            b: F.char_length(t) - F.char_length(F.translate(t, "!", "")),
+            d: F.size(F.array_distinct(w)),
+            n: F.size(l),
         }
     )
-    per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
+    per = lambda x, y: F.coalesce(F.try_divide(F.col(x).cast("double"), F.col(y)), F.lit(0.0))
     return rows.withColumns(
         {
             "chars_per_word": per("word_chars", "n_words"),
             "symbols_per_word": per("n_symbols", "n_words"),
-            "dup_line_share": per("n_dup_lines", "_n"),
+            "dup_line_share": per("n_dup_lines", n),
             "repeat_share": per("n_repeat_words", "n_words"),
-            "upper_share": per("_u", "word_chars"),
-            "bang_share": per("_b", "n_words"),
-            "distinct_share": per("_d", "n_words"),
-            "words_per_line": per("n_words", "_n"),
+            "upper_share": per(u, "word_chars"),
+            "bang_share": per(b, "n_words"),
+            "distinct_share": per(d, "n_words"),
+            "words_per_line": per("n_words", n),
         }
-    ).drop("_t", "_w", "_l", "_h", "_s", "_p", "_u", "_b", "_d", "_n")
+    ).drop(t, w, l, h, s, p, u, b, d, n)
 
 
 def base_failed() -> Column:
