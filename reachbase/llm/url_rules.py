@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reachbase.llm.words import ascii_lower
+from reachbase.llm.words import ascii_lower, unused
 
 ALLOW, BLOCK = "allow", "block"
 _TOKEN = "[A-Za-z0-9]+"
@@ -87,6 +87,7 @@ def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = BASE_RULES + PATT
         none = F.lit(None).cast("string")
         return named.withColumns({"rule": none, "pattern_rule": none, "verdict": F.lit(default)})
     listed = _rules_frame(pages, rules)
+    place, found = unused(named, "_place", "_found")
     keys = named.select(F.concat("host", "path").alias("_key")).distinct()
     tokens = keys.select("_key", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.expr(f"regexp_extract_all(_key, '{_TOKEN}', 0)")))).alias("_token"))
     literal = listed.select("rule_no", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("_token"))
@@ -94,17 +95,15 @@ def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = BASE_RULES + PATT
     rarest = literal.join(seen, "_token", "left").groupBy("rule_no").agg(F.min_by("_token", F.struct(F.coalesce("n", F.lit(0)), "_token")).alias("_token"))
     index = listed.drop("tokens").join(rarest, "rule_no")
     fits = tokens.join(index, "_token").where(F.expr("_key rlike pattern"))
-    best = fits.groupBy("_key").agg(F.min(F.struct(~F.col("fixed"), -F.col("length"), "name", "rule_verdict")).alias("_best"))
-    out = named.withColumn("_key", F.concat("host", "path")).join(best, "_key", "left")
-    decided = F.col("_best.rule_verdict")
-    by_fixed = F.col("_best").isNotNull() & ~F.col("_best.col1")
+    best = fits.groupBy(F.col("_key").alias(place)).agg(F.min(F.struct((~F.col("fixed")).alias("soft"), -F.col("length"), "name", "rule_verdict")).alias(found))
+    out = named.withColumn(place, F.concat("host", "path")).join(best, place, "left")
     return out.withColumns(
         {
-            "rule": F.when(by_fixed, F.col("_best.name")),
-            "pattern_rule": F.when(F.col("_best").isNotNull() & F.col("_best.col1"), F.col("_best.name")),
-            "verdict": F.coalesce(decided, F.lit(default)),
+            "rule": F.when(~F.col(found)["soft"], F.col(found)["name"]),
+            "pattern_rule": F.when(F.col(found)["soft"], F.col(found)["name"]),
+            "verdict": F.coalesce(F.col(found)["rule_verdict"], F.lit(default)),
         }
-    ).drop("_key", "_best")
+    ).drop(place, found)
 
 
 ORACLE_SQL = r"""
