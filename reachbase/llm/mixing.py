@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachbase.llm.checkpoints import checkpoint
+from reachbase.llm.words import unused
 
 #: Sources up to this number are sent to every executor; more are joined by shuffle.
 BROADCAST_SOURCES = 50_000
@@ -101,8 +102,8 @@ def _place(seed: int, a_pass: Column, *columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), a_pass, *columns), 11)
 
 
-def _block() -> Column:
-    return F.expr("cast(floor(_place / 9007199254740992D * blocks) as bigint)")
+def _block(place: str, blocks: str) -> Column:
+    return F.expr(f"cast(floor({place} / 9007199254740992D * {blocks}) as bigint)")
 
 
 def deal(docs: DataFrame, mix: Mix = Mix(), source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -111,13 +112,10 @@ def deal(docs: DataFrame, mix: Mix = Mix(), source: str = "source", text: str =
     planned = checkpoint(plan(docs, mix, source, text))
     small = F.broadcast if planned.count() <= BROADCAST_SOURCES else (lambda x: x)
 
-    def joined(rows: DataFrame, sources: DataFrame) -> DataFrame:
-        return rows.join(small(sources), rows[source].eqNullSafe(sources["_source"])).drop("_source")
-
-    own = tokens_of(F.col(text))
     ending = planned.where("rest > 0").select("_source", "blocks", "passes", "rest")
-    placed = joined(docs.select(source, key, text), ending)
-    placed = placed.select(F.col(source).alias("_source"), own.alias("_tokens"), "blocks", "rest", _place(mix.seed, F.col("passes"), key, text).alias("_place")).withColumn("_block", _block())
+    placed = docs.select(F.col(source).alias("_from"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    placed = placed.join(small(ending), F.col("_from").eqNullSafe(F.col("_source")))
+    placed = placed.select("_source", tokens_of(F.col("_text")).alias("_tokens"), "blocks", "rest", _place(mix.seed, F.col("passes"), "_key", "_text").alias("_place")).withColumn("_block", _block("_place", "blocks"))
     sums = placed.groupBy("_source", "_block", "rest").agg(F.sum("_tokens").alias("_sum"))
     before = Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     edge = checkpoint(sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).where("_before < rest AND _before + _sum >= rest").select("_source", F.col("_block").alias("_edge"), "_before"))
@@ -126,11 +124,13 @@ def deal(docs: DataFrame, mix: Mix = Mix(), source: str = "source", text: str =
     run = Window.partitionBy("_source").orderBy("_place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = inside.withColumn("_to", F.col("_before") + F.sum("_tokens").over(run)).where("_to <= rest").groupBy("_source").agg(F.max("_place").alias("_cut"))
     ends = edge.select(F.col("_source").alias("_s"), F.col("_edge").alias("_floor")).join(last, F.col("_s").eqNullSafe(F.col("_source")), "left").select("_s", "_floor", F.coalesce("_cut", F.lit(-1)).alias("_cut"))
-    full = checkpoint(planned.join(ends, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "blocks", "passes", "_floor", "_cut"))
-
-    rows = joined(docs.select(*columns), full).withColumns({"tokens": own, "_place": _place(mix.seed, F.col("passes"), key, text)})
-    within = (_block() < F.col("_floor")) | (F.col("_place") <= F.col("_cut"))
-    copies = F.when(F.col("tokens") == 0, F.lit(1)).otherwise(F.col("passes") + F.coalesce(within.cast("long"), F.lit(0)))
-    rows = rows.where(copies > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), copies - 1)))
-    rows = rows.withColumn("_place", _place(mix.seed, F.col("pass"), key, text)).withColumn("block", _block())
-    return rows.select(*columns, "tokens", "pass", "block")
+
+    origin, blocks, passes, floor, cut, place, copy = unused(docs, "_source", "_blocks", "_passes", "_floor", "_cut", "_place", "_pass")
+    full = planned.join(ends, F.col("_source").eqNullSafe(F.col("_s")), "left")
+    full = checkpoint(full.select(F.col("_source").alias(origin), F.col("blocks").alias(blocks), F.col("passes").alias(passes), F.col("_floor").alias(floor), F.col("_cut").alias(cut)))
+    rows = docs.join(small(full), docs[source].eqNullSafe(full[origin])).withColumn(place, _place(mix.seed, F.col(passes), key, text))
+    within = (_block(place, blocks) < F.col(floor)) | (F.col(place) <= F.col(cut))
+    copies = F.when(tokens_of(F.col(text)) == 0, F.lit(1)).otherwise(F.col(passes) + F.coalesce(within.cast("long"), F.lit(0)))
+    rows = rows.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), copies - 1)))
+    rows = rows.withColumn(place, _place(mix.seed, F.col(copy), key, text))
+    return rows.select(*columns, tokens_of(F.col(text)).alias("tokens"), F.col(copy).alias("pass"), _block(place, blocks).alias("block"))
