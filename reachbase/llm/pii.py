@@ -1,10 +1,13 @@
 """PII: format-preserving Feistel pseudonyms.
 
 Card numbers, telephone numbers, social-security numbers, IPv4 addresses, dates, e-mail names and access
-keys are found by one expression, validated (check digit, ranges of the calendar and of octets), and permuted by a
+keys are found by one expression, validated (check digit, ranges of the calendar, of octets and of number
+plans), and permuted by a
 keyed Feistel network within their format: digits stay digits in their places, a card number keeps a
-valid check digit, a date stays a date of the same notation.  Equal values get equal pseudonyms in every
-document, and nobody without the key can tell which value they stand for.
+valid check digit, a social-security or North American telephone number stays one that can be given out, a
+date stays a date of the same notation.  Equal values get equal pseudonyms in every document, and nobody
+without the key can tell which value they stand for.  The key comes from the session's configuration as a
+scalar subquery, so no plan, page or event log shows it.
 
 A text is cut at its findings; the findings are replaced and the parts joined again, all by expressions
 over one row.  Cases: null stays null; an empty text stays empty; what fails validation stays as it is;
@@ -14,9 +17,11 @@ through, except one named as the result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reachbase.llm.words import unused
+
 ROUNDS = 6
 #: What no finding may follow, so that the search starts at the borders of words only.
 _START, _END = r"(?<![\w.%+\-])", r"(?![\w\-]|\.\d)"
@@ -38,7 +43,7 @@ _FIRST_DAY, _DAY_ROWS, _DAY_COLUMNS = "1800-01-01", 189, 773
 
 def _draw(key: str, tag: str, half: str, modulus: str) -> str:
     """A keyed pseudo-random number below the modulus, as SQL."""
-    return f"pmod(cast(conv(substr(sha2(concat_ws(':', '{key}', '{tag}', cast({half} as string)), 256), 1, 15), 16, 10) as bigint), {modulus})"
+    return f"pmod(cast(conv(substr(sha2(concat_ws(':', {key}, '{tag}', cast({half} as string)), 256), 1, 15), 16, 10) as bigint), {modulus})"
 
 
 def _network(left: str, right: str, left_size: str, right_size: str, key: str, tag: str) -> str:
@@ -86,7 +91,7 @@ def _letters(value: str, key: str, tag: str) -> str:
 
     def moved(part: str, by: str, r: int) -> str:
         cases = "".join(f" WHEN instr('{a}', c) > 0 THEN substr('{a}', 1 + cast(pmod(instr('{a}', c) - 1 + cast(conv(substr(g, 1 + (3 * i) % 60, 3), 16, 10) as int), {len(a)}) as int), 1)" for a in alphabets)
-        return f"transform(array(sha2(concat('{key}:{tag}{r}:', {by}), 256)), g -> array_join(transform(split({part}, ''), (c, i) -> CASE{cases} ELSE c END), ''))[0]"
+        return f"transform(array(sha2(concat({key}, ':{tag}{r}:', {by}), 256)), g -> array_join(transform(split({part}, ''), (c, i) -> CASE{cases} ELSE c END), ''))[0]"
 
     state = f"struct(substr({value}, 1, length({value}) div 2) as a, substr({value}, length({value}) div 2 + 1) as b)"
     step = f"CASE WHEN r % 2 = 0 THEN struct({moved('s.a', 'concat(r, s.b)', 0)} as a, s.b as b) ELSE struct(s.a as a, {moved('s.b', 'concat(r, s.a)', 1)} as b) END"
@@ -110,6 +115,27 @@ def _date(v: str, key: str) -> str:
     return f"CASE {' '.join(out)} ELSE {v} END"
 
 
+def _ssn(v: str, key: str) -> str:
+    """Areas 1 to 899 without 666, groups 1 to 99, serials 1 to 9999, numbered without gaps."""
+    d = _only(v)
+    area, group, serial = (f"cast(substr({d}, {at}, {n}) as bigint)" for at, n in ((1, 3), (4, 2), (6, 4)))
+    net = _network(f"({area} - 1 - cast({area} > 666 as bigint)) * 99 + {group} - 1", f"{serial} - 1", "88902", "9999", key, "ssn")
+    fresh = "n.a div 99 + 1 + cast(n.a div 99 + 1 >= 666 as bigint)"
+    digits = f"transform(array({net}), n -> concat(lpad({fresh}, 3, '0'), lpad(n.a % 99 + 1, 2, '0'), lpad(n.b + 1, 4, '0')))[0]"
+    valid = f"{area} BETWEEN 1 AND 899 AND {area} <> 666 AND {group} > 0 AND {serial} > 0"
+    return f"CASE WHEN {valid} THEN transform(array({digits}), d -> {_refill(v, 'd')})[0] ELSE {v} END"
+
+
+def _phone(v: str, key: str) -> str:
+    """Ten digits of the North American plan, area and exchange from 200 on, after an optional 1; else 7 to 15 digits after a plus."""
+    d = _only(v)
+    last = f"right({d}, 10)"
+    net = _network(f"cast(substr({last}, 1, 3) as bigint) - 200", f"cast(substr({last}, 4) as bigint) - 2000000", "800", "8000000", key, "phone")
+    american = f"transform(array({net}), n -> concat(substr({d}, 1, length({d}) - 10), lpad(n.a + 200, 3, '0'), lpad(n.b + 2000000, 7, '0')))[0]"
+    filled = lambda digits: f"transform(array({digits}), d -> {_refill(v, 'd')})[0]"
+    return f"CASE WHEN {d} RLIKE '^1?[2-9][0-9]{{2}}[2-9][0-9]{{6}}$' THEN {filled(american)} WHEN {v} LIKE '+%' AND length({d}) BETWEEN 7 AND 15 THEN {filled(_digits(d, key, 'phone'))} ELSE {v} END"
+
+
 def _ip(v: str, key: str) -> str:
     part = lambda i: f"cast(split({v}, '[.]')[{i}] as bigint)"
     net = _network(f"{part(0)} * 256 + {part(1)}", f"{part(2)} * 256 + {part(3)}", "65536", "65536", key, "ip")
@@ -126,8 +152,8 @@ def pseudonym(v: str, key: str) -> str:
         f"CASE WHEN instr({v}, '@') > 0 THEN concat({_letters(f'''substring_index({v}, '@', 1)''', key, 'mail')}, '@', substring_index({v}, '@', -1))"
         f" WHEN {whole('date')} THEN {_date(v, key)}"
         f" WHEN {whole('ip')} THEN CASE WHEN {octets} THEN {_ip(v, key)} ELSE {v} END"
-        f" WHEN {whole('ssn')} THEN {filled('ssn')}"
-        f" WHEN {whole('phone')} THEN {filled('phone')}"
+        f" WHEN {whole('ssn')} THEN {_ssn(v, key)}"
+        f" WHEN {whole('phone')} THEN {_phone(v, key)}"
         f" WHEN {v} LIKE 'AKIA%' THEN concat('AKIA', {_letters(f'substr({v}, 5)', key, 'key')})"
         f" WHEN {v} RLIKE '[a-f]' OR length({v}) > 36 THEN {_letters(v, key, 'secret')}"
         f" WHEN {valid_card} THEN {_card(v, key)}"
@@ -139,18 +165,28 @@ def _plain(pattern: str) -> str:
     return pattern.replace("\\", "\\\\")
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text", to: str | None = None, found: str | None = None) -> DataFrame:
-    """``docs`` with the findings of ``text`` replaced, in ``to`` (default: in place); ``found``, if given, counts them.
+#: The session's setting that holds the key; Spark blacks out settings of such names wherever it shows them.
+KEY_SETTING = "spark.corpus.pseudonym.secret"
+#: For tests and demonstrations; whoever works on real data sets a secret one.
+STAND_IN = "corpuskey"
 
-    A secret key belongs in the caller's configuration; it may hold letters and digits only.
-    """
-    if not key.isalnum():
-        raise ValueError("the key may hold letters and digits only")
-    rows = docs.withColumn("_m", F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))))
+
+def key_of(session: SparkSession) -> Column:
+    """The key of the session's configuration."""
+    key = session.conf.get(KEY_SETTING, STAND_IN)
+    if not key:
+        raise ValueError(f"{KEY_SETTING} is empty")
+    return session.createDataFrame([(key,)], "key string").scalar()
+
+
+def pseudonymise(docs: DataFrame, text: str = "text", to: str | None = None, found: str | None = None) -> DataFrame:
+    """``docs`` with the findings of ``text`` replaced, in ``to`` (default: in place); ``found``, if given, counts them."""
+    held, key = unused(docs, "_found", "_key")
+    rows = docs.withColumns({held: F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))), key: key_of(docs.sparkSession)})
     cut = F.split(F.col(text), ANY, -1)
-    new = F.expr(f"transform(_m, v -> {pseudonym('v', key)})")
+    new = F.expr(f"transform({held}, v -> {pseudonym('v', key)})")
     joined: Column = F.array_join(F.zip_with(cut, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    rows = rows.withColumn(to or text, F.when(F.size("_m") > 0, joined).otherwise(F.col(text)))
+    rows = rows.withColumn(to or text, F.when(F.size(held) > 0, joined).otherwise(F.col(text)))
     if found:
-        rows = rows.withColumn(found, F.coalesce(F.size("_m"), F.lit(0)).cast("long"))
-    return rows.drop("_m")
+        rows = rows.withColumn(found, F.coalesce(F.size(held), F.lit(0)).cast("long"))
+    return rows.drop(held, key)

@@ -41,7 +41,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", whole(F.col("text")).alias("text"))
-    rows = fingerprints.with_next(fingerprints.with_fingerprint(docs), ["text", "fingerprint"])
+    rows = fingerprints.with_next(docs, fingerprints.with_fingerprint, ["text", "fingerprint"])
     rows = rows.withColumn("edited", fingerprints.edited_text(F.col("text"), F.col("next_text")))
     rows = fingerprints.with_fingerprint(rows, "edited", "edited_fingerprint")
     return rows.select(
@@ -73,15 +73,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PII_KEY, found="n_found")
+    return pii.pseudonymise(docs, found="n_found")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-#: For the queries only; a caller brings a key of their own.
-PII_KEY = "corpuskey"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_quality_rules, op4_url_filters, op5_fingerprints, op6_byte_bpe, op7_mixing, op8_substring_dedup, op9_pii, op10_ngram_jaccard_join)
 }
