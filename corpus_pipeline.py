@@ -1,6 +1,8 @@
 """A corpus from raw documents to token ids, in five stages.
 
-Each stage works on all that the one before it kept, and is written as Parquet and read again.
+Each stage works on all that the one before it kept, and is written as Parquet and read again.  All but the
+last return the columns of their input, whatever these are called besides doc_id, text, source and n_chars.
+An empty table stays empty through all of them.
 """
 
 from __future__ import annotations
@@ -12,12 +14,13 @@ from pyspark.sql import functions as F
 from reachbase.llm import byte_bpe, importance, jaccard_join, mixing, pii
 from reachbase.llm.checkpoints import stored
 
-#: A stand-in; whoever runs the pipeline on real data brings a secret one.
-PSEUDONYM_KEY = "corpuskey"
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that importance resampling rejects."""
+    """Drops the documents that importance resampling rejects.
+
+    Null and empty texts have no evidence against them and are drawn like others of log ratio 0; repeated rows go or
+    stay together; without labels all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return importance.select(docs, importance.fit(docs, labels))[1]
 
@@ -38,17 +41,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces private data by pseudonyms of the same format."""
-    return pii.pseudonymise(docs, PSEUDONYM_KEY).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Replaces private data by pseudonyms of the same format; a null text stays null and has no n_chars."""
+    return pii.pseudonymise(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passes every document once, and those of small sources again as their weight asks for."""
+    """Passes every document once, and those of small sources again as their weight asks for; a null source is one of its own, empty texts pass once."""
     return mixing.deal(docs).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document."""
+    """The token ids of every document; none for a null or empty text."""
     ids = byte_bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return ids.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
