@@ -18,9 +18,13 @@ PRIVILEGED_SIDS = ("S-1-5-32-544", "S-1-5-32-547", "S-1-5-32-551")
 PRIVILEGED_RIDS = ("512", "518", "519", "520", "526", "527")
 
 
-def principal_key(sid: Column, host: Column) -> Column:
-    """The identifier; before that the host, for groups that each machine has of its own."""
-    return F.when(sid.startswith("S-1-5-32-") & host.isNotNull(), F.concat_ws("|", F.lower(host), sid)).otherwise(sid)
+def principal_key(sid: Column, host: Column, kind: Column | None = None) -> Column:
+    """The identifier; before that the host, for groups that each machine has of its own.
+
+    A described principal is such a group by its kind; of a trustee only the identifier is known, and tells.
+    """
+    local = sid.startswith("S-1-5-32-") if kind is None else F.coalesce(kind == "local_group", F.lit(False)) | sid.startswith("S-1-5-32-")
+    return F.when(local & host.isNotNull(), F.concat_ws("|", F.lower(host), sid)).otherwise(sid)
 
 
 def sid_of(key: Column) -> Column:
@@ -53,7 +57,10 @@ def share_key(server: Column, share: Column) -> Column:
 
 
 def resource_key(path: Column) -> Column:
-    return F.lower(F.rtrim(path))
+    """One key for all spellings of a path: either slash, doubled or trailing ones, ``.`` segments, ``\\\\?\\UNC\\`` and letter case."""
+    names = F.filter(F.split(F.translate(F.lower(F.trim(path)), "/", SEPARATOR), r"\\"), lambda x: (x != "") & (x != "."))
+    long = (F.get(names, F.lit(0)) == "?") & (F.get(names, F.lit(1)) == "unc")
+    return F.concat(F.lit("\\\\"), F.array_join(F.when(long, F.slice(names, 3, 1 << 20)).otherwise(names), SEPARATOR))
 
 
 def ntfs_ace_key(resource: Column, trustee: Column, kind: Column, mask: Column, flags: Column) -> Column:

@@ -19,8 +19,11 @@ ASSUMED = (keys.EVERYONE, keys.AUTHENTICATED)
 SUBJECT_KINDS = ("user", "managed_service_account")
 
 
-def tokens(estate: Estate, max_depth: int = 32) -> DataFrame:
-    """principal_key, sid, origin, depth: what each user and service holds; the first origin wins."""
+def tokens(estate: Estate, max_depth: int | None = None) -> DataFrame:
+    """principal_key, sid, origin, depth: what each user and service holds; the first origin wins.
+
+    With a depth, ``graph.truncated`` names those whose token is cut short by it.
+    """
     subjects = estate.principals.where(F.col("kind").isin(*SUBJECT_KINDS)).select("principal_key")
     own = subjects.select("principal_key", F.col("principal_key").alias("sid"), F.lit(0).alias("rank"), F.lit("subject").alias("origin"), F.lit(0).alias("depth"))
     groups = closure(estate.edges, max_depth).withColumnsRenamed({"member_key": "principal_key", "group_key": "sid"}).join(subjects, "principal_key", "left_semi")

@@ -20,7 +20,7 @@ def ordered_entries() -> Column:
     """Aggregate: a group's entries in evaluation order, generic rights expanded, what does not apply here left out."""
     kept = F.when(applies_here(), F.struct(
         F.coalesce("order_index", F.lit(2**31 - 1)).alias("at"), "ace_key", (F.col("ace_type") == "allow").alias("allow"), masks.expand_generic(F.col("access_mask")).alias("mask")))
-    return F.array_sort(F.collect_list(kept))
+    return F.slice(F.array_sort(F.collect_list(kept)), 1, MAX_ENTRIES)
 
 
 def fold(entries: Column, owner_rights: Column | None = None) -> Column:

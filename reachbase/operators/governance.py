@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +23,19 @@ def drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return both.select("target_key", "principal_key", verdict.alias("drift"))
 
 
-def snapshot_digest(items: DataFrame, buckets: int = 256) -> DataFrame:
-    """One digest for a set of items in any order: of the digests of its parts, so no task sees all items."""
-    part = F.pmod(F.crc32(F.concat_ws("|", "target_key", "principal_key")), F.lit(buckets))
-    parts = items.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "target_key", "principal_key", "digest"))), "\n"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", F.lpad(F.col("part").cast("string"), 8, "0"), "d"))), "\n"), 256).alias("digest"))
+def snapshot_digest(items: DataFrame, bits: int = 24, fan: int = 4) -> DataFrame:
+    """One digest for a set of items in any order, folded level by level over the leading bits of each item's own digest.
+
+    A part of the finest level holds one of 2^24 shares of the items; each level above folds 16 parts into one.
+    """
+    line = F.concat_ws("|", "target_key", "principal_key", "digest")
+    level = items.select(F.sha2(line, 256).alias("d")).withColumn("part", F.conv(F.substring("d", 1, bits // 4), 16, 10).cast("long"))
+    while True:
+        level = level.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d"))
+        if bits <= 0:
+            return level.select(F.col("d").alias("digest"))
+        bits -= fan
+        level = level.withColumn("part", F.shiftright("part", fan))
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
@@ -39,16 +51,25 @@ def progress(items: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def chained(entries: DataFrame) -> DataFrame:
-    """chain, index, payload, previous, digest: each entry's digest covers its payload and the digest before it."""
-    lists = entries.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("index", "payload"))).alias("e"))
-    start = F.array(F.struct(F.lit(0).cast("long").alias("index"), F.lit("").alias("payload"), F.lit("").alias("previous"), F.lit("").alias("digest")))
-
-    def step(s, x):
-        before = F.element_at(s, -1)["digest"]
-        return F.concat(s, F.array(F.struct(x["index"].cast("long").alias("index"), x["payload"].alias("payload"), before.alias("previous"), F.sha2(F.concat_ws("\n", before, x["payload"]), 256).alias("digest"))))
-
-    each = lists.select("chain", F.explode(F.slice(F.aggregate("e", start, step), 2, 1 << 30)).alias("x"))
-    return each.select("chain", "x.*")
+    """chain, index, payload, previous, digest: each entry's digest covers its payload and the digest before it.
+
+    A chain is sequential by its nature: it streams through one task in order, which holds its last digest alone.
+    """
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last = None, ""
+        for batch in batches:
+            previous, digest = [], []
+            for name, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if name != chain:
+                    chain, last = name, ""
+                previous.append(last)
+                last = hashlib.sha256(f"{last}\n{payload}".encode()).hexdigest()
+                digest.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(previous, pa.string()), pa.array(digest, pa.string())], [*batch.schema.names, "previous", "digest"])
+
+    rows = entries.select("chain", F.col("index").cast("long").alias("index"), F.col("payload").cast("string").alias("payload"))
+    return rows.repartition("chain").sortWithinPartitions("chain", "index").mapInArrow(link, "chain string, index long, payload string, previous string, digest string")
 
 
 def broken_links(chain: DataFrame) -> DataFrame:

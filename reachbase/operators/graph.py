@@ -14,31 +14,36 @@ def neighbours(edges: DataFrame, keys: DataFrame, down: bool) -> DataFrame:
     return keys.select("key").distinct().join(edges.select(F.col(here).alias("key"), F.col(there).alias("neighbour")), "key").distinct()
 
 
-def closure(edges: DataFrame, max_depth: int = 128) -> DataFrame:
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """member_key, group_key, depth: every group reached, with the least number of steps.
 
-    Only groups are closed over, level by level with what is known taken out; members that are no
-    groups themselves are joined to their groups' closure once, at the end.
+    Only groups are closed over, level by level with what is known taken out, until nothing is new; members that
+    are no groups themselves are joined to their groups' closure once, at the end.
     """
     pairs = edges.select("member_key", "group_key").distinct()
     groups = pairs.select(F.col("group_key").alias("member_key")).distinct()
     core = cut(pairs.join(groups, "member_key", "left_semi"))
-    known = cut(core.withColumn("depth", F.lit(1)))
-    frontier, depth = known, 1
+    levels = [cut(core.withColumn("depth", F.lit(1)))]
     step = core.select(F.col("member_key").alias("group_key"), F.col("group_key").alias("next"))
-    while depth < max_depth - 1 and not frontier.isEmpty():
-        depth += 1
-        found = frontier.join(step, "group_key").select("member_key", F.col("next").alias("group_key")).distinct()
-        frontier = cut(found.join(known, ["member_key", "group_key"], "left_anti").withColumn("depth", F.lit(depth)))
-        known = cut(known.unionByName(frontier))
+    known = levels[0]
+    while (max_depth is None or len(levels) < max_depth) and not levels[-1].isEmpty():
+        found = levels[-1].join(step, "group_key").select("member_key", F.col("next").alias("group_key")).distinct()
+        levels.append(cut(found.join(known, ["member_key", "group_key"], "left_anti").withColumn("depth", F.lit(len(levels) + 1))))
+        known = known.unionByName(levels[-1])
     leaves = pairs.join(groups, "member_key", "left_anti")
     above = known.select(F.col("member_key").alias("group_key"), F.col("group_key").alias("far"), "depth")
     through = leaves.join(above, "group_key").select("member_key", F.col("far").alias("group_key"), (F.col("depth") + 1).alias("depth"))
     everything = known.unionByName(leaves.withColumn("depth", F.lit(1))).unionByName(through)
-    return everything.groupBy("member_key", "group_key").agg(F.min("depth").alias("depth")).where(F.col("depth") <= max_depth)
+    out = everything.groupBy("member_key", "group_key").agg(F.min("depth").alias("depth"))
+    return out if max_depth is None else out.where(F.col("depth") <= max_depth)
 
 
-def simple_paths(edges: DataFrame, start: DataFrame, targets: DataFrame, max_depth: int = 8) -> DataFrame:
+def truncated(edges: DataFrame, max_depth: int) -> DataFrame:
+    """member_key: principals that reach further groups beyond the depth, whose answers are a lower bound."""
+    return closure(edges).where(F.col("depth") > max_depth).select("member_key").distinct()
+
+
+def simple_paths(edges: DataFrame, start: DataFrame, targets: DataFrame, max_depth: int = 128) -> DataFrame:
     """start, target, path: every chain of groups without repetition from a start up to a target."""
     step = edges.select(F.col("member_key").alias("at"), F.col("group_key").alias("next")).distinct()
     ends = targets.select(F.col("key").alias("at")).distinct()
@@ -58,7 +63,7 @@ def simple_paths(edges: DataFrame, start: DataFrame, targets: DataFrame, max_dep
     return out
 
 
-def chains(edges: DataFrame, start: DataFrame, down: bool, max_depth: int = 8) -> DataFrame:
+def chains(edges: DataFrame, start: DataFrame, down: bool, max_depth: int = 128) -> DataFrame:
     """start, key, depth, path: every bounded chain without repetition, in one direction."""
     here, there = ("group_key", "member_key") if down else ("member_key", "group_key")
     step = edges.select(F.col(here).alias("key"), F.col(there).alias("next")).distinct()
@@ -83,19 +88,16 @@ def cycles(reach: DataFrame) -> DataFrame:
     return sets.select("members").distinct().select(F.col("members")[0].alias("cycle_id"), "members", F.size("members").alias("size"))
 
 
-def without_edge(edges: DataFrame, removed: DataFrame, root: str, max_depth: int = 32) -> DataFrame:
+def without_edge(edges: DataFrame, removed: DataFrame, root: str) -> DataFrame:
     """removed_group, removed_member, group_key: what the root still reaches after each removal, one at a time."""
     gone = removed.select(F.col("group_key").alias("removed_group"), F.col("member_key").alias("removed_member")).distinct()
     step = edges.select("member_key", "group_key").distinct()
-    known = cut(gone.withColumn("group_key", F.lit(root)))
-    frontier = known
-    for _ in range(max_depth):
+    frontier = known = cut(gone.withColumn("group_key", F.lit(root)))
+    while not frontier.isEmpty():
         further = frontier.withColumnRenamed("group_key", "member_key").join(step, "member_key")
         further = further.where((F.col("member_key") != F.col("removed_member")) | (F.col("group_key") != F.col("removed_group")))
         frontier = cut(further.select("removed_group", "removed_member", "group_key").distinct().join(known, ["removed_group", "removed_member", "group_key"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        known = cut(known.unionByName(frontier))
+        known = known.unionByName(frontier)
     return known.where(F.col("group_key") != root)
 
 

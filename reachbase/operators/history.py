@@ -14,11 +14,14 @@ def versions(observations: DataFrame) -> DataFrame:
     """From (kind, key, container, observed_at, state): one row for each stretch with one state.
 
     Readings are ordered by when they were made, so late ones fall into place; readings of one instant
-    that differ are settled by the greatest state.  Objects are independent: one shuffle by kind and key.
+    that differ are settled by the greatest state.  A move to another container begins a new stretch.  Objects
+    are independent: one shuffle by kind and key.
     """
-    once = observations.groupBy("kind", "key", "container", "observed_at").agg(F.max(F.struct(F.col("state").isNotNull(), "state")).alias("s"))
+    once = observations.groupBy("kind", "key", "observed_at").agg(F.max(F.struct(F.col("state").isNotNull(), "state", "container")).alias("s"))
     by = Window.partitionBy("kind", "key").orderBy("observed_at")
-    rows = once.withColumn("state", F.col("s.state")).withColumn("new", (~F.col("state").eqNullSafe(F.lag("state").over(by))) | (F.row_number().over(by) == 1))
+    rows = once.select("kind", "key", "observed_at", "s.state", "s.container")
+    moved = ~F.col("state").eqNullSafe(F.lag("state").over(by)) | ~F.col("container").eqNullSafe(F.lag("container").over(by))
+    rows = rows.withColumn("new", moved | (F.row_number().over(by) == 1))
     rows = rows.withColumn("stretch", F.sum(F.col("new").cast("int")).over(by))
     held = rows.groupBy("kind", "key", "container", "stretch").agg(F.first("state").alias("state"), F.min("observed_at").alias("valid_from"), F.max("observed_at").alias("last_seen_at"))
     return held.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("kind", "key").orderBy("valid_from"))).drop("stretch")
@@ -54,16 +57,21 @@ def first_present(log: DataFrame) -> DataFrame:
     return log.where(F.col("state").isNotNull()).groupBy("kind", "container").agg(F.min("valid_from").alias("first_at"))
 
 
-def confirmed_before(log: DataFrame, asked: DataFrame) -> DataFrame:
+def confirmed_before(log: DataFrame, asked: DataFrame, bucket: str = "day") -> DataFrame:
     """Adds confirmed_at to (kind, container, at): the newest confirmation in the container before the instant.
 
-    Confirmations and questions are put in one order, so no range is joined.
+    Confirmations and questions are put in one order inside buckets of time, so a container of many readings is
+    spread; what earlier buckets hold comes from one maximum for each.  No range is joined.
     """
     seen = log.select("kind", "container", F.col("last_seen_at").alias("at"), F.col("last_seen_at").alias("seen"), F.lit(1).alias("turn"))
     # At one instant the question comes first: only earlier confirmations count.
     questions = asked.select("kind", "container", "at").distinct().select("*", F.lit(None).cast("timestamp_ntz").alias("seen"), F.lit(0).alias("turn"))
-    run = Window.partitionBy("kind", "container").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    answered = seen.unionByName(questions).withColumn("confirmed_at", F.max("seen").over(run)).where("turn = 0").select("kind", "container", "at", "confirmed_at")
+    rows = seen.unionByName(questions).withColumn("bucket", F.date_trunc(bucket, "at"))
+    earlier = Window.partitionBy("kind", "container").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("kind", "container", "bucket").agg(F.max("seen").alias("most")).select("kind", "container", "bucket", F.max("most").over(earlier).alias("before"))
+    run = Window.partitionBy("kind", "container", "bucket").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    answered = rows.withColumn("inside", F.max("seen").over(run)).where("turn = 0").join(before, ["kind", "container", "bucket"])
+    answered = answered.select("kind", "container", "at", F.coalesce("inside", "before").alias("confirmed_at"))
     return asked.join(answered, ["kind", "container", "at"], "left")
 
 

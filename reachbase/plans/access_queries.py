@@ -238,7 +238,7 @@ def inherited_by_files(e: Estate) -> DataFrame:
 
 _DIGEST = """, l AS (SELECT resource_key, trustee_key || '|' || ace_type || '|0x' || lpad(lower(to_hex(access_mask)), 8, '0') || '|0x' || lpad(lower(to_hex(ace_flags)), 2, '0') AS line, order_index FROM {aces}),
 lk AS (SELECT resource_key, 'ace=' || (row_number() OVER (PARTITION BY resource_key ORDER BY order_index, line) - 1) || '|' || line AS line, order_index FROM l),
-dg AS (SELECT r.resource_key, sha256('acl-normal/1' || chr(10) || 'dacl_present=' || {present} || chr(10) || 'dacl_protected=' || {protected} || chr(10) || 'order=observed' || chr(10) || coalesce(string_agg(line || chr(10), '' ORDER BY order_index, line), '')) AS acl_hash, count(line)::int AS entries
+dg AS MATERIALIZED (SELECT r.resource_key, sha256('acl-normal/1' || chr(10) || 'dacl_present=' || {present} || chr(10) || 'dacl_protected=' || {protected} || chr(10) || 'order=observed' || chr(10) || coalesce(string_agg(line || chr(10), '' ORDER BY order_index, line), '')) AS acl_hash, count(line)::int AS entries
   FROM resources r LEFT JOIN lk USING (resource_key) GROUP BY r.resource_key, dacl_present, dacl_protected)"""
 
 

@@ -99,9 +99,9 @@ def containers_first_present(v: DataFrame) -> DataFrame:
     return history.first_present(v).select("container", "first_at")
 
 
-@on_log("SELECT container, at, (SELECT max(last_seen_at) FROM log l WHERE l.container = a.container AND l.last_seen_at < a.at) AS confirmed_at FROM (SELECT DISTINCT container, valid_from AS at FROM log WHERE key::int < 20) a".replace(" at,", ' "at",').replace("AS at ", 'AS "at" ').replace("a.at)", 'a."at")'))
+@on_log('SELECT a.container, a."at", l.seen AS confirmed_at FROM (SELECT DISTINCT container, valid_from AS "at" FROM log) a ASOF LEFT JOIN (SELECT container, max(last_seen_at) AS seen FROM log GROUP BY container, last_seen_at) l ON l.container = a.container AND a."at" > l.seen')
 def confirmed_before(v: DataFrame) -> DataFrame:
-    asked = v.where(F.col("key").cast("int") < 20).select("kind", "container", F.col("valid_from").alias("at")).distinct()
+    asked = v.select("kind", "container", F.col("valid_from").alias("at")).distinct()
     return history.confirmed_before(v, asked).select("container", "at", "confirmed_at")
 
 
@@ -186,13 +186,13 @@ SELECT alert, seq, transition, shown AS folds FROM w WHERE k > 0"""
 
 def watched_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = changes.feed(log(spark, sf_dir), _at("2024-01-01"), _at(T1))
-    users = table(spark, sf_dir, "events").select("user_id").distinct().where("user_id % 5 = 0")
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
     watches = users.select((F.col("user_id") + 7).alias("watch_id"), F.lit("session").alias("kind"), F.col("user_id").cast("string").alias("key"), F.lit("removed").alias("trigger"), F.lit(True).alias("enabled"))
     return alerts.matched(watches, feed).select("watch_id", "key", "trigger", "changed_by")
 
 
 QUERIES["watched_changes"] = watched_changes
-ORACLE["watched_changes"] = LOG + _FEED + " SELECT key::bigint + 7 AS watch_id, key, action AS \"trigger\", greatest(valid_from, lower) AS changed_by FROM feed WHERE action = 'removed' AND key::bigint % 5 = 0"
+ORACLE["watched_changes"] = LOG + _FEED + " SELECT key::bigint + 7 AS watch_id, key, action AS \"trigger\", greatest(valid_from, lower) AS changed_by FROM feed WHERE action = 'removed'"
 
 
 @on_runs("SELECT collector, target, run_id, status, started_at FROM latest")
@@ -245,7 +245,7 @@ def review_progress(r: DataFrame) -> DataFrame:
     return governance.progress(items, decisions)
 
 
-_CHAIN = """, e AS (SELECT collector AS chain, run_id, row_number() OVER (PARTITION BY collector ORDER BY run_id) AS k FROM runs WHERE run_id < 300),
+_CHAIN = """, e AS (SELECT collector AS chain, run_id, row_number() OVER (PARTITION BY collector ORDER BY run_id) AS k FROM runs),
 w(chain, k, payload, previous, digest) AS (SELECT chain, 0::bigint, '', '', '' FROM (SELECT DISTINCT chain FROM e) UNION ALL SELECT w.chain, e.k, e.run_id::varchar, w.digest, sha256(w.digest || chr(10) || e.run_id::varchar) FROM w JOIN e ON e.chain = w.chain AND e.k = w.k + 1)"""
 
 
@@ -259,12 +259,13 @@ ORACLE["audit_chain"] = ORACLE["audit_chain"].replace("WITH runs", "WITH RECURSI
 
 def _audited(r: DataFrame) -> DataFrame:
     seat = F.row_number().over(Window.partitionBy("collector").orderBy("run_id"))
-    return r.where("run_id < 300").select(F.col("collector").alias("chain"), seat.alias("index"), F.col("run_id").cast("string").alias("payload"))
+    return r.select(F.col("collector").alias("chain"), seat.alias("index"), F.col("run_id").cast("string").alias("payload"))
 
 
-@on_runs("SELECT collector AS chain, 3::bigint AS first_broken FROM runs WHERE run_id < 300 GROUP BY 1 HAVING count(*) >= 3")
+@on_runs('SELECT chain, min(k) AS first_broken FROM (SELECT collector AS chain, run_id, row_number() OVER (PARTITION BY collector ORDER BY run_id) AS k FROM runs) WHERE run_id % 1009 = 0 GROUP BY 1')
 def audit_breaks(r: DataFrame) -> DataFrame:
-    altered = F.when(F.col("index") == 3, F.concat("payload", F.lit("x"))).otherwise(F.col("payload"))
+    """Payloads altered after they were chained, here and there: the first of each chain is found."""
+    altered = F.when(F.col("payload").cast("long") % 1009 == 0, F.concat("payload", F.lit("x"))).otherwise(F.col("payload"))
     return governance.broken_links(governance.chained(_audited(r)).withColumn("payload", altered))
 
 

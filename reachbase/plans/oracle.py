@@ -23,7 +23,7 @@ placed AS (SELECT *, root || '\' || size AS middle, root || '\' || size || '\p'
          '\\' || lower(replace(p_brand, '#', '')) || '\' || lower(p_type) AS root, p_size::varchar AS size FROM part)),
 servers AS (SELECT DISTINCT server_key FROM placed),
 shares AS (SELECT DISTINCT share_key, server_key, type AS name FROM placed),
-resources AS (
+resources AS MATERIALIZED (
   SELECT DISTINCT root AS resource_key, NULL AS parent_key, server_key, share_key, 0 AS depth, true AS dacl_present, true AS dacl_protected, NULL AS owner_key FROM placed
   UNION ALL SELECT DISTINCT middle, root, server_key, share_key, 1, true, false, NULL FROM placed
   UNION ALL SELECT leaf, middle, server_key, share_key, 2, p_partkey % 97 <> 0, p_partkey % 11 = 0, 'S-1-5-21-1-1-2-' || (o + 1000)
@@ -39,11 +39,11 @@ leaf_aces AS (
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
   JOIN placed ON l_partkey = p_partkey WHERE p_partkey % 97 <> 0 GROUP BY ALL),
 keyed_aces AS (SELECT *, resource_key || '|' || trustee_key || '|' || ace_type || '|0x' || lpad(lower(to_hex(access_mask)), 8, '0') || '|0x' || lpad(lower(to_hex(ace_flags)), 2, '0') AS ace_key FROM leaf_aces),
-ntfs_aces AS (
+ntfs_aces AS MATERIALIZED (
   SELECT resource_key, trustee_key, ace_type, access_mask, ace_flags, (row_number() OVER (PARTITION BY resource_key ORDER BY first_order, ace_key) - 1)::int AS order_index, ace_key FROM keyed_aces
   UNION ALL SELECT resource_key, 'S-1-5-21-1-1-1-513', 'allow', 1179817, CASE depth WHEN 0 THEN 3 ELSE 19 END, 0,
     resource_key || '|S-1-5-21-1-1-1-513|allow|0x001200a9|' || CASE depth WHEN 0 THEN '0x03' ELSE '0x13' END FROM resources WHERE depth < 2),
-share_aces AS (
+share_aces AS MATERIALIZED (
   SELECT share_key, trustee_key, 'allow' AS ace_type, permission, share_key || '|' || trustee_key || '|allow|' || permission AS ace_key FROM (
     SELECT DISTINCT share_key, 'S-1-5-21-1-1-3-' || (s_nationkey + 1000) AS trustee_key, (['read', 'change', 'full'])[1 + (s_nationkey + length(type)) % 3] AS permission
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN placed ON l_partkey = p_partkey WHERE (substr(server_key, 6)::int + length(type)) % 7 <> 0)),

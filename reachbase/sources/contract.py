@@ -54,7 +54,7 @@ def rejected(rows: DataFrame) -> DataFrame:
 
 def principals(rows: DataFrame) -> DataFrame:
     p = rows.where("kind = 'principal'")
-    return p.select(keys.principal_key(F.col("sid"), F.col("host_key")).alias("principal_key"), F.col("principal_kind").alias("kind"), F.col("display_name").alias("name"), "enabled", "observed_at", "arrival")
+    return p.select(keys.principal_key(F.col("sid"), F.col("host_key"), F.col("principal_kind")).alias("principal_key"), F.col("principal_kind").alias("kind"), F.col("display_name").alias("name"), "enabled", "observed_at", "arrival")
 
 
 def edges(rows: DataFrame) -> DataFrame:
@@ -62,6 +62,15 @@ def edges(rows: DataFrame) -> DataFrame:
     return e.select(keys.principal_key(F.col("group_sid"), F.col("host_key")).alias("group_key"), keys.principal_key(F.col("member_sid"), F.col("host_key")).alias("member_key"), "edge_kind", "observed_at", "arrival")
 
 
+def servers(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 'server'").select(F.lower("name").alias("server_key"), "observed_at", "arrival")
+
+
+def shares(rows: DataFrame) -> DataFrame:
+    s = rows.where("kind = 'smb_share'")
+    return s.select(keys.share_key(F.col("server_name"), F.col("share_name")).alias("share_key"), F.lower("server_name").alias("server_key"), F.lower("share_name").alias("name"), "local_path", "share_type", "observed_at", "arrival")
+
+
 def ntfs_aces(rows: DataFrame) -> DataFrame:
     a = rows.where("kind = 'ntfs_ace'").withColumns({"resource_key": keys.resource_key(F.col("path")), "trustee_key": keys.principal_key(F.col("trustee_sid"), F.element_at(keys.parts(F.col("path")), 1))})
     return a.select("resource_key", "trustee_key", "ace_type", "access_mask", "ace_flags", "order_index", keys.ntfs_ace_key(F.col("resource_key"), F.col("trustee_key"), F.col("ace_type"), F.col("access_mask"), F.col("ace_flags")).alias("ace_key"), "observed_at", "arrival")

@@ -24,7 +24,7 @@ def to_tables(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery
 
     def write(rows: DataFrame, epoch: int) -> None:
         seen = contract.observations(rows)
-        for name in ("principals", "edges", "ntfs_aces", "share_aces", "resources"):
+        for name in ("principals", "edges", "servers", "shares", "share_aces", "resources", "ntfs_aces"):
             getattr(contract, name)(seen).write.mode("overwrite").parquet(f"{folder}/{name}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -37,8 +37,9 @@ _HELD = "state string, valid_from timestamp, last_seen_at timestamp"
 def _record(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
     """One reading after another against the open version of an object, in the order in which they arrive."""
     out = []
-    for part in parts:
-        for row in part.sort_values("arrival").itertuples():
+    # A key's readings of one trigger may come in several parts, whose order says nothing.
+    for part in [pd.concat(list(parts)).sort_values("arrival")]:
+        for row in part.itertuples():
             if not held.exists:
                 held.update((row.state, row.observed_at, row.observed_at))
                 out.append((key[0], "opened", row.state, row.observed_at))
