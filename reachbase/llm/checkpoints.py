@@ -19,14 +19,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpoint(rows: DataFrame) -> DataFrame:
-    """For small tables: Spark's own checkpoint."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(rows.sparkSession))
-    return rows.checkpoint()
-
-
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -43,6 +35,11 @@ def stored(rows: DataFrame) -> DataFrame:
     return session.read.schema(rows.schema).parquet(path)
 
 
+def checkpoint(rows: DataFrame) -> DataFrame:
+    """For the small tables of loops: the same.  Spark's own checkpoint computes its rows twice, once to count them and once to write them."""
+    return stored(rows)
+
+
 def discard(rows: DataFrame) -> None:
     """Deletes the files of a stored() table; for tables that only other stored tables were made from."""
     session = rows.sparkSession
