@@ -28,6 +28,8 @@ BIN_BITS = 8
 STORED_BITS = 8
 #: Bytes of text in a block of neighbours; there is one cut for each in the plan.
 BLOCK_BYTES = 32 << 20
+#: Up to this number of blocks, the places of their first rows are sent to every executor.
+BROADCAST_BLOCKS = 50_000
 
 
 def _first_on_tour(values: str, bins: int) -> Column:
@@ -106,7 +108,8 @@ def with_next(docs: DataFrame, make: Callable[[DataFrame], DataFrame], columns:
     cuts = _cuts(placed.select(F.col(place).alias("place")), blocks)
     dealt = placed.withColumn(block, _block_of(place, cuts))
     first = dealt.groupBy(block).agg(F.max(place).alias(place))
-    heads = dealt.join(first, [block, place], "left_semi").dropDuplicates([block])
+    # One row of four numbers for each block.
+    heads = dealt.join(F.broadcast(first) if len(cuts) <= BROADCAST_BLOCKS else first, [block, place], "left_semi").dropDuplicates([block])
     made_heads = checkpoint(make(heads.select(*docs.columns, block)).select(((F.col(block) + 1) % max(1, len(cuts))).alias(block), F.struct(*columns).alias(head)))
     parts = max(len(cuts), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = make(dealt.repartition(parts, block))
