@@ -280,14 +280,14 @@ def classed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, n_shingles, cls (the class), root (a class that names the component) and component_id for every row of ``docs``.
+    """``key``, n_shingles, cls (the class), digest (SHA-256 of the text), root (a class that names the component) and component_id for every row of ``docs``.
 
     Components of rows without an id, or with different texts under one, may share a component_id but never a root.
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(size // BLOCK_BYTES)).bit_length()
-    members = checkpoint(classed(docs).select("doc_id", "cls", "n_shingles"))
+    members = checkpoint(classed(docs).select("doc_id", "cls", "n_shingles", F.sha2("text", 256).alias("digest")))
     shared = _packed(docs.select("text"), bits).groupBy("block").applyInArrow(_shared, _SENT)
     held = shared.groupBy("chunk").applyInArrow(_assemble, "cls long, n int, tokens binary, prefix array<long>, least array<long>")
     sets = stored(held.dropDuplicates(["cls"]))
@@ -319,4 +319,4 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rooted = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rooted.join(least, "root", "left")
-    return out.select(F.col("doc_id").alias(key), "n_shingles", "cls", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select(F.col("doc_id").alias(key), "n_shingles", "cls", "digest", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
