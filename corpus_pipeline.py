@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from reachbase.llm import byte_bpe, importance, jaccard_join, mixing, pii
 from reachbase.llm.checkpoints import stored
+from reachbase.llm.words import unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +27,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one row of each group of linked ones: of the smallest doc_id, a null one last, and the least class under it.
+    """Leaves one row of each group of linked ones: of the smallest doc_id, a null one last, and the least text digest under it.
 
     Rows without a set link with nothing and stay; those with one doc_id and equal text are one document.
     """
-    pairs = jaccard_join.link(docs).where("n_shingles > 0").groupBy("root", "doc_id", "cls").agg(F.count("*").alias("_rows"))
-    stays = pairs.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cls", "_rows")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.cls").alias("_cls"), "x._rows")
-    kept = jaccard_join.classed(docs).where("n_shingles > 0").join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("cls") == F.col("_cls")))
-    kept = stored(kept.select(*docs.columns, "cls", "_rows"))
-    single, repeated = kept.where("_rows = 1"), kept.where("_rows > 1").dropDuplicates(["cls"])
+    digest, count, held = unused(docs, "_digest", "_rows", "_held")
+    linked = jaccard_join.link(docs).where("n_shingles > 0").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
+    least = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "n")).alias("x"))
+    stays = stored(least.select(F.col("x.doc_id").alias(held), F.col("x.digest").alias(digest), F.col("x.n").alias(count)))
+    kept = docs.withColumn(digest, F.sha2("text", 256)).join(stays, digest).where(F.col("doc_id").eqNullSafe(F.col(held)))
+    kept = stored(kept.select(*docs.columns, digest, count))
+    single, repeated = kept.where(F.col(count) == 1), kept.where(F.col(count) > 1).dropDuplicates(["doc_id", digest])
     bare = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x09-\x0d ]"), F.lit(False)))
     alone, unnamed = bare.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]), bare.where("doc_id IS NULL")
     return single.select(*docs.columns).unionByName(repeated.select(*docs.columns)).unionByName(alone.select(*docs.columns)).unionByName(unnamed.select(*docs.columns))
