@@ -27,8 +27,25 @@ def page(rows: DataFrame, order: list[Column], limit: int, after: Column | None
     return (rows if after is None else rows.where(after)).orderBy(*order).limit(limit + 1)
 
 
-def severity_rank(column: Column, names: tuple[str, ...]) -> Column:
-    out = F.lit(-1)
-    for i, name in enumerate(names):
-        out = F.when(column == name, F.lit(i)).otherwise(out)
-    return out
+def numbered_page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """Some rows in order, each with the exact total."""
+    return rows.orderBy(*order).offset(offset).limit(limit).withColumn("total", rows.agg(F.count("*")).scalar())
+
+
+def cursor(*columns: str) -> Column:
+    """An opaque mark of a place in an order: base64 of the row's keys as JSON."""
+    return F.base64(F.to_json(F.struct(*columns)).cast("binary"))
+
+
+def cursor_fields(value: Column, schema: str) -> Column:
+    return F.from_json(F.unbase64(value).cast("string"), schema)
+
+
+def iso_instant(t: Column) -> Column:
+    """UTC with microseconds."""
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def canonical_json(*columns: str) -> Column:
+    """Fields by name, without spaces, nulls kept."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

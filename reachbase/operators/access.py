@@ -7,7 +7,7 @@ each class, and the classes are opened to principals only where a caller asks fo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachbase.functions import keys, masks
@@ -41,11 +41,38 @@ def classes(held: DataFrame, trustees: DataFrame) -> tuple[DataFrame, DataFrame]
     return keyed.select("principal_key", "class_key"), keyed.dropDuplicates(["class_key"]).select("class_key", F.explode("sids").alias("sid"))
 
 
+#: Trustees of a list that one long can tell apart, beside the bit for those that every class holds.
+SEATS = 62
+
+
 def ntfs_rights(members: DataFrame, aces: DataFrame) -> DataFrame:
-    """class_key, resource_key, granted, denied, canonical for every list that names what a class holds."""
-    matched = aces.where(acl.applies_here()).join(members, aces["trustee_key"] == members["sid"])
-    folded = matched.groupBy("class_key", "resource_key").agg(acl.fold(acl.ordered_entries()).alias("f"))
-    return folded.select("class_key", "resource_key", "f.granted", "f.denied", "f.canonical")
+    """class_key, resource_key, granted, denied, canonical for every list that names what a class holds.
+
+    A list is evaluated once for each subset of its own trustees that some class holds: a subset is a long with a bit
+    for each trustee of the list, and trustees that every class holds share one bit and are joined once for each list.
+    Lists of more trustees than a long has bits are evaluated for each class.
+    """
+    here = aces.where(acl.applies_here())
+    total = members.agg(F.count_distinct("class_key")).scalar()
+    held_by_all = members.groupBy("sid").agg(F.count_distinct("class_key").alias("n")).where(F.col("n") == total).select(F.col("sid").alias("trustee_key"), F.lit(True).alias("all"))
+    one = held_by_all.agg(F.min("trustee_key")).scalar()
+    named = here.select("resource_key", "trustee_key").distinct().join(held_by_all, "trustee_key", "left").withColumn("all", F.coalesce("all", F.lit(False)))
+    seat = F.row_number().over(Window.partitionBy("resource_key").orderBy("all", "trustee_key")) - 1
+    most = F.count_if(~F.col("all")).over(Window.partitionBy("resource_key"))
+    seated = named.withColumns({"seat": seat, "most": most}).withColumn("bit", F.when(F.col("all"), F.lit(1 << SEATS)).otherwise(F.expr("shiftleft(1L, seat)")))
+    small = seated.where(F.col("most") <= SEATS).select("resource_key", "trustee_key", "bit", "all")
+
+    asked = small.select("resource_key", "bit", F.when(F.col("all"), one).otherwise(F.col("trustee_key")).alias("sid")).distinct()
+    subsets = asked.join(members, "sid").groupBy("class_key", "resource_key").agg(F.bit_or("bit").alias("subset"))
+    entries = here.join(small.select("resource_key", "trustee_key", "bit"), ["resource_key", "trustee_key"])
+    lists = subsets.select("resource_key", "subset").distinct().join(entries, "resource_key").where(F.col("subset").bitwiseAND(F.col("bit")) != 0)
+    folded = lists.groupBy("resource_key", "subset").agg(acl.fold(acl.ordered_entries()).alias("f"))
+    by_subset = subsets.join(folded, ["resource_key", "subset"])
+
+    large = here.join(seated.where(F.col("most") > SEATS).select("resource_key").distinct(), "resource_key", "left_semi")
+    matched = large.join(members, large["trustee_key"] == members["sid"])
+    by_class = matched.groupBy("class_key", "resource_key").agg(acl.fold(acl.ordered_entries()).alias("f"))
+    return by_subset.select("class_key", "resource_key", "f").unionByName(by_class).select("class_key", "resource_key", "f.granted", "f.denied", "f.canonical")
 
 
 def share_rights(members: DataFrame, share_aces: DataFrame) -> DataFrame:
@@ -72,9 +99,11 @@ def limiting_layer(ntfs: Column, share: Column) -> Column:
     return F.when(by_share & by_ntfs, "both").when(by_share, "smb_share").when(by_ntfs, "ntfs").otherwise("none")
 
 
-def matrix(estate: Estate) -> tuple[DataFrame, DataFrame]:
+def matrix(estate: Estate, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Remote access of every class to every resource that it could reach, and the classes' principals.
 
+    ``only`` (principal_key) leaves the others out before anything is evaluated.
+
     A list that nobody read bounds the answer from above: no share entries means that the share side
     was not observed.  A missing list (null DACL) is evaluated as one entry that grants everything to everyone.
     """
@@ -82,7 +111,8 @@ def matrix(estate: Estate) -> tuple[DataFrame, DataFrame]:
     total = F.lit(masks.FILE_ALL).cast("long")
     open_ = estate.resources.where(~F.col("dacl_present")).select("resource_key", everyone.alias("trustee_key"), F.lit("allow").alias("ace_type"), total.alias("access_mask"), F.lit(0).alias("ace_flags"), F.lit(0).alias("order_index"), F.lit("null_dacl").alias("ace_key"))
     aces = estate.ntfs_aces.unionByName(open_)
-    principals, members = classes(tokens(estate), aces.select("trustee_key").union(estate.share_aces.select("trustee_key")))
+    held = tokens(estate) if only is None else tokens(estate).join(only, "principal_key", "left_semi")
+    principals, members = classes(held, aces.select("trustee_key").union(estate.share_aces.select("trustee_key")))
     both = ntfs_rights(members, aces).join(estate.resources.select("resource_key", "share_key"), "resource_key")
     observed = estate.share_aces.select("share_key").distinct().withColumn("observed", F.lit(True))
     rows = both.join(observed, "share_key", "left").join(share_rights(members, estate.share_aces), ["class_key", "share_key"], "left")
@@ -118,6 +148,53 @@ def principals_on(estate: Estate, resource: str) -> DataFrame:
     return folded.select(F.col("member_key").alias("principal_key"), F.col("f.granted").alias("ntfs_rights"), "trustees").where("ntfs_rights <> 0")
 
 
+#: Read and change a list's permissions: an owner's own rights.
+OWNER_BITS = 0x20000 | 0x40000
+
+
+def pair_access(estate: Estate, pairs: DataFrame) -> DataFrame:
+    """principal_key, resource_key, ntfs_rights, share_rights, owner, local, remote, verdict: for the stated pairs alone.
+
+    Only lists and tokens of the pairs are evaluated.  Locally the token holds INTERACTIVE and the share does not
+    count; over the share it holds NETWORK.  An owner may read and change the list, unless the list has an entry for
+    OWNER RIGHTS.  An unread share bounds remote access from above.
+    """
+    asked = pairs.select("principal_key", "resource_key").distinct()
+    own = tokens(estate).join(asked.select("principal_key").distinct(), "principal_key", "left_semi").select("principal_key", F.col("sid").alias("trustee_key"))
+    ways = own.withColumn("way", F.explode(F.array(F.lit("local"), F.lit("remote"))))
+    logon = asked.select("principal_key").distinct().select("principal_key", F.explode(F.array(F.struct(F.lit(keys.INTERACTIVE).alias("trustee_key"), F.lit("local").alias("way")), F.struct(F.lit(keys.NETWORK).alias("trustee_key"), F.lit("remote").alias("way")))).alias("x"))
+    held = ways.unionByName(logon.select("principal_key", "x.trustee_key", "x.way"))
+    lists = estate.ntfs_aces.join(asked.select("resource_key").distinct(), "resource_key", "left_semi")
+    matched = asked.join(lists.where(acl.applies_here()), "resource_key").join(held, ["principal_key", "trustee_key"])
+    folded = matched.groupBy("principal_key", "resource_key", "way").agg(acl.fold(acl.ordered_entries()).alias("f")).select("principal_key", "resource_key", "way", "f.granted", "f.denied")
+    about = asked.join(estate.resources.select("resource_key", "share_key", "dacl_present", "owner_key"), "resource_key")
+    restated = lists.where(keys.sid_of(F.col("trustee_key")) == keys.OWNER_RIGHTS).select("resource_key").distinct().withColumn("restated", F.lit(True))
+    observed = estate.share_aces.select("share_key").distinct().withColumn("observed", F.lit(True))
+    on_share = about.select("principal_key", "share_key").distinct().join(estate.share_aces, "share_key").join(held.where("way = 'remote'").drop("way"), ["principal_key", "trustee_key"]).withColumn("mask", masks.share_mask(F.col("permission")))
+    zero, total = F.lit(0).cast("long"), F.lit(masks.FILE_ALL).cast("long")
+    side = lambda kind: F.coalesce(F.bit_or(F.when(F.col("ace_type") == kind, F.col("mask"))), zero)
+    shares = on_share.groupBy("principal_key", "share_key").agg(masks.minus(side("allow"), side("deny")).alias("share_mask"))
+    rows = about.join(restated, "resource_key", "left").join(observed, "share_key", "left").join(shares, ["principal_key", "share_key"], "left")
+    for way in ("local", "remote"):
+        one = folded.where(F.col("way") == way).select("principal_key", "resource_key", F.col("granted").alias(f"{way}_granted"), F.col("denied").alias(f"{way}_denied"))
+        rows = rows.join(one, ["principal_key", "resource_key"], "left")
+    owner = (F.col("owner_key") == F.col("principal_key")) & F.col("restated").isNull()
+    bits = F.when(F.coalesce(owner, F.lit(False)), F.lit(OWNER_BITS).cast("long")).otherwise(zero)
+    ntfs = lambda way: F.when(~F.col("dacl_present"), total).otherwise(F.coalesce(f"{way}_granted", zero)).bitwiseOR(bits)
+    seen = F.coalesce("observed", F.lit(False))
+    share = F.when(seen, F.coalesce("share_mask", zero)).otherwise(total)
+    remote = ntfs("remote").bitwiseAND(share)
+    return rows.select(
+        "principal_key", "resource_key", ntfs("remote").alias("ntfs_rights"), share.alias("share_rights"), (bits != 0).alias("owner"), ntfs("local").alias("local"), remote.alias("remote"),
+        verdict(remote, certainty(~seen, F.lit(False)), F.coalesce("remote_denied", zero)).alias("verdict"),
+    )
+
+
+def system_mapping(server: Column, enabled: Column, over_share: Column) -> Column:
+    """How a machine's own account stands for SYSTEM: not presented over a share, else by what is known of the account."""
+    return F.when(over_share, "not_presented").when(server.isNull(), "unknown_machine").when(enabled.isNull(), "unverified").when(enabled, "mapped").otherwise("disabled_machine")
+
+
 def removal_effects(members: DataFrame, aces: DataFrame) -> DataFrame:
     """class_key, resource_key, ace_key, lost, gained: each entry taken out in turn and the list evaluated anew."""
     matched = aces.join(members, aces["trustee_key"] == members["sid"]).where(F.col("ace_flags").bitwiseAND(masks.INHERIT_ONLY) == 0)

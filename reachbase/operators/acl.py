@@ -137,3 +137,20 @@ def boundaries(resources: DataFrame, aces: DataFrame) -> DataFrame:
         .when(~F.col("parent_present"), "parent_null_dacl").when(F.col("handed_down").isNull(), "parent_unreadable").when(F.col("acl_hash") != F.col("handed_down"), "acl_differs_from_parent")
     )
     return rows.select("resource_key", reason.alias("boundary_reason"))
+
+
+def digest_checks(resources: DataFrame, aces: DataFrame, reported: DataFrame) -> DataFrame:
+    """resource_key, digest_agrees, count_agrees from reported (resource_key, acl_hash, ace_count), recomputed from the entries; null where nothing was reported."""
+    own = digests(resources, aces).select("resource_key", F.col("acl_hash").alias("own_hash"), F.col("entries").alias("own_count"))
+    rows = own.join(reported.select("resource_key", "acl_hash", "ace_count"), "resource_key", "left")
+    return rows.select("resource_key", (F.col("acl_hash") == F.col("own_hash")).alias("digest_agrees"), (F.col("ace_count") == F.col("own_count")).alias("count_agrees"))
+
+
+def reprotected(aces: DataFrame, resources: DataFrame, keep: bool) -> DataFrame:
+    """The entries of lists whose inheritance is switched off: handed-down ones become the list's own, or go."""
+    down = F.col("ace_flags").bitwiseAND(masks.INHERITED) != 0
+    named = aces.join(resources.select("resource_key"), "resource_key", "left_semi")
+    if not keep:
+        return named.where(~down)
+    flags = F.when(down, F.col("ace_flags") - masks.INHERITED).otherwise(F.col("ace_flags"))
+    return named.withColumn("ace_flags", flags.cast("int")).withColumn("ace_key", keys.ntfs_ace_key(F.col("resource_key"), F.col("trustee_key"), F.col("ace_type"), F.col("access_mask"), F.col("ace_flags")))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachbase.functions import keys, masks
-from reachbase.operators import history
+from reachbase.operators import acl, history
 
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 WRITE_BITS = 0x2 | 0x4 | 0x10 | 0x100 | 0x10000 | 0x40 | masks.ESCALATION
@@ -38,14 +38,13 @@ def compare(log: DataFrame, t1: Column, t2: Column) -> DataFrame:
 
 
 def summary(changes: DataFrame, by: list[str]) -> DataFrame:
-    """One pass for all tallies: a row for each value of each column, and the total."""
-    sets = changes.cube(*by).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
-    single = [(1 << len(by)) - 1 - (1 << (len(by) - 1 - i)) for i in range(len(by))]
-    facet = F.lit("total")
-    value = F.lit("")
-    for name, g in zip(by, single, strict=True):
-        facet, value = F.when(F.col("g") == g, F.lit(name)).otherwise(facet), F.when(F.col("g") == g, F.col(name)).otherwise(value)
-    return sets.where(F.col("g").isin(*single, (1 << len(by)) - 1)).select(facet.alias("facet"), value.alias("value"), "n")
+    """One pass for all tallies: a row for each value of each column, and the total; only these grouping sets are computed."""
+    sets = changes.groupingSets([[F.col(c)] for c in by] + [[]], *[F.col(c) for c in by]).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    facet, value = F.lit("total"), F.lit("")
+    for i, name in enumerate(by):
+        only = F.col("g") == (1 << len(by)) - 1 - (1 << (len(by) - 1 - i))
+        facet, value = F.when(only, F.lit(name)).otherwise(facet), F.when(only, F.col(name)).otherwise(value)
+    return sets.select(facet.alias("facet"), value.alias("value"), "n")
 
 
 @dataclass(frozen=True)
@@ -111,3 +110,30 @@ def entry_edits(before: DataFrame, after: DataFrame) -> DataFrame:
     wider, narrower = F.when(F.col("ace_type") == "deny", loss).otherwise(gain), F.when(F.col("ace_type") == "deny", gain).otherwise(loss)
     way = F.when(wider & narrower, "mixed").when(wider, "broadened").when(narrower, "narrowed").otherwise("neutral")
     return sides.select(*where, "removed", "added", F.when(one, "edited").otherwise("ambiguous").alias("pairing"), F.when(one, way).alias("direction"))
+
+
+#: Fields that matter for access; changes to others are cosmetic.
+SIGNIFICANT = {"ntfs_ace": ("access_mask", "ace_flags", "ace_type", "trustee_key"), "resource": ("dacl_present", "dacl_protected", "owner_key"), "principal": ("enabled", "kind")}
+
+
+def field_deltas(before: DataFrame, after: DataFrame, key: str, fields: list[str], kind: str) -> DataFrame:
+    """key, field, old, new, significant: one row for each field that differs, a missing side counting as null."""
+    side = lambda rows, name: rows.select(key, F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))]).alias(name))
+    both = side(before, "_a").join(side(after, "_b"), key, "full_outer")
+    each = both.select(key, "_a", "_b", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"))
+    rows = each.select(key, "field", F.try_element_at("_a", F.col("field")).alias("old"), F.try_element_at("_b", F.col("field")).alias("new"))
+    return rows.where(~F.col("old").eqNullSafe(F.col("new"))).withColumn("significant", F.col("field").isin(*SIGNIFICANT.get(kind, ())))
+
+
+def order_changes(resources: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """resource_key, material: lists that hold the same entries in another order, and whether anyone who holds all their trustees gets other rights."""
+    entries = lambda rows: rows.groupBy("resource_key").agg(F.array_sort(F.collect_list("ace_key")).alias("held"), F.array_sort(F.collect_list(F.struct("order_index", "ace_key"))).alias("seats"), acl.fold(acl.ordered_entries()).alias("f"))
+    a, b = (entries(rows).select("resource_key", *[F.col(c).alias(f"{c}_{n}") for c in ("held", "seats", "f")]) for rows, n in ((before, "a"), (after, "b")))
+    same = a.join(b, "resource_key").where("held_a = held_b")
+    moved = F.transform("seats_a", lambda x: x["ace_key"]) != F.transform("seats_b", lambda x: x["ace_key"])
+    return same.where(moved).join(resources.select("resource_key"), "resource_key", "left_semi").select("resource_key", (F.col("f_a.granted") != F.col("f_b.granted")).alias("material"))
+
+
+def siblings(changes: DataFrame, container: str) -> DataFrame:
+    """Adds how many other changes of the window fall into the same container."""
+    return changes.withColumn("siblings", F.count("*").over(Window.partitionBy(container)) - 1)

@@ -108,3 +108,36 @@ def newest_wins(rows: DataFrame, key: list[str], payload: list[str]) -> DataFram
 def aliases(rows: DataFrame) -> DataFrame:
     """key, alias, first_seen, last_seen: every name that an object went by, letter case aside."""
     return rows.groupBy("key", F.lower("name").alias("alias")).agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"))
+
+
+def estate_at(estate, logs: dict[str, DataFrame], t: Column):
+    """The estate as it was at an instant: each table named in ``logs`` (its columns, valid_from, valid_to) by its versions that hold then."""
+    return estate.with_(**{name: as_of(log, t).select(*getattr(estate, name).columns) for name, log in logs.items()})
+
+
+def affirmed(log: DataFrame, seen: DataFrame) -> DataFrame:
+    """The log with open versions confirmed by readings (kind, key, at) that say: still as it was."""
+    newest = seen.groupBy("kind", "key").agg(F.max("at").alias("_at"))
+    rows = log.join(newest, ["kind", "key"], "left")
+    return rows.withColumn("last_seen_at", F.when(F.col("valid_to").isNull(), F.greatest("last_seen_at", "_at")).otherwise(F.col("last_seen_at"))).drop("_at")
+
+
+def affirmed_contained(log: DataFrame, seen: DataFrame) -> DataFrame:
+    """The same for all open, present versions of a container (kind, container, at)."""
+    newest = seen.groupBy("kind", "container").agg(F.max("at").alias("_at"))
+    open_ = F.col("valid_to").isNull() & F.col("state").isNotNull()
+    return log.join(newest, ["kind", "container"], "left").withColumn("last_seen_at", F.when(open_, F.greatest("last_seen_at", "_at")).otherwise(F.col("last_seen_at"))).drop("_at")
+
+
+def timeline(log: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` versions of each object in order, each with its transition and whether older ones were left out."""
+    down = Window.partitionBy("kind", "key").orderBy(F.col("valid_from").desc())
+    rows = with_predecessor(log).withColumns({"seat": F.row_number().over(down), "n": F.count("*").over(Window.partitionBy("kind", "key"))})
+    move = F.when(F.col("state").isNull(), "removed").when(~F.col("had_before"), "first_observed").when(F.col("before_state").isNull(), "returned").otherwise("changed")
+    return rows.where(F.col("seat") <= limit).select("kind", "key", "valid_from", "state", move.alias("transition"), (F.col("n") > limit).alias("truncated"))
+
+
+def currently_present(base: DataFrame, log: DataFrame, kind: str, key: str) -> DataFrame:
+    """The rows of a table whose object has no open tombstone."""
+    gone = absent_now(log).where(F.col("kind") == kind).select(F.col("key").alias(key))
+    return base.join(gone, key, "left_anti")

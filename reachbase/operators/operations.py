@@ -38,7 +38,10 @@ def coverage(runs: DataFrame) -> DataFrame:
 
 def errors_by_code(errors: DataFrame) -> DataFrame:
     """code, errors, collectors, latest, examples: at most three targets, the first by name."""
-    return errors.groupBy("code").agg(F.count("*").alias("errors"), F.count_distinct("collector").alias("collectors"), F.max("occurred_at").alias("latest"), F.array_join(F.slice(F.array_sort(F.collect_set("target")), 1, 3), ",").alias("examples"))
+    first = first_by(errors.select("code", "target").where("target IS NOT NULL").distinct(), ["code"], [F.col("target").asc()], 3)
+    examples = first.groupBy("code").agg(F.array_join(F.array_sort(F.collect_list("target")), ",").alias("examples"))
+    tallies = errors.groupBy("code").agg(F.count("*").alias("errors"), F.count_distinct("collector").alias("collectors"), F.max("occurred_at").alias("latest"))
+    return tallies.join(examples, "code", "left").fillna("", ["examples"])
 
 
 def facets(rows: DataFrame, column: str, members: list[str]) -> DataFrame:
@@ -58,3 +61,14 @@ def runs_since(runs: DataFrame) -> DataFrame:
     good = latest(runs, F.col("status") == "succeeded").select("collector", "target", F.col("started_at").alias("good_at"))
     rows = runs.join(good, ["collector", "target"], "left")
     return rows.groupBy("collector", "target").agg(F.count_if(F.col("good_at").isNull() | (F.col("started_at") > F.col("good_at"))).alias("since"))
+
+
+def scope_counts(scopes_: DataFrame) -> DataFrame:
+    """run_id, scopes, reconciled, codes: how many scopes of a run were reconciled, and the codes of those that failed."""
+    return scopes_.groupBy("run_id").agg(F.count("*").alias("scopes"), F.count_if("reconciled").alias("reconciled"), F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+
+
+def health(runs: DataFrame) -> DataFrame:
+    """One row: whether anything was ever collected, whether anything failed last, and the word for both."""
+    rows = scopes(runs).agg(F.bool_or(F.col("last_success").isNotNull()).alias("any_success"), F.bool_or(F.col("state") == "failed").alias("any_failed"), F.bool_and(F.col("state") == "succeeded").alias("all_good"))
+    return rows.withColumn("health", F.when(~F.coalesce("any_success", F.lit(False)), "never_collected").when(F.col("all_good"), "healthy").when(F.col("any_failed"), "failing").otherwise("degraded"))

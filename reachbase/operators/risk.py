@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachbase.functions import keys, masks
@@ -102,3 +102,45 @@ def reconcile(stored: DataFrame, matched: DataFrame, key: list[str]) -> DataFram
         .when(F.col("status") == "resolved", "reopened").when(F.col("old_digest") == F.col("new_digest"), "reaffirmed").otherwise("evidence_changed")
     )
     return both.select(*key, outcome.alias("outcome"))
+
+
+CONFIDENCES = ("low", "medium", "high")
+#: What lowers the confidence of a finding, and to what.
+QUALIFIERS = {"null_dacl": "high", "generic_rights_expanded": "medium", "acl_truncated": "low", "unobserved_trustee": "low", "protected_dacl": "high", "empty_dacl": "high"}
+
+
+def rank(column: Column, names: tuple[str, ...]) -> Column:
+    """The place of a word in a vocabulary, from 0; null for others."""
+    out = F.lit(None).cast("int")
+    for i, name in enumerate(names):
+        out = F.when(column == name, F.lit(i)).otherwise(out)
+    return out
+
+
+def word(at: Column, names: tuple[str, ...]) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in names]), at)
+
+
+def confidence(qualifiers: DataFrame, by: list[str], column: str = "qualifier") -> DataFrame:
+    """by, confidence: the weakest that any qualifier of a group leaves."""
+    level = F.lit(None).cast("int")
+    for name, stands in QUALIFIERS.items():
+        level = F.when(F.col(column) == name, F.lit(CONFIDENCES.index(stands))).otherwise(level)
+    return qualifiers.groupBy(*by).agg(word(F.min(F.coalesce(level, F.lit(len(CONFIDENCES) - 1))), CONFIDENCES).alias("confidence"))
+
+
+def keyed(findings: DataFrame, subject: list[str], evidence: list[str]) -> DataFrame:
+    """Adds finding_key and evidence_digest: what a finding is about, and what it rests on."""
+    line = lambda columns: F.sha2(F.concat_ws("\n", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]), 256)
+    return findings.withColumns({"finding_key": line(["rule", *subject]), "evidence_digest": line(evidence)})
+
+
+def report(findings: DataFrame, limit: int, after: int = 0) -> DataFrame:
+    """A page by severity and confidence falling, then first_detected and key rising, with the exact total on each row."""
+    order = [rank(F.col("severity"), SEVERITIES).desc(), rank(F.col("confidence"), CONFIDENCES).desc(), F.col("first_detected").asc(), F.col("finding_key").asc()]
+    return findings.orderBy(*order).offset(after).limit(limit).withColumn("total", findings.agg(F.count("*")).scalar())
+
+
+def reading(evaluated: Column, scopes: Column, collected: Column, stale: Column) -> Column:
+    """How far totals may be trusted."""
+    return F.when(~evaluated, "not_evaluated").when(collected == 0, "incomplete").when(stale > 0, "stale").when(collected < scopes, "partial").otherwise("complete")

@@ -55,8 +55,10 @@ def entry_impact(e: Estate, planned: Estate) -> DataFrame:
     """
     trustees = e.ntfs_aces.select("trustee_key").union(planned.ntfs_aces.select("trustee_key")).union(e.share_aces.select("trustee_key"))
     _, members = access.classes(access.tokens(e), trustees)
-    was, now = e.ntfs_aces.select("resource_key", "ace_key", "access_mask"), planned.ntfs_aces.select("resource_key", "ace_key", "access_mask")
-    touched = was.exceptAll(now).union(now.exceptAll(was)).select("resource_key").distinct()
+    # Equal lists have equal sums of hashes, whatever the order of their entries in the tables.
+    mark = lambda x, name: x.ntfs_aces.groupBy("resource_key").agg(F.sum(F.xxhash64("ace_key", "access_mask").cast("decimal(38,0)")).alias(name), F.count("*").alias(f"n_{name}"))
+    both = mark(e, "was").join(mark(planned, "now"), "resource_key", "full_outer")
+    touched = both.where(~F.col("was").eqNullSafe(F.col("now")) | ~F.col("n_was").eqNullSafe(F.col("n_now"))).select("resource_key")
     side = lambda x, name: access.ntfs_rights(members, x.ntfs_aces.join(touched, "resource_key", "left_semi")).select("class_key", "resource_key", F.col("granted").alias(name))
     both = side(e, "before").join(side(planned, "after"), ["class_key", "resource_key"], "full_outer").fillna(0, ["before", "after"])
     return both.withColumn("direction", direction(F.col("before"), F.col("after")))

@@ -117,7 +117,7 @@ def membership_degrees(e: Estate) -> DataFrame:
     return graph.degrees(e.principals, e.edges)
 
 
-@on_estate(REACH + " SELECT least(a.member_key, a.group_key) AS cycle_id, 2 AS size FROM reach a JOIN reach b ON a.member_key = b.group_key AND a.group_key = b.member_key WHERE a.member_key < a.group_key")
+@on_estate(REACH + ", mu AS (SELECT a.member_key AS k, a.group_key AS g FROM reach a JOIN reach b ON a.member_key = b.group_key AND a.group_key = b.member_key WHERE a.member_key <> a.group_key) SELECT DISTINCT least(k, min(g)) AS cycle_id, (count(DISTINCT g) + 1)::int AS size FROM mu GROUP BY k")
 def membership_cycles(e: Estate) -> DataFrame:
     return graph.cycles(graph.closure(e.edges)).select("cycle_id", "size")
 
@@ -131,9 +131,18 @@ def membership_paths(e: Estate) -> DataFrame:
     return paths.select("start", F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("length"))
 
 
-@on_estate(REACH + " SELECT 'dangling_member' AS issue, count(*) AS n FROM (SELECT DISTINCT member_key FROM edges WHERE member_key NOT IN (SELECT principal_key FROM principals)) HAVING count(*) > 0")
+@on_estate(""", e2 AS (SELECT group_key, member_key FROM edges UNION ALL SELECT principal_key, principal_key FROM principals WHERE kind = 'user' AND name LIKE '%50' UNION ALL SELECT 'S-1-5-21-1-1-9-' || (length(name) % 3), principal_key FROM principals WHERE kind = 'managed_service_account' UNION ALL SELECT 'S-1-5-21-1-1-3-1002', 'S-1-5-21-1-1-9-77'),
+i AS (SELECT 'dangling_group' AS issue, group_key AS k FROM e2 WHERE group_key NOT IN (SELECT principal_key FROM principals) UNION SELECT 'dangling_member', member_key FROM e2 WHERE member_key NOT IN (SELECT principal_key FROM principals)
+  UNION SELECT 'not_a_group', group_key FROM e2 JOIN principals ON principal_key = group_key WHERE kind NOT IN ('group', 'well_known') UNION SELECT 'self_membership', group_key FROM e2 WHERE group_key = member_key)
+SELECT issue, count(*) AS n FROM i GROUP BY 1""")
 def graph_lint(e: Estate) -> DataFrame:
-    return graph.lint(e.principals, e.edges).groupBy("issue").agg(F.count("*").alias("n"))
+    """With faults of each kind planted among the memberships."""
+    p = F.col("principal_key")
+    loops = e.principals.where("kind = 'user' AND name LIKE '%50'").select(p.alias("group_key"), p.alias("member_key"))
+    nobody = e.principals.where("kind = 'managed_service_account'").select(F.concat(F.lit("S-1-5-21-1-1-9-"), (F.length("name") % 3).cast("string")).alias("group_key"), p.alias("member_key"))
+    lost = e.edges.limit(1).select(F.lit("S-1-5-21-1-1-3-1002").alias("group_key"), F.lit("S-1-5-21-1-1-9-77").alias("member_key"))
+    edges = e.edges.select("group_key", "member_key").unionByName(loops).unionByName(nobody).unionByName(lost)
+    return graph.lint(e.principals, edges).groupBy("issue").agg(F.count("*").alias("n"))
 
 
 @on_estate(f""", cut AS (SELECT group_key AS rg, member_key AS rm FROM edges WHERE group_key = '{DOMAIN_USERS}'),
@@ -173,9 +182,8 @@ def access_matrix(e: Estate) -> DataFrame:
 @on_estate(_MATRIX + """, who AS (SELECT principal_key, sha256(array_to_string(sids, ',')) AS class_key FROM sets WHERE principal_key = 'S-1-5-21-1-1-1-100007')
 SELECT resource_key, g & s AS rights FROM crossed JOIN who USING (class_key) WHERE g & s <> 0""")
 def resources_of_principal(e: Estate) -> DataFrame:
-    reach, principals = access.matrix(e)
-    one = principals.where("principal_key = 'S-1-5-21-1-1-1-100007'").select("class_key")
-    return reach.join(one, "class_key").where("rights <> 0").select("resource_key", "rights")
+    reach, _ = access.matrix(e, e.principals.where("principal_key = 'S-1-5-21-1-1-1-100007'").select("principal_key"))
+    return reach.where("rights <> 0").select("resource_key", "rights")
 
 
 @on_estate(_MATRIX + """, who AS (SELECT sha256(array_to_string(sids, ',')) AS class_key, count(*) AS n FROM sets GROUP BY 1)

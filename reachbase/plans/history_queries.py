@@ -110,9 +110,16 @@ def retention_plan(v: DataFrame) -> DataFrame:
     return history.removable(v, _at(T2)).select("key", "valid_from")
 
 
-@on_log("SELECT key, 'x' AS violation FROM log WHERE valid_to <= valid_from OR last_seen_at < valid_from")
+@on_log(""", w AS (SELECT key, valid_from, CASE WHEN key::int % 7 = 0 THEN valid_from WHEN key::int % 7 = 2 THEN valid_to + INTERVAL 400 DAY WHEN key::int % 7 = 3 THEN NULL ELSE valid_to END AS valid_to, CASE WHEN key::int % 7 = 1 THEN valid_from - INTERVAL 1 HOUR ELSE last_seen_at END AS last_seen_at FROM log),
+n AS (SELECT *, lead(valid_from) OVER (PARTITION BY key ORDER BY valid_from) AS next FROM w)
+SELECT key, 'empty_interval' AS violation, count(*) AS n FROM n WHERE valid_to <= valid_from GROUP BY 1 UNION ALL SELECT key, 'seen_before_start', count(*) FROM n WHERE last_seen_at < valid_from GROUP BY 1 UNION ALL SELECT key, 'overlap', count(*) FROM n WHERE next < valid_to GROUP BY 1 UNION ALL SELECT key, 'open_before_later', count(*) FROM n WHERE valid_to IS NULL AND next IS NOT NULL GROUP BY 1""")
 def log_violations(v: DataFrame) -> DataFrame:
-    return history.violations(v).select("key", "violation")
+    """With a fault of each kind planted in the log."""
+    k = F.col("key").cast("int") % 7
+    bent = v.withColumns({
+        "valid_to": F.when(k == 0, F.col("valid_from")).when(k == 2, F.col("valid_to") + F.expr("INTERVAL 400 DAYS")).when(k != 3, F.col("valid_to")), "last_seen_at": F.when(k == 1, F.col("valid_from") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("last_seen_at")),
+    })
+    return history.violations(bent).groupBy("key", "violation").agg(F.count("*").alias("n"))
 
 
 @on_log(f"SELECT key, valid_from FROM log WHERE valid_to IS NULL AND state IS NOT NULL AND container = 'c3' AND last_seen_at <= TIMESTAMP '2024-02-15' AND key NOT IN (SELECT user_id::varchar FROM events WHERE ts >= TIMESTAMP '{T3}')")

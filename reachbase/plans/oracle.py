@@ -24,8 +24,8 @@ placed AS (SELECT *, root || '\' || size AS middle, root || '\' || size || '\p'
 servers AS (SELECT DISTINCT server_key FROM placed),
 shares AS (SELECT DISTINCT share_key, server_key, type AS name FROM placed),
 resources AS MATERIALIZED (
-  SELECT DISTINCT root AS resource_key, NULL AS parent_key, server_key, share_key, 0 AS depth, true AS dacl_present, true AS dacl_protected, NULL AS owner_key FROM placed
-  UNION ALL SELECT DISTINCT middle, root, server_key, share_key, 1, true, false, NULL FROM placed
+  SELECT DISTINCT root AS resource_key, NULL AS parent_key, server_key, share_key, 0 AS depth, true AS dacl_present, true AS dacl_protected, NULL::varchar AS owner_key FROM placed
+  UNION ALL SELECT DISTINCT middle, root, server_key, share_key, 1, true, false, NULL::varchar FROM placed
   UNION ALL SELECT leaf, middle, server_key, share_key, 2, p_partkey % 97 <> 0, p_partkey % 11 = 0, 'S-1-5-21-1-1-2-' || (o + 1000)
     FROM placed LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS o FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
 leaf_aces AS (
