@@ -99,17 +99,19 @@ def test_closure_paths_and_cycles_on_random_graphs(spark):
     mutual = {n: tuple(sorted({n} | {m for m in nodes if (n, m) in want and (m, n) in want})) for n in nodes}
     assert sets == {c for c in mutual.values() if len(c) > 1}
 
-    def paths(at, end, path):
+    def paths(at, end, path, most):
         out = []
         for m, g in pairs:
             if m == at and g not in path:
-                out += [path + (g,)] if g == end else paths(g, end, path + (g,)) if len(path) < 8 else []
+                out += [path + (g,)] if g == end else paths(g, end, path + (g,), most) if len(path) < most else []
         return out
 
     start, end = pairs[0][0], pairs[-1][1]
     if start != end:
         one = lambda k: spark.createDataFrame([(k,)], "key string")
-        assert sorted(tuple(r["path"]) for r in graph.simple_paths(edges, one(start), one(end)).collect()) == sorted(paths(start, end, (start,)))
+        # Bounded to eight steps, and all of them: a bound is the caller's and never the default's.
+        assert sorted(tuple(r["path"]) for r in graph.simple_paths(edges, one(start), one(end), 8).collect()) == sorted(paths(start, end, (start,), 8))
+        assert sorted(tuple(r["path"]) for r in graph.simple_paths(edges, one(start), one(end)).collect()) == sorted(paths(start, end, (start,), 99))
 
 
 def estate(spark):
@@ -226,3 +228,23 @@ def test_plans_hold_no_cartesian_product_and_no_python(spark, name):
     plan = reach._jdf.queryExecution().optimizedPlan().toString()
     assert "PythonUDF" not in plan
     assert operations.facets(spark.createDataFrame([("a",)], "s string"), "s", ["a", "b"]).count() == 2
+
+
+def test_paths_of_all_spellings_share_a_key(spark):
+    from pyspark.sql import functions as F
+
+    from reachbase.functions import keys
+
+    spellings = ["\\\\Srv\\Share\\A\\b", "//srv/share/a/b/", "\\\\srv\\share\\\\a\\.\\b", "\\\\?\\UNC\\srv\\share\\a\\B\\", " \\\\SRV\\share\\a\\b "]
+    rows = spark.createDataFrame([(s,) for s in spellings], "path string").select(keys.resource_key(F.col("path")))
+    assert {r[0] for r in rows.collect()} == {"\\\\srv\\share\\a\\b"}
+
+
+def test_moves_begin_a_new_version(spark):
+    from datetime import datetime
+
+    from reachbase.operators import history
+
+    rows = [("f", "k", c, datetime(2024, 1, d), "s") for d, c in ((1, "a"), (2, "b"), (3, "a"))]
+    log = history.versions(spark.createDataFrame(rows, "kind string, key string, container string, observed_at timestamp_ntz, state string"))
+    assert [(r["container"], r["valid_from"].day, r["valid_to"] and r["valid_to"].day) for r in log.orderBy("valid_from").collect()] == [("a", 1, 2), ("b", 2, 3), ("a", 3, None)]
