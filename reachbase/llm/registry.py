@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from reachbase.llm import byte_bpe, fingerprints, importance, jaccard_join, mixing, pii, quality_rules, recompression, suffix_dedup, url_rules
+from reachbase.llm import byte_bpe, fingerprints, importance, jaccard_join, mixing, periodic_runs, pii, quality_rules, recompression, sentence_pieces, spelling, suffix_dedup, url_rules
 from reachbase.llm.words import whole
 
 
@@ -80,7 +80,23 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"), one_in=spelling.EDITED)
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = sentence_pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    rows = sentence_pieces.decode(rows, model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digests(periodic_runs.collapse(periodic_runs.tiled(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_quality_rules, op4_url_filters, op5_fingerprints, op6_byte_bpe, op7_mixing, op8_substring_dedup, op9_pii, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_quality_classifier, op2_suffix_dedup, op3_quality_rules, op4_url_filters, op5_fingerprints, op6_byte_bpe, op7_mixing, op8_substring_dedup, op9_pii, op10_ngram_jaccard_join, op11_spelling_variants, op12_sentence_pieces, op13_periodic_runs)
 }
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_rules.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL}
