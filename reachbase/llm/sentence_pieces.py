@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from reachbase.llm.wordhash import mix
+
 #: Words that a worker keeps, and those up to so many characters only.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 200_000
 KEPT_LENGTH = 64
-#: Symbols that are merged together.
+#: Characters that are cut into words, and symbols that are merged, at once; a longer text or word is taken alone.
 BLOCK = 1 << 18
 _NEVER = np.int64(1 << 40)
 _MARK = "▁"
@@ -82,39 +84,39 @@ class Model:
         self.words = re.compile(f"{_MARK}*{within}|{_MARK}+|[\\s\\S]")
         self.table = self._table()
 
-    def _table(self) -> tuple[np.ndarray, int]:
-        """Places of the pairs in an open table of twice their number at least, for lookups without a search."""
-        bits = max(4, int(2 * max(len(self.keys), 1)).bit_length())
-        seats = np.full(1 << bits, -1, np.int64)
-        left, step = np.arange(len(self.keys)), 0
+    def _table(self) -> np.ndarray:
+        """Places of the pairs in an open table of eight times their number at least, for lookups without a search."""
+        bits = max(4, int(8 * max(len(self.keys), 1)).bit_length())
+        seats = np.full(1 << bits, -1, np.int32)
+        left, at, self.steps = np.arange(len(self.keys)), self._seat(self.keys, bits), 0
         while len(left):
-            at = self._seat(self.keys[left], bits, step)
             free = seats[at] < 0
             seats[at[free]] = left[free]
-            left, step = left[seats[at] != left], step + 1
-        self.steps = step
-        return seats, bits
+            wait = seats[at] != left
+            left, at = left[wait], (at[wait] + 1) & ((1 << bits) - 1)
+            self.steps += 1
+        return seats
 
     @staticmethod
-    def _seat(keys: np.ndarray, bits: int, step: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            mixed = (keys.astype(np.uint64) + np.uint64(step)) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+    def _seat(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (mix(keys.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The number of each pair in the list of merges, or -1."""
-        known = (left >= 0) & (right >= 0)
         out = np.full(len(left), -1, np.int64)
-        open_ = np.flatnonzero(known)
-        key, (seats, bits) = left[open_] * self.n_symbols + right[open_], self.table
-        for step in range(self.steps):
-            at = seats[self._seat(key, bits, step)]
-            hit = (at >= 0) & (self.keys[at] == key)
-            out[open_[hit]] = at[hit]
-            more = (at >= 0) & ~hit  # the seat is another pair's
-            open_, key = open_[more], key[more]
-            if not len(open_):
+        if not len(self.keys):
+            return out
+        open_ = np.flatnonzero((left >= 0) & (right >= 0))
+        key, last = left[open_] * self.n_symbols + right[open_], len(self.table) - 1
+        at = self._seat(key, last.bit_length())
+        for _ in range(self.steps):
+            held = self.table[at]
+            hit = (held >= 0) & (self.keys[held] == key)
+            out[open_[hit]] = held[hit]
+            more = np.flatnonzero((held >= 0) & ~hit)  # the seat is another pair's
+            if not len(more):
                 break
+            open_, key, at = open_[more], key[more], (at[more] + 1) & last
         return out
 
     def rank(self, pair: np.ndarray) -> np.ndarray:
@@ -232,7 +234,16 @@ class Codec:
         self.spelt = [bytes([i - self.model.first_byte]) if k == _BYTE else self.model.unknown.encode() if k == _UNKNOWN else n.replace(_MARK, " ").encode() if k in (_NORMAL, _UNUSED) else b"" for i, (k, n) in enumerate(zip(kinds, names, strict=True))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, the end id last, as little-endian 32-bit integers."""
+        """The ids of each text, the end id last, as little-endian 32-bit integers; the words of a few texts are held at once."""
+        out, begin, size = [], 0, 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= BLOCK or k + 1 == len(texts):
+                out += self._encode(texts[begin : k + 1])
+                begin, size = k + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.packed) >= KEPT_WORDS:
             self.packed, self.older = {}, self.packed
         model, packed, older, new, cut = self.model, self.packed, self.older, {}, []
