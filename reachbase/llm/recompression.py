@@ -4,7 +4,7 @@ Documents are packed into chunks, and each round puts what a chunk holds before
 over the cluster by hash:
 
 * Words are named first.  A word's name is a hash; the table sees the words themselves, and words that
-  meet in one hash get other names, so equal names are equal words.
+  meet in one hash are numbered and named by hash and number.
 * A step names every run of equal symbols, and then every pair whose left and right symbol fall into the
   two halves of a hash partition, by a hash of its definition (symbol and count, or left and right).  Every
   symbol keeps the words that its making depended on; inside equal windows, symbols that depend on nothing
@@ -356,17 +356,10 @@ def _spaced(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.n
     return out, at
 
 
-def _hashes(words: np.ndarray, bits: int = 64) -> np.ndarray:
+def _hashes(words: np.ndarray, bits: int = 64, seed: int = 0) -> np.ndarray:
     """A hash of each word of some (a space after each); fewer bits for tests."""
     stop = np.flatnonzero(words == 32)
-    return wordhash.hashes(words, np.r_[0, stop[:-1] + 1][: len(stop)], stop) >> np.uint64(64 - bits)
-
-
-def _other_hashes(words: np.ndarray) -> np.ndarray:
-    """Another hash, of each word read backwards."""
-    stop = np.flatnonzero(words == 32)
-    back = wordhash.hashes(words[::-1], len(words) - stop, len(words) - np.r_[0, stop[:-1] + 1][: len(stop)])
-    return wordhash.mix(back ^ _OTHER)
+    return wordhash.hashes(words, np.r_[0, stop[:-1] + 1][: len(stop)], stop, seed) >> np.uint64(64 - bits)
 
 
 def _definitions(levels: list[Level], n: int, width: int) -> tuple[Items, np.ndarray, np.ndarray, np.ndarray]:
@@ -425,17 +418,20 @@ class Scheme:
     rounds: tuple[int, ...] = (2, 3)
     hash_bits: int = 64
 
-    def texts(self, clashing: set[bytes]) -> Read:
-        """All windows of a row of TEXTS; ``clashing`` words take the other name."""
+    def texts(self, clashing: dict[bytes, int], seed: int = 0) -> Read:
+        """All windows of a row of TEXTS; a word of ``clashing`` is named by its hash and its seat among the words of that hash."""
 
         def read(row: dict) -> Runs | None:
             texts = Texts.read(row)
             long = texts.size >= self.width
             if not long.any():
                 return None
-            name = _hashes(texts.vocabulary, self.hash_bits)
+            name = _hashes(texts.vocabulary, self.hash_bits, seed)
             if clashing:
-                name = np.where([w.as_py() in clashing for w in _words(texts.vocabulary)], _other_hashes(texts.vocabulary), name)
+                seat = np.array([clashing.get(w.as_py(), -1) for w in _words(texts.vocabulary)], np.int64)
+                with np.errstate(over="ignore"):
+                    apart = wordhash.mix(wordhash.mix(name ^ _OTHER) + seat.astype(np.uint64))
+                name = np.where(seat < 0, name, apart)
             word = texts.word[np.repeat(long, texts.size)]
             return Runs(self.width, texts.doc[long], np.zeros(long.sum(), np.int64), texts.size[long] - self.width + 1, name[word], np.zeros(len(word), bool))
 
@@ -514,18 +510,18 @@ class Scheme:
         return row["chunk"], _pack(runs.doc[run[head]]), _pack(place[head] + shift), _pack(place[tail] + shift)
 
 
-#: Words of one hash are expected in fewer than one of 10^9 distinct ones.
+#: Words of one hash are expected in fewer than one of 10^9 distinct ones; beyond so many the driver turns to another hash.
 MOST_CLASHES = 100_000
 
 
-def clashing_words(texts: DataFrame, bits: int, hash_bits: int) -> set[bytes]:
-    """Words whose hash another word of the corpus has."""
+def clashing_words(texts: DataFrame, bits: int, hash_bits: int, seed: int = 0) -> dict[bytes, int]:
+    """Words whose hash another word of the corpus has, compared as words, each with its seat among those; at most MOST_CLASHES + 1."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 words = _unpack(row["vocabulary"], np.uint8)
-                part = _part(wordhash.mix(_hashes(words, hash_bits)), bits)
+                part = _part(wordhash.mix(_hashes(words, hash_bits, seed)), bits)
                 order = np.argsort(part, kind="stable")
                 held = _words(words).take(pa.array(order))
                 edges = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
@@ -533,20 +529,27 @@ def clashing_words(texts: DataFrame, bits: int, hash_bits: int) -> set[bytes]:
 
     def met(table: pa.Table) -> pa.Table:
         words = _words(np.concatenate([_unpack(x.as_py(), np.uint8) for x in table["words"]])).unique()
-        _, same, count = np.unique(_hashes(_bytes(words), hash_bits), return_inverse=True, return_counts=True)
-        return pa.table({"word": words.filter(pa.array(count[same] > 1)).cast(pa.binary())})
+        _, same, count = np.unique(_hashes(_bytes(words), hash_bits, seed), return_inverse=True, return_counts=True)
+        many = count[same] > 1
+        order = np.lexsort((np.arange(int(many.sum())), same[many]))
+        group = same[many][order]
+        head = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]][: len(group)], np.arange(len(group)), 0))
+        seats = np.empty(len(group), np.int64)
+        seats[order] = np.arange(len(group)) - head
+        return pa.table({"word": words.filter(pa.array(many)).cast(pa.binary()), "seat": pa.array(seats)})
 
-    rows = texts.mapInArrow(put, "part long, words binary").groupBy("part").applyInArrow(met, "word binary").limit(MOST_CLASHES + 1).collect()
-    if len(rows) > MOST_CLASHES:
-        raise ValueError("more words share a hash than 64 bits can explain")
-    return {bytes(r["word"]) for r in rows}
+    rows = texts.mapInArrow(put, "part long, words binary").groupBy("part").applyInArrow(met, "word binary, seat long").limit(MOST_CLASHES + 1).collect()
+    return {bytes(r["word"]): r["seat"] for r in rows}
 
 
 def found(texts: DataFrame, scheme: Scheme) -> DataFrame:
     """chunk, from_doc, start, stop (packed) for TEXTS."""
     words = texts.agg(F.sum("words")).first()[0] or 0
     bits = int(words // TABLE_WORDS).bit_length()
-    read, runs = scheme.texts(clashing_words(texts, bits, scheme.hash_bits)), texts
+    seed = 0
+    while len(clashing := clashing_words(texts, bits, scheme.hash_bits, seed)) > MOST_CLASHES:
+        seed += 1
+    read, runs = scheme.texts(clashing, seed), texts
     for step in scheme.rounds:
         held, runs = runs, told(runs, scheme.symbol_items(step, read), _once, bits, scheme.pruned(step, read), RUNS)
         if held is not texts:

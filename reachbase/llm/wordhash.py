@@ -105,16 +105,29 @@ def words(column: pa.Array, fold: bool, size: int = CHUNK) -> Iterator[Words]:
         yield Words(i, j - i, part, start, stop, np.searchsorted(start, own), own)
 
 
-def hashes(part: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+#: What is left of an eight-byte lane that holds so many bytes of a word.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hashes(part: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each word part[start:stop].
+
+    Each lane of eight bytes is mixed with a key of its place before lanes are added up, so no order of few letters
+    cancels out as it can in a polynomial; words of one length up to eight bytes never share a hash.
+    """
     if not len(start):
         return np.zeros(0, np.uint64)
     length = stop - start
-    seat = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    held = part[np.repeat(start, length) + seat].astype(np.uint64) + np.uint64(1)
+    lanes = np.maximum((length + 7) >> 3, 1)
+    begin = np.cumsum(lanes) - lanes
+    seat = np.arange(int(lanes.sum())) - np.repeat(begin, lanes)
+    at = np.repeat(start, lanes) + 8 * seat
+    padded = np.concatenate([part, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), np.uint64, padded, strides=(1,))
     with np.errstate(over="ignore"):
-        held *= powers(int(length.max()))[seat]
-        total = np.add.reduceat(held, np.cumsum(length) - length)
-        return mix(total + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        keys = mix((np.arange(int(lanes.max()), dtype=np.uint64) + np.uint64(seed << 32)) * _BASE + _BASE)
+        total = np.add.reduceat(mix((eight[at] & _LANE[np.clip(np.repeat(stop, lanes) - at, 0, 8)]) + keys[seat]), begin)
+        return mix(total + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -178,3 +178,47 @@ def test_jaccard_of_a_very_long_text(spark):
     assert [(r["n_shingles"], r["component_id"]) for r in jaccard_join.link(frame(spark, [(1, long, "s")])).collect()] == [(99_996, 1)]
     got = jaccard_join.link(frame(spark, [(1, long, "s"), (2, long + " end", "s"), (3, "x " + long[:300_000], "s")])).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (3, 3)]
+
+
+def morse(n, flip):
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+def test_words_that_a_polynomial_confuses_stay_apart(spark):
+    """A word of two letters in Thue-Morse order and its complement have one value under any polynomial modulo 2^64."""
+    a, b = morse(2048, 0), morse(2048, 1)
+    head = " ".join(f"w{k}" for k in range(19))
+    rows = frame(spark, [(1, f"{head} {a}", "s"), (2, f"{head} {b}", "s")])
+    assert [r["n_removed"] for r in recompression.dedup(rows).collect()] == [0, 0]
+    rows = frame(spark, [(1, a, "s"), (2, b, "s")])
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.link(rows).collect()} == {1: 1, 2: 2}
+
+
+def test_another_hash_is_taken_where_too_many_words_share_one(spark, monkeypatch):
+    monkeypatch.setattr(recompression, "MOST_CLASHES", 2)
+    hashes = recompression._hashes
+    monkeypatch.setattr(recompression, "_hashes", lambda words, bits=64, seed=0: hashes(words, 64 if seed else 1, seed))
+    texts = recompression.stored(recompression.chunked(repeats.numbered(frame(spark), "doc_id", "text")[0]))
+    assert len(recompression.clashing_words(texts, 0, 64, 1)) == 0
+
+
+def test_word_hashes_of_any_length():
+    draw = np.random.default_rng(1)
+    data = draw.integers(97, 100, 400).astype(np.uint8)
+    spans = {(lo, hi): data[lo:hi].tobytes() for lo in range(0, 400, 3) for hi in range(lo, 400, 7)}
+    lo, hi = (np.array(x) for x in zip(*spans, strict=True))
+    from reachbase.llm import wordhash
+
+    by_word = {}
+    for h, w in zip(wordhash.hashes(data, lo, hi).tolist(), spans.values(), strict=True):
+        assert by_word.setdefault(h, w) == w
+    assert len(by_word) == len(set(spans.values()))
+
+
+@pytest.mark.parametrize("operator", [recompression.dedup, suffix_dedup.dedup, jaccard_join.link])
+def test_extra_columns_and_very_long_texts(spark, operator):
+    long = " ".join(f"v{k % 5000}" for k in range(150_000))
+    rows = frame(spark, [(1, long, "a"), (2, "short text", "b"), (3, None, None)])
+    clash = rows.selectExpr("doc_id", "text", "source as kept", "1 as n_words", "'x' as cls", "2 as chunk", "3 as n_removed", "4 as component_id")
+    plain, crowded = ({r["doc_id"]: r for r in operator(x).collect()} for x in (rows, clash))
+    assert plain == crowded and set(plain) == {1, 2, 3}
