@@ -29,6 +29,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,16 +38,22 @@ from sentencepiece import sentencepiece_model_pb2
 from reachbase.llm.wordhash import mix
 
 #: Words that a worker keeps, and those up to so many characters only.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 KEPT_LENGTH = 64
 #: Characters that are cut into words, and symbols that are merged, at once; a longer text or word is taken alone.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 _NEVER = np.int64(1 << 40)
 _MARK = "▁"
 #: The kinds of pieces in a model file.
 _NORMAL, _UNKNOWN, _USER, _UNUSED, _BYTE = 1, 2, 4, 5, 6
 
 
+def _spec(data: bytes) -> sentencepiece_model_pb2.ModelProto:
+    spec = sentencepiece_model_pb2.ModelProto()
+    spec.ParseFromString(data)
+    return spec
+
+
 class Model:
     """Pieces and, for pairs of symbols, what they merge to.
 
@@ -54,15 +61,13 @@ class Model:
     """
 
     def __init__(self, data: bytes):
-        spec = sentencepiece_model_pb2.ModelProto()
-        spec.ParseFromString(data)
+        spec = _spec(data)
         norm, train = spec.normalizer_spec, spec.trainer_spec
         kinds = [p.type for p in spec.pieces]
         if train.model_type != 2 or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or train.treat_whitespace_as_suffix or _USER in kinds or not train.byte_fallback or spec.denormalizer_spec.precompiled_charsmap:
             raise ValueError("only BPE models with byte fallback and no normalisation")
         self.prefix = _MARK if norm.add_dummy_prefix else ""
         self.end = next(i for i, p in enumerate(spec.pieces) if p.piece == train.eos_piece)
-        self.names, self.kinds, self.unknown = [p.piece for p in spec.pieces], kinds, train.unk_surface
         merged = {p.piece: (i, p.score) for i, p in enumerate(spec.pieces) if p.type in (_NORMAL, _UNUSED)}
         self.first_byte = kinds.index(_BYTE)
         chars = sorted({c for p in merged for c in p} - set(merged))
@@ -74,7 +79,7 @@ class Model:
         pairs.sort()
         self.keys, self.to, self.ranks = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), (), ())))
         self.shared = np.array([x > 1 for _, x in sorted(Counter(ranks[s] for _, s in merged.values()).items())])
-        self.of_char = np.full(0x110000, -1, np.int64)
+        self.of_char = np.full(0x110000, -1, np.int32)
         for s, i in symbol.items():
             if len(s) == 1:
                 self.of_char[ord(s)] = i
@@ -191,8 +196,11 @@ class Model:
 
     @cached_property
     def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(left, right) to (symbol, rank) of pairs whose rank others share, and of all pairs with a symbol that these make."""
         left, right = np.divmod(self.keys, self.n_symbols)
-        return dict(zip(zip(left.tolist(), right.tolist(), strict=True), zip(self.to.tolist(), self.ranks.tolist(), strict=True), strict=True))
+        shared = self.shared[self.ranks]
+        at = np.flatnonzero(shared | np.isin(left, self.to[shared]) | np.isin(right, self.to[shared]))
+        return {(int(left[k]), int(right[k])): (int(self.to[k]), int(self.ranks[k])) for k in at}
 
     def ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word as packed 32-bit integers."""
@@ -206,7 +214,7 @@ class Model:
             part = words[begin:end]
             points = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
             word = np.repeat(np.arange(len(part)), [len(w) for w in part])
-            symbol = self.of_char[points]
+            symbol = self.of_char[points].astype(np.int64)
             symbol = np.where(symbol < 0, -2 - points.astype(np.int64), symbol)  # no symbol, but which character
             symbol, word = self.merge(symbol, word)
             out += self._packed(symbol, word, len(part))
@@ -223,27 +231,16 @@ class Model:
         return [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-class Codec:
-    """Encodes and decodes texts; keeps the packed ids of words."""
+class Encoder:
+    """Encodes texts; keeps the packed ids of words."""
 
     def __init__(self, data: bytes):
         self.model = Model(data)
         self.packed: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        kinds, names = self.model.kinds, self.model.names
-        self.spelt = [bytes([i - self.model.first_byte]) if k == _BYTE else self.model.unknown.encode() if k == _UNKNOWN else n.replace(_MARK, " ").encode() if k in (_NORMAL, _UNUSED) else b"" for i, (k, n) in enumerate(zip(kinds, names, strict=True))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, the end id last, as little-endian 32-bit integers; the words of a few texts are held at once."""
-        out, begin, size = [], 0, 0
-        for k, text in enumerate(texts):
-            size += len(text)
-            if size >= BLOCK or k + 1 == len(texts):
-                out += self._encode(texts[begin : k + 1])
-                begin, size = k + 1, 0
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, the end id last, as little-endian 32-bit integers; the words of all these texts are held at once."""
         if len(self.packed) >= KEPT_WORDS:
             self.packed, self.older = {}, self.packed
         model, packed, older, new, cut = self.model, self.packed, self.older, {}, []
@@ -262,17 +259,29 @@ class Codec:
         end = model.end.to_bytes(4, "little")
         return [b"".join([*map(both.__getitem__, words), end]) for words in cut]
 
+
+class Decoder:
+    """Decodes ids."""
+
+    def __init__(self, data: bytes):
+        spec = _spec(data)
+        kinds, names = [p.type for p in spec.pieces], [p.piece for p in spec.pieces]
+        self.prefix, first, unknown = spec.normalizer_spec.add_dummy_prefix, kinds.index(_BYTE), spec.trainer_spec.unk_surface.encode()
+        self.is_byte = [k == _BYTE for k in kinds]
+        self.is_marked = [k in (_NORMAL, _UNUSED) and n.startswith(_MARK) for k, n in zip(kinds, names, strict=True)]
+        self.spelt = [bytes([i - first]) if k == _BYTE else unknown if k == _UNKNOWN else n.replace(_MARK, " ").encode() if k in (_NORMAL, _UNUSED) else b"" for i, (k, n) in enumerate(zip(kinds, names, strict=True))]
+
     def decode(self, ids: list[int]) -> str:
         """The text of some ids: control pieces are nothing, and bytes that are no UTF-8 become U+FFFD each."""
-        kinds, spelt = self.model.kinds, self.spelt
+        spelt = self.spelt
         try:
             text = b"".join(map(spelt.__getitem__, ids)).decode()
         except UnicodeDecodeError:
-            runs = groupby(ids, lambda i: kinds[i] == _BYTE)
+            runs = groupby(ids, self.is_byte.__getitem__)
             text = "".join(_lenient(b"".join(map(spelt.__getitem__, run))) for _, run in runs)
-        if self.model.prefix:  # the mark before the first word is not the text's own
+        if self.prefix:  # the mark before the first word is not the text's own
             lead = next((i for i in ids if spelt[i]), None)
-            if lead is not None and kinds[lead] in (_NORMAL, _UNUSED) and self.model.names[lead].startswith(_MARK):
+            if lead is not None and self.is_marked[lead]:
                 return text[1:]
         return text
 
@@ -292,14 +301,24 @@ def _lenient(data: bytes) -> str:
     return "".join(out)
 
 
-_codecs: dict[str, Codec] = {}
+_kept: dict[tuple, Encoder | Decoder] = {}
+
+
+def _coder(kind: type, shared: Broadcast, name: str) -> Encoder | Decoder:
+    """One coder of a kind for each model and Python worker."""
+    if (kind, name) not in _kept:
+        _kept[kind, name] = kind(shared.value)
+    return _kept[kind, name]
 
 
-def _codec(shared: Broadcast, name: str) -> Codec:
-    """One codec for each model and Python worker."""
-    if name not in _codecs:
-        _codecs[name] = Codec(shared.value)
-    return _codecs[name]
+def _parts(batch: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a column of about BLOCK bytes, so that few texts are Python objects at once."""
+    sizes, begin = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy()), 0
+    while begin < len(batch):
+        done = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, done + BLOCK, "right")))
+        yield batch[begin:end]
+        begin = end
 
 
 def _shared(docs: DataFrame, model_path: str) -> tuple[Broadcast, str]:
@@ -314,11 +333,14 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", to: str = "ids"
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(shared, name)
+        encoder = _coder(Encoder, shared, name)
         for batch in batches:
-            packed = codec.encode([x or "" for x in batch.to_pylist()])
-            bounds = np.cumsum([0, *(len(x) // 4 for x in packed)])
-            yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            data, bounds = bytearray(), [0]
+            for part in _parts(batch):
+                for packed in encoder.encode([x or "" for x in part.to_pylist()]):
+                    data += packed
+                    bounds.append(len(data) // 4)
+            yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.Array.from_buffers(pa.int32(), bounds[-1], [None, pa.py_buffer(data)]))
 
     return docs.withColumn(to, ids(F.col(text)))
 
@@ -329,8 +351,12 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids", to: str = "decode
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(shared, name)
+        decoder = _coder(Decoder, shared, name)
         for batch in batches:
-            yield pa.array((codec.decode(x.values.to_pylist() if x.is_valid else []) for x in batch), pa.string(), size=len(batch))
+            data, bounds = bytearray(), [0]
+            for x in batch:
+                data += decoder.decode(x.values.to_pylist() if x.is_valid else []).encode()
+                bounds.append(len(data))
+            yield pa.StringArray.from_buffers(len(batch), pa.py_buffer(np.array(bounds, np.int32)), pa.py_buffer(data))
 
     return docs.withColumn(to, text(F.col(ids)))

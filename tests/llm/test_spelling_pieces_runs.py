@@ -123,7 +123,7 @@ def test_pieces_equal_the_library_and_go_round(spark):
 
 
 def test_any_ids_decode_as_in_the_library():
-    library, codec, draw = sentencepiece.SentencePieceProcessor(model_file=MODEL), sentence_pieces.Codec(open(MODEL, "rb").read()), random.Random(2)
+    library, codec, draw = sentencepiece.SentencePieceProcessor(model_file=MODEL), sentence_pieces.Decoder(open(MODEL, "rb").read()), random.Random(2)
     for _ in range(3000):
         ids = [draw.randrange(270 if draw.random() < 0.5 else 32000) for _ in range(draw.randrange(9))]
         assert codec.decode(ids) == library.decode(ids)
@@ -133,7 +133,7 @@ def test_full_stores_change_nothing(monkeypatch):
     monkeypatch.setattr(sentence_pieces, "KEPT_WORDS", 3)
     monkeypatch.setattr(sentence_pieces, "KEPT_LENGTH", 4)
     monkeypatch.setattr(sentence_pieces, "BLOCK", 50)
-    library, codec = sentencepiece.SentencePieceProcessor(model_file=MODEL), sentence_pieces.Codec(open(MODEL, "rb").read())
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=MODEL), sentence_pieces.Encoder(open(MODEL, "rb").read())
     for text in texts()[:60]:
         ids = [int.from_bytes(x, "little") for x in re.findall(b"(?s)....", codec.encode([text or ""])[0])]
         assert ids == library.encode(text or "", add_eos=True)
