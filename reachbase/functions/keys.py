@@ -9,7 +9,7 @@ from reachbase.functions.masks import hex_mask
 
 SEPARATOR = "\\"
 EVERYONE, AUTHENTICATED, ANONYMOUS, NETWORK, INTERACTIVE, SYSTEM = "S-1-1-0", "S-1-5-11", "S-1-5-7", "S-1-5-2", "S-1-5-4", "S-1-5-18"
-CREATOR_OWNER, CREATOR_GROUP, OWNER_RIGHTS = "S-1-3-0", "S-1-3-1", "S-1-3-4"
+NOBODY, CREATOR_OWNER, CREATOR_GROUP, OWNER_RIGHTS = "S-1-0-0", "S-1-3-0", "S-1-3-1", "S-1-3-4"
 WORLD = (EVERYONE, AUTHENTICATED, ANONYMOUS)
 # Who counts as broad and as privileged.
 BROAD_SIDS = (EVERYONE, ANONYMOUS, AUTHENTICATED, "S-1-5-15", "S-1-5-32-545", "S-1-5-32-546", "S-1-5-113", "S-1-5-114", "S-1-15-2-1")

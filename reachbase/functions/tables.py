@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """Checkpoints to the shared folder in spark.checkpoint.dir, or to a new one where that is unset."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return rows.checkpoint()
+    """Writes the rows to the shared folder once and reads them from there; Spark's checkpoint would compute them twice."""
+    session = rows.sparkSession
+    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", session.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        session.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return session.read.schema(rows.schema).parquet(path)
 
 
 def first_by(rows: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:

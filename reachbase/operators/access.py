@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachbase.functions import keys, masks
+from reachbase.functions.tables import cut
 from reachbase.operators import acl
 from reachbase.operators.graph import closure
 from reachbase.plans.estate import Estate
@@ -37,7 +38,7 @@ def classes(held: DataFrame, trustees: DataFrame) -> tuple[DataFrame, DataFrame]
     """(principal_key, class_key) and (class_key, sid): principals that hold the same of the trustees share a class."""
     named = held.join(trustees.select(F.col("trustee_key").alias("sid")).distinct(), "sid", "left_semi")
     sets = named.groupBy("principal_key").agg(F.array_sort(F.collect_set("sid")).alias("sids"))
-    keyed = sets.withColumn("class_key", F.sha2(F.array_join("sids", ","), 256))
+    keyed = cut(sets.withColumn("class_key", F.sha2(F.array_join("sids", ","), 256)))
     return keyed.select("principal_key", "class_key"), keyed.dropDuplicates(["class_key"]).select("class_key", F.explode("sids").alias("sid"))
 
 
@@ -45,34 +46,48 @@ def classes(held: DataFrame, trustees: DataFrame) -> tuple[DataFrame, DataFrame]
 SEATS = 62
 
 
+def _settled(lists: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, granted, denied, canonical from entries (at, allow, mask).
+
+    A bit of the mask is settled by the first entry that has it, so what an entry adds is what none before it has: one
+    running union over the entries in order, in place of an array and a fold for each list.
+    """
+    earlier = F.coalesce(F.bit_or("mask").over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    side = lambda value, allow: F.coalesce(F.bit_or(F.when(F.col("allow") == allow, F.col(value))), zero)
+    rows = lists.withColumn("new", masks.minus(F.col("mask"), earlier))
+    return rows.groupBy(*by).agg(side("new", True).alias("granted"), side("new", False).alias("denied"), masks.minus(side("mask", True), side("mask", False)).alias("canonical"))
+
+
 def ntfs_rights(members: DataFrame, aces: DataFrame) -> DataFrame:
     """class_key, resource_key, granted, denied, canonical for every list that names what a class holds.
 
     A list is evaluated once for each subset of its own trustees that some class holds: a subset is a long with a bit
     for each trustee of the list, and trustees that every class holds share one bit and are joined once for each list.
-    Lists of more trustees than a long has bits are evaluated for each class.
+    Lists of more trustees than a long has bits are evaluated for each class.  Digests stand for the keys of lists
+    and classes until the end, so that long strings are not shuffled.
     """
-    here = aces.where(acl.applies_here())
-    total = members.agg(F.count_distinct("class_key")).scalar()
-    held_by_all = members.groupBy("sid").agg(F.count_distinct("class_key").alias("n")).where(F.col("n") == total).select(F.col("sid").alias("trustee_key"), F.lit(True).alias("all"))
+    members = cut(members.select(F.unhex("class_key").alias("class"), "sid").distinct())
+    by_list = Window.partitionBy("resource_key")
+    here = acl.considered(aces).where(acl.applies_here()).select("resource_key", "trustee_key", F.coalesce("order_index", F.lit(2**31 - 1)).alias("at"), "ace_key", (F.col("ace_type") == "allow").alias("allow"), masks.expand_generic(F.col("access_mask")).alias("mask"))
+    total = members.agg(F.count_distinct("class")).scalar()
+    held_by_all = members.groupBy("sid").agg(F.count("*").alias("n")).where(F.col("n") == total).select(F.col("sid").alias("trustee_key"), F.lit(True).alias("all"))
     one = held_by_all.agg(F.min("trustee_key")).scalar()
-    named = here.select("resource_key", "trustee_key").distinct().join(held_by_all, "trustee_key", "left").withColumn("all", F.coalesce("all", F.lit(False)))
-    seat = F.row_number().over(Window.partitionBy("resource_key").orderBy("all", "trustee_key")) - 1
-    most = F.count_if(~F.col("all")).over(Window.partitionBy("resource_key"))
-    seated = named.withColumns({"seat": seat, "most": most}).withColumn("bit", F.when(F.col("all"), F.lit(1 << SEATS)).otherwise(F.expr("shiftleft(1L, seat)")))
-    small = seated.where(F.col("most") <= SEATS).select("resource_key", "trustee_key", "bit", "all")
-
-    asked = small.select("resource_key", "bit", F.when(F.col("all"), one).otherwise(F.col("trustee_key")).alias("sid")).distinct()
-    subsets = asked.join(members, "sid").groupBy("class_key", "resource_key").agg(F.bit_or("bit").alias("subset"))
-    entries = here.join(small.select("resource_key", "trustee_key", "bit"), ["resource_key", "trustee_key"])
-    lists = subsets.select("resource_key", "subset").distinct().join(entries, "resource_key").where(F.col("subset").bitwiseAND(F.col("bit")) != 0)
-    folded = lists.groupBy("resource_key", "subset").agg(acl.fold(acl.ordered_entries()).alias("f"))
-    by_subset = subsets.join(folded, ["resource_key", "subset"])
-
-    large = here.join(seated.where(F.col("most") > SEATS).select("resource_key").distinct(), "resource_key", "left_semi")
-    matched = large.join(members, large["trustee_key"] == members["sid"])
-    by_class = matched.groupBy("class_key", "resource_key").agg(acl.fold(acl.ordered_entries()).alias("f"))
-    return by_subset.select("class_key", "resource_key", "f").unionByName(by_class).select("class_key", "resource_key", "f.granted", "f.denied", "f.canonical")
+    marked = here.join(held_by_all, "trustee_key", "left").withColumn("all", F.coalesce("all", F.lit(False)))
+    entries = marked.withColumns({"seat": F.dense_rank().over(by_list.orderBy("all", "trustee_key")) - 1, "at": F.row_number().over(by_list.orderBy("at", "ace_key"))})
+    entries = entries.withColumn("most", F.max(F.when(~F.col("all"), F.col("seat") + 1)).over(by_list)).fillna(0, ["most"])
+    single = F.when(F.col("all"), F.lit(1 << SEATS)).otherwise(F.expr("shiftleft(1L, seat)"))
+    entries = cut(entries.select("resource_key", F.unhex(F.md5(F.col("resource_key").cast("binary"))).alias("list"), "trustee_key", "at", "allow", "mask", "all", "most", single.alias("bit")))
+    small, large = entries.where(F.col("most") <= SEATS), entries.where(F.col("most") > SEATS)
+
+    asked = small.select("list", "bit", F.when(F.col("all"), one).otherwise(F.col("trustee_key")).alias("sid")).distinct()
+    subsets = cut(asked.join(members, "sid").groupBy("class", "list").agg(F.bit_or("bit").alias("subset")))
+    lists = subsets.select("list", "subset").distinct().join(small.select("list", "bit", "at", "allow", "mask"), "list").where(F.col("subset").bitwiseAND(F.col("bit")) != 0)
+    by_subset = subsets.join(_settled(lists.select("list", "subset", "at", "allow", "mask"), ["list", "subset"]), ["list", "subset"]).drop("subset")
+    by_class = _settled(large.join(members.withColumnRenamed("sid", "trustee_key"), "trustee_key").select("class", "list", "at", "allow", "mask"), ["class", "list"])
+    numbers = entries.select("list", "resource_key").distinct()
+    rows = by_subset.unionByName(by_class).join(numbers, "list")
+    return rows.select(F.lower(F.hex("class")).alias("class_key"), "resource_key", "granted", "denied", "canonical")
 
 
 def share_rights(members: DataFrame, share_aces: DataFrame) -> DataFrame:
@@ -119,7 +134,9 @@ def matrix(estate: Estate, only: DataFrame | None = None) -> tuple[DataFrame, Da
     seen = F.coalesce("observed", F.lit(False))
     share = F.when(seen, F.coalesce("share_mask", F.lit(0).cast("long"))).otherwise(total)
     rows = rows.withColumns({"share_observed": seen, "share_rights": share, "rights": F.col("granted").bitwiseAND(share)})
-    certain = certainty(~seen, F.lit(False))
+    rows = rows.join(gaps(estate), "resource_key", "left")
+    unsure = F.coalesce("cut", F.lit(False))
+    certain = certainty(~seen | unsure, F.coalesce("unobserved", F.lit(False)) | unsure)
     return rows.select(
         "class_key", "resource_key", "share_key", F.col("granted").alias("ntfs_rights"), "share_rights", "rights", "denied", masks.category(F.col("rights")).alias("label"),
         F.when(seen, limiting_layer(F.col("granted"), F.col("share_rights"))).otherwise("unknown").alias("limited_by"), certain.alias("certainty"),
@@ -135,17 +152,37 @@ def unobserved_trustees(estate: Estate) -> DataFrame:
     return named.join(described, "trustee_key", "left_anti").join(enumerated, "trustee_key", "left_anti")
 
 
-def principals_on(estate: Estate, resource: str) -> DataFrame:
-    """Who can reach one resource: the members of its trustees, not the whole estate."""
-    aces = estate.ntfs_aces.where(F.col("resource_key") == resource)
-    named = aces.select("trustee_key").distinct()
-    reach = closure(estate.edges).join(named, F.col("group_key") == F.col("trustee_key")).select("member_key", "trustee_key")
-    direct = estate.principals.join(named, F.col("principal_key") == F.col("trustee_key")).select(F.col("principal_key").alias("member_key"), "trustee_key")
-    subjects = estate.principals.where(F.col("kind").isin(*SUBJECT_KINDS)).select(F.col("principal_key").alias("member_key"))
-    held = reach.union(direct).join(subjects, "member_key", "left_semi").distinct()
-    matched = aces.where(acl.applies_here()).join(held, "trustee_key")
-    folded = matched.groupBy("member_key").agg(acl.fold(acl.ordered_entries()).alias("f"), F.count_distinct("trustee_key").alias("trustees"))
-    return folded.select(F.col("member_key").alias("principal_key"), F.col("f.granted").alias("ntfs_rights"), "trustees").where("ntfs_rights <> 0")
+def gaps(estate: Estate) -> DataFrame:
+    """resource_key, unobserved, cut: lists that name, themselves or on their share, a trustee whose members nobody observed, and lists too long to be read whole.
+
+    A hidden member may hold more than is shown, so an answer is a lower bound there; a cut list may be wrong either way.
+    """
+    nobody = unobserved_trustees(estate.with_(ntfs_aces=estate.ntfs_aces.select("trustee_key").unionByName(estate.share_aces.select("trustee_key")))).select("trustee_key")
+    on_list = estate.ntfs_aces.select("resource_key", "trustee_key").join(nobody, "trustee_key", "left_semi").select("resource_key")
+    shares = estate.share_aces.select("share_key", "trustee_key").join(nobody, "trustee_key", "left_semi").select("share_key").distinct()
+    on_share = estate.resources.join(shares, "share_key", "left_semi").select("resource_key")
+    hidden = on_list.union(on_share).distinct().withColumn("unobserved", F.lit(True))
+    return hidden.join(acl.cut_lists(estate.ntfs_aces).withColumn("cut", F.lit(True)), "resource_key", "full_outer")
+
+
+def principals_on(estate: Estate, resources: DataFrame) -> DataFrame:
+    """principal_key, resource_key, ntfs_rights, share_rights, remote, verdict: every described user and service with rights on the stated resources.
+
+    A list that names everyone, or no list at all, brings all of them; else they are the members of the trustees of list and share, and
+    the owner.  Members nobody observed cannot be named: then the verdicts say that the answer is a lower bound.
+    """
+    asked = resources.select("resource_key").distinct()
+    on = estate.resources.join(asked, "resource_key", "left_semi").select("resource_key", "share_key", "dacl_present", "owner_key")
+    trustees = estate.ntfs_aces.join(asked, "resource_key", "left_semi").select("resource_key", "trustee_key")
+    trustees = trustees.union(on.join(estate.share_aces, "share_key").select("resource_key", "trustee_key")).union(on.select("resource_key", "owner_key")).distinct()
+    subjects = estate.principals.where(F.col("kind").isin(*SUBJECT_KINDS)).select("principal_key")
+    open_ = on.where(~F.col("dacl_present")).select("resource_key").union(trustees.where(F.col("trustee_key").isin(*ASSUMED, keys.NETWORK, keys.INTERACTIVE)).select("resource_key")).distinct()
+    # Everyone who is described, for each resource that is open to them: that many rows are the answer.
+    everyone = subjects.withColumn("all", F.lit(True)).join(open_.withColumn("all", F.lit(True)), "all").select("principal_key", "resource_key")
+    reach = closure(estate.edges).select(F.col("member_key").alias("principal_key"), F.col("group_key").alias("trustee_key"))
+    known = reach.unionByName(subjects.select("principal_key", F.col("principal_key").alias("trustee_key")))
+    named = trustees.join(known, "trustee_key").join(subjects, "principal_key", "left_semi").select("principal_key", "resource_key")
+    return pair_access(estate, named.unionByName(everyone).distinct()).where("ntfs_rights <> 0").select("principal_key", "resource_key", "ntfs_rights", "share_rights", "remote", "verdict")
 
 
 #: Read and change a list's permissions: an owner's own rights.
@@ -153,40 +190,45 @@ OWNER_BITS = 0x20000 | 0x40000
 
 
 def pair_access(estate: Estate, pairs: DataFrame) -> DataFrame:
-    """principal_key, resource_key, ntfs_rights, share_rights, owner, local, remote, verdict: for the stated pairs alone.
+    """principal_key, resource_key, ntfs_rights, share_rights, owner, local, remote, certainty, verdict: for the stated pairs alone.
 
     Only lists and tokens of the pairs are evaluated.  Locally the token holds INTERACTIVE and the share does not
-    count; over the share it holds NETWORK.  An owner may read and change the list, unless the list has an entry for
-    OWNER RIGHTS.  An unread share bounds remote access from above.
+    count; over the share it holds NETWORK.  Whoever holds the owner's identifier may read and change the list, unless
+    the list has entries for OWNER RIGHTS, which then speak to the owner instead.  An unread share bounds remote access
+    from above, a trustee whose members nobody observed from below.
     """
-    asked = pairs.select("principal_key", "resource_key").distinct()
+    asked = cut(pairs.select("principal_key", "resource_key").distinct())
     own = tokens(estate).join(asked.select("principal_key").distinct(), "principal_key", "left_semi").select("principal_key", F.col("sid").alias("trustee_key"))
     ways = own.withColumn("way", F.explode(F.array(F.lit("local"), F.lit("remote"))))
     logon = asked.select("principal_key").distinct().select("principal_key", F.explode(F.array(F.struct(F.lit(keys.INTERACTIVE).alias("trustee_key"), F.lit("local").alias("way")), F.struct(F.lit(keys.NETWORK).alias("trustee_key"), F.lit("remote").alias("way")))).alias("x"))
-    held = ways.unionByName(logon.select("principal_key", "x.trustee_key", "x.way"))
-    lists = estate.ntfs_aces.join(asked.select("resource_key").distinct(), "resource_key", "left_semi")
-    matched = asked.join(lists.where(acl.applies_here()), "resource_key").join(held, ["principal_key", "trustee_key"])
+    held = cut(ways.unionByName(logon.select("principal_key", "x.trustee_key", "x.way")))
+    about = cut(asked.join(estate.resources.select("resource_key", "share_key", "dacl_present", "owner_key"), "resource_key"))
+    owned = about.join(held.select("principal_key", F.col("trustee_key").alias("owner_key"), "way"), ["principal_key", "owner_key"]).select("principal_key", "resource_key", "way")
+    lists = cut(acl.considered(estate.ntfs_aces.join(asked.select("resource_key").distinct(), "resource_key", "left_semi")).where(acl.applies_here()))
+    to_owner = keys.sid_of(F.col("trustee_key")) == keys.OWNER_RIGHTS
+    matched = asked.join(lists, "resource_key").join(held, ["principal_key", "trustee_key"]).unionByName(owned.join(lists.where(to_owner), "resource_key"))
     folded = matched.groupBy("principal_key", "resource_key", "way").agg(acl.fold(acl.ordered_entries()).alias("f")).select("principal_key", "resource_key", "way", "f.granted", "f.denied")
-    about = asked.join(estate.resources.select("resource_key", "share_key", "dacl_present", "owner_key"), "resource_key")
-    restated = lists.where(keys.sid_of(F.col("trustee_key")) == keys.OWNER_RIGHTS).select("resource_key").distinct().withColumn("restated", F.lit(True))
+    restated = lists.where(to_owner).select("resource_key").distinct().withColumn("restated", F.lit(True))
     observed = estate.share_aces.select("share_key").distinct().withColumn("observed", F.lit(True))
     on_share = about.select("principal_key", "share_key").distinct().join(estate.share_aces, "share_key").join(held.where("way = 'remote'").drop("way"), ["principal_key", "trustee_key"]).withColumn("mask", masks.share_mask(F.col("permission")))
     zero, total = F.lit(0).cast("long"), F.lit(masks.FILE_ALL).cast("long")
     side = lambda kind: F.coalesce(F.bit_or(F.when(F.col("ace_type") == kind, F.col("mask"))), zero)
     shares = on_share.groupBy("principal_key", "share_key").agg(masks.minus(side("allow"), side("deny")).alias("share_mask"))
-    rows = about.join(restated, "resource_key", "left").join(observed, "share_key", "left").join(shares, ["principal_key", "share_key"], "left")
+    missing = gaps(estate.with_(resources=estate.resources.join(asked.select("resource_key").distinct(), "resource_key", "left_semi")))
+    rows = about.join(restated, "resource_key", "left").join(observed, "share_key", "left").join(shares, ["principal_key", "share_key"], "left").join(missing, "resource_key", "left")
+    rows = rows.join(owned.where("way = 'remote'").select("principal_key", "resource_key", F.lit(True).alias("owns")), ["principal_key", "resource_key"], "left")
     for way in ("local", "remote"):
         one = folded.where(F.col("way") == way).select("principal_key", "resource_key", F.col("granted").alias(f"{way}_granted"), F.col("denied").alias(f"{way}_denied"))
         rows = rows.join(one, ["principal_key", "resource_key"], "left")
-    owner = (F.col("owner_key") == F.col("principal_key")) & F.col("restated").isNull()
-    bits = F.when(F.coalesce(owner, F.lit(False)), F.lit(OWNER_BITS).cast("long")).otherwise(zero)
+    bits = F.when(F.col("owns") & F.col("restated").isNull(), F.lit(OWNER_BITS).cast("long")).otherwise(zero)
     ntfs = lambda way: F.when(~F.col("dacl_present"), total).otherwise(F.coalesce(f"{way}_granted", zero)).bitwiseOR(bits)
-    seen = F.coalesce("observed", F.lit(False))
+    seen, unsure = F.coalesce("observed", F.lit(False)), F.coalesce("cut", F.lit(False))
     share = F.when(seen, F.coalesce("share_mask", zero)).otherwise(total)
     remote = ntfs("remote").bitwiseAND(share)
+    certain = certainty(~seen | unsure, F.coalesce("unobserved", F.lit(False)) | unsure)
     return rows.select(
         "principal_key", "resource_key", ntfs("remote").alias("ntfs_rights"), share.alias("share_rights"), (bits != 0).alias("owner"), ntfs("local").alias("local"), remote.alias("remote"),
-        verdict(remote, certainty(~seen, F.lit(False)), F.coalesce("remote_denied", zero)).alias("verdict"),
+        certain.alias("certainty"), verdict(remote, certain, F.coalesce("remote_denied", zero)).alias("verdict"),
     )
 
 
@@ -195,16 +237,6 @@ def system_mapping(server: Column, enabled: Column, over_share: Column) -> Colum
     return F.when(over_share, "not_presented").when(server.isNull(), "unknown_machine").when(enabled.isNull(), "unverified").when(enabled, "mapped").otherwise("disabled_machine")
 
 
-def removal_effects(members: DataFrame, aces: DataFrame) -> DataFrame:
-    """class_key, resource_key, ace_key, lost, gained: each entry taken out in turn and the list evaluated anew."""
-    matched = aces.join(members, aces["trustee_key"] == members["sid"]).where(F.col("ace_flags").bitwiseAND(masks.INHERIT_ONLY) == 0)
-    lists = matched.groupBy("class_key", "resource_key").agg(acl.ordered_entries().alias("entries"))
-    whole = lists.select("class_key", "resource_key", "entries", acl.fold(F.col("entries")).alias("before"), F.explode("entries").alias("gone"))
-    after = acl.fold(F.filter("entries", lambda e: e["ace_key"] != F.col("gone.ace_key")))
-    rows = whole.withColumn("after", after)
-    return rows.select("class_key", "resource_key", F.col("gone.ace_key").alias("ace_key"), masks.minus(F.col("before.granted"), F.col("after.granted")).alias("lost"), masks.minus(F.col("after.granted"), F.col("before.granted")).alias("gained"))
-
-
 def derived_lists(resources: DataFrame, observed: DataFrame) -> DataFrame:
     """resource_key, source_key, distance: for a resource whose list nobody read, the nearest one above that was read."""
     missing = resources.join(observed.select("resource_key").distinct(), "resource_key", "left_anti")

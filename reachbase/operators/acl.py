@@ -16,11 +16,24 @@ def applies_here() -> Column:
     return (F.col("ace_flags").bitwiseAND(masks.INHERIT_ONLY) == 0) & ~keys.sid_of(F.col("trustee_key")).isin(keys.CREATOR_OWNER, keys.CREATOR_GROUP)
 
 
+def considered(aces: DataFrame) -> DataFrame:
+    """The entries of each list up to its ``MAX_ENTRIES``-th, before anything is joined to them; shorter lists are not sorted."""
+    long = aces.groupBy("resource_key").agg(F.count("*").alias("n")).where(F.col("n") > MAX_ENTRIES).select("resource_key")
+    seat = F.row_number().over(Window.partitionBy("resource_key").orderBy(F.col("order_index").asc_nulls_last(), "ace_key"))
+    cut = aces.join(long, "resource_key", "left_semi").withColumn("_seat", seat).where(F.col("_seat") <= MAX_ENTRIES).drop("_seat")
+    return aces.join(long, "resource_key", "left_anti").unionByName(cut)
+
+
+def cut_lists(aces: DataFrame) -> DataFrame:
+    """resource_key: lists with more entries than are considered."""
+    return aces.groupBy("resource_key").agg(F.count("*").alias("n")).where(F.col("n") > MAX_ENTRIES).select("resource_key")
+
+
 def ordered_entries() -> Column:
     """Aggregate: a group's entries in evaluation order, generic rights expanded, what does not apply here left out."""
     kept = F.when(applies_here(), F.struct(
         F.coalesce("order_index", F.lit(2**31 - 1)).alias("at"), "ace_key", (F.col("ace_type") == "allow").alias("allow"), masks.expand_generic(F.col("access_mask")).alias("mask")))
-    return F.slice(F.array_sort(F.collect_list(kept)), 1, MAX_ENTRIES)
+    return F.array_sort(F.collect_list(kept))
 
 
 def fold(entries: Column, owner_rights: Column | None = None) -> Column:

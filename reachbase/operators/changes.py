@@ -126,12 +126,17 @@ def field_deltas(before: DataFrame, after: DataFrame, key: str, fields: list[str
 
 
 def order_changes(resources: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """resource_key, material: lists that hold the same entries in another order, and whether anyone who holds all their trustees gets other rights."""
-    entries = lambda rows: rows.groupBy("resource_key").agg(F.array_sort(F.collect_list("ace_key")).alias("held"), F.array_sort(F.collect_list(F.struct("order_index", "ace_key"))).alias("seats"), acl.fold(acl.ordered_entries()).alias("f"))
-    a, b = (entries(rows).select("resource_key", *[F.col(c).alias(f"{c}_{n}") for c in ("held", "seats", "f")]) for rows, n in ((before, "a"), (after, "b")))
-    same = a.join(b, "resource_key").where("held_a = held_b")
-    moved = F.transform("seats_a", lambda x: x["ace_key"]) != F.transform("seats_b", lambda x: x["ace_key"])
-    return same.where(moved).join(resources.select("resource_key"), "resource_key", "left_semi").select("resource_key", (F.col("f_a.granted") != F.col("f_b.granted")).alias("material"))
+    """resource_key, material: lists that hold the same entries at other places.
+
+    Material: the list's normal form differs, in which places are ranks.  So a gap in the
+    numbers alone is not material, and any other order is, whoever holds the trustees.
+    """
+    entries = lambda rows, n: rows.groupBy("resource_key").agg(F.array_sort(F.collect_list("ace_key")).alias(f"held_{n}"), F.array_sort(F.collect_list(F.struct("order_index", "ace_key"))).alias(f"seats_{n}"))
+    same = entries(before, "a").join(entries(after, "b"), "resource_key").where("held_a = held_b AND seats_a <> seats_b")
+    there = resources.join(same.select("resource_key"), "resource_key", "left_semi")
+    form = lambda rows, name: acl.digests(there, rows.join(there.select("resource_key"), "resource_key", "left_semi")).select("resource_key", F.col("acl_hash").alias(name))
+    both = same.select("resource_key").join(form(before, "was"), "resource_key").join(form(after, "now"), "resource_key")
+    return both.select("resource_key", (F.col("was") != F.col("now")).alias("material"))
 
 
 def siblings(changes: DataFrame, container: str) -> DataFrame:

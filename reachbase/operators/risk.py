@@ -21,7 +21,7 @@ BANDS = {
 def broad_access(e: Estate) -> DataFrame:
     """What a broad trustee gets alone from each list, graded by band."""
     rule = F.when(F.col("trustee_key") == keys.EVERYONE, "everyone_broad_access").when(F.col("trustee_key") == keys.AUTHENTICATED, "authenticated_users_broad_access").when(keys.rid(F.col("trustee_key")) == "513", "domain_users_broad_access")
-    named = e.ntfs_aces.withColumn("rule", rule).where(F.col("rule").isNotNull())
+    named = acl.considered(e.ntfs_aces).withColumn("rule", rule).where(F.col("rule").isNotNull())
     rights = named.groupBy("rule", "resource_key").agg(acl.fold(acl.ordered_entries()).alias("f")).select("rule", "resource_key", F.col("f.granted").alias("rights"))
     band = F.when(masks.holds(F.col("rights"), masks.CATEGORIES["full_control"]), "full_control").when(masks.has(F.col("rights"), 0x116), "write").when(masks.holds(F.col("rights"), masks.CATEGORIES["read"]), "read")
     severity = F.lit(None).cast("string")

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachbase.functions import masks
-from reachbase.operators import access
+from reachbase.functions import keys, masks
+from reachbase.functions.tables import cut
+from reachbase.operators import access, acl
 from reachbase.plans.estate import Estate
 
 
@@ -21,12 +22,21 @@ def with_edges(e: Estate, removed: DataFrame | None = None, added: DataFrame | N
     return e.with_(edges=edges)
 
 
-def with_entries(e: Estate, removed: DataFrame | None = None, modified: DataFrame | None = None, added: DataFrame | None = None) -> Estate:
+def touched_lists(aces: DataFrame, removed: DataFrame | None = None, modified: DataFrame | None = None, added: DataFrame | None = None) -> DataFrame:
+    """resource_key: the lists that a plan says anything about."""
+    named = [rows.select("ace_key") for rows in (removed, modified) if rows is not None]
+    out = [added.select("resource_key")] if added is not None else []
+    if named:
+        keys_ = named[0] if len(named) == 1 else named[0].union(named[1])
+        out.append(aces.join(keys_.distinct(), "ace_key", "left_semi").select("resource_key"))
+    return (out[0] if len(out) == 1 else out[0].union(out[1])).distinct()
+
+
+def changed_entries(aces: DataFrame, removed: DataFrame | None = None, modified: DataFrame | None = None, added: DataFrame | None = None) -> DataFrame:
     """Removes by ace_key, sets masks by (ace_key, new_mask), adds rows; then renumbers each list.
 
     A new entry goes where canonical order puts it: explicit before inherited, denials first.
     """
-    aces = e.ntfs_aces
     if removed is not None:
         aces = aces.join(removed.select("ace_key").distinct(), "ace_key", "left_anti")
     if modified is not None:
@@ -38,7 +48,106 @@ def with_entries(e: Estate, removed: DataFrame | None = None, modified: DataFram
     last = F.max(F.when(band <= 0, F.col("order_index"))).over(Window.partitionBy("resource_key"))
     place = F.coalesce(F.col("order_index").cast("double"), F.when(known == 0, F.lit(-0.5)).when(known == 1, F.coalesce(last, F.lit(-1)) + 0.5).otherwise(F.lit(1e9)))
     seat = F.row_number().over(Window.partitionBy("resource_key").orderBy("_place", "ace_key")) - 1
-    return e.with_(ntfs_aces=aces.withColumn("_place", place).withColumn("order_index", seat).drop("_place"))
+    return aces.withColumn("_place", place).withColumn("order_index", seat).drop("_place")
+
+
+def with_entries(e: Estate, removed: DataFrame | None = None, modified: DataFrame | None = None, added: DataFrame | None = None) -> Estate:
+    """The estate with ``changed_entries`` in the lists that the plan touches; other lists are not renumbered."""
+    there = touched_lists(e.ntfs_aces, removed, modified, added)
+    changed = changed_entries(e.ntfs_aces.join(there, "resource_key", "left_semi"), removed, modified, added)
+    return e.with_(ntfs_aces=e.ntfs_aces.join(there, "resource_key", "left_anti").unionByName(changed.select(*e.ntfs_aces.columns)))
+
+
+def with_shares(e: Estate, removed: DataFrame | None = None, modified: DataFrame | None = None, added: DataFrame | None = None) -> Estate:
+    """Share entries removed by ace_key, given another permission by (ace_key, new_permission), or added.
+
+    A share that loses its last entry is a share that lets nobody in and not one that nobody read: it gets a denial of
+    the identifier that stands for no one.
+    """
+    aces = e.share_aces if removed is None else e.share_aces.join(removed.select("ace_key").distinct(), "ace_key", "left_anti")
+    if modified is not None:
+        aces = aces.join(modified.select("ace_key", "new_permission"), "ace_key", "left").withColumn("permission", F.coalesce("new_permission", "permission")).drop("new_permission")
+    if added is not None:
+        aces = aces.unionByName(added.select(*aces.columns))
+    bare = e.share_aces.select("share_key").distinct().join(aces.select("share_key").distinct(), "share_key", "left_anti")
+    closed = bare.select("share_key", F.lit(keys.NOBODY).alias("trustee_key"), F.lit("deny").alias("ace_type"), F.lit("full").alias("permission"))
+    closed = closed.withColumn("ace_key", keys.share_ace_key(F.col("share_key"), F.col("trustee_key"), F.col("ace_type"), F.col("permission")))
+    return e.with_(share_aces=aces.unionByName(closed.select(*aces.columns)))
+
+
+def with_protection(e: Estate, changes: DataFrame) -> Estate:
+    """Lists whose inheritance is switched: (resource_key, protected, keep).
+
+    Protected: entries handed down become the list's own (keep) or go.  Cleared: what the parent hands down now, by its
+    own planned-for list, goes behind the explicit entries; where the parent's list is not read, entries stay as they are.
+    """
+    aces, own = e.ntfs_aces, e.ntfs_aces.columns
+    asked = aces.join(changes, "resource_key")
+    down = F.col("ace_flags").bitwiseAND(masks.INHERITED) != 0
+    protected = asked.where("protected").where(~down | F.col("keep"))
+    flags = F.when(down, F.col("ace_flags") - masks.INHERITED).otherwise(F.col("ace_flags")).cast("int")
+    renamed = protected.withColumn("ace_flags", flags).withColumn("ace_key", keys.ntfs_ace_key(F.col("resource_key"), F.col("trustee_key"), F.col("ace_type"), F.col("access_mask"), F.col("ace_flags")))
+    cleared = changes.where("NOT protected").select("resource_key").join(e.resources.select("resource_key", "parent_key"), "resource_key")
+    read = cleared.join(aces.select(F.col("resource_key").alias("parent_key")).distinct(), "parent_key", "left_semi")
+    parents = aces.join(read.select(F.col("parent_key").alias("resource_key")).distinct(), "resource_key", "left_semi")
+    handed = acl.projected(parents).withColumnRenamed("resource_key", "parent_key").join(read, "parent_key").withColumn("order_index", F.col("order_index") + 2**20)
+    handed = handed.withColumn("ace_key", keys.ntfs_ace_key(F.col("resource_key"), F.col("trustee_key"), F.col("ace_type"), F.col("access_mask"), F.col("ace_flags")))
+    explicit = asked.where("NOT protected").join(read.select("resource_key", F.lit(True).alias("read")), "resource_key", "left").where(~down | F.col("read").isNull())
+    changed = renamed.select(*own).unionByName(explicit.select(*own)).unionByName(handed.select(*own))
+    # Two entries of a list that became equal are one.
+    changed = changed.groupBy("resource_key", "ace_key").agg(*[F.min_by(c, F.coalesce("order_index", F.lit(2**31 - 1))).alias(c) for c in own if c not in ("resource_key", "ace_key")]).select(*own)
+    seat = F.row_number().over(Window.partitionBy("resource_key").orderBy(F.col("order_index").asc_nulls_last(), "ace_key")) - 1
+    there = changes.select("resource_key").distinct()
+    flag = e.resources.join(changes.select("resource_key", F.col("protected").alias("_p")), "resource_key", "left").withColumn("dacl_protected", F.coalesce("_p", "dacl_protected")).drop("_p")
+    return e.with_(ntfs_aces=aces.join(there, "resource_key", "left_anti").unionByName(changed.withColumn("order_index", seat)), resources=flag)
+
+
+#: What a plan's change comes to on the estate as it is.
+OUTCOMES = ("applied", "already_present", "already_absent", "mask_unchanged", "target_unknown", "repeated")
+
+
+def applicability(e: Estate, plan: DataFrame) -> DataFrame:
+    """change_no, outcome for a plan (change_no, action, target, member, value).
+
+    Actions and their targets: remove_entry and modify_entry (an ace_key; value is the new mask), add_entry (ace_key of the new entry; member is its list),
+    remove_member and add_member (a group; member).  Of changes that say the same, the first counts and the others are repeated.
+    """
+    same = Window.partitionBy("action", "target", "member").orderBy("change_no")
+    rows = plan.withColumn("seat", F.row_number().over(same))
+    entries = e.ntfs_aces.select(F.col("ace_key").alias("target"), "access_mask", F.lit(True).alias("entry"))
+    pairs = e.edges.select(F.col("group_key").alias("target"), F.col("member_key").alias("member"), F.lit(True).alias("edge")).distinct()
+    groups = e.principals.select(F.col("principal_key").alias("target"), F.lit(True).alias("group"))
+    lists = e.resources.select(F.col("resource_key").alias("member"), F.lit(True).alias("list"))
+    who = e.principals.select(F.col("principal_key").alias("member"), F.lit(True).alias("who"))
+    rows = rows.join(entries, "target", "left").join(pairs, ["target", "member"], "left").join(groups, "target", "left").join(lists, "member", "left").join(who, "member", "left")
+    is_ = lambda c: F.col(c).isNotNull()
+    action = F.col("action")
+    outcome = (
+        F.when(F.col("seat") > 1, "repeated")
+        .when(action.isin("add_member", "remove_member") & (~is_("group") | ~is_("who")), "target_unknown").when(action == "add_member", F.when(is_("edge"), "already_present").otherwise("applied"))
+        .when(action == "remove_member", F.when(is_("edge"), "applied").otherwise("already_absent")).when(action == "remove_entry", F.when(is_("entry"), "applied").otherwise("already_absent"))
+        .when(action == "modify_entry", F.when(~is_("entry"), "target_unknown").when(F.col("access_mask") == F.col("value"), "mask_unchanged").otherwise("applied"))
+        .when(action == "add_entry", F.when(~is_("list"), "target_unknown").when(is_("entry"), "already_present").otherwise("applied"))
+    )
+    return rows.select("change_no", outcome.alias("outcome"))
+
+
+def affected_resources(e: Estate, lists: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """resource_key, distance: the lists a plan touches (resource_key) and what inherits from them: everything below, down to a list that is protected or missing.
+
+    Resources find the touched lists above them through their own paths, so a subtree is never walked.
+    """
+    own = e.resources.select("resource_key", "dacl_protected", "dacl_present")
+    above = own.select("resource_key", F.explode(keys.ancestors(F.col("resource_key"))).alias("a")).select("resource_key", "a.distance", F.col("a.key").alias("source"))
+    if max_depth is not None:
+        above = above.where(F.col("distance") <= max_depth)
+    stops = own.where(F.col("dacl_protected") | ~F.col("dacl_present")).select(F.col("resource_key").alias("source"), F.lit(True).alias("stops"))
+    nearest = above.join(stops, "source").groupBy("resource_key").agg(F.min("distance").alias("wall"))
+    hit = above.join(lists.select(F.col("resource_key").alias("source")).distinct(), "source")
+    # The wall itself hands down its own list, so a touched list at the wall still counts.
+    reached = hit.join(nearest, "resource_key", "left").where(F.col("wall").isNull() | (F.col("distance") <= F.col("wall"))).join(own.where("dacl_present AND NOT dacl_protected"), "resource_key", "left_semi")
+    direct = own.join(lists.select("resource_key").distinct(), "resource_key", "left_semi").select("resource_key", F.lit(0).alias("distance"))
+    return reached.select("resource_key", "distance").unionByName(direct).groupBy("resource_key").agg(F.min("distance").alias("distance"))
 
 
 def direction(before: Column, after: Column) -> Column:
@@ -48,19 +157,23 @@ def direction(before: Column, after: Column) -> Column:
     )
 
 
-def entry_impact(e: Estate, planned: Estate) -> DataFrame:
+def entry_impact(e: Estate, planned: Estate, touched: DataFrame | None = None) -> DataFrame:
     """class_key, resource_key, before, after, direction: only on lists that the plan touches.
 
-    Classes come from the trustees of both estates, so one principal has one class on either side.
+    ``touched`` (resource_key) names those lists where the plan knows them; else they are found by comparing
+    all.  Classes come from the trustees of both estates, so one principal has one class on either side.
     """
+    if touched is None:
+        # Equal lists have equal sums of hashes, whatever the order of their entries in the tables.
+        mark = lambda x, name: x.ntfs_aces.groupBy("resource_key").agg(F.sum(F.xxhash64("ace_key", "access_mask", "order_index").cast("decimal(38,0)")).alias(name), F.count("*").alias(f"n_{name}"))
+        both = mark(e, "was").join(mark(planned, "now"), "resource_key", "full_outer")
+        touched = both.where(~F.col("was").eqNullSafe(F.col("now")) | ~F.col("n_was").eqNullSafe(F.col("n_now"))).select("resource_key")
+    touched = cut(touched)
+    now, then = (cut(x.ntfs_aces.join(touched, "resource_key", "left_semi")) for x in (e, planned))
     trustees = e.ntfs_aces.select("trustee_key").union(planned.ntfs_aces.select("trustee_key")).union(e.share_aces.select("trustee_key"))
-    _, members = access.classes(access.tokens(e), trustees)
-    # Equal lists have equal sums of hashes, whatever the order of their entries in the tables.
-    mark = lambda x, name: x.ntfs_aces.groupBy("resource_key").agg(F.sum(F.xxhash64("ace_key", "access_mask").cast("decimal(38,0)")).alias(name), F.count("*").alias(f"n_{name}"))
-    both = mark(e, "was").join(mark(planned, "now"), "resource_key", "full_outer")
-    touched = both.where(~F.col("was").eqNullSafe(F.col("now")) | ~F.col("n_was").eqNullSafe(F.col("n_now"))).select("resource_key")
-    side = lambda x, name: access.ntfs_rights(members, x.ntfs_aces.join(touched, "resource_key", "left_semi")).select("class_key", "resource_key", F.col("granted").alias(name))
-    both = side(e, "before").join(side(planned, "after"), ["class_key", "resource_key"], "full_outer").fillna(0, ["before", "after"])
+    _, members = access.classes(access.tokens(e), cut(trustees.distinct()))
+    side = lambda rows, name: access.ntfs_rights(members, rows).select("class_key", "resource_key", F.col("granted").alias(name))
+    both = side(now, "before").join(side(then, "after"), ["class_key", "resource_key"], "full_outer").fillna(0, ["before", "after"])
     return both.withColumn("direction", direction(F.col("before"), F.col("after")))
 
 

@@ -117,9 +117,11 @@ def membership_degrees(e: Estate) -> DataFrame:
     return graph.degrees(e.principals, e.edges)
 
 
-@on_estate(REACH + ", mu AS (SELECT a.member_key AS k, a.group_key AS g FROM reach a JOIN reach b ON a.member_key = b.group_key AND a.group_key = b.member_key WHERE a.member_key <> a.group_key) SELECT DISTINCT least(k, min(g)) AS cycle_id, (count(DISTINCT g) + 1)::int AS size FROM mu GROUP BY k")
+@on_estate(REACH + """, mu AS (SELECT a.member_key AS k, a.group_key AS g FROM reach a JOIN reach b ON a.member_key = b.group_key AND a.group_key = b.member_key WHERE a.member_key <> a.group_key), cy AS (SELECT DISTINCT least(k, min(g)) AS cycle_id, (count(DISTINCT g) + 1)::int AS size FROM mu GROUP BY k),
+lw(start, node, path) AS (SELECT cycle_id, cycle_id, [cycle_id] FROM cy UNION ALL SELECT start, e.group_key, list_append(path, e.group_key) FROM lw JOIN edges e ON e.member_key = node JOIN mu ON mu.k = e.member_key AND mu.g = e.group_key WHERE (len(path) = 1 OR node <> start) AND (e.group_key = start OR NOT list_contains(path, e.group_key)))
+SELECT cycle_id, size, (SELECT array_to_string(first(path ORDER BY len(path), path), '>') FROM lw WHERE start = cycle_id AND node = cycle_id AND len(path) > 1) AS loop FROM cy""")
 def membership_cycles(e: Estate) -> DataFrame:
-    return graph.cycles(graph.closure(e.edges)).select("cycle_id", "size")
+    return graph.cycles(e.edges).select("cycle_id", "size", F.array_join("loop", ">").alias("loop"))
 
 
 @on_estate(f""", p(start, node, path) AS (SELECT member_key, group_key, [member_key, group_key] FROM edges WHERE member_key LIKE 'S-1-5-21-1-1-2-%'
@@ -168,13 +170,14 @@ def effective_ntfs_rights(e: Estate) -> DataFrame:
 _MATRIX = CLASSES + """, every AS (SELECT DISTINCT class_key FROM members),
 lists AS (SELECT class_key, resource_key, f.g AS g, f.d AS d FROM folded UNION ALL SELECT class_key, resource_key, 2032127, 0 FROM resources, every WHERE NOT dacl_present),
 sh AS (SELECT class_key, share_key, bit_or(CASE permission WHEN 'read' THEN 1179817::bigint WHEN 'change' THEN 1245631 ELSE 2032127 END) AS s FROM share_aces JOIN members ON trustee_key = sid GROUP BY 1, 2),
-crossed AS (SELECT l.class_key, l.resource_key, r.share_key, g, d, o.share_key IS NOT NULL AS seen, CASE WHEN o.share_key IS NULL THEN 2032127::bigint ELSE coalesce(s, 0)::bigint END AS s
-  FROM lists l JOIN resources r USING (resource_key) LEFT JOIN (SELECT DISTINCT share_key FROM share_aces) o ON o.share_key = r.share_key LEFT JOIN sh ON sh.share_key = r.share_key AND sh.class_key = l.class_key)"""
+nobody AS (SELECT DISTINCT a.resource_key FROM ntfs_aces a WHERE a.trustee_key LIKE 'S-1-5-21-%' AND a.trustee_key NOT IN (SELECT principal_key FROM principals) AND a.trustee_key NOT IN (SELECT group_key FROM edges)),
+crossed AS (SELECT l.class_key, l.resource_key, r.share_key, g, d, h.resource_key IS NOT NULL AS hidden, o.share_key IS NOT NULL AS seen, CASE WHEN o.share_key IS NULL THEN 2032127::bigint ELSE coalesce(s, 0)::bigint END AS s
+  FROM lists l JOIN resources r USING (resource_key) LEFT JOIN nobody h ON h.resource_key = l.resource_key LEFT JOIN (SELECT DISTINCT share_key FROM share_aces) o ON o.share_key = r.share_key LEFT JOIN sh ON sh.share_key = r.share_key AND sh.class_key = l.class_key)"""
 
 
 @on_estate(_MATRIX + f""" SELECT class_key, resource_key, g AS ntfs_rights, s AS share_rights, g & s AS rights, {category('(g & s)')} AS label,
   CASE WHEN NOT seen THEN 'unknown' WHEN g & (4294967295 - s) <> 0 AND s & (4294967295 - g) <> 0 THEN 'both' WHEN g & (4294967295 - s) <> 0 THEN 'smb_share' WHEN s & (4294967295 - g) <> 0 THEN 'ntfs' ELSE 'none' END AS limited_by,
-  CASE WHEN seen THEN 'certain' ELSE 'at_most' END AS certainty, CASE WHEN g & s <> 0 THEN 'granted' WHEN d <> 0 THEN 'denied' ELSE 'no_grant' END AS verdict FROM crossed""")
+  CASE WHEN hidden THEN CASE WHEN seen THEN 'at_least' ELSE 'uncertain' END WHEN seen THEN 'certain' ELSE 'at_most' END AS certainty, CASE WHEN g & s <> 0 THEN 'granted' WHEN hidden THEN 'indeterminate' WHEN d <> 0 THEN 'denied' ELSE 'no_grant' END AS verdict FROM crossed""")
 def access_matrix(e: Estate) -> DataFrame:
     return access.matrix(e)[0].select("class_key", "resource_key", "ntfs_rights", "share_rights", "rights", "label", "limited_by", "certainty", "verdict")
 
@@ -195,10 +198,19 @@ def reach_of_resources(e: Estate) -> DataFrame:
     return reach.where("rights <> 0").join(n, "class_key").groupBy("resource_key").agg(F.sum("n").alias("principals"), F.sum(modify).alias("can_modify"))
 
 
-@on_estate(TOKENS + ", one AS (SELECT min(resource_key) AS k FROM ntfs_aces WHERE resource_key LIKE '%\\p%' AND trustee_key LIKE 'S-1-5-21-1-1-3-%'), held AS (SELECT t.principal_key AS principal_key, a.* FROM ntfs_aces a JOIN one ON resource_key = k JOIN tokens t ON t.sid = a.trustee_key WHERE t.origin <> 'assumed' AND ace_flags & 8 = 0), f AS (SELECT principal_key, count(DISTINCT trustee_key) AS trustees, " + FOLD + " AS f FROM held GROUP BY 1) SELECT principal_key, f.g AS ntfs_rights, trustees FROM f WHERE f.g <> 0")
+_WHO = TOKENS + f""", one AS (SELECT resource_key, share_key, dacl_present, owner_key FROM resources WHERE resource_key IN (SELECT min(resource_key) FROM ntfs_aces WHERE trustee_key = 'S-1-1-0' UNION SELECT min(resource_key) FROM resources WHERE NOT dacl_present UNION SELECT min(resource_key) FROM resources WHERE depth = 0)),
+wf AS (SELECT t.principal_key, a.resource_key, {FOLD} AS f FROM one JOIN ntfs_aces a USING (resource_key) JOIN tokens t ON t.sid = a.trustee_key WHERE ace_flags & 8 = 0 GROUP BY 1, 2),
+wn AS (SELECT s.principal_key, o.resource_key, o.share_key, ((CASE WHEN NOT dacl_present THEN 2032127 ELSE coalesce(wf.f.g, 0) END) | (CASE WHEN o.owner_key = s.principal_key THEN 393216 ELSE 0 END))::bigint AS n FROM one o, subjects s LEFT JOIN wf ON wf.principal_key = s.principal_key AND wf.resource_key = o.resource_key),
+ws AS (SELECT t.principal_key, a.share_key, bit_or(CASE permission WHEN 'read' THEN 1179817::bigint WHEN 'change' THEN 1245631 ELSE 2032127 END) AS s FROM share_aces a JOIN one USING (share_key) JOIN tokens t ON t.sid = a.trustee_key GROUP BY 1, 2)
+SELECT wn.principal_key, wn.resource_key, n AS ntfs_rights, (CASE WHEN o.share_key IS NULL THEN 2032127 ELSE coalesce(s, 0) END & n)::bigint AS remote FROM wn LEFT JOIN ws ON ws.principal_key = wn.principal_key AND ws.share_key = wn.share_key LEFT JOIN (SELECT DISTINCT share_key FROM share_aces) o ON o.share_key = wn.share_key WHERE n <> 0"""
+
+
+@on_estate(_WHO)
 def principals_of_resource(e: Estate) -> DataFrame:
-    leaf = e.ntfs_aces.where(F.col("resource_key").contains("\\p") & F.col("trustee_key").startswith("S-1-5-21-1-1-3-")).agg(F.min("resource_key")).first()[0]
-    return access.principals_on(e.with_(ntfs_aces=e.ntfs_aces.where(F.col("ace_flags").bitwiseAND(8) == 0)), leaf)
+    """On a list that names everyone, one that is missing, and a share's root."""
+    least = lambda rows: rows.agg(F.min("resource_key").alias("resource_key"))
+    some = least(e.ntfs_aces.where(F.col("trustee_key") == keys.EVERYONE)).union(least(e.resources.where("NOT dacl_present"))).union(least(e.resources.where("depth = 0")))
+    return access.principals_on(e, some).select("principal_key", "resource_key", "ntfs_rights", "remote")
 
 
 @on_estate("SELECT trustee_key, count(*) AS entries FROM ntfs_aces WHERE trustee_key LIKE 'S-1-5-21-%' AND trustee_key NOT IN (SELECT principal_key FROM principals) AND trustee_key NOT IN (SELECT group_key FROM edges) GROUP BY 1")

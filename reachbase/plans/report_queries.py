@@ -50,31 +50,50 @@ def on_runs(body: str | None = None):
     return add
 
 
-# Owners against what they own: one pair for each leaf that has an owner.
+# Owners against what they own, and a user against a leaf of the same number.
 
-_PAIRS = TOKENS + """, asked AS (SELECT owner_key AS principal_key, resource_key, share_key, dacl_present FROM resources WHERE owner_key IS NOT NULL),
-pf AS (SELECT k.principal_key, a.resource_key, {fold} AS f FROM asked k JOIN {aces} a USING (resource_key) JOIN tokens t ON t.principal_key = k.principal_key AND t.sid = a.trustee_key WHERE ace_flags & 8 = 0 GROUP BY 1, 2),
+_PAIRS = TOKENS + """, asked AS (SELECT owner_key AS principal_key, resource_key, share_key, dacl_present, true AS owner FROM resources WHERE owner_key IS NOT NULL
+  UNION ALL SELECT p.principal_key, resource_key, share_key, dacl_present, false FROM resources JOIN principals p ON p.principal_key = 'S-1-5-21-1-1-1-' || (regexp_extract(resource_key, '\\\\p(\\d+)$', 1)::bigint + 100000) WHERE depth = 2),
+pf AS (SELECT principal_key, resource_key, {fold} AS f FROM (SELECT k.principal_key, a.* FROM asked k JOIN {aces} a USING (resource_key) JOIN tokens t ON t.principal_key = k.principal_key AND t.sid = a.trustee_key
+  UNION ALL SELECT k.principal_key, a.* FROM asked k JOIN {aces} a USING (resource_key) WHERE k.owner AND a.trustee_key = 'S-1-3-4') WHERE ace_flags & 8 = 0 GROUP BY 1, 2),
 ps AS (SELECT k.principal_key, k.share_key, bit_or(CASE permission WHEN 'read' THEN 1179817::bigint WHEN 'change' THEN 1245631 ELSE 2032127 END) AS s FROM (SELECT DISTINCT principal_key, share_key FROM asked) k JOIN share_aces a USING (share_key) JOIN tokens t ON t.principal_key = k.principal_key AND t.sid = a.trustee_key GROUP BY 1, 2),
-pr AS (SELECT k.principal_key, k.resource_key, (CASE WHEN NOT dacl_present THEN 2032127 ELSE coalesce(f.g, 0) END | 393216)::bigint AS n, CASE WHEN o.share_key IS NULL THEN 2032127 ELSE coalesce(s, 0) END::bigint AS s, coalesce(f.d, 0) AS d
-  FROM asked k LEFT JOIN pf USING (principal_key, resource_key) LEFT JOIN ps ON ps.principal_key = k.principal_key AND ps.share_key = k.share_key LEFT JOIN (SELECT DISTINCT share_key FROM share_aces) o ON o.share_key = k.share_key)"""
+pr AS (SELECT k.principal_key, k.resource_key, k.owner AND q.resource_key IS NULL AS owner, h.resource_key IS NOT NULL AS h, (CASE WHEN NOT dacl_present THEN 2032127 ELSE coalesce(f.g, 0) END | CASE WHEN k.owner AND q.resource_key IS NULL THEN 393216 ELSE 0 END)::bigint AS n, CASE WHEN o.share_key IS NULL THEN 2032127 ELSE coalesce(s, 0) END::bigint AS s, coalesce(f.d, 0) AS d
+  FROM asked k LEFT JOIN pf USING (principal_key, resource_key) LEFT JOIN ps ON ps.principal_key = k.principal_key AND ps.share_key = k.share_key LEFT JOIN (SELECT DISTINCT share_key FROM share_aces) o ON o.share_key = k.share_key
+  LEFT JOIN (SELECT DISTINCT resource_key FROM {aces} WHERE trustee_key = 'S-1-3-4' AND ace_flags & 8 = 0) q ON q.resource_key = k.resource_key
+  LEFT JOIN (SELECT DISTINCT resource_key FROM {aces} WHERE trustee_key LIKE 'S-1-5-21-%' AND trustee_key NOT IN (SELECT principal_key FROM principals) AND trustee_key NOT IN (SELECT group_key FROM edges)) h ON h.resource_key = k.resource_key)"""
 
 
 def _pairs_sql(aces: str) -> str:
     return _PAIRS.replace("{fold}", FOLD).replace("{aces}", aces)
 
 
-def _owners(e: Estate) -> DataFrame:
-    return e.resources.where("owner_key IS NOT NULL").select(F.col("owner_key").alias("principal_key"), "resource_key")
+def asked_pairs(e: Estate) -> DataFrame:
+    number = F.regexp_extract("resource_key", r"\\p(\d+)$", 1).cast("long") + 100000
+    users = e.resources.where("depth = 2").select(F.concat(F.lit("S-1-5-21-1-1-1-"), number.cast("string")).alias("principal_key"), "resource_key").join(e.principals.select("principal_key"), "principal_key", "left_semi")
+    return e.resources.where("owner_key IS NOT NULL").select(F.col("owner_key").alias("principal_key"), "resource_key").unionByName(users)
 
 
-@on_estate(_pairs_sql("ntfs_aces") + " SELECT principal_key, resource_key, n AS ntfs_rights, s AS share_rights, n & s AS remote, CASE WHEN n & s <> 0 THEN 'granted' WHEN d <> 0 THEN 'denied' ELSE 'no_grant' END AS verdict FROM pr")
+@on_estate(_pairs_sql("ntfs_aces") + " SELECT principal_key, resource_key, n AS ntfs_rights, s AS share_rights, n & s AS remote, CASE WHEN n & s <> 0 THEN 'granted' WHEN h THEN 'indeterminate' WHEN d <> 0 THEN 'denied' ELSE 'no_grant' END AS verdict FROM pr")
 def pair_access(e: Estate) -> DataFrame:
-    return access.pair_access(e, _owners(e)).select("principal_key", "resource_key", "ntfs_rights", "share_rights", "remote", "verdict")
+    return access.pair_access(e, asked_pairs(e)).select("principal_key", "resource_key", "ntfs_rights", "share_rights", "remote", "verdict")
 
 
-@on_estate(_pairs_sql("ntfs_aces") + " SELECT principal_key, resource_key, n AS local, true AS owner FROM pr")
+@on_estate(_pairs_sql("ntfs_aces") + " SELECT principal_key, resource_key, n AS local, owner FROM pr")
 def local_access(e: Estate) -> DataFrame:
-    return access.pair_access(e, _owners(e)).select("principal_key", "resource_key", "local", "owner")
+    return access.pair_access(e, asked_pairs(e)).select("principal_key", "resource_key", "local", "owner")
+
+
+_RESTATED = """, restated AS (SELECT resource_key, trustee_key, ace_type, access_mask, ace_flags, order_index, ace_key FROM ntfs_aces UNION ALL SELECT resource_key, 'S-1-3-4', CASE WHEN length(resource_key) % 2 = 0 THEN 'allow' ELSE 'deny' END, 1179785, 0, -1, resource_key || '|owner' FROM resources WHERE owner_key IS NOT NULL AND dacl_present AND length(resource_key) % 3 = 0)"""
+
+
+@on_estate(_pairs_sql("restated").replace(TOKENS, TOKENS + _RESTATED) + " SELECT principal_key, resource_key, n AS local, owner, n & s AS remote FROM pr")
+def owner_rights_access(e: Estate) -> DataFrame:
+    """With an entry for OWNER RIGHTS, that allows or denies reading, on one of three owned lists."""
+    new = e.resources.where("owner_key IS NOT NULL AND dacl_present AND length(resource_key) % 3 = 0").select(
+        "resource_key", F.lit(keys.OWNER_RIGHTS).alias("trustee_key"), F.when(F.length("resource_key") % 2 == 0, "allow").otherwise("deny").alias("ace_type"), F.lit(1179785).cast("long").alias("access_mask"),
+        F.lit(0).alias("ace_flags"), F.lit(-1).alias("order_index"), F.concat("resource_key", F.lit("|owner")).alias("ace_key"),
+    )
+    return access.pair_access(e.with_(ntfs_aces=e.ntfs_aces.unionByName(new)), asked_pairs(e)).select("principal_key", "resource_key", "local", "owner", "remote")
 
 
 @on_estate("SELECT principal_key, CASE WHEN enabled IS NULL THEN 'unverified' WHEN enabled THEN 'mapped' ELSE 'disabled_machine' END AS local, 'not_presented' AS remote FROM principals")
@@ -104,7 +123,7 @@ def _log_sql(n: int, t: str) -> str:
 
 @on_estate(_log_sql(1, _T1) + _pairs_sql("aces_1") + " SELECT principal_key, resource_key, n & s AS remote FROM pr")
 def access_as_of(e: Estate) -> DataFrame:
-    return access.pair_access(_at(e, _T1), _owners(e)).select("principal_key", "resource_key", "remote")
+    return access.pair_access(_at(e, _T1), asked_pairs(e)).select("principal_key", "resource_key", "remote")
 
 
 _IMPACT = _log_sql(1, _T1) + _log_sql(2, _T2).replace(", elog AS", ", elog2 AS").replace("FROM elog WHERE", "FROM elog2 WHERE") + _pairs_sql("aces_1") + _pairs_sql("aces_2")[len(TOKENS):].replace("asked AS", "asked2 AS").replace("asked k", "asked2 k").replace("FROM asked)", "FROM asked2)").replace("pf AS", "pf2 AS").replace("JOIN pf ", "JOIN pf2 ").replace("\nps AS", "\nps2 AS").replace("JOIN ps ON ps.principal_key = k.principal_key AND ps.share_key", "JOIN ps2 ON ps2.principal_key = k.principal_key AND ps2.share_key").replace("\npr AS", "\npr2 AS")
@@ -112,7 +131,7 @@ _IMPACT += ", both_ AS (SELECT pr.principal_key, pr.resource_key, pr.n & pr.s AS
 
 
 def _impact(e: Estate) -> DataFrame:
-    side = lambda t, name: access.pair_access(_at(e, t), _owners(e)).select("principal_key", "resource_key", F.col("remote").alias(name))
+    side = lambda t, name: access.pair_access(_at(e, t), asked_pairs(e)).select("principal_key", "resource_key", F.col("remote").alias(name))
     both = side(_T1, "before").join(side(_T2, "after"), ["principal_key", "resource_key"])
     return both.withColumn("direction", simulate.direction(F.col("before"), F.col("after")))
 
@@ -134,12 +153,13 @@ def access_expansion_events(e: Estate) -> DataFrame:
 # Changes
 
 
-_SWAPPED = ", turned AS (SELECT resource_key, trustee_key, ace_type, access_mask, ace_flags, ace_key, CASE WHEN length(resource_key) % 2 = 0 THEN -order_index ELSE order_index END AS order_index FROM ntfs_aces)"
+_SWAPPED = ", turned AS (SELECT resource_key, trustee_key, ace_type, access_mask, ace_flags, ace_key, CASE length(resource_key) % 3 WHEN 0 THEN -order_index WHEN 1 THEN 2 * order_index + 5 ELSE order_index END AS order_index FROM ntfs_aces)"
 
 
-@on_estate(_SWAPPED + ", a AS (SELECT resource_key, string_agg(ace_key, '/' ORDER BY order_index, ace_key) AS seats FROM ntfs_aces GROUP BY 1), b AS (SELECT resource_key, string_agg(ace_key, '/' ORDER BY order_index, ace_key) AS seats FROM turned GROUP BY 1), fa AS (SELECT resource_key, " + FOLD + ".g AS g FROM ntfs_aces WHERE ace_flags & 8 = 0 GROUP BY 1), fb AS (SELECT resource_key, " + FOLD + ".g AS g FROM turned WHERE ace_flags & 8 = 0 GROUP BY 1) SELECT a.resource_key, coalesce(fa.g, 0) <> coalesce(fb.g, 0) AS material FROM a JOIN b ON a.resource_key = b.resource_key LEFT JOIN fa ON fa.resource_key = a.resource_key LEFT JOIN fb ON fb.resource_key = a.resource_key WHERE a.seats <> b.seats")
+@on_estate(_SWAPPED + ", a AS (SELECT resource_key, string_agg(ace_key, '/' ORDER BY order_index, ace_key) AS seats, string_agg(order_index, '/' ORDER BY order_index, ace_key) AS places FROM ntfs_aces GROUP BY 1), b AS (SELECT resource_key, string_agg(ace_key, '/' ORDER BY order_index, ace_key) AS seats, string_agg(order_index, '/' ORDER BY order_index, ace_key) AS places FROM turned GROUP BY 1) SELECT a.resource_key, a.seats <> b.seats AS material FROM a JOIN b ON a.resource_key = b.resource_key WHERE a.seats <> b.seats OR a.places <> b.places")
 def order_changes(e: Estate) -> DataFrame:
-    turned = e.ntfs_aces.withColumn("order_index", F.when(F.length("resource_key") % 2 == 0, -F.col("order_index")).otherwise(F.col("order_index")))
+    way = F.length("resource_key") % 3
+    turned = e.ntfs_aces.withColumn("order_index", F.when(way == 0, -F.col("order_index")).when(way == 1, 2 * F.col("order_index") + 5).otherwise(F.col("order_index")))
     return changes.order_changes(e.resources, e.ntfs_aces, turned)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachbase.functions import keys, masks
+from reachbase.functions.tables import cut
 from reachbase.operators import changes, governance, operations, risk, simulate
 from reachbase.plans import access_queries as base
 from reachbase.plans.access_queries import CLASSES, FOLD, REACH, TOKENS
@@ -130,14 +131,11 @@ def membership_grades(e: Estate) -> DataFrame:
     return changes.graded(rows, changes.membership_grades()).select("group_key", "member_key", "rule", "severity")
 
 
-def _without_everyone(e: Estate) -> Estate:
-    return simulate.with_entries(e, removed=e.ntfs_aces.where((F.col("trustee_key") == keys.EVERYONE) & F.col("resource_key").startswith("\\\\brand2\\")).select("ace_key"))
-
-
 @on_estate(CLASSES + ", cutk AS (SELECT ace_key FROM ntfs_aces WHERE trustee_key = 'S-1-1-0' AND starts_with(resource_key, '\\\\brand2\\')), later AS (SELECT class_key, resource_key, " .replace("\\\\\\\\", "\\\\") + FOLD + ".g AS g FROM ntfs_aces JOIN members ON trustee_key = sid WHERE ace_flags & 8 = 0 AND ace_key NOT IN (SELECT ace_key FROM cutk) GROUP BY 1, 2), touched AS (SELECT DISTINCT resource_key FROM ntfs_aces WHERE ace_key IN (SELECT ace_key FROM cutk)), j AS (SELECT class_key, resource_key, f.g AS before, coalesce(later.g, 0) AS after FROM folded LEFT JOIN later USING (class_key, resource_key) WHERE resource_key IN (SELECT resource_key FROM touched)) SELECT class_key, resource_key, before, after, CASE WHEN before = 0 AND after <> 0 THEN 'gain' WHEN before <> 0 AND after = 0 THEN 'lose' WHEN after & (4294967295 - before) <> 0 AND before & (4294967295 - after) <> 0 THEN 'change' WHEN after & (4294967295 - before) <> 0 THEN 'expand' WHEN before & (4294967295 - after) <> 0 THEN 'reduce' ELSE 'same' END AS direction FROM j")
 def simulate_entry_removal(e: Estate) -> DataFrame:
-    whole = e.with_(ntfs_aces=e.ntfs_aces)
-    return simulate.entry_impact(whole, _without_everyone(e))
+    e = e.with_(ntfs_aces=cut(e.ntfs_aces))
+    gone = e.ntfs_aces.where((F.col("trustee_key") == keys.EVERYONE) & F.col("resource_key").startswith("\\\\brand2\\"))
+    return simulate.entry_impact(e, simulate.with_entries(e, removed=gone.select("ace_key")), gone.select("resource_key").distinct())
 
 
 @on_estate(TOKENS + f", e2 AS (SELECT * FROM edges WHERE NOT (group_key = '{DOMAIN_USERS}' AND member_key = 'S-1-5-21-1-1-4-1002')), w2(m, g, d) AS (SELECT DISTINCT member_key, group_key, 1 FROM e2 UNION SELECT w2.m, e2.group_key, w2.d + 1 FROM w2 JOIN e2 ON e2.member_key = w2.g WHERE w2.d < 12), lost AS (SELECT principal_key, sid FROM tokens WHERE origin = 'membership' AND (principal_key, sid) NOT IN (SELECT (m, g) FROM w2)) SELECT principal_key, '' AS gained, string_agg(sid, ',' ORDER BY sid) AS lost FROM lost GROUP BY 1")
