@@ -243,3 +243,18 @@ def derived_lists(resources: DataFrame, observed: DataFrame) -> DataFrame:
     above = missing.select("resource_key", F.explode(keys.ancestors(F.col("resource_key"))).alias("a")).select("resource_key", "a.distance", F.col("a.key").alias("source_key"))
     there = observed.select(F.col("resource_key").alias("source_key")).distinct()
     return above.join(there, "source_key").groupBy("resource_key").agg(F.min_by("source_key", "distance").alias("source_key"), F.min("distance").alias("distance"))
+
+
+def derived_entries(resources: DataFrame, aces: DataFrame, observed: DataFrame) -> DataFrame:
+    """resource_key, source_key, distance, trustee_key, ace_type, access_mask, ace_flags, order_index: what an unread list should hold by the nearest read one above.
+
+    Handing down twice is handing down any number of times: what has come to a child once passes on unchanged or not at all, so
+    one projection serves the next level and two serve all below it.
+    """
+    source = derived_lists(resources, observed)
+    read = aces.join(source.select(F.col("source_key").alias("resource_key")).distinct(), "resource_key", "left_semi").select("resource_key", "trustee_key", "ace_type", "access_mask", "ace_flags", "order_index", "ace_key")
+    once = acl.projected(read)
+    far = source.where("distance > 1").select(F.col("source_key").alias("resource_key")).distinct()
+    twice = acl.projected(once.join(far, "resource_key", "left_semi").withColumn("ace_key", F.lit("")))
+    levels = once.withColumn("far", F.lit(False)).unionByName(twice.withColumn("far", F.lit(True))).withColumnRenamed("resource_key", "source_key")
+    return source.withColumn("far", F.col("distance") > 1).join(levels, ["source_key", "far"]).select("resource_key", "source_key", "distance", "trustee_key", "ace_type", "access_mask", "ace_flags", "order_index")

@@ -37,6 +37,46 @@ def compare(log: DataFrame, t1: Column, t2: Column) -> DataFrame:
     return both.select("kind", "key", "state_1", "state_2", change.alias("change"))
 
 
+def nth_key(keys_: DataFrame, n: int, step: int = 2) -> DataFrame:
+    """k: the n-th of the column ``k`` in order, no row if there are fewer; ties count each.
+
+    Nothing is sorted as a whole: counts by prefix say in which one it lies, and longer prefixes narrow that down until the
+    prefix is a key of its own or what shares it is few.
+    """
+    prefix, left, width = "", n, step
+    while True:
+        here = keys_.where(F.col("k").startswith(prefix)) if prefix else keys_
+        counts = here.groupBy(F.substring("k", 1, width).alias("p")).agg(F.count("*").alias("c"), F.min("k").alias("least"), F.max("k").alias("most"))
+        seats = counts.withColumn("upto", F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)))  # one row for each prefix
+        row = seats.where(F.col("upto") >= left).orderBy("p").first()
+        if row is None:
+            return keys_.select("k").limit(0)
+        if row["least"] == row["most"]:
+            return here.where(F.col("k") == row["most"]).select("k").limit(1)
+        prefix, left, width = row["p"], left - (row["upto"] - row["c"]), width + step
+
+
+def compare_cut(log: DataFrame, t1: Column, t2: Column, ceiling: int) -> tuple[DataFrame, DataFrame]:
+    """(kind, key, state_1, state_2, change) and (outcome, boundary, scope): two instants of which each side is read up to ``ceiling`` present objects.
+
+    A side with more is cut at its ceiling-th object in order of kind and key, and both sides end at the lesser of the cuts: behind it one side's
+    objects would look absent on the other.  A cut comparison is partial and names its last (kind, key) and, as
+    narrower scope, the container with most objects among those that fit on both sides.
+    """
+    mark = lambda kind, key: F.concat(kind, F.lit("\0"), key)
+    sides = [history.as_of(log, t).where("state IS NOT NULL").select("container", mark(F.col("kind"), F.col("key")).alias("k")) for t in (t1, t2)]
+    cuts = [nth_key(x.select("k"), ceiling) if x.count() > ceiling else x.select("k").limit(0) for x in sides]
+    boundary = cuts[0].union(cuts[1]).agg(F.min("k").alias("boundary"))
+    last = boundary.scalar()
+    rows = compare(log, t1, t2).where(last.isNull() | (mark(F.col("kind"), F.col("key")) <= last))
+    a, b = (x.groupBy("container").agg(F.count("*").alias(n)) for x, n in zip(sides, ("n_1", "n_2"), strict=True))
+    fitting = a.join(b, "container", "full_outer").fillna(0, ["n_1", "n_2"]).where((F.col("n_1") <= ceiling) & (F.col("n_2") <= ceiling))
+    scope = fitting.agg(F.min_by("container", F.struct(-(F.col("n_1") + F.col("n_2")), F.col("container"))).alias("scope"))
+    partial = F.col("boundary").isNotNull()
+    outcome = boundary.withColumn("scope", scope.scalar()).select(F.when(partial, "partial").otherwise("complete").alias("outcome"), F.replace("boundary", F.lit("\0"), F.lit("|")).alias("boundary"), F.when(partial, F.col("scope")).alias("scope"))
+    return rows, outcome
+
+
 def summary(changes: DataFrame, by: list[str]) -> DataFrame:
     """One pass for all tallies: a row for each value of each column, and the total; only these grouping sets are computed."""
     sets = changes.groupingSets([[F.col(c)] for c in by] + [[]], *[F.col(c) for c in by]).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))

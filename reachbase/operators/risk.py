@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachbase.functions import keys, masks
+from reachbase.functions.tables import cut
 from reachbase.operators import acl, graph
+from reachbase.operators.graph import expand
 from reachbase.plans.estate import Estate
 
 SEVERITIES = ("informational", "low", "medium", "high", "critical")
@@ -144,3 +146,40 @@ def report(findings: DataFrame, limit: int, after: int = 0) -> DataFrame:
 def reading(evaluated: Column, scopes: Column, collected: Column, stale: Column) -> Column:
     """How far totals may be trusted."""
     return F.when(~evaluated, "not_evaluated").when(collected == 0, "incomplete").when(stale > 0, "stale").when(collected < scopes, "partial").otherwise("complete")
+
+
+# The kinds of objects that each rule reads.
+DEPENDS_ON = {
+    "everyone_broad_access": ("ntfs_ace", "ntfs_resource"),
+    "authenticated_users_broad_access": ("ntfs_ace", "ntfs_resource"),
+    "domain_users_broad_access": ("ntfs_ace", "ntfs_resource"),
+    "direct_user_ace": ("ntfs_ace", "principal"),
+    "unresolved_sid_on_acl": ("ntfs_ace", "principal", "membership_edge"),
+    "disabled_principal_retains_access": ("ntfs_ace", "principal", "membership_edge"),
+    "broken_inheritance": ("ntfs_ace", "ntfs_resource"),
+    "deep_group_nesting": ("membership_edge",),
+    "redundant_access_paths": ("ntfs_ace", "membership_edge"),
+    "empty_permission_bearing_group": ("ntfs_ace", "principal", "membership_edge"),
+}
+
+
+def rules_affected(changed: DataFrame) -> DataFrame:
+    """run_id, rule from (run_id, kind): the rules that read a kind of which the run opened or closed an object."""
+    table = changed.sparkSession.createDataFrame([(k, rule) for rule, kinds in DEPENDS_ON.items() for k in kinds], "kind string, rule string")
+    return changed.select("run_id", "kind").distinct().join(F.broadcast(table), "kind").select("run_id", "rule").distinct()  # a constant table
+
+
+def resources_affected(e: Estate, changed: DataFrame) -> DataFrame:
+    """resource_key: every list whose answer can depend on the changed objects (kind, key), before or after them.
+
+    A changed entry (kind ntfs_ace; key is the entry's) or list (ntfs_resource) concerns its list and those right below; a principal or an end of a changed
+    membership (kind principal or membership_edge; key is the principal's or the group's) concerns every list that names it or a group above it.
+    """
+    own = changed.where("kind = 'ntfs_ace'").select(F.col("key").alias("ace_key")).join(e.ntfs_aces, "ace_key").select("resource_key")
+    own = own.unionByName(changed.where("kind = 'ntfs_resource'").select(F.col("key").alias("resource_key"))).distinct()
+    below = e.resources.join(own.select(F.col("resource_key").alias("parent_key")), "parent_key", "left_semi").select("resource_key")
+    who = cut(changed.where("kind IN ('principal', 'membership_edge')").select("key").distinct())
+    above, _ = expand(e.edges, who, False, None, None, None)
+    named = who.unionByName(above.select("key")).distinct().withColumnRenamed("key", "trustee_key")
+    naming = e.ntfs_aces.join(named, "trustee_key", "left_semi").select("resource_key")
+    return own.unionByName(below).unionByName(naming).distinct()

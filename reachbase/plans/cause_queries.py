@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reachbase.operators import causality, graph, simulate
+from reachbase.functions import keys, tables
+from reachbase.operators import access, causality, changes, closing, graph, risk, simulate
 from reachbase.plans import access_queries as base
+from reachbase.plans import history_queries as past
 from reachbase.plans.access_queries import TOKENS
 from reachbase.plans.estate import DOMAIN_USERS, Estate
 from reachbase.plans.oracle import expand
@@ -27,6 +29,17 @@ def on_estate(body: str | None = None):
     return add
 
 
+def on_log(body: str | None = None):
+    def add(f):
+        past.on_log(body)(f)
+        QUERIES[f.__name__] = past.QUERIES.pop(f.__name__)
+        if f.__name__ in past.ORACLE:
+            ORACLE[f.__name__] = past.ORACLE.pop(f.__name__)
+        return f
+
+    return add
+
+
 #: Of each pair: the entries that speak to it on both layers, and its rights, by folding the whole list.
 _EVIDENCE = TOKENS + """, asked AS (SELECT owner_key AS principal_key, resource_key, share_key, dacl_present, owner_key FROM resources WHERE owner_key IS NOT NULL
   UNION ALL SELECT p.principal_key, resource_key, share_key, dacl_present, owner_key FROM resources JOIN principals p ON p.principal_key = 'S-1-5-21-1-1-1-' || (regexp_extract(resource_key, '\\\\p(\\d+)$', 1)::bigint + 100000) WHERE depth = 2),
@@ -179,3 +192,110 @@ def share_overlay(e: Estate) -> DataFrame:
     planned = simulate.with_shares(e, removed=s.where("permission = 'full'").select("ace_key"), modified=s.where("permission = 'change'").select("ace_key", F.lit("read").alias("new_permission")))
     side = lambda x, name: causality.evidence(x, asked_pairs(e))[1].select("principal_key", "resource_key", F.col("rights").alias(name))
     return side(e, "before").join(side(planned, "after"), ["principal_key", "resource_key"])
+
+
+# Comparison with a cut, what a run's changes concern, and what a run may close
+
+#: Objects of one side that are read at most.
+CEILING = 10
+_T1, _T2 = "2024-01-10", "2024-01-20"
+_CUT = f""", a AS (SELECT key, container, state, true AS seen FROM log WHERE valid_from <= TIMESTAMP '{_T1}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{_T1}')),
+b AS (SELECT key, container, state, true AS seen FROM log WHERE valid_from <= TIMESTAMP '{_T2}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{_T2}')),
+ends AS (SELECT min(key) AS last FROM (SELECT key FROM (SELECT key, row_number() OVER (ORDER BY key) AS seat, count(*) OVER () AS n FROM a WHERE state IS NOT NULL) WHERE seat = {CEILING} AND n > {CEILING} UNION ALL SELECT key FROM (SELECT key, row_number() OVER (ORDER BY key) AS seat, count(*) OVER () AS n FROM b WHERE state IS NOT NULL) WHERE seat = {CEILING} AND n > {CEILING})),
+fits AS (SELECT container, coalesce(x.n, 0) + coalesce(y.n, 0) AS n FROM (SELECT container, count(*) AS n FROM a WHERE state IS NOT NULL GROUP BY 1) x FULL JOIN (SELECT container, count(*) AS n FROM b WHERE state IS NOT NULL GROUP BY 1) y USING (container) WHERE coalesce(x.n, 0) <= {CEILING} AND coalesce(y.n, 0) <= {CEILING}),
+cmp AS (SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.seen IS NULL THEN CASE WHEN b.state IS NOT NULL THEN 'first_observed' ELSE 'absent' END WHEN b.seen IS NULL THEN 'unobserved' WHEN a.state IS NULL AND b.state IS NOT NULL THEN 'added' WHEN a.state IS NOT NULL AND b.state IS NULL THEN 'removed' WHEN a.state IS NOT DISTINCT FROM b.state THEN 'same' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.key = b.key)"""
+
+
+@on_log(_CUT + " SELECT key, change, CASE WHEN last IS NULL THEN 'complete' ELSE 'partial' END AS outcome, 'session|' || last AS boundary, CASE WHEN last IS NOT NULL THEN (SELECT container FROM fits ORDER BY n DESC, container LIMIT 1) END AS scope FROM cmp, ends WHERE last IS NULL OR key <= last")
+def compare_cut(v: DataFrame) -> DataFrame:
+    v = tables.cut(v)
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    rows, outcome = changes.compare_cut(v, at(_T1), at(_T2), CEILING)
+    one = F.lit(1)
+    return rows.select("key", "change", one.alias("_")).join(outcome.withColumn("_", one), "_").drop("_")
+
+
+_RUNS = """, changed AS (SELECT 'run' || (order_index % 4) AS run_id, 'ntfs_ace' AS kind, ace_key AS key FROM ntfs_aces WHERE order_index % 4 < 2 UNION ALL SELECT 'run' || (length(member_key) % 4), 'membership_edge', group_key FROM edges WHERE group_key LIKE 'S-1-5-21-1-1-4-%' UNION ALL SELECT 'run9', 'ntfs_resource', resource_key FROM resources WHERE depth = 1)"""
+
+
+def _changed(e: Estate) -> DataFrame:
+    row = lambda rows, run, kind, key: rows.select(run.alias("run_id"), F.lit(kind).alias("kind"), key.alias("key"))
+    run = lambda n: F.concat(F.lit("run"), (n % 4).cast("string"))
+    out = row(e.ntfs_aces.where(F.col("order_index") % 4 < 2), run(F.col("order_index")), "ntfs_ace", F.col("ace_key"))
+    out = out.unionByName(row(e.edges.where(F.col("group_key").startswith("S-1-5-21-1-1-4-")), run(F.length("member_key")), "membership_edge", F.col("group_key")))
+    return out.unionByName(row(e.resources.where("depth = 1"), F.lit("run9"), "ntfs_resource", F.col("resource_key")))
+
+
+@on_estate(_RUNS + ", reads(kind, rule) AS (VALUES " + ", ".join(f"('{k}', '{rule}')" for rule, kinds in risk.DEPENDS_ON.items() for k in kinds) + ") SELECT DISTINCT run_id, rule FROM changed JOIN reads USING (kind)")
+def rules_affected(e: Estate) -> DataFrame:
+    return risk.rules_affected(_changed(e))
+
+
+@on_estate(base.REACH + """, who AS (SELECT group_key AS k FROM edges WHERE group_key = 'S-1-5-21-1-1-4-1002'), up AS (SELECT k FROM who UNION SELECT r.group_key FROM reach r JOIN who ON r.member_key = k), own AS (SELECT resource_key FROM ntfs_aces WHERE order_index = 7)
+SELECT resource_key FROM ntfs_aces WHERE trustee_key IN (SELECT k FROM up) UNION SELECT resource_key FROM own UNION SELECT r.resource_key FROM resources r JOIN own ON own.resource_key = r.parent_key""")
+def resources_affected(e: Estate) -> DataFrame:
+    group = e.edges.where("group_key = 'S-1-5-21-1-1-4-1002'").select(F.lit("membership_edge").alias("kind"), F.col("group_key").alias("key"))
+    entries = e.ntfs_aces.where("order_index = 7").select(F.lit("ntfs_ace").alias("kind"), F.col("ace_key").alias("key"))
+    return risk.resources_affected(e, group.unionByName(entries))
+
+
+_SCOPES = """, objects AS MATERIALIZED (SELECT 'principal' AS kind, principal_key AS key, NULL AS server_key, NULL AS share_key, NULL AS resource_key, NULL AS host_key, NULL AS group_key, regexp_replace(principal_key, '-[0-9]+$', '') AS domain_sid FROM principals
+  UNION ALL SELECT 'principal', server_key || '|S-1-5-32-544', NULL, NULL, NULL, server_key, NULL, NULL FROM servers UNION ALL SELECT 'membership_edge', group_key || '->' || member_key, NULL, NULL, NULL, NULL, group_key, NULL FROM edges
+  UNION ALL SELECT 'membership_edge', server_key || '|S-1-5-32-544->x', NULL, NULL, NULL, server_key, server_key || '|S-1-5-32-544', NULL FROM servers UNION ALL SELECT 'server', server_key, server_key, NULL, NULL, NULL, NULL, NULL FROM servers
+  UNION ALL SELECT 'smb_share', share_key, server_key, share_key, NULL, NULL, NULL, NULL FROM shares UNION ALL SELECT 'smb_ace', ace_key, NULL, share_key, NULL, NULL, NULL, NULL FROM share_aces
+  UNION ALL SELECT 'ntfs_resource', resource_key, server_key, share_key, resource_key, NULL, NULL, NULL FROM resources UNION ALL SELECT 'ntfs_ace', ace_key, NULL, NULL, resource_key, NULL, NULL, NULL FROM ntfs_aces),
+picked(scope_no, kind, key) AS (
+  SELECT 'ad', kind, key FROM objects WHERE kind = 'principal' AND host_key IS NULL AND domain_sid IN ('S-1-5-21-1-1-1', 'S-1-5-21-1-1-3')
+  UNION ALL SELECT 'ad', kind, key FROM objects o WHERE kind = 'membership_edge' AND host_key IS NULL AND group_key IN (SELECT principal_key FROM principals WHERE regexp_replace(principal_key, '-[0-9]+$', '') IN ('S-1-5-21-1-1-1', 'S-1-5-21-1-1-3'))
+  UNION ALL SELECT 'local ' || host_key, kind, key FROM objects WHERE host_key IS NOT NULL
+  UNION ALL SELECT 'smb ' || server_key, kind, key FROM objects WHERE kind IN ('server', 'smb_share') UNION ALL SELECT 'smb ' || s.server_key, kind, key FROM objects JOIN shares s ON s.share_key = objects.share_key WHERE kind = 'smb_ace'
+  UNION ALL SELECT 'share ' || share_key, kind, key FROM objects WHERE kind = 'ntfs_resource' AND length(share_key) % 2 = 0 UNION ALL SELECT 'share ' || r.share_key, kind, key FROM objects JOIN resources r ON r.resource_key = objects.resource_key WHERE kind = 'ntfs_ace' AND length(r.share_key) % 2 = 0
+  UNION ALL SELECT 'tree ' || t.resource_key, kind, key FROM objects JOIN resources t ON t.depth = 1 AND (objects.resource_key = t.resource_key OR starts_with(objects.resource_key, t.resource_key || '\\')) WHERE kind IN ('ntfs_resource', 'ntfs_ace'))"""
+
+
+def _objects(e: Estate) -> DataFrame:
+    none = F.lit(None).cast("string")
+
+    def rows(table: DataFrame, kind: str, key, **columns) -> DataFrame:
+        return table.select(F.lit(kind).alias("kind"), key.alias("key"), *[columns.get(c, none).alias(c) for c in closing.COLUMNS])
+
+    c, local = F.col, F.concat("server_key", F.lit("|S-1-5-32-544"))
+    out = rows(e.principals, "principal", c("principal_key"), domain_sid=F.regexp_replace("principal_key", "-[0-9]+$", ""))
+    out = out.unionByName(rows(e.servers, "principal", local, host_key=c("server_key"))).unionByName(rows(e.edges, "membership_edge", F.concat("group_key", F.lit("->"), "member_key"), group_key=c("group_key")))
+    out = out.unionByName(rows(e.servers, "membership_edge", F.concat(local, F.lit("->x")), host_key=c("server_key"), group_key=local)).unionByName(rows(e.servers, "server", c("server_key"), server_key=c("server_key")))
+    out = out.unionByName(rows(e.shares, "smb_share", c("share_key"), server_key=c("server_key"), share_key=c("share_key"))).unionByName(rows(e.share_aces, "smb_ace", c("ace_key"), share_key=c("share_key")))
+    out = out.unionByName(rows(e.resources, "ntfs_resource", c("resource_key"), server_key=c("server_key"), share_key=c("share_key"), resource_key=c("resource_key")))
+    return out.unionByName(rows(e.ntfs_aces, "ntfs_ace", c("ace_key"), resource_key=c("resource_key")))
+
+
+@on_estate(_SCOPES + " SELECT scope_no, kind, count(*) AS closed, min(key) AS first_key FROM picked WHERE length(key) % 3 = 0 GROUP BY 1, 2")
+def scopes_closed(e: Estate) -> DataFrame:
+    """Complete runs of all kinds of scopes, and one that nothing rules, each of which saw two of three of its objects."""
+    scope = lambda rows, name, key, collector, kind: rows.select(F.concat(F.lit(name), key).alias("scope_no"), F.lit(collector).alias("collector"), F.lit(kind).alias("scope_kind"), key.alias("scope_key"), F.lit(True).alias("complete"))
+    scopes = scope(e.servers, "local ", F.col("server_key"), "local_groups", "local_groups_host").unionByName(scope(e.servers, "smb ", F.col("server_key"), "smb", "server"))
+    scopes = scopes.unionByName(scope(e.shares.where(F.length("share_key") % 2 == 0), "share ", F.col("share_key"), "ntfs", "share")).unionByName(scope(e.resources.where("depth = 1"), "tree ", F.col("resource_key"), "ntfs", "directory_tree"))
+    scopes = scopes.unionByName(scope(e.servers, "none ", F.col("server_key"), "ntfs", "volume"))
+    one = e.servers.limit(1).select(F.lit("ad").alias("scope_no"), F.lit("active_directory").alias("collector"), F.lit("domain").alias("scope_kind"), F.lit("corp").alias("scope_key"), F.lit(True).alias("complete"))
+    domains = F.when(F.col("scope_no") == "ad", F.array(F.lit("S-1-5-21-1-1-1"), F.lit("S-1-5-21-1-1-3")))
+    scopes = tables.cut(scopes.unionByName(one).withColumn("domains", domains))
+    objects = tables.cut(_objects(e))
+    observed = closing.selected(scopes, objects).where(F.length("key") % 3 != 0)
+    return closing.closed(scopes, objects, observed).groupBy("scope_no", "kind").agg(F.count("*").alias("closed"), F.min("key").alias("first_key"))
+
+
+@on_estate(""", unread AS (SELECT resource_key, parent_key, depth FROM resources WHERE depth = 2 OR (depth = 1 AND length(resource_key) % 2 = 0)),
+src AS (SELECT u.resource_key, CASE WHEN p.resource_key IS NULL THEN u.parent_key ELSE p.parent_key END AS source_key, CASE WHEN p.resource_key IS NULL THEN 1 ELSE 2 END AS distance FROM unread u LEFT JOIN unread p ON p.resource_key = u.parent_key),
+lists AS (SELECT resource_key, trustee_key, ace_type, access_mask, ace_flags, order_index FROM ntfs_aces UNION ALL SELECT resource_key, 'S-1-3-0', 'allow', 268435456, 11, 5 FROM resources WHERE depth < 2 UNION ALL SELECT resource_key, 'S-1-5-11', 'allow', 1179785, 7, 6 FROM resources WHERE depth < 2 UNION ALL SELECT resource_key, 'S-1-5-11', 'deny', 278, 1, 7 FROM resources WHERE depth < 2),
+kinds(ace_flags, wide, distance, seat, flags) AS (VALUES (3, false, 1, 0, 19), (3, false, 2, 0, 19), (19, false, 1, 0, 19), (19, false, 2, 0, 19), (11, true, 1, 1, 27), (11, true, 2, 1, 27), (7, false, 1, 0, 16), (1, false, 1, 0, 25), (1, false, 2, 0, 25))
+SELECT s.resource_key, s.source_key, s.distance, l.trustee_key, l.ace_type, l.access_mask, k.flags AS ace_flags, (row_number() OVER (PARTITION BY s.resource_key ORDER BY l.order_index) - 1)::int AS order_index FROM src s JOIN lists l ON l.resource_key = s.source_key JOIN kinds k ON k.ace_flags = l.ace_flags AND k.wide = (l.trustee_key = 'S-1-3-0') AND k.distance = s.distance""")
+def derived_entries(e: Estate) -> DataFrame:
+    """Lists of leaves and of half the folders unread; folders also hand down a creator's entry, one that stops after a level, and one for files."""
+    row = lambda trustee, kind, mask, flags, seat: e.resources.where("depth < 2").select("resource_key", F.lit(trustee).alias("trustee_key"), F.lit(kind).alias("ace_type"), F.lit(mask).cast("long").alias("access_mask"), F.lit(flags).alias("ace_flags"), F.lit(seat).alias("order_index"), F.concat("resource_key", F.lit(str(seat))).alias("ace_key"))
+    aces = e.ntfs_aces.unionByName(row(keys.CREATOR_OWNER, "allow", 268435456, 11, 5)).unionByName(row(keys.AUTHENTICATED, "allow", 1179785, 7, 6)).unionByName(row(keys.AUTHENTICATED, "deny", 278, 1, 7))
+    read = e.resources.where((F.col("depth") == 0) | ((F.col("depth") == 1) & (F.length("resource_key") % 2 != 0)))
+    return access.derived_entries(e.resources, aces, read)
+
+
+@on_estate("SELECT resource_key, row_number() OVER (ORDER BY resource_key) AS n FROM resources QUALIFY n = 100")
+def nth_resource(e: Estate) -> DataFrame:
+    return changes.nth_key(e.resources.select(F.col("resource_key").alias("k")), 100).select(F.col("k").alias("resource_key"), F.lit(100).cast("long").alias("n"))
