@@ -125,6 +125,7 @@ def matrix(estate: Estate, only: DataFrame | None = None) -> tuple[DataFrame, Da
     everyone = F.lit(keys.EVERYONE)
     total = F.lit(masks.FILE_ALL).cast("long")
     open_ = estate.resources.where(~F.col("dacl_present")).select("resource_key", everyone.alias("trustee_key"), F.lit("allow").alias("ace_type"), total.alias("access_mask"), F.lit(0).alias("ace_flags"), F.lit(0).alias("order_index"), F.lit("null_dacl").alias("ace_key"))
+    estate = estate.with_(ntfs_aces=cut(estate.ntfs_aces))
     aces = estate.ntfs_aces.unionByName(open_)
     held = tokens(estate) if only is None else tokens(estate).join(only, "principal_key", "left_semi")
     principals, members = classes(held, aces.select("trustee_key").union(estate.share_aces.select("trustee_key")))

@@ -101,7 +101,7 @@ def entry_grades() -> list[Grade]:
     """Grades of changes to entries: columns action, ace_type, trustee_key, mask."""
     added, removed = F.col("action") == "added", F.col("action") == "removed"
     allow, deny, broad = F.col("ace_type") == "allow", F.col("ace_type") == "deny", keys.is_broad(F.col("trustee_key"))
-    full, climb, write = masks.holds(F.col("mask"), masks.CATEGORIES["full_control"]), masks.has(F.col("mask"), masks.ESCALATION), masks.has(F.col("mask"), WRITE_BITS)
+    full, climb, write = masks.holds(F.col("mask"), masks.FILE_ALL), masks.has(F.col("mask"), masks.ESCALATION), masks.has(F.col("mask"), WRITE_BITS)
     return [
         Grade("first_observed", "info", "neutral", F.col("action") == "first_observed"),
         Grade("ace.allow.broad.full", "critical", "broadened", added & allow & broad & full),

@@ -20,7 +20,7 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     Only groups are closed over, level by level with what is known taken out, until nothing is new; members that
     are no groups themselves are joined to their groups' closure once, at the end.
     """
-    pairs = edges.select("member_key", "group_key").distinct()
+    pairs = cut(edges.select("member_key", "group_key").distinct())
     groups = pairs.select(F.col("group_key").alias("member_key")).distinct()
     core = cut(pairs.join(groups, "member_key", "left_semi"))
     levels = [cut(core.withColumn("depth", F.lit(1)))]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachbase.functions import keys, tables
-from reachbase.operators import access, causality, changes, closing, graph, risk, simulate
+from reachbase.operators import access, causality, changes, classify, closing, graph, risk, simulate
 from reachbase.plans import access_queries as base
 from reachbase.plans import history_queries as past
 from reachbase.plans.access_queries import TOKENS
@@ -299,3 +299,97 @@ def derived_entries(e: Estate) -> DataFrame:
 @on_estate("SELECT resource_key, row_number() OVER (ORDER BY resource_key) AS n FROM resources QUALIFY n = 100")
 def nth_resource(e: Estate) -> DataFrame:
     return changes.nth_key(e.resources.select(F.col("resource_key").alias("k")), 100).select(F.col("k").alias("resource_key"), F.lit(100).cast("long").alias("n"))
+
+
+# Classified changes
+
+_E, _N = keys.EVERYONE, "S-1-5-21-1-1-3-1001"
+
+
+def _ace(mask: str, kind: str = "allow", who: str = _N, **more: str) -> dict:
+    return {"ace_type": kind, "trustee_key": who, "access_mask": mask, **more}
+
+
+#: (rule, kind, action, before, after, container_key, related_key, ordering_material, sibling_ace_changes): a change for every rule, and some that several rules fit.
+SCENARIOS: list[tuple] = [
+    ("first_observed", "ntfs_ace", "first_observed", None, _ace("2032127", who=_E), None, None, None, None),
+    ("identity.drift", "principal", "modified", {"sid": "a", "enabled": "true"}, {"sid": "b", "enabled": "false"}, None, None, None, None),
+    ("ace.allow.broad.full", "ntfs_ace", "added", None, _ace("268435456", who=_E), None, None, None, None),
+    ("ace.allow.broad.full", "smb_ace", "added", None, {"ace_type": "allow", "trustee_key": _E, "permission": "full"}, None, None, None, None),
+    ("ace.allow.broad.escalation", "ntfs_ace", "added", None, _ace("262144", who="S-1-5-11"), None, None, None, None),
+    ("ace.allow.broad.write", "smb_ace", "added", None, {"ace_type": "allow", "trustee_key": _E, "permission": "change"}, None, None, None, None),
+    ("ace.allow.broad", "ntfs_ace", "added", None, _ace("1179817", who=DOMAIN_USERS), None, None, None, None),
+    ("ace.deny.removed", "ntfs_ace", "removed", _ace("2032127", "deny"), None, None, None, None, None),
+    ("ace.allow.full", "ntfs_ace", "added", None, _ace("2032127"), None, None, None, None),
+    ("ace.allow.escalation", "ntfs_ace", "added", None, _ace("983551"), None, None, None, None),
+    ("ace.order.material", "ntfs_ace", "modified", _ace("1", order_index="1"), _ace("1", order_index="2"), None, None, True, None),
+    ("ace.allow.added", "ntfs_ace", "added", None, _ace("1179817"), None, None, None, None),
+    ("ace.deny.added", "ntfs_ace", "added", None, _ace("2032127", "deny", _E), None, None, None, None),
+    ("ace.allow.removed", "ntfs_ace", "removed", _ace("2032127", who=_E), None, None, None, None, None),
+    ("ace.source.explicit", "ntfs_ace", "modified", _ace("1", source="inherited"), _ace("1", source="explicit"), None, None, None, None),
+    ("ace.source.inherited", "ntfs_ace", "modified", _ace("1", source="explicit"), _ace("1", source="inherited"), None, None, None, None),
+    ("ace.order.immaterial", "smb_ace", "modified", _ace("1", order_index="1"), _ace("1", order_index="2"), None, None, False, None),
+    ("ace.order.undetermined", "smb_ace", "modified", _ace("1", order_index="1"), _ace("1", order_index="2"), None, None, None, None),
+    ("membership.added.privileged", "membership_edge", "added", None, {}, "S-1-5-21-1-1-1-512", _E, None, None),
+    ("membership.added.broad", "membership_edge", "added", None, {}, _N, DOMAIN_USERS, None, None),
+    ("membership.removed.privileged", "membership_edge", "removed", {}, None, "srv|S-1-5-32-544", _N, None, None),
+    ("membership.added", "membership_edge", "added", None, {}, _N, "u", None, None),
+    ("membership.removed", "membership_edge", "removed", {}, None, _N, DOMAIN_USERS, None, None),
+    ("principal.group_type.security", "principal", "modified", {"group_type": "distribution", "enabled": "true"}, {"group_type": "security", "enabled": "false"}, None, None, None, None),
+    ("principal.group_type.distribution", "principal", "modified", {"group_type": "security"}, {"group_type": "distribution"}, None, None, None, None),
+    ("principal.enabled", "principal", "modified", {"enabled": "false"}, {"enabled": "true"}, None, None, None, None),
+    ("principal.disabled", "principal", "modified", {}, {"enabled": "false"}, None, None, None, None),
+    ("principal.undeleted", "principal", "modified", {"is_deleted": "true"}, {"is_deleted": "false"}, None, None, None, None),
+    ("principal.deleted", "principal", "modified", {"is_deleted": "false", "group_scope": "a"}, {"is_deleted": "true", "group_scope": "b"}, None, None, None, None),
+    ("principal.group_scope", "principal", "modified", {"group_scope": "global"}, {"group_scope": "universal"}, None, None, None, None),
+    ("principal.removed", "principal", "removed", {"enabled": "true"}, None, None, None, None, None),
+    ("principal.added", "principal", "added", None, {"enabled": "true"}, None, None, None, None),
+    ("resource.null_dacl", "ntfs_resource", "modified", {"dacl_present": "true"}, {"dacl_present": "false"}, None, None, None, None),
+    ("resource.added.null_dacl", "ntfs_resource", "added", None, {"dacl_present": "false"}, None, None, None, None),
+    ("resource.unprotected", "ntfs_resource", "modified", {"dacl_protected": "true"}, {"dacl_protected": "false"}, None, None, None, None),
+    ("resource.protected", "ntfs_resource", "modified", {"dacl_protected": "false", "owner_sid": "a"}, {"dacl_protected": "true", "owner_sid": _E}, None, None, None, None),
+    ("resource.inheritance", "ntfs_resource", "modified", {"inheritance_enabled": "true"}, {"inheritance_enabled": "false"}, None, None, None, None),
+    ("resource.owner.broad", "ntfs_resource", "modified", {"owner_sid": "a"}, {"owner_sid": _E}, None, None, None, None),
+    ("resource.owner", "ntfs_resource", "modified", {"owner_sid": _E}, {"owner_sid": "b"}, None, None, None, None),
+    ("resource.acl_hash.unexplained", "ntfs_resource", "modified", {"acl_hash": "1"}, {"acl_hash": "2"}, None, None, None, 0),
+    ("resource.acl_hash", "ntfs_resource", "modified", {"acl_hash": "1"}, {"acl_hash": "2"}, None, None, None, 3),
+    ("resource.acl_hash", "ntfs_resource", "modified", {"acl_hash": "1"}, {"acl_hash": "2"}, None, None, None, None),
+    ("resource.removed", "ntfs_resource", "removed", {"dacl_present": "false"}, None, None, None, None, None),
+    ("resource.added", "ntfs_resource", "added", None, {"dacl_present": "true"}, None, None, None, None),
+    ("share.local_path", "smb_share", "modified", {"local_path": "c", "share_type": "disk"}, {"local_path": "d", "share_type": "ipc"}, None, None, None, None),
+    ("share.type", "smb_share", "modified", {"share_type": "disk"}, {"share_type": "ipc"}, None, None, None, None),
+    ("share.added", "smb_share", "added", None, {}, None, None, None, None),
+    ("share.removed", "smb_share", "removed", {}, None, None, None, None, None),
+    ("server.computer_sid", "server", "modified", {"computer_sid": "1", "domain_sid": "1"}, {"computer_sid": "2", "domain_sid": "2"}, None, None, None, None),
+    ("server.domain", "server", "modified", {"is_domain_member": "true"}, {"is_domain_member": "false"}, None, None, None, None),
+    ("server.removed", "server", "removed", {}, None, None, None, None, None),
+    ("server.added", "server", "added", None, {}, None, None, None, None),
+    ("unclassified.field", "server", "modified", {"shade": "1", "operating_system": "a"}, {"shade": "2", "operating_system": "b"}, None, None, None, None),
+    ("security.other", "ntfs_ace", "modified", _ace("1", source="explicit", inherited_from="a"), _ace("1", inherited_from="b"), None, None, None, None),
+    ("derived.other", "principal", "modified", {"domain_sid": "1", "display_name": "a"}, {"domain_sid": "2", "display_name": "b"}, None, None, None, None),
+    ("metadata.other", "smb_share", "modified", {"description": "a", "source_key": "1"}, {"description": "b", "source_key": "2"}, None, None, None, None),
+    ("provenance.only", "ntfs_resource", "modified", {"source_key": "1"}, {"source_key": "2"}, None, None, None, None),
+    ("unclassified", "membership_edge", "modified", {"member_kind": "a"}, {"member_kind": "a"}, None, None, None, None),
+]
+# Severity and direction of the rules, for the SQL form.
+GRADES = """first_observed info neutral; identity.drift high undetermined; ace.allow.broad.full critical broadened; ace.allow.broad.escalation critical broadened; ace.allow.broad.write high broadened; ace.allow.broad high broadened;
+ace.deny.removed high broadened; ace.allow.full high broadened; ace.allow.escalation high broadened; ace.order.material high undetermined; ace.allow.added medium broadened; ace.deny.added low narrowed; ace.allow.removed low narrowed;
+ace.source.explicit medium neutral; ace.source.inherited low neutral; ace.order.immaterial info neutral; ace.order.undetermined medium undetermined; membership.added.privileged critical broadened; membership.added.broad high broadened;
+membership.removed.privileged medium narrowed; membership.added medium broadened; membership.removed low narrowed; principal.group_type.security high broadened; principal.group_type.distribution medium narrowed; principal.enabled medium broadened;
+principal.disabled low narrowed; principal.undeleted medium broadened; principal.deleted medium narrowed; principal.group_scope low undetermined; principal.removed low narrowed; principal.added low neutral; resource.null_dacl critical broadened;
+resource.added.null_dacl high broadened; resource.unprotected high undetermined; resource.protected medium undetermined; resource.inheritance medium undetermined; resource.owner.broad high broadened; resource.owner medium broadened;
+resource.acl_hash.unexplained medium undetermined; resource.acl_hash low undetermined; resource.removed low narrowed; resource.added info neutral; share.local_path high undetermined; share.type medium undetermined; share.added medium broadened;
+share.removed low narrowed; server.computer_sid high undetermined; server.domain medium undetermined; server.removed low neutral; server.added info neutral; unclassified.field medium undetermined; security.other medium undetermined;
+derived.other info neutral; metadata.other info neutral; provenance.only info neutral; unclassified medium undetermined"""
+_GRADED = {name: (severity, way) for name, severity, way in (x.split() for x in GRADES.split(";"))}
+
+
+@on_estate(", planted(n, rule, severity, direction) AS (VALUES " + ", ".join(f"({i}, '{s[0]}', '{_GRADED[s[0]][0]}', '{_GRADED[s[0]][1]}')" for i, s in enumerate(SCENARIOS)) + ") SELECT p.p_partkey AS number, rule, severity, direction FROM placed p JOIN planted ON n = p_partkey % " + str(len(SCENARIOS)))
+def change_rules(e: Estate) -> DataFrame:
+    """A change of some kind for each leaf, by its number; every rule occurs."""
+    number = F.regexp_extract("resource_key", r"\\p(\d+)$", 1).cast("int")
+    leaves = e.resources.where("depth = 2").select(number.alias("number"), (number % len(SCENARIOS)).alias("n"))
+    kinds = "n int, rule string, kind string, action string, before map<string,string>, after map<string,string>, container_key string, related_key string, ordering_material boolean, sibling_ace_changes int"
+    planted = e.resources.sparkSession.createDataFrame([(i, *s) for i, s in enumerate(SCENARIOS)], kinds).drop("rule")
+    rows = leaves.join(planted, "n").withColumn("key", F.col("number").cast("string"))
+    return classify.classified(rows).select("number", "rule", "severity", "direction")
