@@ -25,7 +25,7 @@ import re
 from collections import ChainMap, Counter
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import groupby
+from itertools import chain, filterfalse, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +38,10 @@ from sentencepiece import sentencepiece_model_pb2
 from reachbase.llm.wordhash import mix
 
 #: Words that a worker keeps, and those up to so many characters only.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 200_000
 KEPT_LENGTH = 64
 #: Characters that are cut into words, and symbols that are merged, at once; a longer text or word is taken alone.
-BLOCK = 1 << 17
+BLOCK = 1 << 19
 _NEVER = np.int64(1 << 40)
 _MARK = "▁"
 #: The kinds of pieces in a model file.
@@ -151,16 +151,13 @@ class Model:
             # of pairs that overlap every second one, from the left
             alone = np.r_[True, np.diff(at) != 1]
             at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(alone, np.arange(len(at)), 0))) % 2 == 0]
-            new, limit, home, last = self.to[pair[at]], rank[at], word[at], len(symbol) - 1
-            before = np.where((at > 0) & same[at - 1], symbol[at - 1], -1)
-            after = np.where(same[at + 1], symbol[np.minimum(at + 2, last)], -1)
-            joined = np.r_[False, (np.diff(at) == 2) & (home[1:] == home[:-1])]
-            beside = np.where(joined, np.r_[-1, new[:-1]], -1)
-            soon = np.minimum.reduce([self.rank(self.pair(*x)) for x in ((before, new), (new, after), (beside, new))]) <= limit
-            # up to the first in each word that makes a pair of no greater rank, that one included
-            stops = np.cumsum(soon) - soon
-            first = np.maximum.accumulate(np.where(np.r_[True, home[1:] != home[:-1]], np.arange(len(at)), 0))
-            take = stops == stops[first]
+            home = word[at]
+            fresh = np.r_[True, home[1:] != home[:-1]]
+            take = fresh.copy()
+            many = np.flatnonzero(~(fresh & np.r_[fresh[1:], True]))  # of words with several pairs to merge
+            if len(many):
+                take[many] = self._before_sooner(symbol, same, at[many], self.to[pair[at[many]]], rank[at[many]], home[many])
+            new = self.to[pair[at]]
             symbol[at[take]] = new[take]
             keep = np.ones(len(symbol), bool)
             keep[at[take] + 1] = False
@@ -171,6 +168,17 @@ class Model:
         order = np.argsort(word, kind="stable")
         return symbol[order], word[order]
 
+    def _before_sooner(self, symbol: np.ndarray, same: np.ndarray, at: np.ndarray, new: np.ndarray, limit: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """Whether each merge comes no later in its word than the first that makes a pair of the same or a lesser rank."""
+        before = np.where((at > 0) & same[at - 1], symbol[at - 1], -1)
+        after = np.where(same[at + 1], symbol[np.minimum(at + 2, len(symbol) - 1)], -1)
+        joined = np.r_[False, (np.diff(at) == 2) & (home[1:] == home[:-1])]
+        beside = np.where(joined, np.r_[-1, new[:-1]], -1)
+        soon = np.minimum.reduce([self.rank(self.pair(*x)) for x in ((before, new), (new, after), (beside, new))]) <= limit
+        stops = np.cumsum(soon) - soon
+        first = np.maximum.accumulate(np.where(np.r_[True, home[1:] != home[:-1]], np.arange(len(at)), 0))
+        return stops == stops[first]
+
     def _walk(self, symbol: np.ndarray, word: np.ndarray, same: np.ndarray, rank: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Merges, in words whose pairs all have one shared rank, from the left with a stack; None if there are none."""
         starts = np.flatnonzero(np.r_[True, ~same[:-1]])
@@ -243,17 +251,12 @@ class Encoder:
         """The ids of each text, the end id last, as little-endian 32-bit integers; the words of all these texts are held at once."""
         if len(self.packed) >= KEPT_WORDS:
             self.packed, self.older = {}, self.packed
-        model, packed, older, new, cut = self.model, self.packed, self.older, {}, []
-        for text in texts:
-            words = model.words.findall(model.prefix + text.replace(" ", _MARK)) if text else []
-            cut.append(words)
-            for w in words:
-                if w not in packed:
-                    if (known := older.get(w)) is not None:
-                        packed[w] = known
-                    else:
-                        new[w] = None
-        found = dict(zip(new, model.ids(list(new)), strict=True))
+        model, packed, older = self.model, self.packed, self.older
+        cut = [model.words.findall(model.prefix + text.replace(" ", _MARK)) if text else [] for text in texts]
+        missing = dict.fromkeys(filterfalse(packed.__contains__, chain.from_iterable(cut)))
+        packed.update((w, older[w]) for w in missing if w in older)
+        new = [w for w in missing if w not in older]
+        found = dict(zip(new, model.ids(new), strict=True))
         packed.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_LENGTH)
         both = ChainMap(found, packed) if any(len(w) > KEPT_LENGTH for w in found) else packed
         end = model.end.to_bytes(4, "little")
