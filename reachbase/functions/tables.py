@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder once and reads them from there; Spark's checkpoint would compute them twice."""
+    """Writes the rows to the shared folder once and reads them from there; Spark's checkpoint would compute them twice.
+
+    The files go when the application ends.
+    """
     session = rows.sparkSession
     folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
     if folder is None:
@@ -21,6 +24,8 @@ def cut(rows: DataFrame) -> DataFrame:
         session.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/cut-{uuid.uuid4().hex}"
     rows.write.parquet(path)
+    place = session._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(session._jsc.hadoopConfiguration()).deleteOnExit(place)
     return session.read.schema(rows.schema).parquet(path)
 
 

@@ -43,13 +43,13 @@ def truncated(edges: DataFrame, max_depth: int) -> DataFrame:
     return closure(edges).where(F.col("depth") > max_depth).select("member_key").distinct()
 
 
-def simple_paths(edges: DataFrame, start: DataFrame, targets: DataFrame, max_depth: int = 128) -> DataFrame:
-    """start, target, path: every chain of groups without repetition from a start up to a target."""
+def simple_paths(edges: DataFrame, start: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """start, target, path: every chain of groups without repetition from a start up to a target, of at most ``max_depth`` steps where that is given; ``find_paths`` says what a bound leaves out."""
     step = edges.select(F.col("member_key").alias("at"), F.col("group_key").alias("next")).distinct()
     ends = targets.select(F.col("key").alias("at")).distinct()
     walk = cut(start.select(F.col("key").alias("start"), F.col("key").alias("at"), F.array("key").alias("path")).distinct())
     found = []
-    for _ in range(max_depth):
+    while max_depth is None or len(found) < max_depth:
         walk = cut(walk.join(step, "at").where(~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path")))
         if walk.isEmpty():
             break
@@ -63,13 +63,13 @@ def simple_paths(edges: DataFrame, start: DataFrame, targets: DataFrame, max_dep
     return out
 
 
-def chains(edges: DataFrame, start: DataFrame, down: bool, max_depth: int = 128) -> DataFrame:
-    """start, key, depth, path: every bounded chain without repetition, in one direction."""
+def chains(edges: DataFrame, start: DataFrame, down: bool, max_depth: int | None = None) -> DataFrame:
+    """start, key, depth, path: every chain without repetition, in one direction, of at most ``max_depth`` steps where that is given."""
     here, there = ("group_key", "member_key") if down else ("member_key", "group_key")
     step = edges.select(F.col(here).alias("key"), F.col(there).alias("next")).distinct()
     walk = start.select(F.col("key").alias("start"), "key", F.lit(0).alias("depth"), F.array("key").alias("path")).distinct()
     levels = []
-    for _ in range(max_depth):
+    while max_depth is None or len(levels) < max_depth:
         walk = cut(walk.join(step, "key").where(~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("key"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("next")).alias("path")))
         if walk.isEmpty():
             break
@@ -80,6 +80,33 @@ def chains(edges: DataFrame, start: DataFrame, down: bool, max_depth: int = 128)
     return out
 
 
+def longest_chains(edges: DataFrame) -> DataFrame:
+    """key, path: the longest chain of members below each group, the first in order among equals; nodes without members are a chain of one.
+
+    A group is settled once all its members are, from the bottom up, so stacked diamonds cost their edges and not their
+    chains.  Only what lies on or above a cycle is walked chain by chain, without repetition, and goes on with what is settled.
+    """
+    pairs = cut(edges.where("group_key <> member_key").select("group_key", "member_key").distinct())
+    best = lambda path: F.min(F.struct((-F.size(path)).alias("less"), path.alias("path")))["path"]
+    settled = cut(pairs.select(F.col("member_key").alias("key")).distinct().join(pairs.select(F.col("group_key").alias("key")).distinct(), "key", "left_anti").select("key", F.array("key").alias("path")))
+    many, new, open_ = pairs.groupBy("group_key").agg(F.count("*").alias("n")), settled, pairs
+    while not new.isEmpty():
+        below = open_.join(settled.withColumnsRenamed({"key": "member_key", "path": "below"}), "member_key")
+        ready = below.groupBy("group_key").agg(F.count("*").alias("ready"), best(F.col("below")).alias("below")).join(many, "group_key").where("ready = n")
+        new = cut(ready.select(F.col("group_key").alias("key"), F.concat(F.array("group_key"), "below").alias("path")))
+        settled = settled.unionByName(new)
+        open_ = cut(open_.join(new.select(F.col("key").alias("group_key")), "group_key", "left_anti"))
+    if open_.isEmpty():
+        return settled
+    groups = open_.select("group_key").distinct()
+    around = open_.join(groups.select(F.col("group_key").alias("member_key")), "member_key", "left_semi")
+    walks = chains(around, groups.select(F.col("group_key").alias("key")), down=True, max_depth=None).select("start", F.col("key").alias("group_key"), F.col("path").alias("way"))
+    walks = walks.unionByName(groups.select(F.col("group_key").alias("start"), "group_key", F.array("group_key").alias("way")))
+    out_of = open_.join(settled.withColumnsRenamed({"key": "member_key", "path": "below"}), "member_key").groupBy("group_key").agg(best(F.col("below")).alias("below"))
+    ways = walks.join(out_of, "group_key", "left").select(F.col("start").alias("key"), F.concat("way", F.coalesce("below", F.array().cast("array<string>"))).alias("path"))
+    return settled.unionByName(ways.groupBy("key").agg(best(F.col("path")).alias("path")))
+
+
 def _contracted(edges: DataFrame, fixed: DataFrame | None, every: bool) -> DataFrame:
     """``edges`` (a, b, inner) with the chains drawn together: inner has the nodes between a and b.
 

@@ -68,8 +68,8 @@ def deep_nesting(e: Estate, more_than: int = 3) -> DataFrame:
     """Groups whose longest chain of members below is deeper than the limit; the deepest chain alone."""
     named = e.principals.where("kind = 'group'").select(F.col("principal_key").alias("key"))
     nested = e.edges.join(e.edges.select(F.col("group_key").alias("member_key")).distinct(), "member_key", "left_semi")
-    below = graph.chains(nested, named, down=True)
-    return below.groupBy("start").agg(F.max("depth").alias("depth")).where(F.col("depth") + 1 > more_than).select(F.col("start").alias("group_key"), (F.col("depth") + 1).alias("depth"))
+    deep = graph.longest_chains(nested).join(named, "key", "left_semi").withColumn("depth", F.size("path"))
+    return deep.where(F.col("depth") > more_than).select(F.col("key").alias("group_key"), "depth", F.col("path").alias("chain"))
 
 
 def redundant_paths(e: Estate, at_least: int = 2) -> DataFrame:

@@ -60,9 +60,9 @@ ORACLE["risk_broken_inheritance"] = "SELECT b.resource_key, CASE boundary_reason
 
 
 @on_estate(""", g AS (SELECT * FROM edges WHERE member_key IN (SELECT group_key FROM edges)), c(start, node, path) AS (SELECT DISTINCT group_key, group_key, [group_key] FROM g UNION ALL SELECT start, member_key, list_append(path, member_key) FROM c JOIN g ON g.group_key = c.node WHERE NOT list_contains(path, member_key) AND len(path) < 9)
-SELECT start AS group_key, max(len(path))::int AS depth FROM c GROUP BY 1 HAVING max(len(path)) > 2""")
+SELECT start AS group_key, max(len(path))::int AS depth, array_to_string(first(path ORDER BY -len(path), path), '>') AS chain FROM c GROUP BY 1 HAVING max(len(path)) > 2""")
 def risk_deep_nesting(e: Estate) -> DataFrame:
-    return risk.deep_nesting(e, more_than=2)
+    return risk.deep_nesting(e, more_than=2).withColumn("chain", F.array_join("chain", ">"))
 
 
 @on_estate(REACH + """, h AS (SELECT member_key, group_key FROM reach JOIN principals p ON p.principal_key = member_key WHERE p.kind IN ('user', 'managed_service_account') AND depth <= 8), st AS (SELECT member_key, list(group_key ORDER BY group_key) AS gs FROM h GROUP BY 1), ct AS (SELECT gs, count(*) AS n FROM st GROUP BY 1),

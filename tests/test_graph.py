@@ -126,3 +126,11 @@ def test_find_paths(spark):
         assert r["paths"] == min(2, len(want)) and r["truncation"] == (["max_paths"] if len(want) > 2 else [])
     _, summary = graph.find_paths(table(spark, [("a", "b"), ("b", "c"), ("c", "d")]), spark.createDataFrame([("a", "d")], "root string, target string"), max_depth=2)
     assert [r["truncation"] for r in summary.collect()] == [[]]  # nothing between them lies in reach
+
+
+def test_longest_chains(spark):
+    diamonds = [(f"m{k}{s}", f"m{k + 1}{t}") for k in range(14) for s in "ab" for t in "ab"]  # 2^15 chains
+    loop = [("x", "y"), ("y", "z"), ("z", "x"), ("m0a", "x"), ("z", "top")]
+    got = {r["key"]: r["path"] for r in graph.longest_chains(table(spark, diamonds + loop)).collect()}
+    assert got["m14b"] == ["m14b", *(f"m{k}a" for k in reversed(range(14)))]
+    assert got["x"] == ["x", "z", "y"] and got["y"] == ["y", "x", "m0a"] and got["z"] == ["z", "y", "x", "m0a"] and got["top"] == ["top", "z", "y", "x", "m0a"] and got["m0b"] == ["m0b"]
