@@ -97,7 +97,9 @@ BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def word_hash(data):
-    return mix64((sum((c + 1) * pow(BASE, i, 1 << 64) for i, c in enumerate(data)) + len(data) * 0xD6E8FEB86659FD93) & MASK)
+    lanes = [int.from_bytes(data[i : i + 8], "little") for i in range(0, max(len(data), 1), 8)]
+    total = sum(mix64((lane + mix64((i * BASE + BASE) & MASK)) & MASK) for i, lane in enumerate(lanes))
+    return mix64((total + len(data) * 0xD6E8FEB86659FD93) & MASK)
 
 
 def buckets(text):
