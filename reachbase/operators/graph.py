@@ -281,8 +281,8 @@ def find_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 64, max_path
     Only nodes that lie between the two are walked: reached from the root, and reaching the target.  Paths come level by level, shorter ones
     first and then in order; a pair stops at ``max_paths`` and says so if a further path exists, or at ``max_depth`` if walks remain.
     """
-    up, _ = expand(edges, pairs.select(F.col("root").alias("key")), False, max_depth, None, None)
-    back, _ = expand(edges, pairs.select(F.col("target").alias("key")), True, max_depth, None, None)
+    up, up_ends = expand(edges, pairs.select(F.col("root").alias("key")), False, max_depth, None, None)
+    back, back_ends = expand(edges, pairs.select(F.col("target").alias("key")), True, max_depth, None, None)
     asked = cut(pairs.select("root", "target").where("root <> target").distinct())
     own = lambda rows, end: rows.select(F.col("root").alias(end), "key").unionByName(asked.select(end, F.col(end).alias("key")).distinct())
     between = cut(asked.join(own(up, "root"), "root").join(own(back, "target"), ["target", "key"]).select("root", "target", F.col("key").alias("next")))
@@ -304,6 +304,10 @@ def find_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 64, max_path
         spent = cut(spent.join(ends.groupBy("root", "target").agg(F.max("seat").alias("most")), ["root", "target"], "left").select("root", "target", F.when(F.col("most").isNotNull(), F.least("most", F.lit(max_paths))).otherwise(F.col("n")).alias("n")))
         walk = cut(moved.where("at <> target").join(over, ["root", "target"], "left_anti"))
     full.append(walk.select("root", "target").distinct().withColumn("reason", F.lit("max_depth")))
+    # Neither search met the other's end and both stopped at the depth: a longer path cannot be ruled out.
+    cut_off = lambda ends, name: ends.where(F.array_contains("truncation", "max_depth")).select(F.col("root").alias(name))
+    unmet = asked.join(cut_off(up_ends, "root"), "root").join(cut_off(back_ends, "target"), "target").join(up.select("root", F.col("key").alias("target")), ["root", "target"], "left_anti")
+    full.append(unmet.select("root", "target").withColumn("reason", F.lit("max_depth")))
     paths, reasons = found[0] if found else walk.select("root", "target", "path").limit(0), full[0]
     for rows in found[1:]:
         paths = paths.unionByName(rows)
