@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from reachbase.plans import access_queries, cause_queries, history_queries, report_queries, risk_queries
+from reachbase.plans import access_queries, cause_queries, history_queries, report_queries, review_queries, risk_queries
 
-_PARTS = (access_queries, history_queries, risk_queries, report_queries, cause_queries)
+_PARTS = (access_queries, history_queries, risk_queries, report_queries, cause_queries, review_queries)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
