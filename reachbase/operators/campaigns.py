@@ -167,7 +167,7 @@ def context(items_: DataFrame, before: Estate, now: Estate, findings: DataFrame,
     drift = F.when(F.col("_stands").isNull(), "target_removed").when(F.col("_now").isNull(), "removed").when(F.col("_now") == F.col("digest"), "unchanged").otherwise("modified")
     rows = rows.select(*ITEM, drift.alias("drift"), F.coalesce("_root", "target_key").alias("resource_key"))
     known = before.resources.select("resource_key").union(now.resources.select("resource_key")).distinct().withColumn("_known", F.lit(True))
-    rows = rows.join(known, "resource_key", "left").withColumn("resource_key", F.when("_known", F.col("resource_key"))).drop("_known")
+    rows = rows.join(known, "resource_key", "left").withColumn("resource_key", F.when(F.col("_known"), F.col("resource_key"))).drop("_known")
     subjects = now.principals.where(F.col("kind").isin(*access.SUBJECT_KINDS)).select("principal_key")
     pairs = rows.where("resource_key IS NOT NULL").select("principal_key", "resource_key").distinct().join(subjects, "principal_key", "left_semi")
     side = lambda e, name: access.pair_access(e, pairs).select("principal_key", "resource_key", F.col("remote").alias(name))
