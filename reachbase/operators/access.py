@@ -233,6 +233,64 @@ def pair_access(estate: Estate, pairs: DataFrame) -> DataFrame:
     )
 
 
+def candidates(held: DataFrame, estate: Estate) -> DataFrame:
+    """principal_key, resource_key: every list that names what a principal holds (principal_key, sid), and every missing list, which names nobody and shuts nobody out."""
+    named = estate.ntfs_aces.select("resource_key", F.col("trustee_key").alias("sid")).distinct().join(held.select("principal_key", "sid").distinct(), "sid").select("principal_key", "resource_key")
+    everyone = held.select("principal_key").distinct().withColumn("all", F.lit(True))
+    open_ = estate.resources.where(~F.col("dacl_present")).select("resource_key").withColumn("all", F.lit(True))
+    # Each principal for each missing list: that many rows are the answer.
+    return named.unionByName(everyone.join(open_, "all").select("principal_key", "resource_key")).distinct()
+
+
+def _as_subjects(estate: Estate, principals: DataFrame) -> Estate:
+    """The estate with these principals (principal_key) as subjects: a group then stands for a member of it who is in no other."""
+    asked = principals.select("principal_key").distinct().withColumn("_asked", F.lit(True))
+    kinds = estate.principals.join(asked, "principal_key", "left").withColumn("kind", F.when(F.col("_asked"), SUBJECT_KINDS[0]).when(F.col("kind").isin(*SUBJECT_KINDS), "other").otherwise(F.col("kind")))
+    return estate.with_(principals=kinds.select(*estate.principals.columns))
+
+
+def shares_reached(estate: Estate, principals: DataFrame) -> DataFrame:
+    """principal_key, share_key, root_key, ntfs_rights, share_rights, remote, verdict for every share whose list names what one of ``principals`` (principal_key) holds.
+
+    Rights are those over the share on the directory that it publishes.  A share without a known directory keeps nulls and is indeterminate;
+    shares that grant nothing in the end are listed all the same, for the entry is there.
+    """
+    subject = _as_subjects(estate, principals)
+    held = tokens(subject).select("principal_key", F.col("sid").alias("trustee_key"))
+    root = keys.resource_key(F.concat(F.lit("\\\\"), F.replace("share_key", F.lit("|"), F.lit("\\"))))
+    named = cut(estate.share_aces.select("share_key", "trustee_key").distinct().join(held, "trustee_key").select("principal_key", "share_key").distinct().withColumn("root_key", root))
+    rows = pair_access(subject, named.select("principal_key", F.col("root_key").alias("resource_key"))).withColumnRenamed("resource_key", "root_key")
+    out = named.join(rows, ["principal_key", "root_key"], "left")
+    return out.select("principal_key", "share_key", "root_key", "ntfs_rights", "share_rights", "remote", F.coalesce("verdict", F.lit("indeterminate")).alias("verdict"))
+
+
+def group_impact(estate: Estate, groups: DataFrame) -> DataFrame:
+    """group_key, resource_key, ntfs_rights, share_rights, remote, verdict, names_group: what a member of each group reaches for that alone.
+
+    Lists that confer nothing are listed as well, for their entry may come alive when a share is opened.  ``names_group``: an entry on list or share
+    names the group itself and can be edited; else the rights come through a group above it or an identifier that everyone holds.  ``groups``: group_key.
+    """
+    asked = cut(groups.select(F.col("group_key").alias("principal_key")).distinct())
+    subject = _as_subjects(estate, asked)
+    pairs = cut(candidates(tokens(subject), subject))
+    own = lambda rows, key: rows.join(asked.withColumnRenamed("principal_key", "trustee_key"), "trustee_key", "left_semi").select(key, F.col("trustee_key").alias("principal_key")).distinct()
+    on_list = own(estate.ntfs_aces.where(acl.applies_here()), "resource_key")
+    on_share = own(estate.share_aces, "share_key").join(estate.resources.select("resource_key", "share_key"), "share_key").select("resource_key", "principal_key")
+    named = on_list.unionByName(on_share).distinct().withColumn("names_group", F.lit(True))
+    rows = pair_access(subject, pairs).join(named, ["principal_key", "resource_key"], "left")
+    return rows.select(F.col("principal_key").alias("group_key"), "resource_key", "ntfs_rights", "share_rights", "remote", "verdict", F.coalesce("names_group", F.lit(False)).alias("names_group"))
+
+
+def membership_impact(estate: Estate, groups: DataFrame) -> DataFrame:
+    """group_key, effective_members, non_group_members, depth: how many hold each group; what no principal describes counts as no group."""
+    reach = closure(estate.edges).join(groups.select("group_key").distinct(), "group_key", "left_semi").where("member_key <> group_key")
+    about = reach.join(estate.principals.select(F.col("principal_key").alias("member_key"), "kind"), "member_key", "left")
+    plain = F.coalesce(~F.col("kind").isin("group", "local_group"), F.lit(True))
+    held = about.groupBy("group_key").agg(F.count("*").alias("effective_members"), F.count_if(plain).alias("non_group_members"), F.max("depth").alias("depth"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return groups.select("group_key").distinct().join(held, "group_key", "left").select("group_key", zero("effective_members"), zero("non_group_members"), zero("depth"))
+
+
 def system_mapping(server: Column, enabled: Column, over_share: Column) -> Column:
     """How a machine's own account stands for SYSTEM: not presented over a share, else by what is known of the account."""
     return F.when(over_share, "not_presented").when(server.isNull(), "unknown_machine").when(enabled.isNull(), "unverified").when(enabled, "mapped").otherwise("disabled_machine")
