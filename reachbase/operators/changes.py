@@ -139,6 +139,20 @@ def graded(changes: DataFrame, grades: list[Grade]) -> DataFrame:
     return changes.withColumn("_g", chain).select(*changes.columns, "_g.rule", "_g.severity", "_g.direction")
 
 
+def admitted(changes: DataFrame, floor: str = "info", actions: tuple[str, ...] | None = None, significance: tuple[str, ...] | None = None) -> DataFrame:
+    """Changes at least as severe as ``floor`` with one of the actions and of the significances; none named admits all.
+
+    Severities go by their place in ``SEVERITIES``; a change without one is below every floor.
+    """
+    if floor not in SEVERITIES:
+        raise ValueError(f"no severity {floor}")
+    if actions == () or significance == ():
+        raise ValueError("a filter that excludes everything reads like a quiet time")
+    rows = changes.where(F.col("severity").isin(*SEVERITIES[SEVERITIES.index(floor) :]))
+    rows = rows if actions is None else rows.where(F.col("action").isin(*actions))
+    return rows if significance is None else rows.where(F.col("significance").isin(*significance))
+
+
 def entry_edits(before: DataFrame, after: DataFrame) -> DataFrame:
     """Entries added and removed between two sets of lists, an edit paired where container, trustee and type say which."""
     where = ["resource_key", "trustee_key", "ace_type"]

@@ -20,10 +20,19 @@ BANDS = {
 }
 
 
+def broad_rule(trustee: Column) -> Column:
+    """The rule on broad access that a trustee falls under; null for others."""
+    return F.when(trustee == keys.EVERYONE, "everyone_broad_access").when(trustee == keys.AUTHENTICATED, "authenticated_users_broad_access").when(keys.rid(trustee) == "513", "domain_users_broad_access")
+
+
 def broad_access(e: Estate) -> DataFrame:
     """What a broad trustee gets alone from each list, graded by band."""
-    rule = F.when(F.col("trustee_key") == keys.EVERYONE, "everyone_broad_access").when(F.col("trustee_key") == keys.AUTHENTICATED, "authenticated_users_broad_access").when(keys.rid(F.col("trustee_key")) == "513", "domain_users_broad_access")
-    named = acl.considered(e.ntfs_aces).withColumn("rule", rule).where(F.col("rule").isNotNull())
+    return broad_findings(e.ntfs_aces, e.resources)
+
+
+def broad_findings(aces: DataFrame, resources: DataFrame) -> DataFrame:
+    """The same from entries and from resources (resource_key, dacl_present) alone."""
+    named = acl.considered(aces).withColumn("rule", broad_rule(F.col("trustee_key"))).where(F.col("rule").isNotNull())
     rights = named.groupBy("rule", "resource_key").agg(acl.fold(acl.ordered_entries()).alias("f")).select("rule", "resource_key", F.col("f.granted").alias("rights"))
     band = F.when(masks.holds(F.col("rights"), masks.CATEGORIES["full_control"]), "full_control").when(masks.has(F.col("rights"), 0x116), "write").when(masks.holds(F.col("rights"), masks.CATEGORIES["read"]), "read")
     severity = F.lit(None).cast("string")
@@ -31,7 +40,7 @@ def broad_access(e: Estate) -> DataFrame:
         for b, s in bands.items():
             severity = F.when((F.col("rule") == name) & (F.col("band") == b), F.lit(s)).otherwise(severity)
     found = rights.withColumn("band", band).where(F.col("band").isNotNull()).withColumn("severity", severity)
-    nobody = e.resources.where(~F.col("dacl_present")).select(F.lit("everyone_broad_access").alias("rule"), "resource_key", F.lit(masks.FILE_ALL).cast("long").alias("rights"), F.lit("null_dacl").alias("band"), F.lit("critical").alias("severity"))
+    nobody = resources.where(~F.col("dacl_present")).select(F.lit("everyone_broad_access").alias("rule"), "resource_key", F.lit(masks.FILE_ALL).cast("long").alias("rights"), F.lit("null_dacl").alias("band"), F.lit("critical").alias("severity"))
     return found.unionByName(nobody)
 
 
