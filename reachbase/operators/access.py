@@ -234,12 +234,13 @@ def pair_access(estate: Estate, pairs: DataFrame) -> DataFrame:
 
 
 def candidates(held: DataFrame, estate: Estate) -> DataFrame:
-    """principal_key, resource_key: every list that names what a principal holds (principal_key, sid), and every missing list, which names nobody and shuts nobody out."""
-    named = estate.ntfs_aces.select("resource_key", F.col("trustee_key").alias("sid")).distinct().join(held.select("principal_key", "sid").distinct(), "sid").select("principal_key", "resource_key")
-    everyone = held.select("principal_key").distinct().withColumn("all", F.lit(True))
-    open_ = estate.resources.where(~F.col("dacl_present")).select("resource_key").withColumn("all", F.lit(True))
-    # Each principal for each missing list: that many rows are the answer.
-    return named.unionByName(everyone.join(open_, "all").select("principal_key", "resource_key")).distinct()
+    """principal_key, resource_key: every list that names what a principal holds (principal_key, sid), and every missing list.
+
+    A missing list shuts nobody out and is taken for one that names everyone, which each token holds.
+    """
+    open_ = estate.resources.where(~F.col("dacl_present")).select("resource_key", F.lit(keys.EVERYONE).alias("sid"))
+    named = estate.ntfs_aces.select("resource_key", F.col("trustee_key").alias("sid")).unionByName(open_).distinct()
+    return named.join(held.select("principal_key", "sid").distinct(), "sid").select("principal_key", "resource_key").distinct()
 
 
 def _as_subjects(estate: Estate, principals: DataFrame) -> Estate:
