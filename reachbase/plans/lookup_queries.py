@@ -98,13 +98,14 @@ def _held_sql(who: str, asked: str) -> str:
 
 @on_estate(_held_sql("kind IN ('user', 'managed_service_account')", "SELECT DISTINCT h.principal_key, r.resource_key, r.share_key, r.dacl_present, false AS owner FROM held h JOIN share_aces a ON a.trustee_key = h.sid JOIN resources r ON r.share_key = a.share_key AND r.depth = 0") + " SELECT principal_key, share_key, resource_key AS root_key, n AS ntfs_rights, s AS share_rights, n & s AS remote, CASE WHEN n & s <> 0 THEN 'granted' WHEN h THEN 'indeterminate' WHEN d <> 0 THEN 'denied' ELSE 'no_grant' END AS verdict FROM pr JOIN (SELECT resource_key, share_key FROM resources) USING (resource_key)")
 def shares_of_principals(e: Estate) -> DataFrame:
+    e = e.settled()
     return access.shares_reached(e, e.principals.where("kind IN ('user', 'managed_service_account')"))
 
 
 @on_estate(_held_sql("kind = 'group'", "SELECT DISTINCT h.principal_key, r.resource_key, r.share_key, r.dacl_present, false AS owner FROM held h JOIN ntfs_aces a ON a.trustee_key = h.sid JOIN resources r ON r.resource_key = a.resource_key UNION SELECT principal_key, resource_key, share_key, dacl_present, false FROM subjects, resources WHERE NOT dacl_present") + """, nm AS (SELECT resource_key, trustee_key FROM ntfs_aces WHERE ace_flags & 8 = 0 UNION SELECT resource_key, trustee_key FROM resources JOIN share_aces USING (share_key))
 SELECT principal_key AS group_key, pr.resource_key, n AS ntfs_rights, s AS share_rights, n & s AS remote, CASE WHEN n & s <> 0 THEN 'granted' WHEN h THEN 'indeterminate' WHEN d <> 0 THEN 'denied' ELSE 'no_grant' END AS verdict, nm.resource_key IS NOT NULL AS names_group FROM pr LEFT JOIN nm ON nm.resource_key = pr.resource_key AND nm.trustee_key = pr.principal_key""")
 def group_impact(e: Estate) -> DataFrame:
-    e = e.with_(ntfs_aces=cut(e.ntfs_aces), share_aces=cut(e.share_aces))
+    e = e.settled()
     return access.group_impact(e, e.principals.where("kind = 'group'").select(F.col("principal_key").alias("group_key")))
 
 
