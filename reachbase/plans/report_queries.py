@@ -75,11 +75,13 @@ def asked_pairs(e: Estate) -> DataFrame:
 
 @on_estate(_pairs_sql("ntfs_aces") + " SELECT principal_key, resource_key, n AS ntfs_rights, s AS share_rights, n & s AS remote, CASE WHEN n & s <> 0 THEN 'granted' WHEN h THEN 'indeterminate' WHEN d <> 0 THEN 'denied' ELSE 'no_grant' END AS verdict FROM pr")
 def pair_access(e: Estate) -> DataFrame:
+    e = e.settled()
     return access.pair_access(e, asked_pairs(e)).select("principal_key", "resource_key", "ntfs_rights", "share_rights", "remote", "verdict")
 
 
 @on_estate(_pairs_sql("ntfs_aces") + " SELECT principal_key, resource_key, n AS local, owner FROM pr")
 def local_access(e: Estate) -> DataFrame:
+    e = e.settled()
     return access.pair_access(e, asked_pairs(e)).select("principal_key", "resource_key", "local", "owner")
 
 
@@ -89,6 +91,7 @@ _RESTATED = """, restated AS (SELECT resource_key, trustee_key, ace_type, access
 @on_estate(_pairs_sql("restated").replace(TOKENS, TOKENS + _RESTATED) + " SELECT principal_key, resource_key, n AS local, owner, n & s AS remote FROM pr")
 def owner_rights_access(e: Estate) -> DataFrame:
     """With an entry for OWNER RIGHTS, that allows or denies reading, on one of three owned lists."""
+    e = e.settled()
     new = e.resources.where("owner_key IS NOT NULL AND dacl_present AND length(resource_key) % 3 = 0").select(
         "resource_key", F.lit(keys.OWNER_RIGHTS).alias("trustee_key"), F.when(F.length("resource_key") % 2 == 0, "allow").otherwise("deny").alias("ace_type"), F.lit(1179785).cast("long").alias("access_mask"),
         F.lit(0).alias("ace_flags"), F.lit(-1).alias("order_index"), F.concat("resource_key", F.lit("|owner")).alias("ace_key"),
@@ -123,6 +126,7 @@ def _log_sql(n: int, t: str) -> str:
 
 @on_estate(_log_sql(1, _T1) + _pairs_sql("aces_1") + " SELECT principal_key, resource_key, n & s AS remote FROM pr")
 def access_as_of(e: Estate) -> DataFrame:
+    e = e.settled()
     return access.pair_access(_at(e, _T1), asked_pairs(e)).select("principal_key", "resource_key", "remote")
 
 
@@ -131,6 +135,7 @@ _IMPACT += ", both_ AS (SELECT pr.principal_key, pr.resource_key, pr.n & pr.s AS
 
 
 def _impact(e: Estate) -> DataFrame:
+    e = e.settled()
     side = lambda t, name: access.pair_access(_at(e, t), asked_pairs(e)).select("principal_key", "resource_key", F.col("remote").alias(name))
     both = side(_T1, "before").join(side(_T2, "after"), ["principal_key", "resource_key"])
     return both.withColumn("direction", simulate.direction(F.col("before"), F.col("after")))
