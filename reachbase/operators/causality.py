@@ -27,15 +27,6 @@ PAIR = ["principal_key", "resource_key"]
 REMOVABLE = ("membership", "ntfs_ace", "share_ace")
 
 
-def bits(mask: Column) -> Column:
-    """The numbers of the bits that are set."""
-    return F.filter(F.sequence(F.lit(0), F.lit(31)), lambda k: F.expr("1L").bitwiseAND(F.call_function("shiftright", mask, k)) != 0)
-
-
-def bit(number: Column) -> Column:
-    return F.call_function("shiftleft", F.expr("1L"), number)
-
-
 def _held(estate: Estate, asked: DataFrame) -> DataFrame:
     """principal_key, trustee_key, origin: remote tokens of the principals asked for."""
     who = asked.select("principal_key").distinct()
@@ -82,21 +73,22 @@ def _crossed(ntfs: Column, share: Column) -> Column:
 
 def _rights(entries: DataFrame, by: list[str]) -> DataFrame:
     """``by``, ntfs, share, denied (on the list): what the entries of a group grant, each bit by its first entry."""
-    each = entries.select(*by, "layer", "at", "allow", F.explode(bits(F.col("mask"))).alias("k"))
-    first = each.groupBy(*by, "layer", "k").agg(F.min_by("allow", "at").alias("allow"))
-    side = lambda layer, allow: F.coalesce(F.bit_or(F.when((F.col("layer") == layer) & (F.col("allow") == allow), bit(F.col("k")))), F.lit(0).cast("long"))
-    return first.groupBy(*by).agg(side("ntfs", True).alias("ntfs"), side("share", True).alias("share"), side("ntfs", False).alias("denied"))
+    rows = entries.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "layer", "allow", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))).alias("es"))
+    side = lambda layer: acl.fold(F.filter("es", lambda e: e["layer"] == layer)).alias(layer)
+    return rows.select(*by, side("ntfs"), side("share")).select(*by, F.col("ntfs.granted").alias("ntfs"), F.col("share.granted").alias("share"), F.col("ntfs.denied").alias("denied"))
 
 
 def entry_removals(entries: DataFrame, rights: DataFrame) -> DataFrame:
     """PAIR, kind, edge_key, rights_removed, rights_added, rights_after: each entry that speaks to a pair gone, one at a time."""
-    spot = Window.partitionBy(*PAIR, "layer", "k").orderBy("at")
-    each = entries.select(*PAIR, "layer", "ace_key", "at", "allow", F.explode(bits(F.col("mask"))).alias("k"))
-    decided = each.withColumns({"seat": F.row_number().over(spot), "next": F.coalesce(F.lead("allow").over(spot), F.lit(False))}).where("seat = 1")
-    zero = F.lit(0).cast("long")
-    side = lambda test: F.coalesce(F.bit_or(F.when(test, bit(F.col("k")))), zero)
-    moved = decided.groupBy(*PAIR, "layer", "ace_key").agg(side(F.col("allow") & ~F.col("next")).alias("lost"), side(~F.col("allow") & F.col("next")).alias("won"))
-    rows = entries.select(*PAIR, "layer", "ace_key").join(moved, [*PAIR, "layer", "ace_key"], "left").fillna(0, ["lost", "won"]).join(rights, PAIR)
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+    lists = entries.groupBy(*PAIR, "layer").agg(F.array_sort(F.collect_list(F.struct("at", "ace_key", "allow", F.coalesce("mask", zero).alias("mask")))).alias("es"))
+    # What each entry settles, and the bits that those behind it would allow: one walk from either end.
+    settles = F.aggregate("es", F.struct(zero.alias("seen"), none.alias("out")), lambda s, e: F.struct(s["seen"].bitwiseOR(e["mask"]).alias("seen"), F.concat(s["out"], F.array(masks.minus(e["mask"], s["seen"]))).alias("out")), lambda s: s["out"])
+    then = lambda s, e: F.when(e["allow"], s["then"].bitwiseOR(e["mask"])).otherwise(masks.minus(s["then"], e["mask"]))
+    behind = F.aggregate(F.reverse("es"), F.struct(zero.alias("then"), none.alias("out")), lambda s, e: F.struct(then(s, e).alias("then"), F.concat(F.array(s["then"]), s["out"]).alias("out")), lambda s: s["out"])
+    each = lists.select(*PAIR, "layer", F.explode(F.arrays_zip("es", settles.alias("novel"), behind.alias("behind"))).alias("x")).select(*PAIR, "layer", "x.es.ace_key", "x.es.allow", "x.novel", "x.behind")
+    lost, won = F.when(F.col("allow"), masks.minus(F.col("novel"), F.col("behind"))).otherwise(zero), F.when(F.col("allow"), zero).otherwise(F.col("novel").bitwiseAND(F.col("behind")))
+    rows = each.select(*PAIR, "layer", "ace_key", lost.alias("lost"), won.alias("won")).join(rights, PAIR)
     on_list = F.col("layer") == "ntfs"
     # An owner's own bits stay whatever the list says; the other layer bounds both ways.
     lost, won = (F.when(on_list, _crossed(masks.minus(F.col(c), F.col("own")), F.col("share"))).otherwise(F.col(c).bitwiseAND(F.col("ntfs"))) for c in ("lost", "won"))
@@ -109,7 +101,22 @@ def _effects(rows: DataFrame) -> DataFrame:
 
 
 def surviving(edges: DataFrame, principals: DataFrame) -> DataFrame:
-    """principal_key, group_key, member_key, lost: for each membership on a principal's way up, a group that it alone leads to."""
+    """principal_key, group_key, member_key, lost: for each membership on a principal's way up, a group that it alone leads to.
+
+    Principals that have no members and the same direct groups differ in their first step alone, so one of them is walked for all.
+    """
+    who = principals.select("principal_key").distinct()
+    direct = edges.select(F.col("member_key").alias("principal_key"), "group_key").join(who, "principal_key", "left_semi").groupBy("principal_key").agg(F.array_sort(F.collect_set("group_key")).alias("ups"))
+    groups = edges.select(F.col("group_key").alias("principal_key")).distinct().withColumn("group", F.lit(True))
+    kind = F.when(F.col("group"), F.col("principal_key")).otherwise(F.sha2(F.array_join("ups", ","), 256))
+    of = cut(direct.join(groups, "principal_key", "left").select("principal_key", kind.alias("kind")))
+    first = cut(of.groupBy("kind").agg(F.min("principal_key").alias("first")))
+    walked = _walked(edges, first.select(F.col("first").alias("principal_key"))).withColumnRenamed("principal_key", "first").join(first, "first")
+    member = F.when(F.col("member_key") == F.col("first"), F.col("principal_key")).otherwise(F.col("member_key"))
+    return of.join(cut(walked), "kind").select("principal_key", "group_key", member.alias("member_key"), "lost")
+
+
+def _walked(edges: DataFrame, principals: DataFrame) -> DataFrame:
     step = cut(edges.select(F.col("member_key").alias("at"), F.col("group_key").alias("to")).distinct())
     who = principals.select(F.col("principal_key").alias("key")).distinct()
     reached, _ = expand(edges, who, False, None, None, None)

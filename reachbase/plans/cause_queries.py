@@ -69,6 +69,7 @@ removals AS MATERIALIZED (SELECT principal_key, resource_key, CASE WHEN x.n THEN
 
 @on_estate(_REMOVALS + " SELECT principal_key, resource_key, kind, edge_key, before & (4294967295 - after) AS rights_removed, after & (4294967295 - before) AS rights_added, after AS rights_after, before <> 0 AND after = 0 AS revokes_all FROM removals")
 def measured_removals(e: Estate) -> DataFrame:
+    e = e.settled()
     return causality.measured_removals(e, asked_pairs(e))
 
 
@@ -82,6 +83,7 @@ novel AS MATERIALIZED (SELECT e.principal_key, e.resource_key, layer, ace_key, t
 @on_estate(_NOVEL + """, c AS (SELECT v.*, novel & o AS delivered, novel & (4294967295 - o) AS constrained FROM (SELECT v.*, CASE WHEN NOT seen THEN 4294967295 WHEN layer = 'ntfs' THEN f.s ELSE f.n END AS o FROM novel v JOIN finals f USING (principal_key, resource_key)) v)
 SELECT principal_key, resource_key, layer, ace_key, trustee_key, relation, novel, delivered, constrained, CASE WHEN novel = 0 THEN 'redundant' WHEN delivered = 0 AND constrained <> 0 THEN 'constrained' ELSE 'contributes' END AS effect FROM c""")
 def path_effects(e: Estate) -> DataFrame:
+    e = e.settled()
     return causality.path_effects(*causality.evidence(e, asked_pairs(e)))
 
 
@@ -89,6 +91,7 @@ def path_effects(e: Estate) -> DataFrame:
 k AS (SELECT *, row_number() OVER (PARTITION BY principal_key, resource_key, layer ORDER BY bit_count(novel & final) DESC, origin = 'assumed', order_index, ace_key) AS seat FROM r WHERE novel & final <> 0)
 SELECT principal_key, resource_key, layer, ace_key, trustee_key, novel & final AS coverage, bit_count(novel & final)::double / bit_count(final)::double AS share_of_rights FROM k WHERE seat = 1""")
 def primary_routes(e: Estate) -> DataFrame:
+    e = e.settled()
     return causality.primary_routes(*causality.evidence(e, asked_pairs(e)))
 
 
@@ -100,6 +103,7 @@ SELECT kind, count(*) AS n, count(DISTINCT principal_key || resource_key) AS pai
   SELECT 'trustee', principal_key, resource_key FROM ents UNION ALL SELECT CASE WHEN allow THEN 'grant' ELSE 'deny' END, principal_key, resource_key FROM ents UNION ALL
   SELECT 'ownership', principal_key, resource_key FROM rights WHERE own <> 0 UNION ALL SELECT DISTINCT 'bounds', principal_key, resource_key FROM ents WHERE layer = 'share') GROUP BY 1""".replace("SELECT DISTINCT 'assumed', principal_key, resource_key FROM (", "SELECT 'assumed', principal_key, resource_key FROM ("))
 def explanation_edges(e: Estate) -> DataFrame:
+    e = e.settled()
     _, edges = causality.explanation(e, asked_pairs(e))
     return edges.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct(F.concat("principal_key", "resource_key")).alias("pairs"))
 
@@ -188,6 +192,7 @@ def protection_overlay(e: Estate) -> DataFrame:
 SELECT principal_key, resource_key, {_final('es')} AS before, ((CASE WHEN listed THEN {_GRANTED.format(es='es2', ntfs='true')} ELSE 2032127 END | own) & CASE WHEN seen THEN {_GRANTED.format(es='es2', ntfs='false')} ELSE 4294967295 END) AS after FROM es2""")
 def share_overlay(e: Estate) -> DataFrame:
     """Every change permission of a share lowered to read, and full ones taken away."""
+    e = e.settled()
     s = e.share_aces
     planned = simulate.with_shares(e, removed=s.where("permission = 'full'").select("ace_key"), modified=s.where("permission = 'change'").select("ace_key", F.lit("read").alias("new_permission")))
     side = lambda x, name: causality.evidence(x, asked_pairs(e))[1].select("principal_key", "resource_key", F.col("rights").alias(name))

@@ -1,7 +1,7 @@
 """What must not grow: rows and joins that larger tables would multiply."""
 
 from reachbase.functions import keys
-from reachbase.operators import access
+from reachbase.operators import access, causality
 from tests.test_access import READ, estate
 
 
@@ -30,3 +30,16 @@ def test_entries_meet_tokens_in_the_row_of_their_pair(spark):
     rows = access.pair_access(e, pairs)
     assert [r["remote"] for r in rows.collect()] == [READ]
     assert not [x for x in joins(rows) if "principal_key" in x and "trustee_key" in x]
+
+
+def test_entries_are_not_multiplied_by_their_bits_and_one_of_equal_members_is_walked(spark, monkeypatch):
+    users = [f"u{i}" for i in range(20)]
+    e = estate(spark, {"a": [("h", "allow", READ), ("g", "deny", 1)]}, users=users, edges=[("g", u) for u in users] + [("h", "g")])
+    walked, plain = [], causality.expand
+    monkeypatch.setattr(causality, "expand", lambda edges, roots, *more: walked.append(roots.count()) or plain(edges, roots, *more))
+    lost = {tuple(r) for r in causality.surviving(e.edges, e.principals.where("kind = 'user'").select("principal_key")).collect()}
+    assert lost == {x for u in users for x in ((u, "g", u, "g"), (u, "g", u, "h"), (u, "h", "g", "h"))} and walked == [1]
+    pairs = spark.createDataFrame([("u1", "a")], "principal_key string, resource_key string")
+    rows = causality.entry_removals(*causality.evidence(e, pairs))
+    assert {r["edge_key"]: (r["rights_removed"], r["rights_added"]) for r in rows.where("kind = 'ntfs_ace'").collect()} == {"a:0": (READ, 0), "a:1": (0, 0)}
+    assert "sequence(" not in rows._jdf.queryExecution().analyzed().toString()
