@@ -43,3 +43,24 @@ def test_entries_are_not_multiplied_by_their_bits_and_one_of_equal_members_is_wa
     rows = causality.entry_removals(*causality.evidence(e, pairs))
     assert {r["edge_key"]: (r["rights_removed"], r["rights_added"]) for r in rows.where("kind = 'ntfs_ace'").collect()} == {"a:0": (READ, 0), "a:1": (0, 0)}
     assert "sequence(" not in rows._jdf.queryExecution().analyzed().toString()
+
+
+def crowded(spark):
+    """Twenty classes that differ by a trustee of their own, which only list a names."""
+    users = [f"u{i:02}" for i in range(20)]
+    lists = {"a": [("u03", "deny", 1), ("g", "allow", READ)] + [(u, "allow", 2) for u in users], "b": [("h", "deny", 8), (keys.EVERYONE, "allow", READ)]}
+    return users, estate(spark, lists, users=users, edges=[("g", u) for u in users[:12]] + [("h", u) for u in users[10:]])
+
+
+def test_lists_are_evaluated_for_bases_and_opened_to_the_same_rights(spark, monkeypatch):
+    users, e = crowded(spark)
+    b = {u: READ & ~8 if u >= "u10" else READ for u in users}
+    a = {u: (READ if u < "u12" else 0) & (~1 if u == "u03" else -1) | 2 for u in users}
+    for few in (0, 8, 100):
+        monkeypatch.setattr(access, "FEW", few)
+        rows, principals = access.matrix(e)
+        got = {(r["principal_key"], r["resource_key"]): r["rights"] for r in rows.join(principals, "class_key").collect()}
+        assert got == {(u, "a"): a[u] for u in users} | {(u, "b"): b[u] for u in users}
+    monkeypatch.setattr(access, "FEW", 8)
+    shared, single, _, _ = access.matrix_by_base(e)
+    assert shared.where("resource_key = 'b'").count() == 3 and {r["resource_key"] for r in single.collect()} == {"a"}
