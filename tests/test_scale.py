@@ -64,3 +64,10 @@ def test_lists_are_evaluated_for_bases_and_opened_to_the_same_rights(spark, monk
     monkeypatch.setattr(access, "FEW", 8)
     shared, single, _, _ = access.matrix_by_base(e)
     assert shared.where("resource_key = 'b'").count() == 3 and {r["resource_key"] for r in single.collect()} == {"a"}
+
+
+def test_reach_is_counted_by_bases(spark, monkeypatch):
+    users, e = crowded(spark)
+    monkeypatch.setattr(access, "opened", None)  # no pair of class and list is made
+    got = {r["resource_key"]: (r["principals"], r["holding"]) for r in access.reach_counts(e, READ).collect()}
+    assert got == {"a": (20, 11), "b": (20, 10)}
