@@ -172,8 +172,12 @@ def entry_impact(e: Estate, planned: Estate, touched: DataFrame | None = None) -
     now, then = (cut(x.ntfs_aces.join(touched, "resource_key", "left_semi")) for x in (e, planned))
     trustees = e.ntfs_aces.select("trustee_key").union(planned.ntfs_aces.select("trustee_key")).union(e.share_aces.select("trustee_key"))
     _, members = access.classes(access.tokens(e), cut(trustees.distinct()))
-    side = lambda rows, name: access.ntfs_rights(members, rows).select("class_key", "resource_key", F.col("granted").alias(name))
-    both = side(now, "before").join(side(then, "after"), ["class_key", "resource_key"], "full_outer").fillna(0, ["before", "after"])
+    # Both plans are layers of one list, so before and after meet where the list lies.
+    entries = access.list_entries(now).unionByName(access.list_entries(then, 1))
+    shared, single, of = access.rights_by_base(members, entries, ("now", "then"))
+    names = touched.select("resource_key").distinct().withColumn("list", access.list_id())
+    named = lambda rows: rows.join(names, "list").withColumnsRenamed({"granted_now": "before", "granted_then": "after"})
+    both = access.opened(named(shared), named(single), of, "resource_key", "before", "after")
     return both.withColumn("direction", direction(F.col("before"), F.col("after")))
 
 

@@ -1,7 +1,7 @@
 """What must not grow: rows and joins that larger tables would multiply."""
 
 from reachbase.functions import keys
-from reachbase.operators import access, causality
+from reachbase.operators import access, causality, simulate
 from tests.test_access import READ, estate
 
 
@@ -71,3 +71,12 @@ def test_reach_is_counted_by_bases(spark, monkeypatch):
     monkeypatch.setattr(access, "opened", None)  # no pair of class and list is made
     got = {r["resource_key"]: (r["principals"], r["holding"]) for r in access.reach_counts(e, READ).collect()}
     assert got == {"a": (20, 11), "b": (20, 10)}
+
+
+def test_before_and_after_meet_where_the_list_lies(spark):
+    users, e = crowded(spark)
+    gone = e.ntfs_aces.where(f"resource_key = 'b' AND trustee_key = '{keys.EVERYONE}'")
+    rows = simulate.entry_impact(e, simulate.with_entries(e, removed=gone.select("ace_key")), gone.select("resource_key"))
+    assert not [x for x in joins(rows) if "FullOuter" in x]
+    got = sorted((r["before"], r["after"], r["direction"]) for r in rows.collect())
+    assert got == [(READ & ~8, 0, "lose")] * 10 + [(READ, 0, "lose")] * 10
