@@ -10,12 +10,14 @@ Texts are split by the tokenizer's pattern first and the pieces are encoded each
 the texts, and the workers keep the ids of pieces that they met.  Cases: a null text is the empty one
 and has no ids; very long texts and pieces are encoded whole; special tokens are ordinary text; rows,
 repeated or not, keep their other columns, except one that has the result's name, which is replaced.
+Of a short piece only those prefixes are encoded that the last token of a longer one asks about.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import struct
 from array import array
 from collections.abc import Iterator
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 #: Pieces, and pairs of tokens, that a worker keeps.  A full store makes way for a new one, and what
 #: is still in use moves over.
 KEPT_PIECES = 100_000
+#: Bytes up to which a piece is encoded from its end down, and its ids are kept.
+SHORT = 256
 _NEVER = 1 << 40
 
 
@@ -39,7 +43,7 @@ class Vocabulary:
         self.bytes = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self._edges: tuple[dict, ...] = ({}, {})  # by side: 0 and -1 index it
-        self.pairs: dict[tuple[int, int], bool] = {}  # what beside() has found
+        self.pairs: dict[int, bool] = {}  # what beside() has found, by left << 32 | right
 
     def merged(self, piece: bytes, until: int = 1) -> list[bytes]:
         """The parts left by merging the pair of least rank, again and again, down to ``until`` parts."""
@@ -82,6 +86,34 @@ class Vocabulary:
                 j += 1
 
 
+    def encoded(self, data: bytes) -> list[int]:
+        """The tokens of a short piece: the table of its prefixes, filled only where an entry is asked for."""
+        get, names, pairs, longest, last = self.ids.get, self.bytes, self.pairs, self.longest, [-1] * (len(data) + 1)
+
+        def fill(stop: int) -> int:
+            for start in range(stop - longest if stop > longest else 0, stop):
+                if (token := get(part := data[start:stop])) is None:
+                    continue
+                if start:
+                    if (left := last[start]) < 0:
+                        left = fill(start)
+                    if (fits := pairs.get(left << 32 | token)) is None:
+                        if len(pairs) >= KEPT_PIECES:
+                            pairs.clear()
+                        fits = pairs[left << 32 | token] = self.beside(names[left], part)
+                    if not fits:
+                        continue
+                last[stop] = token
+                return token
+            raise ValueError("a byte has no token")
+
+        out, end = [], len(data)
+        while end:
+            out.append(last[end] if last[end] >= 0 else fill(end))
+            end -= len(names[out[-1]])
+        return out[::-1]
+
+
 class PrefixTable:
     """The last token of the encoding of every prefix of some bytes."""
 
@@ -100,10 +132,10 @@ class PrefixTable:
                     continue
                 if start:
                     left = last[start - 1]
-                    if (fits := pairs.get((left, token))) is None:
+                    if (fits := pairs.get(left << 32 | token)) is None:
                         if len(pairs) >= KEPT_PIECES:
                             pairs.clear()
-                        fits = pairs[left, token] = v.beside(names[left], part)
+                        fits = pairs[left << 32 | token] = v.beside(names[left], part)
                     if not fits:
                         continue
                 last.append(token)
@@ -164,9 +196,10 @@ class Codec:
             return out
         data = piece.encode()
         whole = self.vocabulary.ids.get(data)
-        tokens = [whole] if whole is not None else PrefixTable(self.vocabulary, data).tokens()
-        out = b"".join(t.to_bytes(4, "little") for t in tokens)
-        if len(data) <= 256:
+        short = len(data) <= SHORT
+        tokens = [whole] if whole is not None else self.vocabulary.encoded(data) if short else PrefixTable(self.vocabulary, data).tokens()
+        out = struct.pack(f"<{len(tokens)}I", *tokens)
+        if short:
             self.packed[piece] = out
         return out
 

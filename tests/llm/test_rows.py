@@ -285,3 +285,23 @@ def test_importance_keeps_ties_at_the_cut(spark):
     rows = [(7, "same text here", "s")] * 6
     fitted = importance.Model(np.zeros(2 * importance.STARTS), (0.0, 1.0))
     assert importance.select(frame(spark, rows), fitted)[1].count() == 6
+
+
+def test_byte_bpe_fills_only_the_prefixes_that_are_asked_for():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    ranks = {bytes([b]): b for b in range(256)} | {t.encode(): 256 + i for i, t in enumerate("th he in er an re the ing ther ning other another".split())}
+    v = byte_bpe.Vocabulary(Counted(ranks))
+    deal = random.Random(5)
+    pieces = [b"anotherning", *("".join(deal.choice("thernigao") for _ in range(deal.randrange(1, 40))).encode() for _ in range(300)), *(bytes(deal.randrange(256) for _ in range(20)) for _ in range(20))]
+    tables = [byte_bpe.PrefixTable(v, p).tokens() for p in pieces]  # also finds out which tokens stay apart
+    Counted.asked = 0
+    assert [byte_bpe.PrefixTable(v, p).tokens() for p in pieces] == tables
+    whole, Counted.asked = Counted.asked, 0
+    assert [v.encoded(p) for p in pieces] == tables
+    assert Counted.asked < whole
