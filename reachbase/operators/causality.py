@@ -34,65 +34,92 @@ def _held(estate: Estate, asked: DataFrame) -> DataFrame:
     return own.unionByName(who.select("principal_key", F.lit(keys.NETWORK).alias("trustee_key"), F.lit("assumed").alias("origin")))
 
 
+def _spoken(estate: Estate, pairs: DataFrame) -> DataFrame:
+    """One row for each pair, with what else ``pairs`` has: ``on_list`` and ``on_share``, the entries that speak to it in order (at, ace_key, trustee_key, origin, allow, mask), and own, ntfs, share, rights, denied.
+
+    A list travels as one row of entries and a token as one row of identifiers; they meet in the pair's row, and what is asked of a pair is
+    answered there, so the entries that speak to pairs are neither shuffled nor written.
+    """
+    more = [c for c in pairs.columns if c not in PAIR]
+    asked = cut(pairs.distinct())
+    where = asked.select("resource_key").distinct()
+    tokens = _held(estate, asked).groupBy("principal_key").agg(F.array_sort(F.collect_set(F.struct(F.col("trustee_key").alias("sid"), "origin"))).alias("token"))
+    zero, total = F.lit(0).cast("long"), F.lit(masks.FILE_ALL).cast("long")
+    at = lambda order: F.struct(order.alias("order_index"), F.col("ace_key")).alias("at")
+    entry = lambda order, mask, to_owner: F.struct(at(order), "trustee_key", (F.col("ace_type") == "allow").alias("allow"), F.coalesce(mask, zero).alias("mask"), to_owner.alias("to_owner"))
+    to_owner = keys.sid_of(F.col("trustee_key")) == keys.OWNER_RIGHTS
+    lists = acl.considered(estate.ntfs_aces.join(where, "resource_key", "left_semi")).where(acl.applies_here())
+    lists = lists.groupBy("resource_key").agg(F.array_sort(F.collect_list(entry(F.coalesce("order_index", F.lit(2**31 - 1)), masks.expand_generic(F.col("access_mask")), to_owner))).alias("entries"))
+    # Denials of a share go before what it allows.
+    rank = F.when(F.col("ace_type") == "deny", 0).otherwise(1)
+    shares = cut(estate.share_aces.groupBy("share_key").agg(F.array_sort(F.collect_list(entry(rank, masks.share_mask(F.col("permission")), F.lit(False)))).alias("allowances")))
+    on = estate.resources.join(where, "resource_key", "left_semi").select("resource_key", "share_key", "dacl_present", "owner_key").join(lists, "resource_key", "left")
+    rows = asked.join(tokens, "principal_key", "left").join(on, "resource_key").join(shares, "share_key", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(rows.schema[c].dataType))
+    rows = rows.withColumns({"token": empty("token"), "entries": empty("entries"), "read": F.col("allowances").isNotNull(), "allowances": empty("allowances")})
+    rows = rows.withColumn("owns", F.exists("token", lambda t: F.coalesce(t["sid"] == F.col("owner_key"), F.lit(False))))
+    held = lambda e: F.exists("token", lambda t: t["sid"] == e["trustee_key"])
+    origin = lambda e: F.coalesce(F.get(F.filter("token", lambda t: t["sid"] == e["trustee_key"]), F.lit(0))["origin"], F.lit("owner"))
+    shown = lambda es, test: F.transform(F.filter(es, test), lambda e: F.struct(e["at"].alias("at"), e["at"]["ace_key"].alias("ace_key"), e["trustee_key"].alias("trustee_key"), origin(e).alias("origin"), e["allow"].alias("allow"), e["mask"].alias("mask")))
+    rows = rows.withColumns({"on_list": shown("entries", lambda e: F.col("dacl_present") & (held(e) | (e["to_owner"] & F.col("owns")))), "on_share": shown("allowances", held), "restated": F.exists("entries", lambda e: e["to_owner"])})
+    rows = rows.select(*PAIR, *more, "on_list", "on_share", "read", "dacl_present", F.when(F.col("owns") & ~F.col("restated"), F.lit(access.OWNER_BITS).cast("long")).otherwise(zero).alias("own"), acl.fold(F.col("on_list")).alias("l"), acl.fold(F.col("on_share")).alias("s"))
+    ntfs, share = F.when(F.col("dacl_present"), F.col("l.granted")).otherwise(total).bitwiseOR(F.col("own")), F.when(F.col("read"), F.col("s.granted"))
+    return rows.select(*PAIR, *more, "on_list", "on_share", "own", ntfs.alias("ntfs"), share.alias("share"), _crossed(ntfs, share).alias("rights"), F.col("l.denied").alias("denied"))
+
+
 def evidence(estate: Estate, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The entries that speak to each pair, and each pair's rights.
 
     Entries: principal_key, resource_key, layer (ntfs, share), ace_key, trustee_key, origin, at, allow, mask.  Pairs: ntfs and
     share rights, owner bits, rights (both layers crossed; an unread share does not bound them), denied.
     """
-    asked = cut(pairs.select(*PAIR).distinct())
-    held = cut(_held(estate, asked))
-    on = asked.join(estate.resources.select("resource_key", "share_key", "dacl_present", "owner_key"), "resource_key")
-    lists = acl.considered(estate.ntfs_aces.join(asked.select("resource_key").distinct(), "resource_key", "left_semi")).where(acl.applies_here())
-    seat = F.struct(F.coalesce("order_index", F.lit(2**31 - 1)).alias("order_index"), F.col("ace_key"))
-    shown = on.where("dacl_present").select(*PAIR)
-    owned = cut(on.join(held.select("principal_key", F.col("trustee_key").alias("owner_key")), ["principal_key", "owner_key"]).select(*PAIR, F.lit("owner").alias("origin")))
-    to_owner = keys.sid_of(F.col("trustee_key")) == keys.OWNER_RIGHTS
-    matched = shown.join(lists, "resource_key").join(held, ["principal_key", "trustee_key"])
-    matched = matched.unionByName(shown.join(owned, PAIR).join(lists.where(to_owner), "resource_key"))
-    ntfs = matched.select(*PAIR, F.lit("ntfs").alias("layer"), "ace_key", "trustee_key", "origin", seat.alias("at"), (F.col("ace_type") == "allow").alias("allow"), masks.expand_generic(F.col("access_mask")).alias("mask"))
-    # Denials of a share go before what it allows.
-    rank = F.struct(F.when(F.col("ace_type") == "deny", 0).otherwise(1).alias("order_index"), F.col("ace_key"))
-    share = on.select(*PAIR, "share_key").join(estate.share_aces, "share_key").join(held, ["principal_key", "trustee_key"]).select(*PAIR, F.lit("share").alias("layer"), "ace_key", "trustee_key", "origin", rank.alias("at"), (F.col("ace_type") == "allow").alias("allow"), masks.share_mask(F.col("permission")).alias("mask"))
-    entries = cut(ntfs.unionByName(share))
-    rights = _rights(entries, PAIR)
-    restated = lists.where(to_owner).select("resource_key").distinct().withColumn("restated", F.lit(True))
-    read = estate.share_aces.select("share_key").distinct().withColumn("read", F.lit(True))
-    zero, total = F.lit(0).cast("long"), F.lit(masks.FILE_ALL).cast("long")
-    rows = on.join(restated, "resource_key", "left").join(read, "share_key", "left").join(rights, PAIR, "left").join(owned, PAIR, "left")
-    owner = F.col("origin").isNotNull() & F.col("restated").isNull()
-    own = F.when(owner, F.lit(access.OWNER_BITS).cast("long")).otherwise(zero)
-    rows = rows.withColumns({"own": own, "listed": F.when(F.col("dacl_present"), F.coalesce("ntfs", zero)).otherwise(total), "bound": F.when(F.col("read"), F.coalesce("share", zero)), "denied": F.coalesce("denied", zero)})
-    ntfs_rights = F.col("listed").bitwiseOR(F.col("own"))
-    return entries, cut(rows.select(*PAIR, "own", ntfs_rights.alias("ntfs"), F.col("bound").alias("share"), _crossed(ntfs_rights, F.col("bound")).alias("rights"), "denied"))
+    spoken = cut(_spoken(estate, pairs.select(*PAIR)))
+    side = lambda es, layer: spoken.select(*PAIR, F.lit(layer).alias("layer"), F.explode(es).alias("e"))
+    entries = side("on_list", "ntfs").unionByName(side("on_share", "share")).select(*PAIR, "layer", "e.ace_key", "e.trustee_key", "e.origin", "e.at", "e.allow", "e.mask")
+    return entries, spoken.drop("on_list", "on_share")
 
 
 def _crossed(ntfs: Column, share: Column) -> Column:
     return F.when(share.isNull(), ntfs).otherwise(ntfs.bitwiseAND(share))
 
 
-def _rights(entries: DataFrame, by: list[str]) -> DataFrame:
-    """``by``, ntfs, share, denied (on the list): what the entries of a group grant, each bit by its first entry."""
-    rows = entries.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "layer", "allow", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))).alias("es"))
-    side = lambda layer: acl.fold(F.filter("es", lambda e: e["layer"] == layer)).alias(layer)
-    return rows.select(*by, side("ntfs"), side("share")).select(*by, F.col("ntfs.granted").alias("ntfs"), F.col("share.granted").alias("share"), F.col("ntfs.denied").alias("denied"))
-
-
-def entry_removals(entries: DataFrame, rights: DataFrame) -> DataFrame:
-    """PAIR, kind, edge_key, rights_removed, rights_added, rights_after: each entry that speaks to a pair gone, one at a time."""
+def _without_each(es: str, kind: str, lost_of, won_of) -> Column:
+    """array(kind, edge_key, lost, won): what goes and comes when each entry of the array ``es`` is gone, one at a time."""
     zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
-    lists = entries.groupBy(*PAIR, "layer").agg(F.array_sort(F.collect_list(F.struct("at", "ace_key", "allow", F.coalesce("mask", zero).alias("mask")))).alias("es"))
     # What each entry settles, and the bits that those behind it would allow: one walk from either end.
-    settles = F.aggregate("es", F.struct(zero.alias("seen"), none.alias("out")), lambda s, e: F.struct(s["seen"].bitwiseOR(e["mask"]).alias("seen"), F.concat(s["out"], F.array(masks.minus(e["mask"], s["seen"]))).alias("out")), lambda s: s["out"])
+    settles = F.aggregate(es, F.struct(zero.alias("seen"), none.alias("out")), lambda s, e: F.struct(s["seen"].bitwiseOR(e["mask"]).alias("seen"), F.concat(s["out"], F.array(masks.minus(e["mask"], s["seen"]))).alias("out")), lambda s: s["out"])
     then = lambda s, e: F.when(e["allow"], s["then"].bitwiseOR(e["mask"])).otherwise(masks.minus(s["then"], e["mask"]))
-    behind = F.aggregate(F.reverse("es"), F.struct(zero.alias("then"), none.alias("out")), lambda s, e: F.struct(then(s, e).alias("then"), F.concat(F.array(s["then"]), s["out"]).alias("out")), lambda s: s["out"])
-    each = lists.select(*PAIR, "layer", F.explode(F.arrays_zip("es", settles.alias("novel"), behind.alias("behind"))).alias("x")).select(*PAIR, "layer", "x.es.ace_key", "x.es.allow", "x.novel", "x.behind")
-    lost, won = F.when(F.col("allow"), masks.minus(F.col("novel"), F.col("behind"))).otherwise(zero), F.when(F.col("allow"), zero).otherwise(F.col("novel").bitwiseAND(F.col("behind")))
-    rows = each.select(*PAIR, "layer", "ace_key", lost.alias("lost"), won.alias("won")).join(rights, PAIR)
-    on_list = F.col("layer") == "ntfs"
+    behind = F.aggregate(F.reverse(es), F.struct(zero.alias("then"), none.alias("out")), lambda s, e: F.struct(then(s, e).alias("then"), F.concat(F.array(s["then"]), s["out"]).alias("out")), lambda s: s["out"])
+
+    def effect(x: Column) -> Column:
+        lost, won = F.when(x["e"]["allow"], masks.minus(x["novel"], x["behind"])).otherwise(zero), F.when(x["e"]["allow"], zero).otherwise(x["novel"].bitwiseAND(x["behind"]))
+        return F.struct(F.lit(kind).alias("kind"), x["e"]["ace_key"].alias("edge_key"), lost_of(lost).alias("lost"), won_of(won).alias("won"))
+
+    return F.transform(F.arrays_zip(F.col(es).alias("e"), settles.alias("novel"), behind.alias("behind")), effect)
+
+
+def _entry_effects() -> Column:
+    """array(kind, edge_key, lost, won) of a row of ``_spoken``: each entry that speaks to the pair gone, one at a time."""
     # An owner's own bits stay whatever the list says; the other layer bounds both ways.
-    lost, won = (F.when(on_list, _crossed(masks.minus(F.col(c), F.col("own")), F.col("share"))).otherwise(F.col(c).bitwiseAND(F.col("ntfs"))) for c in ("lost", "won"))
-    return _effects(rows.select(*PAIR, F.when(on_list, "ntfs_ace").otherwise("share_ace").alias("kind"), F.col("ace_key").alias("edge_key"), "rights", lost.alias("lost"), won.alias("won")))
+    by_share, by_list = lambda c: _crossed(masks.minus(c, F.col("own")), F.col("share")), lambda c: c.bitwiseAND(F.col("ntfs"))
+    return F.concat(_without_each("on_list", "ntfs_ace", by_share, by_share), _without_each("on_share", "share_ace", by_list, by_list))
+
+
+def _membership_effects() -> Column:
+    """The same for each of the row's ``ways`` (see ``_ways``) that leads to a trustee which speaks to the pair."""
+    every = F.concat("on_list", "on_share")
+
+    def effect(w: Column) -> Column:
+        gone = lambda e: (e["origin"] == "membership") & F.array_contains(w["lost"], e["trustee_key"])
+        left = lambda es: acl.fold(F.filter(es, lambda e: ~gone(e)))["granted"]
+        # A list that has no entry for the pair (a missing list, say) gives what it gave; and only where an entry goes with the membership is anything evaluated.
+        ntfs = F.when(F.size("on_list") > 0, left("on_list").bitwiseOR(F.col("own"))).otherwise(F.col("ntfs"))
+        then = F.when(F.exists(every, gone), _crossed(ntfs, F.when(F.col("share").isNotNull(), left("on_share")))).otherwise(F.col("rights"))
+        edge = keys.edge_key(w["group_key"], F.coalesce(w["member_key"], F.col("principal_key")), F.lit("*"))
+        return F.struct(F.lit("membership").alias("kind"), edge.alias("edge_key"), masks.minus(F.col("rights"), then).alias("lost"), masks.minus(then, F.col("rights")).alias("won"))
+
+    speaks = lambda w: F.exists(every, lambda e: (e["origin"] == "membership") & F.array_contains(w["leads"], e["trustee_key"]))
+    return F.transform(F.filter("ways", speaks), effect)
 
 
 def _effects(rows: DataFrame) -> DataFrame:
@@ -100,22 +127,42 @@ def _effects(rows: DataFrame) -> DataFrame:
     return rows.select(*PAIR, "kind", "edge_key", F.col("lost").alias("rights_removed"), F.col("won").alias("rights_added"), after.alias("rights_after"), ((F.col("rights") != 0) & (after == 0)).alias("revokes_all"))
 
 
-def surviving(edges: DataFrame, principals: DataFrame) -> DataFrame:
-    """principal_key, group_key, member_key, lost: for each membership on a principal's way up, a group that it alone leads to.
-
-    Principals that have no members and the same direct groups differ in their first step alone, so one of them is walked for all.
-    """
+def _kinds(edges: DataFrame, principals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(principal_key, kind) and (kind, first): principals that have no members and the same direct groups differ in their first step alone, so the first of them is walked for all."""
     who = principals.select("principal_key").distinct()
     direct = edges.select(F.col("member_key").alias("principal_key"), "group_key").join(who, "principal_key", "left_semi").groupBy("principal_key").agg(F.array_sort(F.collect_set("group_key")).alias("ups"))
     groups = edges.select(F.col("group_key").alias("principal_key")).distinct().withColumn("group", F.lit(True))
     kind = F.when(F.col("group"), F.col("principal_key")).otherwise(F.sha2(F.array_join("ups", ","), 256))
     of = cut(direct.join(groups, "principal_key", "left").select("principal_key", kind.alias("kind")))
-    first = cut(of.groupBy("kind").agg(F.min("principal_key").alias("first")))
+    return of, cut(of.groupBy("kind").agg(F.min("principal_key").alias("first")))
+
+
+def surviving(edges: DataFrame, principals: DataFrame) -> DataFrame:
+    """principal_key, group_key, member_key, lost: for each membership on a principal's way up, a group that it alone leads to."""
+    of, first = _kinds(edges, principals)
     walked = _walked(edges, first.select(F.col("first").alias("principal_key"))).withColumnRenamed("principal_key", "first").join(first, "first")
     member = F.when(F.col("member_key") == F.col("first"), F.col("principal_key")).otherwise(F.col("member_key"))
     return of.join(cut(walked), "kind").select("principal_key", "group_key", member.alias("member_key"), "lost")
 
 
+def _ways(edges: DataFrame, principals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(principal_key, kind) and (kind, ways): the memberships on the way up of each kind, array(group_key, member_key, leads, lost).
+
+    ``member_key`` is null for the principal's own; ``leads`` are the groups that the membership leads to, ``lost`` those that it alone leads to.
+    """
+    of, first = _kinds(edges, principals)
+    reach = cut(closure(edges).select("member_key", "group_key"))
+    up = first.select("kind", "first", F.col("first").alias("at")).unionByName(reach.join(first, F.col("member_key") == F.col("first")).select("kind", "first", F.col("group_key").alias("at"))).distinct()
+    on_way = cut(up.join(edges.select(F.col("member_key").alias("at"), "group_key").distinct(), "at").select("kind", "first", "group_key", F.col("at").alias("member_key")))
+    groups = on_way.select("group_key").distinct()
+    leads = reach.join(groups.withColumnRenamed("group_key", "member_key"), "member_key", "left_semi").select(F.col("member_key").alias("group_key"), F.col("group_key").alias("far")).unionByName(groups.withColumn("far", F.col("group_key")))
+    leads = cut(leads.groupBy("group_key").agg(F.collect_set("far").alias("leads")))
+    lost = _walked(edges, first.select(F.col("first").alias("principal_key"))).withColumnRenamed("principal_key", "first").groupBy("first", "group_key", "member_key").agg(F.collect_set("lost").alias("lost"))
+    rows = on_way.join(leads, "group_key").join(lost, ["first", "group_key", "member_key"], "left")
+    way = F.struct("group_key", F.when(F.col("member_key") != F.col("first"), F.col("member_key")).alias("member_key"), "leads", F.coalesce("lost", F.array().cast("array<string>")).alias("lost"))
+    return of, cut(rows.groupBy("kind").agg(F.collect_list(way).alias("ways")))
+
+
 def _walked(edges: DataFrame, principals: DataFrame) -> DataFrame:
     step = cut(edges.select(F.col("member_key").alias("at"), F.col("group_key").alias("to")).distinct())
     who = principals.select(F.col("principal_key").alias("key")).distinct()
@@ -131,37 +178,22 @@ def _walked(edges: DataFrame, principals: DataFrame) -> DataFrame:
     return everything.join(known, ["principal_key", "group_key", "member_key", "at"], "left_anti").withColumnRenamed("at", "lost")
 
 
-def membership_removals(estate: Estate, entries: DataFrame, rights: DataFrame) -> DataFrame:
-    """The same for each membership on the way to a trustee that speaks to a pair."""
-    asked = entries.where("origin = 'membership'").select(*PAIR, "trustee_key").distinct()
-    who = asked.select("principal_key").distinct()
-    reach = cut(closure(estate.edges).select("member_key", "group_key"))
-    up = who.select("principal_key", F.col("principal_key").alias("at")).unionByName(reach.join(who, F.col("member_key") == F.col("principal_key")).select("principal_key", F.col("group_key").alias("at")))
-    on_way = up.join(estate.edges.select(F.col("member_key").alias("at"), "group_key").distinct(), "at").select("principal_key", "group_key", F.col("at").alias("member_key"))
-    leads = reach.select(F.col("member_key").alias("group_key"), F.col("group_key").alias("trustee_key")).unionByName(asked.select(F.col("trustee_key").alias("group_key"), "trustee_key").distinct())
-    edge = ["group_key", "member_key"]
-    candidates = cut(on_way.join(leads, "group_key").join(asked, ["principal_key", "trustee_key"]).select(*PAIR, *edge).distinct())
-    lost = surviving(estate.edges, who).withColumnRenamed("lost", "trustee_key")
-    # Only where an entry goes with the membership is anything evaluated.
-    hit = cut(candidates.join(lost, ["principal_key", *edge]).join(entries.select(*PAIR, "trustee_key").distinct(), [*PAIR, "trustee_key"]).select(*PAIR, *edge, "trustee_key").distinct())
-    left = hit.select(*PAIR, *edge).distinct().join(entries, PAIR).join(hit.withColumn("gone", F.lit(True)), [*PAIR, *edge, "trustee_key"], "left")
-    left = left.where(F.col("gone").isNull() | (F.col("origin") != "membership"))
-    after = _rights(left, [*PAIR, *edge]).select(*PAIR, *edge, F.col("ntfs").alias("ntfs_after"), F.col("share").alias("share_after"))
-    touched = hit.select(*PAIR, *edge).distinct().withColumn("touched", F.lit(True))
-    rows = candidates.join(touched, [*PAIR, *edge], "left").join(after, [*PAIR, *edge], "left").join(rights, PAIR)
-    listed = entries.where("layer = 'ntfs'").select(*PAIR).distinct().withColumn("listed", F.lit(True))
-    rows = rows.join(listed, PAIR, "left").fillna(0, ["ntfs_after", "share_after"])
-    # A list that has no entry for the pair (a missing list, say) gives what it gave.
-    ntfs = F.when(F.col("listed"), F.col("ntfs_after").bitwiseOR(F.col("own"))).otherwise(F.col("ntfs"))
-    then = F.when(F.col("touched"), _crossed(ntfs, F.when(F.col("share").isNotNull(), F.col("share_after")))).otherwise(F.col("rights"))
-    rows = rows.withColumn("then", then)
-    return _effects(rows.select(*PAIR, F.lit("membership").alias("kind"), keys.edge_key(F.col("group_key"), F.col("member_key"), F.lit("*")).alias("edge_key"), "rights", masks.minus(F.col("rights"), F.col("then")).alias("lost"), masks.minus(F.col("then"), F.col("rights")).alias("won")))
+def entry_removals(entries: DataFrame, rights: DataFrame) -> DataFrame:
+    """PAIR, kind, edge_key, rights_removed, rights_added, rights_after, revokes_all from ``evidence``: each entry that speaks to a pair gone, one at a time."""
+    entry = F.struct("at", "ace_key", "trustee_key", "origin", "allow", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
+    side = lambda layer: F.array_sort(F.collect_list(F.when(F.col("layer") == layer, entry)))
+    rows = entries.groupBy(*PAIR).agg(side("ntfs").alias("on_list"), side("share").alias("on_share")).join(rights, PAIR)
+    return _effects(rows.select(*PAIR, "rights", F.explode(_entry_effects()).alias("x")).select(*PAIR, "rights", "x.*"))
 
 
 def measured_removals(estate: Estate, pairs: DataFrame) -> DataFrame:
-    """PAIR, kind, edge_key, rights_removed, rights_added, rights_after, revokes_all for every entry and membership that a pair's access runs through."""
-    entries, rights = evidence(estate, pairs)
-    return entry_removals(entries, rights).unionByName(membership_removals(estate, entries, rights))
+    """PAIR, kind, edge_key, rights_removed, rights_added, rights_after, revokes_all for every entry and membership that a pair's access runs through, each gone, one at a time."""
+    pairs = cut(pairs.select(*PAIR).distinct())
+    of, ways = _ways(estate.edges, pairs)
+    rows = _spoken(estate, pairs.join(of, "principal_key", "left")).join(ways, "kind", "left")
+    rows = rows.withColumn("ways", F.coalesce("ways", F.array().cast(ways.schema["ways"].dataType)))
+    each = rows.select(*PAIR, "rights", F.explode(F.concat(_entry_effects(), _membership_effects())).alias("x"))
+    return _effects(each.select(*PAIR, "rights", "x.*"))
 
 
 def path_effects(entries: DataFrame, rights: DataFrame) -> DataFrame:

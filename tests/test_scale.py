@@ -1,7 +1,9 @@
 """What must not grow: rows and joins that larger tables would multiply."""
 
+from pyspark.sql import functions as F
+
 from reachbase.functions import keys
-from reachbase.operators import access, causality, simulate
+from reachbase.operators import access, campaigns, causality, changes, closing, evidence, risk, simulate
 from tests.test_access import READ, estate
 
 
@@ -80,3 +82,11 @@ def test_before_and_after_meet_where_the_list_lies(spark):
     assert not [x for x in joins(rows) if "FullOuter" in x]
     got = sorted((r["before"], r["after"], r["direction"]) for r in rows.collect())
     assert got == [(READ & ~8, 0, "lose")] * 10 + [(READ, 0, "lose")] * 10
+
+
+def test_removals_are_measured_in_the_row_of_their_pair(spark):
+    e = estate(spark, {"a": [("h", "allow", READ), ("g", "deny", 1)]}, users=["u1"], edges=[("g", "u1"), ("h", "g")])
+    rows = causality.measured_removals(e, spark.createDataFrame([("u1", "a")], "principal_key string, resource_key string"))
+    got = {(r["kind"], r["edge_key"]): (r["rights_removed"], r["revokes_all"]) for r in rows.collect()}
+    assert got == {("ntfs_ace", "a:0"): (READ, True), ("ntfs_ace", "a:1"): (0, False), ("share_ace", f"s|{keys.EVERYONE}|allow|full"): (READ, True), ("membership", "g->u1|*"): (READ, True), ("membership", "h->g|*"): (READ, True)}
+    assert not [x for x in joins(rows) if "trustee_key" in x]
