@@ -113,13 +113,24 @@ def applicability(e: Estate, plan: DataFrame) -> DataFrame:
     remove_member and add_member (a group; member).  Of changes that say the same, the first counts and the others are repeated.
     """
     same = Window.partitionBy("action", "target", "member").orderBy("change_no")
-    rows = plan.withColumn("seat", F.row_number().over(same))
-    entries = e.ntfs_aces.select(F.col("ace_key").alias("target"), "access_mask", F.lit(True).alias("entry"))
-    pairs = e.edges.select(F.col("group_key").alias("target"), F.col("member_key").alias("member"), F.lit(True).alias("edge")).distinct()
-    groups = e.principals.select(F.col("principal_key").alias("target"), F.lit(True).alias("group"))
-    lists = e.resources.select(F.col("resource_key").alias("member"), F.lit(True).alias("list"))
-    who = e.principals.select(F.col("principal_key").alias("member"), F.lit(True).alias("who"))
-    rows = rows.join(entries, "target", "left").join(pairs, ["target", "member"], "left").join(groups, "target", "left").join(lists, "member", "left").join(who, "member", "left")
+    digest = lambda rows, keys_, *more: rows.select(*[access.list_id(key).alias(c) for key, c in keys_], *more)
+    # Keys travel as digests.  A change meets only the tables that its action asks for, and is dealt once by what it names.
+    slim = plan.select("change_no", "action", access.list_id("target").alias("target"), access.list_id("member").alias("member"), "value")
+    entries = digest(e.ntfs_aces, [("ace_key", "target")], "access_mask", F.lit(True).alias("entry"))
+    lists = digest(e.resources, [("resource_key", "member")], F.lit(True).alias("list"))
+    pairs = digest(e.edges, [("group_key", "target"), ("member_key", "member")], F.lit(True).alias("edge")).distinct()
+    described = lambda c: digest(e.principals, [("principal_key", c)])
+    no = lambda kind, *columns: [F.lit(None).cast(kind).alias(c) for c in columns]
+    on_entry = F.coalesce(F.col("action").isin("remove_entry", "modify_entry", "add_entry"), F.lit(False))
+
+    about = slim.where(on_entry).repartition("target").withColumn("seat", F.row_number().over(same)).join(entries, "target", "left")
+    adds = about.where("action = 'add_entry'").join(lists, "member", "left")
+    about = about.where("action <> 'add_entry'").withColumn("list", F.lit(None).cast("boolean")).unionByName(adds)
+    about = about.select("change_no", "action", "seat", "value", "access_mask", "entry", "list", *no("boolean", "edge", "group", "who"))
+    others = slim.where(~on_entry).repartition("target", "member").withColumn("seat", F.row_number().over(same)).join(pairs, ["target", "member"], "left")
+    groups = cut(described("target").join(slim.where(~on_entry).select("target").distinct(), "target", "left_semi").withColumn("group", F.lit(True)))
+    others = others.join(groups, "target", "left").join(described("member").withColumn("who", F.lit(True)), "member", "left")
+    rows = about.unionByName(others.select("change_no", "action", "seat", "value", *no("long", "access_mask"), *no("boolean", "entry", "list"), "edge", "group", "who"))
     is_ = lambda c: F.col(c).isNotNull()
     action = F.col("action")
     outcome = (

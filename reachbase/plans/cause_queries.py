@@ -162,6 +162,7 @@ SELECT change_no, CASE WHEN seat > 1 THEN 'repeated' WHEN action IN ('add_member
   WHEN r.resource_key IS NULL THEN 'target_unknown' WHEN a.ace_key IS NULL THEN 'applied' ELSE 'already_present' END AS outcome
 FROM seated s LEFT JOIN ntfs_aces a ON a.ace_key = target LEFT JOIN principals p ON p.principal_key = target LEFT JOIN principals w ON w.principal_key = member LEFT JOIN resources r ON r.resource_key = member LEFT JOIN (SELECT DISTINCT group_key, member_key FROM edges) d ON d.group_key = target AND d.member_key = member""")
 def plan_applicability(e: Estate) -> DataFrame:
+    e = e.with_(ntfs_aces=tables.cut(e.ntfs_aces))
     return simulate.applicability(e, _plan(e))
 
 

@@ -90,3 +90,15 @@ def test_removals_are_measured_in_the_row_of_their_pair(spark):
     got = {(r["kind"], r["edge_key"]): (r["rights_removed"], r["revokes_all"]) for r in rows.collect()}
     assert got == {("ntfs_ace", "a:0"): (READ, True), ("ntfs_ace", "a:1"): (0, False), ("share_ace", f"s|{keys.EVERYONE}|allow|full"): (READ, True), ("membership", "g->u1|*"): (READ, True), ("membership", "h->g|*"): (READ, True)}
     assert not [x for x in joins(rows) if "trustee_key" in x]
+
+
+def test_changes_of_a_plan_meet_only_what_their_action_asks_for(spark):
+    e = estate(spark, {"a": [("u1", "allow", 1)]}, users=["u1", "u2"], edges=[("u2", "u1")])
+    kinds = "change_no string, action string, target string, member string, value long"
+    plan = [("1", "remove_entry", "a:0", None, None), ("2", "remove_entry", "a:0", None, None), ("3", "modify_entry", "a:0", None, 1), ("4", "modify_entry", "x", None, 1), ("5", "add_entry", "a:0", "a", 1), ("6", "add_entry", "n", "a", 1), ("7", "add_entry", "n", "b", 1)]
+    plan += [("8", "add_member", "u2", "u1", None), ("9", "remove_member", "u1", "u2", None), ("10", "add_member", "u2", "x", None), ("11", "other", "u2", "u1", None), ("12", None, None, None, None)]
+    rows = simulate.applicability(e, spark.createDataFrame(plan, kinds))
+    assert {r["change_no"]: r["outcome"] for r in rows.collect()} == {
+        "1": "applied", "2": "repeated", "3": "mask_unchanged", "4": "target_unknown", "5": "already_present", "6": "applied", "7": "target_unknown", "8": "already_present", "9": "already_absent", "10": "target_unknown", "11": None, "12": None,
+    }
+    assert "md5" in rows._jdf.queryExecution().optimizedPlan().toString()
