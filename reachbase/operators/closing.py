@@ -9,9 +9,10 @@ scopes, and a second one what hangs on these.  A scope without rules closes noth
 
 from __future__ import annotations
 
+from functools import partial
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachbase.functions import keys
@@ -60,36 +61,58 @@ def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFram
     return spark.createDataFrame(list(rules), "collector string, scope_kind string, kind string, selector string, column string, parent string, hosted boolean")
 
 
-def selected(scopes: DataFrame, objects: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """scope_no, kind, key: the objects each scope is an authority for.
-
-    ``scopes``: scope_no, collector, scope_kind, scope_key, domains (those the run saw).  ``objects``: kind, key and ``COLUMNS``, null
-    where an object has none.
-    """
+def _matched(scopes: DataFrame, objects: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``selected``, an object once for each rule that selects it.  An object offers only what some rule on its kind looks at."""
     table = rule_table(scopes.sparkSession, rules)
     asked = scopes.join(F.broadcast(table), ["collector", "scope_kind"])  # a constant table
     value = F.when(F.col("selector") == "run_domains", F.col("domains")).otherwise(F.array("scope_key"))
     direct = asked.where("selector <> 'via_parent'").select("scope_no", "kind", "selector", "column", "hosted", F.explode(value).alias("value")).distinct()
-    offers = [F.array(F.struct(F.lit("equals").alias("selector"), F.lit(c).alias("column"), F.col(c).alias("value")), F.struct(F.lit("run_domains").alias("selector"), F.lit(c).alias("column"), F.col(c).alias("value"))) for c in COLUMNS]
-    paths = F.concat(F.array("resource_key"), F.transform(keys.ancestors(F.col("resource_key")), lambda a: a["key"]))
-    above = F.when(F.col("kind") == "ntfs_resource", F.transform(paths, lambda p: F.struct(F.lit("subtree").alias("selector"), F.lit("resource_key").alias("column"), p.alias("value"))))
-    offered = objects.select("kind", "key", F.col("host_key").isNotNull().alias("on_host"), F.explode(F.concat(*offers, F.coalesce(above, F.array().cast("array<struct<selector:string,column:string,value:string>>")))).alias("o"))
-    offered = offered.where("o.value IS NOT NULL").select("kind", "key", "on_host", "o.*")
+    on_host = F.col("host_key").isNotNull().alias("on_host")
+
+    def offered(looks: list[tuple[str, str, str]]) -> DataFrame:
+        offer = lambda selector, c, v: F.struct(F.lit(selector).alias("selector"), F.lit(c).alias("column"), v.alias("value"))
+        none = F.array().cast("array<struct<selector:string,column:string,value:string>>")
+        each = [
+            F.when((F.col("kind") == kind) & F.col(c).isNotNull(), F.transform(_and_above(c), partial(offer, selector, c)) if selector == "subtree" else F.array(offer(selector, c, F.col(c))))
+            for kind, selector, c in looks
+        ]
+        kinds = sorted({kind for kind, _, _ in looks})
+        return objects.where(F.col("kind").isin(*kinds)).select("kind", "key", on_host, F.explode(F.concat(none, *[F.coalesce(x, none) for x in each])).alias("o")).select("kind", "key", "on_host", "o.*")
+
     fits = F.col("hosted").isNull() | (F.col("hosted") == F.col("on_host"))
-    first = cut(offered.join(direct, ["kind", "selector", "column", "value"]).where(fits).select("scope_no", "kind", "key").distinct())
+    looks = sorted({(r.kind, r.selector, r.column) for r in rules if r.selector != "via_parent"})
+    first = cut(offered(looks).join(direct, ["kind", "selector", "column", "value"]).where(fits).select("scope_no", "kind", "key").distinct())
     hanging = asked.where("selector = 'via_parent'").select("scope_no", "kind", "column", "hosted", "parent").join(first.select("scope_no", F.col("kind").alias("parent"), F.col("key").alias("value")), ["scope_no", "parent"])
-    held = offered.where("selector = 'equals'").drop("selector")
-    second = held.join(hanging, ["kind", "column", "value"]).where(fits).select("scope_no", "kind", "key").distinct()
-    return first.unionByName(second)
+    looks = sorted({(r.kind, "equals", r.column) for r in rules if r.selector == "via_parent"})
+    if not looks:
+        return first
+    return first.unionByName(offered(looks).drop("selector").join(hanging, ["kind", "column", "value"]).where(fits).select("scope_no", "kind", "key"))
+
+
+def _and_above(c: str) -> Column:
+    return F.concat(F.array(c), F.transform(keys.ancestors(F.col(c)), lambda a: a["key"]))
+
+
+def selected(scopes: DataFrame, objects: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """scope_no, kind, key: the objects each scope is an authority for.
+
+    ``scopes``: scope_no, collector, scope_kind, scope_key, domains (those the run saw).  ``objects``: kind, key and ``COLUMNS``, null
+    where an object has none.
+    """
+    return _matched(scopes, objects, rules).distinct()
 
 
-def closed(scopes: DataFrame, objects: DataFrame, observed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def closed(scopes: DataFrame, objects: DataFrame, observed: DataFrame, rules: tuple[Rule, ...] = RULES, chosen: DataFrame | None = None) -> DataFrame:
     """scope_no, kind, key of what the scopes may close: selected, not in ``observed`` (scope_no, kind, key), and only where ``scopes.complete``.
 
-    Objects that another scope of the same kind of collector saw are still closed here: each scope answers for itself.
+    Objects that another scope of the same kind of collector saw are still closed here: each scope answers for itself.  ``chosen`` is what
+    ``selected`` gave for these scopes and objects, where the caller has it.  What was selected and what was seen meet in one grouping.
     """
     done = scopes.where("complete").drop("complete")
-    return selected(done, objects, rules).join(observed.select("scope_no", "kind", "key").distinct(), ["scope_no", "kind", "key"], "left_anti")
+    may = _matched(done, objects, rules) if chosen is None else chosen.join(done.select("scope_no"), "scope_no", "left_semi")
+    side = lambda rows, seen: rows.select("scope_no", "kind", "key", F.lit(seen).alias("seen"))
+    rows = side(may, False).unionByName(side(observed, True)).groupBy("scope_no", "kind", "key").agg(F.bool_or("seen").alias("seen"))
+    return rows.where(~F.col("seen")).drop("seen")
 
 
 def completion(runs: DataFrame) -> DataFrame:

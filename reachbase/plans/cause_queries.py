@@ -285,8 +285,9 @@ def scopes_closed(e: Estate) -> DataFrame:
     domains = F.when(F.col("scope_no") == "ad", F.array(F.lit("S-1-5-21-1-1-1"), F.lit("S-1-5-21-1-1-3")))
     scopes = tables.cut(scopes.unionByName(one).withColumn("domains", domains))
     objects = tables.cut(_objects(e))
-    observed = closing.selected(scopes, objects).where(F.length("key") % 3 != 0)
-    return closing.closed(scopes, objects, observed).groupBy("scope_no", "kind").agg(F.count("*").alias("closed"), F.min("key").alias("first_key"))
+    chosen = tables.cut(closing.selected(scopes, objects))
+    observed = chosen.where(F.length("key") % 3 != 0)
+    return closing.closed(scopes, objects, observed, chosen=chosen).groupBy("scope_no", "kind").agg(F.count("*").alias("closed"), F.min("key").alias("first_key"))
 
 
 @on_estate(""", unread AS (SELECT resource_key, parent_key, depth FROM resources WHERE depth = 2 OR (depth = 1 AND length(resource_key) % 2 = 0)),

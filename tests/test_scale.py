@@ -102,3 +102,13 @@ def test_changes_of_a_plan_meet_only_what_their_action_asks_for(spark):
         "1": "applied", "2": "repeated", "3": "mask_unchanged", "4": "target_unknown", "5": "already_present", "6": "applied", "7": "target_unknown", "8": "already_present", "9": "already_absent", "10": "target_unknown", "11": None, "12": None,
     }
     assert "md5" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_was_selected_and_seen_meets_in_one_grouping(spark):
+    scopes = spark.createDataFrame([("s", "ntfs", "directory_tree", "\\\\srv\\s\\a", None, True)], "scope_no string, collector string, scope_kind string, scope_key string, domains array<string>, complete boolean")
+    objects = [("ntfs_resource", k, "srv", "s", k, None, None, None) for k in ("\\\\srv\\s\\a", "\\\\srv\\s\\a\\b", "\\\\srv\\s\\ab")] + [("ntfs_ace", "e1", None, None, "\\\\srv\\s\\a\\b", None, None, None), ("ntfs_ace", "e1", None, None, "\\\\srv\\s\\a\\b", None, None, None), ("ntfs_ace", "e2", None, None, "\\\\srv\\s\\a", None, None, None)]
+    objects = spark.createDataFrame(objects, "kind string, key string, " + ", ".join(f"{c} string" for c in closing.COLUMNS))
+    observed = spark.createDataFrame([("s", "ntfs_ace", "e2"), ("s", "ntfs_resource", "\\\\srv\\s\\a")], "scope_no string, kind string, key string")
+    rows = closing.closed(scopes, objects, observed)
+    assert sorted(tuple(r) for r in rows.collect()) == [("s", "ntfs_ace", "e1"), ("s", "ntfs_resource", "\\\\srv\\s\\a\\b")]
+    assert not [x for x in joins(rows) if "LeftAnti" in x]
