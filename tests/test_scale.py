@@ -112,3 +112,14 @@ def test_what_was_selected_and_seen_meets_in_one_grouping(spark):
     rows = closing.closed(scopes, objects, observed)
     assert sorted(tuple(r) for r in rows.collect()) == [("s", "ntfs_ace", "e1"), ("s", "ntfs_resource", "\\\\srv\\s\\a\\b")]
     assert not [x for x in joins(rows) if "LeftAnti" in x]
+
+
+def test_sets_of_groups_are_counted_where_the_list_lies(spark):
+    users = [f"u{i}" for i in range(6)]
+    edges = [("g", u) for u in users[:4]] + [("h", u) for u in users[2:]] + [("k", u) for u in users[3:5]]
+    e = estate(spark, {"a": [("g", "allow", 1), ("h", "allow", 1), ("k", "allow", 1), ("g", "allow", 2)], "b": [("g", "allow", 1), ("h", "deny", 1)]}, users=users, edges=edges)
+    rows = risk.redundant_paths(e)
+    assert [tuple(r) for r in rows.collect()] == [("a", 3, 3)]
+    assert [tuple(r) for r in risk.redundant_paths(e, 3).collect()] == [("a", 1, 3)] and sorted(tuple(r) for r in risk.redundant_paths(e, 1).collect()) == [("a", 6, 3), ("b", 4, 1)]
+    grouped = [x.split("]")[0] for x in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [resource_key" in x]
+    assert grouped and not [x for x in grouped if "set" in x]
