@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachbase.functions import keys, masks
-from reachbase.operators import acl, history
+from reachbase.operators import access, acl, history
 
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 WRITE_BITS = 0x2 | 0x4 | 0x10 | 0x100 | 0x10000 | 0x40 | masks.ESCALATION
@@ -185,12 +185,18 @@ def order_changes(resources: DataFrame, before: DataFrame, after: DataFrame) ->
     Material: the list's normal form differs, in which places are ranks.  So a gap in the
     numbers alone is not material, and any other order is, whoever holds the trustees.
     """
-    entries = lambda rows, n: rows.groupBy("resource_key").agg(F.array_sort(F.collect_list("ace_key")).alias(f"held_{n}"), F.array_sort(F.collect_list(F.struct("order_index", "ace_key"))).alias(f"seats_{n}"))
-    same = entries(before, "a").join(entries(after, "b"), "resource_key").where("held_a = held_b AND seats_a <> seats_b")
-    there = resources.join(same.select("resource_key"), "resource_key", "left_semi")
-    form = lambda rows, name: acl.digests(there, rows.join(there.select("resource_key"), "resource_key", "left_semi")).select("resource_key", F.col("acl_hash").alias(name))
-    both = same.select("resource_key").join(form(before, "was"), "resource_key").join(form(after, "now"), "resource_key")
-    return both.select("resource_key", (F.col("was") != F.col("now")).alias("material"))
+    short = lambda c: F.unhex(F.md5(c.cast("binary")))
+    seat = F.struct("order_index", short(F.col("ace_key")).alias("key"), short(acl.normal_line()).alias("line"))
+    # Both sides of a list are gathered at once, its entries as digests; what follows is told in the list's row.
+    dealt = lambda rows, now: rows.select(access.list_id().alias("list"), F.lit(now).alias("now"), seat.alias("seat"))
+    side = lambda now: F.array_sort(F.collect_list(F.when(F.col("now") == now, F.col("seat"))))
+    rows = dealt(before, False).unionByName(dealt(after, True)).groupBy("list").agg(side(False).alias("a"), side(True).alias("b"))
+    part = lambda es, *names: F.transform(es, lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    same = rows.where(F.array_sort(part("a", "key")) == F.array_sort(part("b", "key"))).where(part("a", "order_index", "key") != part("b", "order_index", "key"))
+    placed = lambda es: ~F.exists(es, lambda x: x["order_index"].isNull()) & (F.size(F.array_distinct(part(es, "order_index"))) == F.size(es))
+    form = lambda es: F.when(placed(es), part(es, "line")).otherwise(F.array_sort(part(es, "line")))
+    told = same.select("list", ((placed("a") != placed("b")) | (form("a") != form("b"))).alias("material"))
+    return resources.select("resource_key", access.list_id().alias("list")).join(told, "list").select("resource_key", "material")
 
 
 def siblings(changes: DataFrame, container: str) -> DataFrame:

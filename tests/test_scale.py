@@ -123,3 +123,12 @@ def test_sets_of_groups_are_counted_where_the_list_lies(spark):
     assert [tuple(r) for r in risk.redundant_paths(e, 3).collect()] == [("a", 1, 3)] and sorted(tuple(r) for r in risk.redundant_paths(e, 1).collect()) == [("a", 6, 3), ("b", 4, 1)]
     grouped = [x.split("]")[0] for x in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [resource_key" in x]
     assert grouped and not [x for x in grouped if "set" in x]
+
+
+def test_both_sides_of_a_list_are_gathered_at_once(spark):
+    e = estate(spark, {"a": [("u1", "allow", 1), ("u2", "deny", 2)], "b": [("u1", "allow", 1), ("u2", "deny", 2)], "c": [("u1", "allow", 1)]})
+    place = "CASE WHEN resource_key = 'a' AND trustee_key = 'u1' THEN NULL WHEN resource_key = 'b' THEN 7 - order_index WHEN resource_key = 'c' THEN 4 END AS order_index"
+    after = e.ntfs_aces.selectExpr("resource_key", "trustee_key", "ace_type", "access_mask", "ace_flags", place, "ace_key").unionByName(e.ntfs_aces.limit(1).withColumn("resource_key", F.lit("new")))
+    rows = changes.order_changes(e.resources, e.ntfs_aces, after)
+    assert {r["resource_key"]: r["material"] for r in rows.collect()} == {"a": True, "b": True, "c": False}
+    assert len(joins(rows)) == 1
