@@ -129,13 +129,11 @@ def assigned(e: Estate, items_: DataFrame, assignments: DataFrame) -> DataFrame:
     principal all items about it.
     """
     asked = _named(assignments).select("assignment_id", "campaign", "scope_kind", "scope_key", F.struct("assigned_at", "assignment_id").alias("_at"))
-    own = items_.select(*ITEM)
     whole = asked.where("scope_kind IS NULL").groupBy("campaign").agg(F.max("_at").alias("_all"))
     on_target = targets(e).join(asked.where("scope_kind <> 'principal'"), ["scope_kind", "scope_key"]).groupBy("campaign", "target_kind", "target_key").agg(F.max("_at").alias("_target"))
     about = asked.where("scope_kind = 'principal'").groupBy("campaign", F.col("scope_key").alias("principal_key")).agg(F.max("_at").alias("_about"))
-    found = own.join(whole, "campaign", "left").join(on_target, ["campaign", "target_kind", "target_key"], "left").join(about, ["campaign", "principal_key"], "left")
-    newest = found.select(*ITEM, F.greatest("_all", "_target", "_about")["assignment_id"].alias("assignment_id"))
-    return items_.join(newest, ITEM)
+    found = items_.join(whole, "campaign", "left").join(on_target, ["campaign", "target_kind", "target_key"], "left").join(about, ["campaign", "principal_key"], "left")
+    return found.select(*items_.columns, F.greatest("_all", "_target", "_about")["assignment_id"].alias("assignment_id"))
 
 
 def queue(assigned_: DataFrame, assignments: DataFrame, campaigns: DataFrame, statuses: tuple[str, ...] = ("active",)) -> DataFrame:

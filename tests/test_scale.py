@@ -132,3 +132,12 @@ def test_both_sides_of_a_list_are_gathered_at_once(spark):
     rows = changes.order_changes(e.resources, e.ntfs_aces, after)
     assert {r["resource_key"]: r["material"] for r in rows.collect()} == {"a": True, "b": True, "c": False}
     assert len(joins(rows)) == 1
+
+
+def test_assigned_items_are_not_joined_to_themselves(spark):
+    e = estate(spark, {"a": [("u1", "allow", 1)]})
+    items = spark.createDataFrame([("c", "resource", "a", "u1", 3)], "campaign string, target_kind string, target_key string, principal_key string, grants int")
+    asks = spark.createDataFrame([("one", "c", None, None, 1)], "assignment_id string, campaign string, scope_kind string, scope_key string, assigned_at int")
+    rows = campaigns.assigned(e, items, asks)
+    assert [tuple(r) for r in rows.collect()] == [("c", "resource", "a", "u1", 3, "one")]
+    assert len([x for x in joins(rows) if "Inner" in x]) <= 2
