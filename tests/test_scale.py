@@ -141,3 +141,10 @@ def test_assigned_items_are_not_joined_to_themselves(spark):
     rows = campaigns.assigned(e, items, asks)
     assert [tuple(r) for r in rows.collect()] == [("c", "resource", "a", "u1", 3, "one")]
     assert len([x for x in joins(rows) if "Inner" in x]) <= 2
+
+
+def test_cited_evidence_is_gathered_once(spark):
+    cited = spark.createDataFrame([("f", "ntfs_resource", "a", '{"dacl_present":false}')], "finding_key string, kind string, key string, record string")
+    rows = evidence.reproduced(spark.createDataFrame([("f", "everyone_broad_access", "critical")], "finding_key string, rule string, severity string"), cited)
+    assert [tuple(r) for r in rows.collect()] == [("f", "reproduced", "critical")]
+    assert "Aggregate [finding_key" not in rows._jdf.queryExecution().optimizedPlan().toString()
