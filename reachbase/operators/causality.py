@@ -27,36 +27,35 @@ PAIR = ["principal_key", "resource_key"]
 REMOVABLE = ("membership", "ntfs_ace", "share_ace")
 
 
-def _held(estate: Estate, asked: DataFrame) -> DataFrame:
-    """principal_key, trustee_key, origin: remote tokens of the principals asked for."""
-    who = asked.select("principal_key").distinct()
-    own = access.tokens(estate).join(who, "principal_key", "left_semi").select("principal_key", F.col("sid").alias("trustee_key"), "origin")
-    return own.unionByName(who.select("principal_key", F.lit(keys.NETWORK).alias("trustee_key"), F.lit("assumed").alias("origin")))
+def _spoken(estate: Estate, pairs: DataFrame, *about: DataFrame) -> DataFrame:
+    """One row for each pair, with what ``about`` (principal_key, ...) adds: ``on_list`` and ``on_share``, the entries that speak to it in order (at, ace_key, trustee_key, origin, allow, mask), and own, ntfs, share, rights, denied.
 
-
-def _spoken(estate: Estate, pairs: DataFrame) -> DataFrame:
-    """One row for each pair, with what else ``pairs`` has: ``on_list`` and ``on_share``, the entries that speak to it in order (at, ace_key, trustee_key, origin, allow, mask), and own, ntfs, share, rights, denied.
-
-    A list travels as one row of entries and a token as one row of identifiers; they meet in the pair's row, and what is asked of a pair is
-    answered there, so the entries that speak to pairs are neither shuffled nor written.
+    A list travels as one row of entries; a pair meets it, and then the token of its kind, in its own row, and what is asked of a pair is
+    answered there, so neither tokens nor the entries that speak to pairs are shuffled or written for each pair.
     """
-    more = [c for c in pairs.columns if c not in PAIR]
-    asked = cut(pairs.distinct())
+    more = [c for rows in about for c in rows.columns if c != "principal_key"]
+    asked = cut(pairs.select(*PAIR).distinct())
     where = asked.select("resource_key").distinct()
-    tokens = _held(estate, asked).groupBy("principal_key").agg(F.array_sort(F.collect_set(F.struct(F.col("trustee_key").alias("sid"), "origin"))).alias("token"))
+    of, held_by = access.tokens_by_kind(estate, asked.select("principal_key").distinct())
     zero, total = F.lit(0).cast("long"), F.lit(masks.FILE_ALL).cast("long")
     at = lambda order: F.struct(order.alias("order_index"), F.col("ace_key")).alias("at")
     entry = lambda order, mask, to_owner: F.struct(at(order), "trustee_key", (F.col("ace_type") == "allow").alias("allow"), F.coalesce(mask, zero).alias("mask"), to_owner.alias("to_owner"))
     to_owner = keys.sid_of(F.col("trustee_key")) == keys.OWNER_RIGHTS
-    lists = acl.considered(estate.ntfs_aces.join(where, "resource_key", "left_semi")).where(acl.applies_here())
-    lists = lists.groupBy("resource_key").agg(F.array_sort(F.collect_list(entry(F.coalesce("order_index", F.lit(2**31 - 1)), masks.expand_generic(F.col("access_mask")), to_owner))).alias("entries"))
+    lists = access.on_lists(acl.considered(estate.ntfs_aces).where(acl.applies_here()), where, entry(F.coalesce("order_index", F.lit(2**31 - 1)), masks.expand_generic(F.col("access_mask")), to_owner))
     # Denials of a share go before what it allows.
     rank = F.when(F.col("ace_type") == "deny", 0).otherwise(1)
     shares = cut(estate.share_aces.groupBy("share_key").agg(F.array_sort(F.collect_list(entry(rank, masks.share_mask(F.col("permission")), F.lit(False)))).alias("allowances")))
     on = estate.resources.join(where, "resource_key", "left_semi").select("resource_key", "share_key", "dacl_present", "owner_key").join(lists, "resource_key", "left")
-    rows = asked.join(tokens, "principal_key", "left").join(on, "resource_key").join(shares, "share_key", "left")
+    rows = asked.join(of, "principal_key", "left")
+    for extra in about:
+        rows = rows.join(extra, "principal_key", "left")
+    rows = rows.join(on, "resource_key").join(shares, "share_key", "left").join(held_by, "kind", "left")
+    # Access is remote; a token names an identifier once, and what it is assumed to hold after what it holds.
+    holds = lambda sid, origin: F.array(F.struct(sid.alias("sid"), F.lit(origin).alias("origin")))
+    beside = F.concat(holds(F.col("principal_key"), "subject"), F.filter("token", lambda t: t["sid"] != F.col("principal_key")))
+    rows = rows.withColumn("token", F.concat(holds(F.lit(keys.NETWORK), "assumed"), F.coalesce(beside, F.array().cast(rows.schema["token"].dataType))))
     empty = lambda c: F.coalesce(c, F.array().cast(rows.schema[c].dataType))
-    rows = rows.withColumns({"token": empty("token"), "entries": empty("entries"), "read": F.col("allowances").isNotNull(), "allowances": empty("allowances")})
+    rows = rows.withColumns({"entries": empty("entries"), "read": F.col("allowances").isNotNull(), "allowances": empty("allowances")})
     rows = rows.withColumn("owns", F.exists("token", lambda t: F.coalesce(t["sid"] == F.col("owner_key"), F.lit(False))))
     held = lambda e: F.exists("token", lambda t: t["sid"] == e["trustee_key"])
     origin = lambda e: F.coalesce(F.get(F.filter("token", lambda t: t["sid"] == e["trustee_key"]), F.lit(0))["origin"], F.lit("owner"))
@@ -73,7 +72,7 @@ def evidence(estate: Estate, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Entries: principal_key, resource_key, layer (ntfs, share), ace_key, trustee_key, origin, at, allow, mask.  Pairs: ntfs and
     share rights, owner bits, rights (both layers crossed; an unread share does not bound them), denied.
     """
-    spoken = cut(_spoken(estate, pairs.select(*PAIR)))
+    spoken = cut(_spoken(estate, pairs))
     side = lambda es, layer: spoken.select(*PAIR, F.lit(layer).alias("layer"), F.explode(es).alias("e"))
     entries = side("on_list", "ntfs").unionByName(side("on_share", "share")).select(*PAIR, "layer", "e.ace_key", "e.trustee_key", "e.origin", "e.at", "e.allow", "e.mask")
     return entries, spoken.drop("on_list", "on_share")
@@ -127,20 +126,10 @@ def _effects(rows: DataFrame) -> DataFrame:
     return rows.select(*PAIR, "kind", "edge_key", F.col("lost").alias("rights_removed"), F.col("won").alias("rights_added"), after.alias("rights_after"), ((F.col("rights") != 0) & (after == 0)).alias("revokes_all"))
 
 
-def _kinds(edges: DataFrame, principals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(principal_key, kind) and (kind, first): principals that have no members and the same direct groups differ in their first step alone, so the first of them is walked for all."""
-    who = principals.select("principal_key").distinct()
-    direct = edges.select(F.col("member_key").alias("principal_key"), "group_key").join(who, "principal_key", "left_semi").groupBy("principal_key").agg(F.array_sort(F.collect_set("group_key")).alias("ups"))
-    groups = edges.select(F.col("group_key").alias("principal_key")).distinct().withColumn("group", F.lit(True))
-    kind = F.when(F.col("group"), F.col("principal_key")).otherwise(F.sha2(F.array_join("ups", ","), 256))
-    of = cut(direct.join(groups, "principal_key", "left").select("principal_key", kind.alias("kind")))
-    return of, cut(of.groupBy("kind").agg(F.min("principal_key").alias("first")))
-
-
 def surviving(edges: DataFrame, principals: DataFrame) -> DataFrame:
     """principal_key, group_key, member_key, lost: for each membership on a principal's way up, a group that it alone leads to."""
-    of, first = _kinds(edges, principals)
-    walked = _walked(edges, first.select(F.col("first").alias("principal_key"))).withColumnRenamed("principal_key", "first").join(first, "first")
+    of, first = access.kinds(edges, principals)
+    walked = _walked(access.edges_above(edges, first), first.select(F.col("first").alias("principal_key"))).withColumnRenamed("principal_key", "first").join(first, "first")
     member = F.when(F.col("member_key") == F.col("first"), F.col("principal_key")).otherwise(F.col("member_key"))
     return of.join(cut(walked), "kind").select("principal_key", "group_key", member.alias("member_key"), "lost")
 
@@ -150,7 +139,8 @@ def _ways(edges: DataFrame, principals: DataFrame) -> tuple[DataFrame, DataFrame
 
     ``member_key`` is null for the principal's own; ``leads`` are the groups that the membership leads to, ``lost`` those that it alone leads to.
     """
-    of, first = _kinds(edges, principals)
+    of, first = access.kinds(edges, principals)
+    edges = access.edges_above(edges, first)
     reach = cut(closure(edges).select("member_key", "group_key"))
     up = first.select("kind", "first", F.col("first").alias("at")).unionByName(reach.join(first, F.col("member_key") == F.col("first")).select("kind", "first", F.col("group_key").alias("at"))).distinct()
     on_way = cut(up.join(edges.select(F.col("member_key").alias("at"), "group_key").distinct(), "at").select("kind", "first", "group_key", F.col("at").alias("member_key")))
@@ -188,9 +178,8 @@ def entry_removals(entries: DataFrame, rights: DataFrame) -> DataFrame:
 
 def measured_removals(estate: Estate, pairs: DataFrame) -> DataFrame:
     """PAIR, kind, edge_key, rights_removed, rights_added, rights_after, revokes_all for every entry and membership that a pair's access runs through, each gone, one at a time."""
-    pairs = cut(pairs.select(*PAIR).distinct())
     of, ways = _ways(estate.edges, pairs)
-    rows = _spoken(estate, pairs.join(of, "principal_key", "left")).join(ways, "kind", "left")
+    rows = _spoken(estate, pairs, of.withColumnRenamed("kind", "way")).join(ways.withColumnRenamed("kind", "way"), "way", "left")
     rows = rows.withColumn("ways", F.coalesce("ways", F.array().cast(ways.schema["ways"].dataType)))
     each = rows.select(*PAIR, "rights", F.explode(F.concat(_entry_effects(), _membership_effects())).alias("x"))
     return _effects(each.select(*PAIR, "rights", "x.*"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from reachbase.functions import keys
-from reachbase.operators import access, campaigns, causality, changes, closing, evidence, risk, simulate
+from reachbase.operators import access, acl, campaigns, causality, changes, closing, evidence, risk, simulate
 from tests.test_access import READ, estate
 
 
@@ -148,3 +148,23 @@ def test_cited_evidence_is_gathered_once(spark):
     rows = evidence.reproduced(spark.createDataFrame([("f", "everyone_broad_access", "critical")], "finding_key string, rule string, severity string"), cited)
     assert [tuple(r) for r in rows.collect()] == [("f", "reproduced", "critical")]
     assert "Aggregate [finding_key" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_are_held_by_kind_and_not_by_pair(spark, monkeypatch):
+    monkeypatch.setattr(access, "tokens", None)
+    users = [f"u{i}" for i in range(20)]
+    e = estate(spark, {"a": [("h", "allow", READ), ("u7", "deny", 1)], "b": [(keys.EVERYONE, "allow", READ)]}, users=users, edges=[("g", u) for u in users] + [("h", "g"), ("g", "h"), ("k", "x")])
+    of, held = access.tokens_by_kind(e, e.principals.select("principal_key"))
+    assert of.count() == 20 and [{(x["sid"], x["origin"]) for x in r["token"]} for r in held.collect()] == [{("g", "membership"), ("h", "membership"), (keys.EVERYONE, "assumed"), (keys.AUTHENTICATED, "assumed")}]
+    pairs = spark.createDataFrame([("u1", "a"), ("u7", "a"), ("g", "b"), ("nobody", "b"), ("u7", "b")], "principal_key string, resource_key string")
+    assert {(r["principal_key"], r["resource_key"]): r["remote"] for r in access.pair_access(e, pairs).collect()} == {("u1", "a"): READ, ("u7", "a"): READ, ("g", "b"): 0, ("nobody", "b"): 0, ("u7", "b"): READ}
+    got = {(r["principal_key"], r["kind"], r["edge_key"]): r["rights_removed"] for r in causality.measured_removals(e, pairs.where("resource_key = 'a'")).collect()}
+    assert got["u1", "ntfs_ace", "a:0"] == got["u7", "membership", "g->u7|*"] == got["u7", "membership", "h->g|*"] == READ and got["u7", "ntfs_ace", "a:1"] == 0
+
+
+def test_entries_are_not_shuffled_to_find_lists_that_are_too_long(spark, monkeypatch):
+    monkeypatch.setattr(acl, "MAX_ENTRIES", 1)
+    e = estate(spark, {"a": [("u1", "allow", READ), ("u2", "allow", READ)], "b": [("u1", "allow", READ)]})
+    rows = acl.considered(e.ntfs_aces)
+    assert sorted(r["ace_key"] for r in rows.collect()) == ["a:0", "b:0"]
+    assert len(joins(rows)) == 2 and all("strategy=broadcast" in x for x in joins(rows))
