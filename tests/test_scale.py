@@ -168,3 +168,18 @@ def test_entries_are_not_shuffled_to_find_lists_that_are_too_long(spark, monkeyp
     rows = acl.considered(e.ntfs_aces)
     assert sorted(r["ace_key"] for r in rows.collect()) == ["a:0", "b:0"]
     assert len(joins(rows)) == 2 and all("strategy=broadcast" in x for x in joins(rows))
+
+
+def test_impact_of_groups_is_told_where_the_list_lies(spark, monkeypatch):
+    for name in ("candidates", "pair_access"):
+        monkeypatch.setattr(access, name, None)  # no pair of group and list is written or shuffled
+    monkeypatch.setattr(acl, "MAX_ENTRIES", 2)
+    lists = {"a": [("h", "allow", READ), ("g", "deny", 1)], "b": [(keys.EVERYONE, "allow", READ), ("g", "allow", 2)], "c": [("u1", "allow", READ)], "d": [("u1", "allow", 1), ("u2", "allow", 1), ("g", "allow", READ)]}
+    e = estate(spark, lists, edges=[("g", "u1"), ("h", "g")], open_=("o",), shares=[("s", keys.EVERYONE, "allow", "full"), ("s", "h", "allow", "read")])
+    rows = access.group_impact(e, e.principals.where("kind = 'group'").select(F.col("principal_key").alias("group_key")))
+    got = {(r["group_key"], r["resource_key"]): (r["remote"], r["verdict"], r["names_group"]) for r in rows.collect()}
+    full = 0x1F01FF
+    assert got == {
+        ("g", "a"): (READ, "granted", True), ("g", "b"): (READ | 2, "granted", True), ("g", "d"): (0, "indeterminate", True), ("g", "o"): (full, "granted", False),
+        ("h", "a"): (READ, "granted", True), ("h", "b"): (READ, "granted", True), ("h", "o"): (full, "granted", True),
+    }
