@@ -136,8 +136,7 @@ _IMPACT += ", both_ AS (SELECT pr.principal_key, pr.resource_key, pr.n & pr.s AS
 
 def _impact(e: Estate) -> DataFrame:
     e = e.settled()
-    side = lambda t, name: access.pair_access(_at(e, t), asked_pairs(e)).select("principal_key", "resource_key", F.col("remote").alias(name))
-    both = side(_T1, "before").join(side(_T2, "after"), ["principal_key", "resource_key"])
+    both = access.remote_under(e, {"before": _at(e, _T1).ntfs_aces, "after": _at(e, _T2).ntfs_aces}, asked_pairs(e))
     return both.withColumn("direction", simulate.direction(F.col("before"), F.col("after")))
 
 

@@ -183,3 +183,10 @@ def test_impact_of_groups_is_told_where_the_list_lies(spark, monkeypatch):
         ("g", "a"): (READ, "granted", True), ("g", "b"): (READ | 2, "granted", True), ("g", "d"): (0, "indeterminate", True), ("g", "o"): (full, "granted", False),
         ("h", "a"): (READ, "granted", True), ("h", "b"): (READ, "granted", True), ("h", "o"): (full, "granted", True),
     }
+
+
+def test_two_versions_of_lists_meet_in_the_row_of_their_pair(spark):
+    e = estate(spark, {"a": [("u1", "allow", READ), ("u2", "deny", 1), (keys.EVERYONE, "allow", 1)]}, open_=("o",))
+    pairs = spark.createDataFrame([("u1", "a"), ("u2", "a"), ("u2", "o"), ("nobody", "a")], "principal_key string, resource_key string")
+    rows = access.remote_under(e, {"before": e.ntfs_aces.where("order_index = 0"), "after": e.ntfs_aces.where("order_index > 0")}, pairs)
+    assert {(r["principal_key"], r["resource_key"]): (r["before"], r["after"]) for r in rows.collect()} == {("u1", "a"): (READ, 1), ("u2", "a"): (0, 0), ("u2", "o"): (0x1F01FF, 0x1F01FF), ("nobody", "a"): (0, 0)}
