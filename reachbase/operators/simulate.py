@@ -185,11 +185,11 @@ def entry_impact(e: Estate, planned: Estate, touched: DataFrame | None = None) -
     _, members = access.classes(access.tokens(e), cut(trustees.distinct()))
     # Both plans are layers of one list, so before and after meet where the list lies.
     entries = access.list_entries(now).unionByName(access.list_entries(then, 1))
-    shared, single, of = access.rights_by_base(members, entries, ("now", "then"))
     names = touched.select("resource_key").distinct().withColumn("list", access.list_id())
-    named = lambda rows: rows.join(names, "list").withColumnsRenamed({"granted_now": "before", "granted_then": "after"})
-    both = access.opened(named(shared), named(single), of, "resource_key", "before", "after")
-    return both.withColumn("direction", direction(F.col("before"), F.col("after")))
+    said = [F.col("granted_now").alias("before"), F.col("granted_then").alias("after"), direction(F.col("granted_now"), F.col("granted_then")).alias("direction")]
+    named = lambda rows, *more: rows.join(names, "list").select(*more, "resource_key", *said)
+    shared, single, of = access.rights_by_base(members, entries, ("now", "then"), named)
+    return access.opened(access.by_base(shared), single, of, "resource_key", "before", "after", "direction")
 
 
 def membership_impact(e: Estate, planned: Estate) -> DataFrame:

@@ -190,3 +190,35 @@ def test_two_versions_of_lists_meet_in_the_row_of_their_pair(spark):
     pairs = spark.createDataFrame([("u1", "a"), ("u2", "a"), ("u2", "o"), ("nobody", "a")], "principal_key string, resource_key string")
     rows = access.remote_under(e, {"before": e.ntfs_aces.where("order_index = 0"), "after": e.ntfs_aces.where("order_index > 0")}, pairs)
     assert {(r["principal_key"], r["resource_key"]): (r["before"], r["after"]) for r in rows.collect()} == {("u1", "a"): (READ, 1), ("u2", "a"): (0, 0), ("u2", "o"): (0x1F01FF, 0x1F01FF), ("nobody", "a"): (0, 0)}
+
+
+def test_rows_of_classes_are_copied_and_not_worked_out(spark, monkeypatch):
+    users, e = crowded(spark)
+    b = {u: READ & ~8 if u >= "u10" else READ for u in users}
+    a = {u: (READ if u < "u12" else 0) & (~1 if u == "u03" else -1) | 2 for u in users}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for seats, gathered, bytes_ in ((62, 10_000, threshold), (1, 10_000, threshold), (62, 2, "-1")):
+        monkeypatch.setattr(access, "SEATS", seats)
+        monkeypatch.setattr(access, "GATHERED", gathered)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bytes_)
+        try:
+            rows, principals = access.matrix(e)
+            got = {(r["principal_key"], r["resource_key"]): r["rights"] for r in rows.join(principals, "class_key").collect()}
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        assert got == {(u, "a"): a[u] for u in users} | {(u, "b"): b[u] for u in users}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [x for x in plan if "exists(" in x or "Window [" in x and "subset" in x]
+
+
+def test_classes_are_told_by_kinds(spark, monkeypatch):
+    users, e = crowded(spark)
+    e = e.with_(edges=e.edges.union(spark.createDataFrame([("k", "u05", "ad_group"), ("u05", "u06", "ad_group")], e.edges.schema)))
+    some = e.principals.where("name < 'u07'").select("principal_key")
+    for trustees in (e.ntfs_aces.select("trustee_key"), spark.createDataFrame([(x,) for x in ("g", "k", "u05", "u11", None)], "trustee_key string")):
+        for only in (None, some):
+            held = access.tokens(e) if only is None else access.tokens(e).join(only, "principal_key", "left_semi")
+            wanted = [sorted(map(tuple, x.collect())) for x in access.classes(held, trustees)]
+            with monkeypatch.context() as m:
+                m.setattr(access, "tokens", None)  # no token is opened for each principal
+                assert [sorted(map(tuple, x.collect())) for x in access.estate_classes(e, trustees, only)] == wanted
